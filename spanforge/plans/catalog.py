@@ -1,0 +1,6 @@
+"""Every registered query and its SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
