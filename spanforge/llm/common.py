@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.functions.runtime import ship_package
+
 #: Code points that separate words in every contract here.
 WORD_SEPARATORS = "\x20\x09-\x0d"
 
@@ -32,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def through_python(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, on workers that can import this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(batches, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the fold from which nothing is learnt."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

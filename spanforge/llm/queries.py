@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from spanforge.llm import exact_dedup, mixing
+from spanforge.llm import exact_dedup, mixing, mpeg_audio, packing
 
 QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_retrieval_packing": packing.op6_retrieval_packing,
+    "op8_mpeg_audio": mpeg_audio.op8_mpeg_audio,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
