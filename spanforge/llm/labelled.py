@@ -23,6 +23,7 @@ def sample(labels: DataFrame, column: str, most: int, seed: int, id_col: str = "
 
 
 def with_texts(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label, u) of the chosen ids; chosen is bounded by sample() and so may be broadcast."""
+    """(text, label, u) of the chosen ids, equal texts once; chosen is bounded by sample() and so may be broadcast."""
     picked = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), "label", "u"))
-    return docs.join(picked, docs[id_col] == F.col("__id")).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label", "u")
+    rows = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, F.col("__doc") == F.col("__id"))
+    return rows.groupBy(F.sha2("text", 256)).agg(F.min(F.struct("__id", "label", "u", "text")).alias("row")).select("row.text", "row.label", "row.u")
