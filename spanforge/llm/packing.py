@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +45,8 @@ class Ids:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
         # Byte-level vocabularies name each byte by a character: printable ones by themselves, the rest from U+0100 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
@@ -58,6 +57,14 @@ class Ids:
         self.fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.clear()
 
+    @cached_property
+    def slow(self):  # noqa: ANN201
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def clear(self) -> None:
         self.of: dict[str, int] = {}
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
@@ -92,6 +99,12 @@ class Ids:
         return out
 
 
+@lru_cache(1)
+def ids_by(path: str) -> Ids:
+    """One for each worker process, which keeps it from task to task."""
+    return Ids(path)
+
+
 class Index:
     """BM25 over the documents of a shard."""
 
@@ -200,7 +213,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        ids_of = Ids(tokenizer or public_tokenizers.path(VOCABULARY))
+        ids_of = ids_by(tokenizer or public_tokenizers.path(VOCABULARY))
         packer = Packer(window, query_terms, TaskContext.get().partitionId() << 40)
         held_ids, held, tokens = [], [], 0
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
