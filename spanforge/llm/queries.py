@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanforge.llm import exact_dedup, mixing, mpeg_audio, packing, quality, toxicity
+from spanforge.llm import exact_dedup, mixing, mpeg_audio, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op3_secrets": secrets.op3_secrets,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_retrieval_packing": packing.op6_retrieval_packing,
