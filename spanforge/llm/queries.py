@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.llm import exact_dedup, mixing, mpeg_audio, packing, pii, quality, secrets, toxicity
+from spanforge.llm import exact_dedup, mixing, mpeg_audio, packing, pii, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_retrieval_packing": packing.op6_retrieval_packing,
     "op7_pii": pii.op7_pii,
     "op8_mpeg_audio": mpeg_audio.op8_mpeg_audio,
+    "op10_repeats": repeats.op10_repeats,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
