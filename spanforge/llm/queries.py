@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spanforge.llm import exact_dedup, mixing, mpeg_audio, packing, pii, quality, repeats, secrets, toxicity
+from spanforge.llm import exact_dedup, jaccard_join, mixing, mpeg_audio, packing, pii, quality, repeats, secrets, toxicity
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_quality": quality.op2_quality,
     "op3_secrets": secrets.op3_secrets,
     "op4_toxicity": toxicity.op4_toxicity,
