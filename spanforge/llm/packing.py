@@ -6,8 +6,9 @@ score. The last neighbour is cut where the window ends and its rest seeds the ne
 partition has left at its end is cut into windows of powers of two, which need no padding. Documents longer than a
 window first give whole windows of their own. Nothing is shuffled, and a lost task is repeated with the same result.
 
-Ids are those of the tokenizer file. Text is cut before white space into chunks that the tokenizer never joins, and
-each worker keeps the ids of chunks it has seen (at most ``CACHE`` of them; then it starts anew).
+Ids are those of the tokenizer file. Text is cut into chunks that the tokenizer never joins: the tokenizer's own pieces,
+where all characters are plain Latin ones, else runs that begin with white space. Each worker keeps the ids of chunks it
+has seen (at most ``CACHE`` of them; then it starts anew).
 
 Defined results: a null text counts as empty and gives the end id alone; rows that repeat an id are packed as often as
 they occur; strings of special tokens are ordinary text; an empty table gives no pieces.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -29,7 +30,7 @@ from spanforge.llm.common import documents, through_python
 
 WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS = 2048, 1, 1 << 20, 32
 VOCABULARY = "byte_bpe_50k.json"
-CACHE = 400_000
+CACHE = 900_000
 K1, B = 1.2, 0.75
 _CHUNK = re.compile("[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+")
 # White space beyond ASCII and separators on which regex engines differ: such texts go to the tokenizer whole.
@@ -38,6 +39,23 @@ _UNUSUAL = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u202
 _PLAIN = re.compile("[\\x00-\\u024f]*")
 
 
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\\t-\\r {_L}{_N}]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+")
+
+
+class Known(dict):
+    """Numbers of chunks; an unknown one is encoded and gets the next."""
+
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.encode, self.fresh = encode, []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = at = len(self)
+        self.fresh.append(self.encode(chunk))
+        return at
+
+
 class Ids:
     """Token ids of texts, by the tokenizer file at path."""
 
@@ -66,7 +84,7 @@ class Ids:
         return out
 
     def clear(self) -> None:
-        self.of: dict[str, int] = {}
+        self.of = Known(self._encode)
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, chunk: str) -> list[int]:
@@ -76,20 +94,18 @@ class Ids:
         """Ids of each text, with the end id."""
         if len(self.of) > CACHE:
             self.clear()
-        of, fresh, out = self.of, [], []
-        split = [[t] if _UNUSUAL.search(t) else _CHUNK.findall(t) for t in texts]
-        for chunks in split:
-            for c in chunks:
-                if c not in of:
-                    of[c] = len(of)
-                    fresh.append(self._encode(c))
-        if fresh:
+        number, numbered, out = self.of.__getitem__, [], []
+        for t in texts:
+            chunks = [t] if _UNUSUAL.search(t) else _PIECE.findall(t) if _PLAIN.fullmatch(t) else _CHUNK.findall(t)
+            numbered.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
+        if fresh := self.of.fresh:
             lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in fresh for i in x), np.uint32, int(lengths.sum()))])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        for chunks in split:
-            at = np.fromiter(map(of.__getitem__, chunks), np.int64, len(chunks))
-            begin, length = self.starts[at], self.starts[at + 1] - self.starts[at]
+            self.of.fresh = []
+        for at in numbered:
+            begin = self.starts[at]
+            length = self.starts[at + 1] - begin
             ends = np.cumsum(length)
             total = int(ends[-1]) if len(ends) else 0
             ids = np.empty(total + 1, np.uint32)
@@ -226,8 +242,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         kind = pa.int64()
         for batch in it:
             kind = batch.schema.field(0).type
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 for doc_id, ids in zip(part.column(0).to_pylist(), ids_of.many([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     held_ids.append(doc_id)
                     held.append(ids)
