@@ -28,7 +28,7 @@ def usage(messages: DataFrame) -> DataFrame:
     out = messages.where("role = 'assistant'").groupBy("session_id").agg(*(F.sum(F.coalesce(n, F.lit(0))).alias(n) for n in names))
     i, o, w, c = (F.col(n) for n in names)
     cost = (i * r["input"] + o * r["output"] + c * r["cached_read"] + w * r["cached_write"]) / 1e6
-    return out.select("session_id", *names, F.round(safe(c, c + i), 4).alias("cache_hit_rate"), F.round(safe(i, o), 2).alias("io_ratio"), F.round(cost, 6).alias("cost_usd"))
+    return out.select("session_id", *names, F.round(safe(c, c + i), 4).alias("cache_hit_rate"), F.round(safe(i, o), 2).alias("io_ratio"), F.round(cost, 8).alias("cost_usd"))
 
 
 def growth(messages: DataFrame, least: int = 100) -> DataFrame:
@@ -39,7 +39,7 @@ def growth(messages: DataFrame, least: int = 100) -> DataFrame:
     step = turns.withColumn("step", F.col("context") - F.lag("context").over(order))
     # The mean of second differences has the sign of the last step less the first.
     out = step.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.min_by("context", "turn").alias("first_context"), F.max_by("context", "turn").alias("last_context"), F.min_by("step", F.when(F.col("step").isNotNull(), F.col("turn"))).alias("first_step"), F.max_by("step", "turn").alias("last_step"))
-    rate = F.round(F.when(F.col("turns") < 2, 1.0).otherwise(F.col("last_context") / F.col("first_context")), 2)
+    rate = F.round(F.round(F.when(F.col("turns") < 2, 1.0).otherwise(F.col("last_context") / F.col("first_context")), 9), 2)
     more = (F.col("turns") >= 3) & (F.col("last_step") > F.col("first_step"))
     return out.select("session_id", "turns", rate.alias("growth_rate"), F.coalesce(more, F.lit(False)).alias("super_linear"), (F.coalesce(more, F.lit(False)) & (rate > 2)).alias("bloat"))
 

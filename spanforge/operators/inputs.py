@@ -60,7 +60,7 @@ def prompt_responses(messages: DataFrame) -> DataFrame:
     turn = messages.withColumn("turn", F.sum(F.when(F.col("is_prompt"), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0))).where("turn > 0")
     said = F.array_sort(F.collect_list(F.when((F.col("role") == "assistant") & (F.col("text") != ""), F.struct("position", "text"))))
     pairs = turn.groupBy("session_id", "turn").agg(F.max(F.when(F.col("is_prompt"), F.col("text"))).alias("prompt"), F.concat_ws(" ", F.transform(said, lambda t: t["text"])).alias("response")).where("response <> ''")
-    return pairs.select("session_id", (F.row_number().over(W.partitionBy("session_id").orderBy("turn")) - 1).alias("pair_index"), "prompt", "response")
+    return pairs.select("session_id", (F.row_number().over(W.partitionBy("session_id").orderBy("turn")) - 1).cast("long").alias("pair_index"), "prompt", "response")
 
 
 def alignment(similarity: DataFrame, low: float = 0.3) -> DataFrame:

@@ -62,7 +62,7 @@ def ter(labelled: DataFrame, by: list[str] | None = None, weights: dict[str, flo
     for p in PHASES:
         out = out.withColumn(f"{p}_score", share(F.col(f"{p}_aligned"), F.col(f"{p}_tokens")))
     total = sum((F.col(f"{p}_score") * weights[p] for p in PHASES), F.lit(0.0))
-    out = out.withColumn("aggregate_ter", F.round(total, 4)).withColumn("raw_ratio", share(F.col("aligned_tokens"), F.col("total_tokens")))
+    out = out.withColumn("aggregate_ter", F.round(F.round(total, 9), 4)).withColumn("raw_ratio", share(F.col("aligned_tokens"), F.col("total_tokens")))
     return out.select(*by, "aggregate_ter", "raw_ratio", *(f"{p}_score" for p in PHASES), "total_tokens", "aligned_tokens", (F.col("total_tokens") - F.col("aligned_tokens")).alias("waste_tokens"))
 
 
