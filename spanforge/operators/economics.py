@@ -28,7 +28,7 @@ def usage(messages: DataFrame) -> DataFrame:
     out = messages.where("role = 'assistant'").groupBy("session_id").agg(*(F.sum(F.coalesce(n, F.lit(0))).alias(n) for n in names))
     i, o, w, c = (F.col(n) for n in names)
     cost = (i * r["input"] + o * r["output"] + c * r["cached_read"] + w * r["cached_write"]) / 1e6
-    return out.select("session_id", *names, F.round(safe(c, c + i), 4).alias("cache_hit_rate"), F.round(safe(i, o), 2).alias("io_ratio"), F.round(cost, 8).alias("cost_usd"))
+    return out.select("session_id", *names, F.round(safe(c, c + i), 4).alias("cache_hit_rate"), F.round(F.round(safe(i, o), 9), 2).alias("io_ratio"), F.round(cost, 8).alias("cost_usd"))
 
 
 def growth(messages: DataFrame, least: int = 100) -> DataFrame:

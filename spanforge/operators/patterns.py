@@ -33,7 +33,9 @@ def _runs(df: DataFrame, kind: str, least: int, tokens: Column, detail: Column,
     return _as(runs, kind, F.col("s"), F.col("e"), F.col("n"), F.col("t"), F.col("d"))
 
 
-_REST = F.sum("token_count") - F.min_by("token_count", "position")
+def _rest() -> Column:
+    """All tokens but the first row's."""
+    return F.sum("token_count") - F.min_by("token_count", "position")
 
 
 def reasoning_loops(labelled: DataFrame, least: int = 3) -> DataFrame:
@@ -64,14 +66,14 @@ def restatements(spans: DataFrame, vectors: DataFrame, threshold: float = 0.85)
 
 def repeated(calls: DataFrame, kind: str, key: str, least: int = 3) -> DataFrame:
     """Reads of one file, or runs of one command: all but the first are waste."""
-    found = calls.where(F.col(key).isNotNull()).groupBy("session_id", key).agg(F.count(F.lit(1)).alias("n"), _REST.alias("t")).where(F.col("n") >= least)
+    found = calls.where(F.col(key).isNotNull()).groupBy("session_id", key).agg(F.count(F.lit(1)).alias("n"), _rest().alias("t")).where(F.col("n") >= least)
     return _as(found, kind, F.lit(0), F.lit(0), F.col("n"), F.col("t"), F.col(key))
 
 
 def edit_fragmentation(edits: DataFrame, least: int = 3) -> DataFrame:
     """Consecutive edits of one file in the sequence of edits."""
     runs = islands(edits.withColumn("before", F.lag("file").over(_order())), F.col("before").isNull() | (F.col("before") != F.col("file")))
-    return _runs(runs, "edit_fragmentation", least, _REST, F.first("file"), positioned=False)
+    return _runs(runs, "edit_fragmentation", least, _rest(), F.first("file"), positioned=False)
 
 
 def shell_antipatterns(calls: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def _chains(spans: DataFrame, kind: str, trouble: Column, least: int, alike: Col
     link = (F.col("tool_0") == F.col("tool")) & (F.col("trouble") > F.col("trouble_0"))
     link = link if alike is None else link & alike
     runs = islands(calls, ~F.coalesce(link, F.lit(False)))
-    chains = runs.groupBy("session_id", "island").agg(F.min("position").alias("s"), F.max("position").alias("e"), F.count(F.lit(1)).alias("n"), _REST.alias("t"), F.first("tool").alias("d")).where(F.col("n") >= least + 1)
+    chains = runs.groupBy("session_id", "island").agg(F.min("position").alias("s"), F.max("position").alias("e"), F.count(F.lit(1)).alias("n"), _rest().alias("t"), F.first("tool").alias("d")).where(F.col("n") >= least + 1)
     return _as(chains, kind, F.col("s"), F.col("e"), F.col("n"), F.col("t"), F.col("d"))
 
 
@@ -114,7 +116,7 @@ def over_reading(operations: DataFrame, least: int = 2) -> DataFrame:
     """Reads of a file since its last write, more than least. operations: file, is_write, is_read."""
     epoch = F.sum(F.when(F.col("is_write"), 1).otherwise(0)).over(_order("file").rowsBetween(W.unboundedPreceding, 0))
     numbered = operations.withColumn("epoch", epoch).withColumn("last", F.max("epoch").over(W.partitionBy("session_id", "file")))
-    runs = numbered.where("is_read AND epoch = last").groupBy("session_id", "file").agg(F.min("position").alias("s"), F.max("position").alias("e"), F.count(F.lit(1)).alias("n"), _REST.alias("t")).where(F.col("n") >= least + 1)
+    runs = numbered.where("is_read AND epoch = last").groupBy("session_id", "file").agg(F.min("position").alias("s"), F.max("position").alias("e"), F.count(F.lit(1)).alias("n"), _rest().alias("t")).where(F.col("n") >= least + 1)
     return _as(runs, "over_reading", F.col("s"), F.col("e"), F.col("n"), F.col("t"), F.col("file"))
 
 

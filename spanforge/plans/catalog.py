@@ -88,7 +88,7 @@ def positional_ter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {views.USAGE}, s AS (SELECT session_id, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_creation_tokens)::BIGINT AS cache_creation_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens FROM usage WHERE role = 'assistant' GROUP BY session_id)
-SELECT *, round(CASE WHEN cache_read_tokens + input_tokens = 0 THEN 0 ELSE cache_read_tokens / (cache_read_tokens + input_tokens)::DOUBLE END, 4) AS cache_hit_rate, round(CASE WHEN output_tokens = 0 THEN 0 ELSE input_tokens / output_tokens::DOUBLE END, 2) AS io_ratio,
+SELECT *, round(CASE WHEN cache_read_tokens + input_tokens = 0 THEN 0 ELSE cache_read_tokens / (cache_read_tokens + input_tokens)::DOUBLE END, 4) AS cache_hit_rate, round(round(CASE WHEN output_tokens = 0 THEN 0 ELSE input_tokens / output_tokens::DOUBLE END, 9)::DECIMAL(18, 9), 2)::DOUBLE AS io_ratio,
 round((input_tokens * 3.0::DOUBLE + output_tokens * 15.0::DOUBLE + cache_read_tokens * 0.3::DOUBLE + cache_creation_tokens * 3.75::DOUBLE) / 1e6, 8) AS cost_usd FROM s""")
 def session_economics(spark: SparkSession, sf: str) -> DataFrame:
     return economics.usage(views.usage(spark, sf))
@@ -322,7 +322,7 @@ _ROLL = f"""WITH {views.LABELLED}, r AS (SELECT session_id, position AS msg_seq,
 s AS (SELECT session_id, msg_seq, n::BIGINT AS total_tokens, a::BIGINT AS aligned_tokens, round(a / n::DOUBLE, 4) AS ter, row_number() OVER (PARTITION BY session_id ORDER BY msg_seq)::DOUBLE AS nth FROM r),
 d AS (SELECT *, count(*) OVER w AS c, regr_slope(ter, nth) OVER w AS slope FROM s WINDOW w AS (PARTITION BY session_id ORDER BY msg_seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
 x AS (SELECT session_id, msg_seq, total_tokens, aligned_tokens, ter, CASE WHEN c < 2 THEN 0.0 ELSE round(slope * c, 6) END AS drift FROM d)
-SELECT session_id, msg_seq, total_tokens, aligned_tokens, ter, drift, CASE WHEN abs(drift) < 0.1 THEN 'stable' WHEN drift > 0 THEN 'improving' ELSE 'degrading' END AS direction,
+SELECT session_id, msg_seq, total_tokens, aligned_tokens, ter, drift + 0.0 AS drift, CASE WHEN abs(drift) < 0.1 THEN 'stable' WHEN drift > 0 THEN 'improving' ELSE 'degrading' END AS direction,
 CASE WHEN ter < 0.4 THEN 'alert' WHEN (drift < 0 AND abs(drift) > 0.1) OR (total_tokens > 5000 AND ter < 0.5) THEN 'caution' ELSE 'none' END AS warning FROM x"""
 
 

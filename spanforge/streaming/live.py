@@ -31,7 +31,7 @@ def drift(signals: DataFrame) -> DataFrame:
     numbered = signals.withColumn("nth", F.row_number().over(W.partitionBy("session_id").orderBy("msg_seq")).cast("double"))
     n = F.count(F.lit(1)).over(last)
     amount = F.when(n < 2, 0.0).otherwise(F.round(F.coalesce(F.regr_slope("ter", "nth").over(last), F.lit(0.0)) * n, 6))
-    out = numbered.withColumn("drift", amount).drop("nth")
+    out = numbered.withColumn("drift", amount + F.lit(0.0)).drop("nth")
     return out.withColumn("direction", F.when(F.abs("drift") < DRIFT, "stable").when(F.col("drift") > 0, "improving").otherwise("degrading"))
 
 
