@@ -131,8 +131,15 @@ def file_path(parameters: Column) -> Column:
     return F.coalesce(at("file_path"), at("path"))
 
 
+def runs_of_three(parts: Column, between: str = "") -> Column:
+    """Neighbouring triples of an array, joined; shifted copies are zipped, so nothing is evaluated once more for each place."""
+    n = F.greatest(F.size(parts) - 2, F.lit(0))
+    join = lambda a, b: F.concat(a, F.lit(between), b)
+    return F.zip_with(F.zip_with(F.slice(parts, 1, n), F.slice(parts, 2, n), join), F.slice(parts, 3, n), join)
+
+
 def trigrams(text: Column) -> Column:
-    return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) >= 3, runs_of_three(F.split(text, ""))).otherwise(F.array().cast("array<string>"))
 
 
 def trigram_cosine(a: Column, b: Column) -> Column:

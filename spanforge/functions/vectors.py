@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanforge.functions.text import trigrams
+
 DIMENSIONS = 384
 
 
@@ -19,17 +22,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def bucket(gram: Column) -> Column:
-    """md5 modulo 384, from its four 32-bit parts: 2**32, 2**64 and 2**96 all leave 256."""
+    """md5 modulo 384, from parts of 15, 15 and 2 hex digits: 2**68 and 2**8 both leave 256."""
     digest = F.md5(gram.cast("binary"))
-    part = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
-    return ((256 * (part[0] + part[1] + part[2]) + part[3]) % DIMENSIONS).cast("int")
+    a, b, c = (F.conv(F.substring(digest, at, n), 16, 10).cast("long") for at, n in ((1, 15), (16, 15), (31, 2)))
+    return ((256 * (a % DIMENSIONS + b % DIMENSIONS) + c) % DIMENSIONS).cast("int")
 
 
 def trigram_rows(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, bucket, weight): unit vectors of hashed trigram counts, one row for each bucket in use; texts of fewer
     than three characters have the first unit vector."""
     low = F.lower(F.col(text))
-    grams = F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: bucket(F.substr(low, i, F.lit(3))))).otherwise(F.array(F.lit(0)))
-    counts = df.select(*keys, F.explode(grams).alias("bucket")).groupBy(*keys, "bucket").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    norm = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norm, keys).select(*keys, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    grams = df.select(*keys, F.explode(F.when(F.length(low) >= 3, trigrams(low)).otherwise(F.array(F.lit("")))).alias("gram"))
+    # Equal trigrams are counted before they are hashed.
+    counted = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = counted.select(*keys, F.when(F.col("gram") == "", 0).otherwise(bucket(F.col("gram"))).alias("bucket"), "n").groupBy(*keys, "bucket").agg(F.sum("n").cast("double").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(*keys)))
+    return counts.select(*keys, "bucket", (F.col("n") / norm).alias("weight"))

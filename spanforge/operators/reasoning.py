@@ -47,7 +47,7 @@ def density(docs: DataFrame, key: str) -> DataFrame:
     words = docs.select(key, F.explode(T.words(F.lower(F.col("text")))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     total = words.groupBy(key).agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("unique"), F.sum(F.col("n") * F.log2("n")).alias("plogp"))
     sentences = F.filter(F.transform(F.split("text", "[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
-    triples = F.flatten(F.transform(sentences, lambda s: F.when(T.n_words(s) >= 3, F.transform(F.sequence(F.lit(1), T.n_words(s) - 2), lambda i: F.concat_ws(" ", F.slice(T.words(F.lower(s)), i, 3)))).otherwise(F.array().cast("array<string>"))))
+    triples = F.flatten(F.transform(F.transform(sentences, lambda s: T.words(F.lower(s))), lambda w: T.runs_of_three(w, " ")))
     repeats = docs.select(key, F.size(sentences).alias("sentences"), triples.alias("triples")).select(key, F.when((F.col("sentences") > 1) & (F.size("triples") > 0), 1 - F.size(F.array_distinct("triples")) / F.size("triples")).otherwise(0.0).alias("redundancy"))
     n, entropy = F.col("words"), F.log2("words") - F.col("plogp") / F.col("words")
     norm = F.when(n > 1, entropy / F.when(n > 1, F.log2("words")).otherwise(1.0)).otherwise(0.0)

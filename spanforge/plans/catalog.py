@@ -270,7 +270,7 @@ def prompt_responses(spark: SparkSession, sf: str) -> DataFrame:
     return _responses(spark, sf).select("session_id", "pair_index", F.length("prompt").cast("long").alias("prompt_length"), F.md5("response").alias("response_md5"))
 
 
-@query(_RESPONSES + f", pp AS (SELECT session_id, pair_index, prompt AS text FROM pr), rr AS (SELECT session_id, pair_index, response AS text FROM pr), {views.vectors_sql('pp', 'session_id, pair_index', 'a')}, {views.vectors_sql('rr', 'session_id, pair_index', 'b')}, s AS (SELECT session_id, pair_index, sum(a.weight * b.weight) AS s FROM a JOIN b USING (session_id, pair_index, bucket) GROUP BY ALL) SELECT session_id, count(*) AS pairs, round(avg(round(coalesce(s, 0), 4)), 4) AS avg_alignment, count_if(round(coalesce(s, 0), 4) < 0.3) AS low_pairs FROM pr LEFT JOIN s USING (session_id, pair_index) GROUP BY session_id")
+@query(_RESPONSES + f", pp AS (SELECT session_id, pair_index, prompt AS text FROM pr), rr AS (SELECT session_id, pair_index, response AS text FROM pr), {views.vectors_sql('pp', 'session_id, pair_index', 'a')}, {views.vectors_sql('rr', 'session_id, pair_index', 'b')}, s AS (SELECT session_id, pair_index, sum(a.weight * b.weight) AS s FROM a JOIN b USING (session_id, pair_index, bucket) GROUP BY ALL) SELECT session_id, count(*) AS pairs, round(avg(round(coalesce(s, 0), 4)), 4) AS avg_alignment, count_if(round(coalesce(s, 0), 4) < 0.3)::BIGINT AS low_pairs FROM pr LEFT JOIN s USING (session_id, pair_index) GROUP BY session_id")
 def prompt_response_alignment(spark: SparkSession, sf: str) -> DataFrame:
     pairs, keys = _responses(spark, sf), ["session_id", "pair_index"]
     a = V.trigram_rows(pairs.withColumn("text", F.col("prompt")), keys)
@@ -351,9 +351,9 @@ def novelty(spark: SparkSession, sf: str) -> DataFrame:
 c AS (SELECT *, CASE WHEN stale AND coalesce(lag(stale) OVER (PARTITION BY session_id ORDER BY position), false) THEN idx - 1 END AS cut FROM o),
 m AS (SELECT *, CASE WHEN n >= 3 THEN min(cut) OVER (PARTITION BY session_id) END AS cutoff FROM c),
 z AS (SELECT session_id, any_value(cutoff) AS cutoff, sum(token_count)::BIGINT AS total_tokens, coalesce(sum(token_count) FILTER (WHERE cutoff IS NULL OR idx <= cutoff), 0)::BIGINT AS useful_tokens FROM m GROUP BY session_id)
-SELECT session_id, cutoff::INT AS cutoff, total_tokens, useful_tokens, total_tokens - useful_tokens AS wasted_tokens, total_tokens - useful_tokens > total_tokens * 0.2 AS is_overthinking, round(useful_tokens / total_tokens::DOUBLE, 4) AS efficiency, CASE WHEN cutoff IS NULL THEN total_tokens ELSE floor(useful_tokens * 1.2::DOUBLE)::BIGINT END AS recommended_budget FROM z""")
+SELECT session_id, coalesce(cutoff, -1)::INT AS cutoff, total_tokens, useful_tokens, total_tokens - useful_tokens AS wasted_tokens, total_tokens - useful_tokens > total_tokens * 0.2 AS is_overthinking, round(useful_tokens / total_tokens::DOUBLE, 4) AS efficiency, CASE WHEN cutoff IS NULL THEN total_tokens ELSE floor(useful_tokens * 1.2::DOUBLE)::BIGINT END AS recommended_budget FROM z""")
 def overthinking_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    return reasoning.overthinking(reasoning.segments(views.turns(spark, sf).select("session_id", "position", "text")), 0.6)
+    return reasoning.overthinking(reasoning.segments(views.turns(spark, sf).select("session_id", "position", "text")), 0.6).withColumn("cutoff", F.coalesce("cutoff", F.lit(-1)))
 
 
 _FILL = "(" + " + ".join("regexp_matches(lower(text), '\\b{}\\b')::INT".format(c.replace("'", "''")) for c in T.FILLERS) + ")"

@@ -47,7 +47,7 @@ def labelled_calls(spark: SparkSession, sf: str) -> DataFrame:
 def usage(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as billed messages: the order is the session, its lines the turns."""
     q, p = F.col("l_quantity").cast("long"), F.floor("l_extendedprice").cast("long")
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("long").alias("turn"), F.when(F.col("l_returnflag") == "R", "user").otherwise("assistant").alias("role"), (q * 10).alias("input_tokens"), F.floor(p / 100).cast("long").alias("output_tokens"), (q * 3).alias("cache_creation_tokens"), F.floor(p / 20).cast("long").alias("cache_read_tokens"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long").alias("turn"), F.when(F.col("l_returnflag") == "R", "user").otherwise("assistant").alias("role"), (q * 10).alias("input_tokens"), F.floor(p / 100).cast("long").alias("output_tokens"), (q * 3).alias("cache_creation_tokens"), F.floor(p / 20).cast("long").alias("cache_read_tokens"))
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +67,7 @@ CALLS = """calls AS (SELECT *, CASE WHEN tool IN ('view', 'signup') THEN 'reason
   FROM (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, ts, event_type AS tool, event_type || ' ' || props AS signature, props AS parameters, greatest(1, floor(abs(value)))::BIGINT AS token_count, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
 LABELLED = CALLS + """, labelled AS (SELECT * EXCLUDE (aligned, ok), ok AS aligned, CASE WHEN ok THEN 'aligned_' || phase WHEN phase = 'reasoning' THEN 'redundant_reasoning' ELSE 'unnecessary_tool_call' END AS label, CASE WHEN k % 3 = 0 THEN 'user' ELSE 'assistant' END AS source_role
   FROM (SELECT *, aligned AND NOT (tool = 'view' AND k < 60) AS ok FROM calls))"""
-USAGE = "usage AS (SELECT l_orderkey AS session_id, l_linenumber::BIGINT AS turn, CASE WHEN l_returnflag = 'R' THEN 'user' ELSE 'assistant' END AS role, trunc(l_quantity)::BIGINT * 10 AS input_tokens, floor(floor(l_extendedprice) / 100)::BIGINT AS output_tokens, trunc(l_quantity)::BIGINT * 3 AS cache_creation_tokens, floor(floor(l_extendedprice) / 20)::BIGINT AS cache_read_tokens FROM lineitem)"
+USAGE = "usage AS (SELECT l_orderkey AS session_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS turn, CASE WHEN l_returnflag = 'R' THEN 'user' ELSE 'assistant' END AS role, trunc(l_quantity)::BIGINT * 10 AS input_tokens, floor(floor(l_extendedprice) / 100)::BIGINT AS output_tokens, trunc(l_quantity)::BIGINT * 3 AS cache_creation_tokens, floor(floor(l_extendedprice) / 20)::BIGINT AS cache_read_tokens FROM lineitem)"
 RESULTS = "results AS (SELECT session_id, project, ts, round((p % 1000) / 1000.0, 3)::DOUBLE AS aggregate_ter, p AS total_tokens, p // 7 AS waste_tokens, [o_orderstatus, year(ts)::VARCHAR] AS tags, round((p % 997) / 997.0::DOUBLE, 3) AS reasoning_score, round((p % 991) / 991.0::DOUBLE, 3) AS tool_use_score, round((p % 983) / 983.0::DOUBLE, 3) AS generation_score FROM (SELECT o_orderkey AS session_id, o_orderpriority AS project, o_orderdate AS ts, o_orderstatus, floor(o_totalprice)::BIGINT AS p FROM orders))"
 
 
