@@ -187,9 +187,9 @@ class Packer:
             at, now = seed, rest[seed]
             while at is not None:  # a window's last document, where it was cut, seeds the next window
                 unused[at] = False
-                before = self.sequence
-                now = self.put(doc_ids[at], docs[at], now)
-                if self.sequence != before and now == len(docs[at]):
+                while now < len(docs[at]):
+                    now = self.put(doc_ids[at], docs[at], now)
+                if not self.open:
                     break
                 score = index.scores(at, self.query_terms)
                 score[~unused] = 0
