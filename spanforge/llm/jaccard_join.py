@@ -6,10 +6,13 @@ similar enough share at least m shingles within prefixes that are m - 1 shingles
 its m, up to ``MOST_MATCHES``, by the candidates that it expects from its prefix's document frequencies, and a pair is
 verified, on the whole sets, only if it shares as many as the smaller m of the two asks.
 
-Only components are wanted, so pairs that are connected already need no verification: rounds of stars first link each
-kind to the most promising member of another component, which ties large families together with as many pairs as
-members; then every candidate pair that still lies in different components is verified. A component loses no link by
-this, and no group is ever expanded into all its pairs.
+Only components are wanted, so pairs that are connected already need no verification. First each kind is compared with
+one leader, the most promising of the least members of its shingles' groups. That ties families together with as many
+pairs as members, and it gives each kind's delta: the shingles that it adds to its leader's or lacks. Two kinds of one
+leader that are similar enough, and not both similar to the leader, must share delta shingles, and among the rarer ones
+at that; so within a family only those pairs are candidates. Between families, all pairs that share enough prefix
+shingles and still lie in different components are. A component loses no link by this, and a family of near copies is
+never expanded into all its pairs.
 
 Defined results: a text with fewer words than a shingle has the whole sequence as its one shingle; null texts and texts
 without words have no shingle and are linked with nothing; a null doc_id comes after any other and keeps a component of
@@ -33,7 +36,9 @@ from spanforge.llm.components import components
 from spanforge.llm.repeats import _blocks, _hash, _mix, _place, _sums
 
 SHINGLE, SIMILARITY = 5, (80, 100)
-MOST_MATCHES, VERIFY_COST, STAR_ROUNDS = 4, 20, 2
+MOST_MATCHES, VERIFY_COST = 4, 20
+#: A kind follows its leader if it differs from it by at most this share of the leader's shingles.
+FOLLOWS = 0.6
 #: The sketch's counters; it has this size whatever the input.
 SKETCH, CHUNK = 1 << 20, 1 << 12
 MAX_BITS, BITS_PER_KEY = 1 << 29, 16
@@ -168,10 +173,10 @@ def candidate_tokens(kinds: DataFrame, similarity: tuple[int, int], most: int) -
     return found.where(F.col("at") < base + F.col("matches") - 1).select("token", "kind", "n", F.col("matches").cast("int").alias("matches"))
 
 
-def verified(rows: DataFrame, pairs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (a, b) of rows whose sets are similar enough. pairs should be materialised."""
-    num, den = similarity
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+def with_sets(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(a, b, set_a, set_b) of the pairs (a, b) of rows; sets are made of texts again, for the pairs' rows only. pairs
+    should be materialised."""
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
 
     def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -191,63 +196,120 @@ def verified(rows: DataFrame, pairs: DataFrame, k: int, similarity: tuple[int, i
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary())], ["row", "set"])
 
     sets = through_python(rows, batches, "row long, set binary")
-    one = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a")
-    both = one.join(sets.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b")
+    one = pairs.select("a", "b").join(sets.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a")
+    return one.join(sets.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> bool:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return similarity[1] * common >= similarity[0] * (len(x) + len(y) - common)
+
+
+def verified(rows: DataFrame, pairs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) of rows whose sets are similar enough."""
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
-                both_ = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both_[1:] == both_[:-1]).sum())
-                keep.append(den * common >= num * (len(x) + len(y) - common))
+            keep = [_alike(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    return through_python(both.select("a", "b", "set_a", "set_b"), verify, "a long, b long")
+    return through_python(with_sets(rows, pairs, k), verify, "a long, b long")
 
 
-def _labelled(tokens: DataFrame, links: DataFrame | None) -> DataFrame:
-    """tokens of groups that lie in several components, with comp, and main (whether comp has most of the group)."""
-    if links is None:
-        labelled = tokens.withColumn("comp", F.col("kind"))
-    else:
-        comps = components(links).select(F.col("node").alias("kind"), F.col("least").alias("comp0"))
-        labelled = _dealt(tokens, "kind").join(_dealt(comps, "kind"), ["kind", "part"], "left").withColumn("comp", F.coalesce("comp0", "kind")).drop("comp0", "part")
-    sizes = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("members"), F.min("kind").alias("first"))
-    groups = sizes.groupBy("token").agg(F.max(F.struct("members", (-F.col("comp")).alias("least"), "first")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    groups = groups.select("token", (-F.col("top.least")).alias("main_comp"), F.col("top.first").alias("leader"))
+def deltas(rows: DataFrame, star: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """Of kinds (a) and their leaders (b): (kind, leader, linked, follows, least, delta). delta: what the kind adds to the
+    leader's shingles, and, marked, what it lacks of them. least: how many of these a similar kind of the same leader
+    must share, if one of the two isn't similar to the leader itself."""
+    num, den = similarity
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows_ = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
+                added, lacked = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+                follows = len(added) + len(lacked) <= FOLLOWS * len(y)
+                # Similar kinds x, y of leader l share s deltas: s >= w(x) + w(y) - w0, where w is den * lacked + num *
+                # added and w0 (den - num) * |l|, all over num + den; w(x) <= w0 is similarity to the leader.
+                weight, bound = den * len(lacked) + num * len(added), (den - num) * len(y)
+                least = max(weight // (num + den) + 1 if weight <= bound else -(-(weight - bound) // (num + den)), 1)
+                delta = np.concatenate([added, _mix(lacked ^ _U(0xA5A5A5A5A5A5A5A5))]) if follows else added[:0]
+                rows_.append((weight <= bound, follows, least, delta.tobytes()))
+            cols = list(zip(*rows_, strict=True)) if rows_ else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.bool_(), pa.int64(), pa.binary()), strict=True))], ["kind", "leader", "linked", "follows", "least", "delta"])
+
+    return through_python(with_sets(rows, star, k), compare, "kind long, leader long, linked boolean, follows boolean, least long, delta binary")
+
+
+def _family_pairs(followers: DataFrame) -> DataFrame:
+    """(a, b): followers of one leader, in different components, that share one of their rarer delta shingles.
+
+    followers: kind, leader, comp, linked, least, delta. The rarest deltas, all but least - 1 of them, hold a shared one."""
+
+    def explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                raw = [np.frombuffer(d, np.int64) for d in part.column(5).to_pylist()]
+                sizes = [len(r) for r in raw]
+                cols = [np.repeat(part.column(i).to_numpy(zero_copy_only=False), sizes) for i in range(5)]
+                token = np.concatenate(raw) if raw else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(token)], ["kind", "leader", "comp", "linked", "least", "token"])
+
+    names = "kind long, leader long, comp long, linked boolean, least long"
+    tokens = cut(through_python(followers.select("kind", "leader", "comp", "linked", "least", "delta"), explode, f"{names}, token long"))
+    counts = tokens.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumn("part", F.pmod("token", F.lit(8191)))
+    ranked = tokens.withColumn("part", F.pmod("token", F.lit(8191))).join(counts, ["leader", "token", "part"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    order = W.partitionBy("kind").orderBy("df", "token")
+    ranked = ranked.withColumn("nth", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("kind")))
+    near = ranked.where((F.col("nth") <= F.col("n") - F.col("least") + 1) & (F.col("df") > 1)).select("kind", "leader", "comp", "linked", "token")
+    side = lambda s: near.select("leader", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "comp", "linked")))
+    pairs = side("x").join(side("y"), ["leader", "token"]).where("kind_x > kind_y AND comp_x <> comp_y AND NOT (linked_x AND linked_y)")
+    return pairs.select(F.col("kind_x").alias("a"), F.col("kind_y").alias("b")).distinct()
+
+
+def _apart(tokens: DataFrame, families: DataFrame) -> DataFrame:
+    """tokens of groups that lie in several families, with family, comp, and main (whether most of the group is of the
+    family). families: kind, family, comp; a kind that isn't there is its own."""
+    known = families.select("kind", F.col("family").alias("f"), F.col("comp").alias("c"))
+    labelled = _dealt(tokens, "kind").join(_dealt(known, "kind"), ["kind", "part"], "left").drop("part")
+    labelled = labelled.withColumn("family", F.coalesce("f", "kind")).withColumn("comp", F.coalesce("c", "kind")).drop("f", "c")
+    sizes = labelled.groupBy("token", "family").agg(F.count(F.lit(1)).alias("members"))
+    groups = sizes.groupBy("token").agg(F.max(F.struct("members", (-F.col("family")).alias("least"))).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1").select("token", (-F.col("top.least")).alias("main_family"))
     joined = _dealt(labelled, "token").join(_dealt(groups, "token"), ["token", "part"]).drop("part")
-    return joined.withColumn("main", F.col("comp") == F.col("main_comp"))
+    return joined.withColumn("main", F.col("family") == F.col("main_family"))
 
 
 def _alike_in_size(a: Column, b: Column, similarity: tuple[int, int]) -> Column:
     return F.least(a, b) * similarity[1] >= F.greatest(a, b) * similarity[0]
 
 
-def links(rows: DataFrame, kinds: DataFrame, k: int, similarity: tuple[int, int], most: int = MOST_MATCHES, rounds: int = STAR_ROUNDS) -> DataFrame:
+def links(rows: DataFrame, kinds: DataFrame, k: int, similarity: tuple[int, int], most: int = MOST_MATCHES) -> DataFrame:
     """(a, b): enough verified links between kinds to connect whatever is connected."""
     tokens = cut(candidate_tokens(kinds, similarity, most))
-    sizes = kinds.select(F.col("kind").alias("leader"), F.col("n").alias("leader_n"))
-    found, tried = None, None
-    for _ in range(rounds):
-        groups = _labelled(tokens, found)
-        star = groups.where("NOT main AND kind <> leader").groupBy("kind", "leader").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
-        star = _dealt(star, "leader").join(_dealt(sizes, "leader"), ["leader", "part"]).where(_alike_in_size(F.col("n"), F.col("leader_n"), similarity))
-        star = star.groupBy("kind").agg(F.max(F.struct("shared", (-F.col("leader")).alias("x"))).alias("top")).select(F.greatest("kind", -F.col("top.x")).alias("a"), F.least("kind", -F.col("top.x")).alias("b")).distinct()
-        star = cut(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
-        new = cut(verified(rows, star, k, similarity))
-        found = new if found is None else found.unionByName(new)
-        tried = star if tried is None else tried.unionByName(star)
-    groups = cut(_labelled(tokens, found).select("token", "kind", "n", "matches", "comp", "main"))
-    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "n", "matches", "comp", "main")))
-    # Of two members at least one is apart from the group's main component; that side is the small one.
+    leaders = tokens.groupBy("token").agg(F.min(F.struct("kind", "n")).alias("top"))
+    star = _dealt(tokens, "token").join(_dealt(leaders, "token"), ["token", "part"]).where(F.col("kind") != F.col("top.kind"))
+    star = star.groupBy("kind", F.col("top.kind").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
+    star = cut(star.groupBy("kind").agg(F.max(F.struct("shared", (-F.col("leader")).alias("x"))).alias("top")).select(F.col("kind").alias("a"), (-F.col("top.x")).alias("b")))
+    compared = cut(deltas(rows, star, k, similarity))
+    found = compared.where("linked").select(F.col("kind").alias("a"), F.col("leader").alias("b"))
+    comps = components(found).select(F.col("node").alias("kind"), F.col("least").alias("comp0"))
+    # A kind that leads others is of its own family.
+    followers = compared.where("follows").join(star.select(F.col("b").alias("kind")).distinct(), "kind", "left_anti")
+    followers = cut(followers.join(comps, "kind", "left").withColumn("comp", F.coalesce("comp0", "kind")).drop("comp0"))
+    within = _family_pairs(followers)
+    families = followers.select("kind", F.col("leader").alias("family"), "comp")
+    others = comps.join(followers.select("kind"), "kind", "left_anti").select("kind", F.col("kind").alias("family"), F.col("comp0").alias("comp"))
+    groups = cut(_apart(tokens, families.unionByName(others)).select("token", "kind", "n", "matches", "family", "comp", "main"))
+    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "n", "matches", "family", "comp", "main")))
+    # Of two members of different families at least one is apart from the group's main family; that side is the small one.
     pairs = side(groups.where("NOT main"), "x").join(side(groups, "y"), "token")
-    pairs = pairs.where((F.col("comp_x") != F.col("comp_y")) & (F.col("main_y") | (F.col("kind_x") < F.col("kind_y"))) & _alike_in_size(F.col("n_x"), F.col("n_y"), similarity))
+    pairs = pairs.where((F.col("family_x") != F.col("family_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("main_y") | (F.col("kind_x") < F.col("kind_y"))) & _alike_in_size(F.col("n_x"), F.col("n_y"), similarity))
     pairs = pairs.groupBy(F.greatest("kind_x", "kind_y").alias("a"), F.least("kind_x", "kind_y").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("matches_x", "matches_y")).alias("least"))
-    pairs = pairs.where("shared >= least").select("a", "b")
-    return cut(found.unionByName(verified(rows, cut(pairs.join(tried, ["a", "b"], "left_anti")), k, similarity)))
+    pairs = pairs.where("shared >= least").select("a", "b").unionByName(within)
+    return cut(found.unionByName(verified(rows, cut(pairs.join(star, ["a", "b"], "left_anti")), k, similarity)))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, most: int = MOST_MATCHES) -> DataFrame:
