@@ -13,6 +13,8 @@ from spanforge.functions.runtime import ship_package
 
 #: Code points that separate words in every contract here.
 WORD_SEPARATORS = "\x20\x09-\x0d"
+#: Rows that a Python worker gets at once.
+BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def through_python(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow, on workers that can import this package."""
+    """df.mapInArrow, on workers that can import this package, with batches small enough for rows of long texts."""
     ship_package(df.sparkSession)
+    if not 0 < int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(batches, schema)
 
 

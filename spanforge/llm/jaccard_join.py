@@ -289,10 +289,12 @@ def _alike_in_size(a: Column, b: Column, similarity: tuple[int, int]) -> Column:
 def links(rows: DataFrame, kinds: DataFrame, k: int, similarity: tuple[int, int], most: int = MOST_MATCHES) -> DataFrame:
     """(a, b): enough verified links between kinds to connect whatever is connected."""
     tokens = cut(candidate_tokens(kinds, similarity, most))
-    leaders = tokens.groupBy("token").agg(F.min(F.struct("kind", "n")).alias("top"))
-    star = _dealt(tokens, "token").join(_dealt(leaders, "token"), ["token", "part"]).where(F.col("kind") != F.col("top.kind"))
-    star = star.groupBy("kind", F.col("top.kind").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
-    star = cut(star.groupBy("kind").agg(F.max(F.struct("shared", (-F.col("leader")).alias("x"))).alias("top")).select(F.col("kind").alias("a"), (-F.col("top.x")).alias("b")))
+    leaders = tokens.groupBy("token").agg(F.min(F.struct("kind", "n", "matches")).alias("top"))
+    star = _dealt(tokens, "token").join(_dealt(leaders, "token"), ["token", "part"]).where((F.col("kind") != F.col("top.kind")) & _alike_in_size(F.col("n"), F.col("top.n"), similarity))
+    star = star.groupBy("kind", F.col("top.kind").alias("leader")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("matches", "top.matches")).alias("least"))
+    # Only what would be a candidate in any case is compared; kinds without such a leader are families of their own.
+    star = star.where("shared >= least").groupBy("kind").agg(F.max(F.struct("shared", (-F.col("leader")).alias("x"))).alias("top"))
+    star = cut(star.select(F.col("kind").alias("a"), (-F.col("top.x")).alias("b")))
     compared = cut(deltas(rows, star, k, similarity))
     found = compared.where("linked").select(F.col("kind").alias("a"), F.col("leader").alias("b"))
     comps = components(found).select(F.col("node").alias("kind"), F.col("least").alias("comp0"))
