@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import documents, through_python
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, REACH, CONTEXT = 14, 16, 28
+LONGEST, CONTEXT = 14, 28
 #: An added span must be more likely than leaving it by this log-ratio.
 MARGIN = 1.0
 
@@ -280,18 +280,15 @@ def trained() -> np.ndarray:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Neighbourhoods of digits and at-signs, cut at line ends."""
-    out: list[list[int]] = []
+    """Neighbourhoods of digits and at-signs; where two overlap or touch they are one, so a border never lies within CONTEXT of a trigger."""
+    out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
-        if out and m.start() - out[-1][1] <= REACH:
-            out[-1][1] = m.end()
+        lo, hi = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
         else:
-            out.append([m.start(), m.end()])
-    merged: list[tuple[int, int]] = []
-    for a, b in out:
-        lo = max(0, a - CONTEXT, merged[-1][1] if merged else 0)
-        merged.append((lo, min(len(text), b + CONTEXT)))
-    return merged
+            out.append((lo, hi))
+    return out
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) -> list[tuple[int, int, int]]:

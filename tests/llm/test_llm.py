@@ -278,6 +278,16 @@ def test_random_field():
     assert tuple((k, i, j) for k, i, j, _ in found) == top[1]
 
 
+def test_regions_never_cut_near_a_trigger():
+    entity, w = "(555) 123-4567", pii.trained()
+    for gap in range(60):
+        text = f"ordered 12 {'pieces by calling us on our own line at home or else'[:gap]} {entity} now"
+        at = text.index(entity)
+        assert sum(lo <= max(0, at - 10) and at + len(entity) <= hi for lo, hi in pii.regions(text)) == 1, text
+    text = "ordered 12 pieces by calling me (555) 123-4567 now"
+    assert (3, text.index("("), text.index(" now")) in pii.added_spans(text, pii.base_spans(text), w)
+
+
 def test_added_spans_and_query_shape(spark, awkward, empty):
     w = pii.trained()
     right = wrong = 0
