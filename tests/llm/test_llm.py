@@ -288,6 +288,19 @@ def test_regions_never_cut_near_a_trigger():
     assert (3, text.index("("), text.index(" now")) in pii.added_spans(text, pii.base_spans(text), w)
 
 
+def test_every_generated_entity_is_a_candidate():
+    forms = [[("write to ", None), (e, 0), (" today", None)] for e in ("john.smith [at] example [dot] com", "k_miller (at) mail-box (dot) com", "anna.b.lee (at) cs.mail-box (dot) univ (dot) org")]
+    for sentence in [*forms, *pii.training_sentences(300, 7)]:
+        tokens = pii._TOKEN.findall("".join(s for s, _ in sentence))
+        starts, at = np.cumsum([0, *map(len, tokens)]).tolist(), 0
+        segments = set(pii.candidates(tokens))
+        for s, kind in sentence:
+            assert kind is None or (starts.index(at), starts.index(at + len(s))) in segments, s
+            at += len(s)
+    text = "reply to k_miller (at) mail-box (dot) com today"
+    assert pii.added_spans(text, [], pii.trained()) == [(0, 9, len(text) - 6)]
+
+
 def test_added_spans_and_query_shape(spark, awkward, empty):
     w = pii.trained()
     right = wrong = 0
