@@ -1,10 +1,13 @@
 """Packing documents into training sequences by lexical retrieval.
 
-Each input partition is worked off in shards of about ``shard_tokens`` tokens. A shard has a BM25 inverted index over
-its documents' tokens; a seed document asks it for unused neighbours, which fill the seed's window in order of their
-score. The last neighbour is cut where the window ends and its rest seeds the next window, so windows are full; what a
-partition has left at its end is cut into windows of powers of two, which need no padding. Documents longer than a
-window first give whole windows of their own. Nothing is shuffled, and a lost task is repeated with the same result.
+Documents' ids are made once and kept. Token frequencies and the mean length are those of all documents. Documents are
+then dealt by the tokens that they share with the fewest others: in the order of their ``RAREST`` rarest shared tokens,
+those that share them stand together, whatever file they come from. That order is worked off in shards of about
+``shard_tokens`` tokens. A shard has a BM25 inverted index over its documents' tokens; a seed document asks it for unused
+neighbours, which fill the seed's window in order of their score. The last neighbour is cut where the window ends and its
+rest seeds the next window, so windows are full; what a partition has left at its end is cut into windows of powers of
+two, which need no padding. Documents longer than a window first give whole windows of their own. A lost task is repeated
+with the same result.
 
 Ids are those of the tokenizer file. Text is cut into chunks that the tokenizer never joins: the tokenizer's own pieces,
 where all characters are plain Latin ones, else runs that begin with white space. Each worker keeps the ids of chunks it
@@ -25,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanforge.llm.common import documents, through_python
+from spanforge.llm.common import cut, documents, through_python
 
 WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS = 2048, 1, 1 << 20, 32
 VOCABULARY = "byte_bpe_50k.json"
 CACHE = 900_000
+#: Shared tokens by which documents are dealt; counters of token frequencies that travel together; tokens of a partition.
+RAREST, CHUNK, PARTITION_TOKENS = 8, 1 << 12, 1 << 21
 K1, B = 1.2, 0.75
 _CHUNK = re.compile("[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+")
 # White space beyond ASCII and separators on which regex engines differ: such texts go to the tokenizer whole.
@@ -122,9 +128,10 @@ def ids_by(path: str) -> Ids:
 
 
 class Index:
-    """BM25 over the documents of a shard."""
+    """BM25 over the documents of a shard, by the frequencies (n, mean length, df of each token) of all documents or else
+    of the shard alone."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], overall: tuple[int, float, np.ndarray] | None = None) -> None:
         self.n = len(docs)
         lengths = np.fromiter(map(len, docs), np.float64, self.n)
         owner = np.repeat(np.arange(self.n), lengths.astype(np.int64))
@@ -133,9 +140,11 @@ class Index:
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         self.start = np.r_[first, len(token)]
         df = np.diff(self.start)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        n, mean, all_df = overall or (self.n, lengths.mean(), None)
+        among = df if all_df is None else all_df[token[first]]
+        idf = np.log1p((n - among + 0.5) / (among + 0.5))
         term = np.repeat(np.arange(len(df)), df)
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / lengths.mean()))
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
         # A document's query: its terms that occur in other documents too, the most telling first.
         useful = df[term] > 1
         order = np.lexsort((term[useful], -self.weight[useful], self.doc[useful]))
@@ -151,8 +160,8 @@ class Index:
 
 
 class Packer:
-    def __init__(self, window: int, query_terms: int, first_sequence: int) -> None:
-        self.window, self.query_terms, self.sequence = window, query_terms, first_sequence
+    def __init__(self, window: int, query_terms: int, first_sequence: int, overall: tuple[int, float, np.ndarray] | None = None) -> None:
+        self.window, self.query_terms, self.sequence, self.overall = window, query_terms, first_sequence, overall
         self.room, self.open = window, []  # the window that is being filled: (row, ids, start)
         self.rows: list[tuple] = []
 
@@ -180,7 +189,7 @@ class Packer:
             for at in range(0, whole, self.window):
                 self.emit([(doc_id, ids, at, self.window)])
             rest.append(whole)
-        index, unused = Index(docs), np.array([len(d) > r for d, r in zip(docs, rest, strict=True)])
+        index, unused = Index(docs, self.overall), np.array([len(d) > r for d, r in zip(docs, rest, strict=True)])
         for seed in range(len(docs)):
             if not unused[seed]:
                 continue
@@ -223,14 +232,97 @@ class Packer:
         self.room = self.window
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, query_terms: int = QUERY_TERMS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None) -> DataFrame:
+    """(doc_id, n, ids) of each document and, with n null, (chunk, counts): parts of tokens' document frequencies."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         ids_of = ids_by(tokenizer or public_tokenizers.path(VOCABULARY))
-        packer = Packer(window, query_terms, TaskContext.get().partitionId() << 40)
+        df, kind = np.zeros(CHUNK, np.int64), None
+        names = ["doc_id", "n", "ids", "chunk", "counts"]
+        for batch in it:
+            kind = batch.schema.field(0).type
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                found = ids_of.many([t or "" for t in part.column(1).to_pylist()])
+                for ids in found:
+                    own = np.unique(ids)
+                    if own[-1] >= len(df):
+                        df = np.r_[df, np.zeros((int(own[-1]) // CHUNK + 1) * CHUNK - len(df), np.int64)]
+                    df[own] += 1
+                raw = [ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes() for ids in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, found), pa.int64()), pa.array(raw, pa.binary()), pa.nulls(len(raw), pa.int64()), pa.nulls(len(raw), pa.binary())], names)
+        if kind is not None:
+            chunks = [(c, x.tobytes()) for c, x in enumerate(df.reshape(-1, CHUNK)) if x.any()]
+            k = len(chunks)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([c for c, _ in chunks], pa.int64()), pa.array([x for _, x in chunks], pa.binary())], names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return through_python(docs.select(id_col, text_col), batches, f"doc_id {kind}, n long, ids binary, chunk long, counts binary")
+
+
+def frequencies(held: DataFrame) -> np.ndarray:
+    """In how many of all documents each token is; one number for each entry of the vocabulary."""
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in it:
+            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(raw, np.int64)
+                sums[c] = sums[c] + part if c in sums else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+
+    parts = held.where("n IS NULL").select("chunk", "counts")
+    found = through_python(through_python(parts, add, "chunk long, counts binary").repartition("chunk"), add, "chunk long, counts binary").collect()
+    out = np.zeros(max((r.chunk + 1 for r in found), default=0) * CHUNK, np.int64)
+    for r in found:
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
+    return out
+
+
+def _ids(raw: list[bytes], n: list[int]) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2" if len(x) == 2 * k else "<u4").astype(np.uint32) for x, k in zip(raw, n, strict=True)]
+
+
+def rare_first(ids: np.ndarray, rank: np.ndarray) -> bytes:
+    """The document's rarest shared tokens, as their places in the order of frequency."""
+    own = np.unique(rank[ids])
+    return own[own >= 0][:RAREST].astype(">u4").tobytes()
+
+
+def ranks(df: np.ndarray) -> np.ndarray:
+    """Each token's place in the order of frequency, -1 for a token that no two documents share."""
+    order = np.argsort(df, kind="stable")
+    out = np.empty(len(df), np.int64)
+    out[order] = np.arange(len(df))
+    out[df < 2] = -1
+    return out
+
+
+def dealt(held: DataFrame, df: np.ndarray, tokens: int) -> DataFrame:
+    """(doc_id, n, ids) in the order of rare shared tokens; equal ones in an order that doesn't hang on files."""
+    rank = held.sparkSession.sparkContext.broadcast(ranks(df))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keys = [rare_first(ids, rank.value) for ids in _ids(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], ["doc_id", "n", "ids", "rare"])
+
+    kind = held.schema["doc_id"].dataType.simpleString()
+    keyed = through_python(held.where("n IS NOT NULL").select("doc_id", "n", "ids"), batches, f"doc_id {kind}, n long, ids binary, rare binary").withColumn("tie", F.xxhash64("ids", "doc_id"))
+    return keyed.repartitionByRange(max(1, -(-tokens // PARTITION_TOKENS)), "rare", "tie").sortWithinPartitions("rare", "tie").select("doc_id", "n", "ids")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, query_terms: int = QUERY_TERMS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    tokens_of = cut(tokenized(docs, id_col, text_col, tokenizer))
+    n, total = tokens_of.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    df = frequencies(tokens_of)
+    overall = docs.sparkSession.sparkContext.broadcast((n, total / max(n, 1), df))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(window, query_terms, TaskContext.get().partitionId() << 40, overall.value)
         held_ids, held, tokens = [], [], 0
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -242,23 +334,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         kind = pa.int64()
         for batch in it:
             kind = batch.schema.field(0).type
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                for doc_id, ids in zip(part.column(0).to_pylist(), ids_of.many([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    held_ids.append(doc_id)
-                    held.append(ids)
-                    tokens += len(ids)
-                    if tokens >= shard_tokens:
-                        packer.shard(held_ids, held)
-                        held_ids, held, tokens = [], [], 0
-                        yield out()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), _ids(batch.column(2).to_pylist(), batch.column(1).to_pylist()), strict=True):
+                held_ids.append(doc_id)
+                held.append(ids)
+                tokens += len(ids)
+                if tokens >= shard_tokens:
+                    packer.shard(held_ids, held)
+                    held_ids, held, tokens = [], [], 0
+                    yield out()
         if held:
             packer.shard(held_ids, held)
         packer.finish()
         yield out()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return through_python(docs.select(id_col, text_col), batches, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return through_python(dealt(tokens_of, df, total), batches, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -404,6 +404,23 @@ def test_quality_on_held_out_rows(spark, corpus, awkward, empty):
     assert quality.train(docs, labels.limit(0)) == (None, 0.0)
 
 
+def test_neighbours_come_from_all_files(spark, tmp_path):
+    r, topics = random.Random(6), ["zebra quokka giraffe", "violin oboe bassoon", "granite basalt gneiss", "saffron turmeric cumin"]
+    common = "the of and to in is that it was for on are with as".split()
+    rows = [(i, " ".join(["so", *r.choices(common, k=400), *topics[i % 4].split() * 5]), "en", "a", 0) for i in range(64)]
+
+    def together(order, files):
+        path = str(tmp_path / f"d{files}.parquet")
+        spark.createDataFrame(order, DOCS).repartition(files, "doc_id").write.parquet(path)
+        got = packing.pack(spark.read.parquet(path), shard_tokens=7000).collect()
+        check_packing(got, [(i, t) for i, t, *_ in rows])
+        return Counter((p.doc_id, p.start, p.length, p.offset) for p in got), [{p.doc_id % 4 for p in got if p.sequence_id == s} for s in {p.sequence_id for p in got}]
+
+    pieces, mixed = together(rows, 1)
+    assert sum(len(x) == 1 for x in mixed) > len(mixed) / 2
+    assert together(rows[::-1], 16)[0] == pieces  # files don't matter
+
+
 # 10
 
 
