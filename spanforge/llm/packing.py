@@ -4,7 +4,7 @@ Documents' ids are made once and kept. Token frequencies and the mean length are
 then dealt by the tokens that they share with the fewest others: in the order of their ``RAREST`` rarest shared tokens,
 those that share them stand together, whatever file they come from. That order is worked off in shards of about
 ``shard_tokens`` tokens. A shard has a BM25 inverted index over its documents' tokens; a seed document asks it for unused
-neighbours, which fill the seed's window in order of their score. The last neighbour is cut where the window ends and its
+neighbours, which fill the seed's window in order of their score by all of the seed's terms. The last neighbour is cut where the window ends and its
 rest seeds the next window, so windows are full; what a partition has left at its end is cut into windows of powers of
 two, which need no padding. Documents longer than a window first give whole windows of their own. A lost task is repeated
 with the same result.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import cut, documents, through_python
 
-WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS = 2048, 1, 1 << 20, 32
+WINDOW, END_ID, SHARD_TOKENS = 2048, 1, 1 << 20
 VOCABULARY = "byte_bpe_50k.json"
 CACHE = 900_000
 #: Shared tokens by which documents are dealt; counters of token frequencies that travel together; tokens of a partition.
@@ -145,22 +145,30 @@ class Index:
         idf = np.log1p((n - among + 0.5) / (among + 0.5))
         term = np.repeat(np.arange(len(df)), df)
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
-        # A document's query: its terms that occur in other documents too, the most telling first.
+        # A document's query: all its terms that occur in other documents of the shard too; others score nothing.
         useful = df[term] > 1
-        order = np.lexsort((term[useful], -self.weight[useful], self.doc[useful]))
+        order = np.argsort(self.doc[useful], kind="stable")
         self.terms = term[useful][order]
         self.of = np.searchsorted(self.doc[useful][order], np.arange(self.n + 1))
 
-    def scores(self, seed: int, terms: int) -> np.ndarray:
-        query = self.terms[self.of[seed] : min(self.of[seed + 1], self.of[seed] + terms)]
+    def scores(self, seed: int, terms: int | None = None) -> np.ndarray:
+        """By all terms of the seed, or by its most telling ones."""
+        query = self.terms[self.of[seed] : self.of[seed + 1]]
         if not len(query):
             return np.zeros(self.n)
-        at = np.concatenate([np.arange(a, b) for a, b in zip(self.start[query], self.start[query + 1], strict=True)])
+        begin, size = self.start[query], self.start[query + 1] - self.start[query]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(begin - ends + size, size)
+        if terms is not None and terms < len(query):
+            own = self.weight[at[self.doc[at] == seed]]
+            keep = np.zeros(len(query), bool)
+            keep[np.lexsort((query, -own))[:terms]] = True
+            at = at[np.repeat(keep, size)]
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 class Packer:
-    def __init__(self, window: int, query_terms: int, first_sequence: int, overall: tuple[int, float, np.ndarray] | None = None) -> None:
+    def __init__(self, window: int, query_terms: int | None, first_sequence: int, overall: tuple[int, float, np.ndarray] | None = None) -> None:
         self.window, self.query_terms, self.sequence, self.overall = window, query_terms, first_sequence, overall
         self.room, self.open = window, []  # the window that is being filled: (row, ids, start)
         self.rows: list[tuple] = []
@@ -314,7 +322,7 @@ def dealt(held: DataFrame, df: np.ndarray, tokens: int) -> DataFrame:
     return keyed.repartitionByRange(max(1, -(-tokens // PARTITION_TOKENS)), "rare", "tie").sortWithinPartitions("rare", "tie").select("doc_id", "n", "ids")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, query_terms: int = QUERY_TERMS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, query_terms: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     tokens_of = cut(tokenized(docs, id_col, text_col, tokenizer))
     n, total = tokens_of.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import math
 import os
 import random
@@ -421,6 +422,19 @@ def test_neighbours_come_from_all_files(spark, tmp_path):
     assert together(rows[::-1], 16)[0] == pieces  # files don't matter
 
 
+def test_all_terms_of_a_seed_count():
+    seed = np.arange(60, dtype=np.uint32)
+    docs = [seed, *(np.array([*range(0, 40)] * 2, np.uint32) for _ in range(2)), np.array([*range(40, 60), *[99] * 500], np.uint32), np.array([88, 99], np.uint32)]
+    index = packing.Index(docs)
+    want = np.zeros(len(docs))
+    for d, own in enumerate(docs):
+        for t in set(own.tolist()) & set(seed.tolist()):
+            tf, df = (own == t).sum(), sum(t in x for x in docs)
+            want[d] += np.log1p((len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / np.mean([len(x) for x in docs])))
+    default = inspect.signature(packing.pack).parameters["query_terms"].default
+    assert np.allclose(index.scores(0, default), want) and want[3] > 0
+
+
 # 10
 
 
