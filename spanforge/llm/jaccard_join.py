@@ -17,7 +17,7 @@ never expanded into all its pairs.
 Defined results: a text with fewer words than a shingle has the whole sequence as its one shingle; null texts and texts
 without words have no shingle and are linked with nothing; a null doc_id comes after any other and keeps a component of
 its own null where no other id is in it; rows that repeat an id are rows of their own; an empty table gives an empty
-result. docs must come from a scan or checkpoint, so that its rows keep their order when read anew.
+result. Rows are numbered and written once, and every pass reads them from there.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.llm import bloom
-from spanforge.llm.common import cut, documents, free_name, through_python
+from spanforge.llm.common import cut, documents, free_name, numbered, through_python
 from spanforge.llm.components import components
 from spanforge.llm.repeats import _blocks, _hash, _mix, _place, _sums
 
@@ -316,7 +316,11 @@ def links(rows: DataFrame, kinds: DataFrame, k: int, similarity: tuple[int, int]
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, most: int = MOST_MATCHES) -> DataFrame:
     """(row, doc_id, n_shingles, component_id, first): first says whether the row is its component's smallest."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _classes(numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row"), k, similarity, most)
+
+
+def _classes(keyed: DataFrame, k: int, similarity: tuple[int, int], most: int = MOST_MATCHES) -> DataFrame:
+    """classes() of (row, doc_id, text), whose rows keep their numbers when read anew."""
     rows = keyed.select("row", "text")
     sets = prefixes(rows, k, similarity, sketch(rows, k), most)
     seen = cut(sets)
@@ -334,8 +338,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """docs without near duplicates: of each component, the row with the smallest id stays."""
     (row,) = free_name(docs, "row")
-    dropped = cut(classes(docs, id_col, text_col, k, similarity).where(~F.col("first")).select(F.col("row").alias(row)))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti").select(*docs.columns)
+    kept = numbered(docs, row)
+    keyed = kept.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    dropped = cut(_classes(keyed, k, similarity).where(~F.col("first")).select(F.col("row").alias(row)))
+    return kept.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

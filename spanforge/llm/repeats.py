@@ -11,9 +11,9 @@ gives the repeats that can be extended neither way, with all their occurrences.
 An anchor with more than ``MOST_CONTEXTS`` different contexts is not gathered in one place: its windows are counted by
 their hashes instead, which shuffles and combines them like any other count, with the same result.
 
-Hashes are 64-bit; texts are read three times rather than kept. Defined results: a null text counts as empty; nothing
+Hashes are 64-bit; texts are written once, with their rows' numbers, and read anew by each pass. Defined results: a null text counts as empty; nothing
 is removed from texts shorter than LENGTH; rows that repeat an id or a text are occurrences of their own; an empty
-table gives an empty result. docs must come from a scan or checkpoint, so that its rows keep their order when read anew.
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import bloom
-from spanforge.llm.common import cut, documents, through_python
+from spanforge.llm.common import cut, documents, numbered, through_python
 
 LENGTH, GRAM, MOST_CONTEXTS = 200, 60, 4096
 #: 64 MB: the most that a filter takes.
@@ -317,7 +317,7 @@ def merged(parts: list[tuple[int, int]]) -> list[list[int]]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (spans of bytes)."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row")
     parts = cut(repeated_parts(keyed.select("row", "text"), most_contexts).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("parts")))
     blocks = bloom.n_blocks(parts.count(), BITS_PER_KEY, MAX_BITS)
     marked = bloom.mark(keyed, "row", bloom.build(parts, "row", blocks), blocks, "maybe")

@@ -549,6 +549,28 @@ def test_components(spark):
     assert got == {a: root(a) for a in parent if root(a) != a}
 
 
+def test_rows_keep_their_numbers_when_splits_move(spark, stored):
+    r = random.Random(8)
+    passage = "".join(r.choice("abcde ") for _ in range(400))
+    docs = [(i, f"{i} " + "".join(r.choice("vwxyz ") for _ in range(900)) + (passage if i % 3 == 0 else ""), "en", "a", 0) for i in range(60)]
+    near = families(9)
+
+    def later(make):
+        made = make()  # all passes but the last run here
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        try:
+            return made.collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+    table = stored(docs, DOCS, 3)
+    got = later(lambda: repeats.remove_repeats(table))
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == brute_repeats(docs)
+    table = stored(near, DOCS, 3)
+    got = later(lambda: jaccard_join.one_of_each(table, k=3, similarity=(90, 100)))
+    assert {x.doc_id for x in got} == {c for _, _, c in brute_classes(near, 3, 90, 100)}
+
+
 # The pipeline
 
 
