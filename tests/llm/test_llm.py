@@ -17,7 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import bloom, components, exact_dedup, jaccard_join, mixing, mpeg_audio, packing, pii, quality, queries, repeats, secrets, toxicity
+from spanforge.llm import bloom, components, exact_dedup, hashing, jaccard_join, mixing, mpeg_audio, packing, pii, quality, queries, repeats, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -386,13 +386,89 @@ def test_toxicity_on_held_out_rows(spark, corpus, awkward, empty):
     assert toxicity.score(empty, models, curve).count() == 0
     kept = toxicity.reject(docs.withColumn("row", F.lit(1)), labels)
     assert kept.columns == [*docs.columns, "row"] and 0.55 * 700 < kept.count() < 0.85 * 700
-    assert toxicity.train(docs, labels.where("toxic = 0"))[1][0] < 0
-
-
-def test_kneser_ney_ratios_are_of_distributions():
-    m = toxicity.fit({"abba": (5, 1), "abc": (0, 9), "bad": (7, 0)}, order=3, d=0.75)
-    assert m.of_word("bad") > 0 > m.of_word("abc")
-    assert abs(m.of_word("zzz")) < 1e-9 or m.of_word("zzz") == pytest.approx(m.of_word("zzy"), abs=5)
+    assert toxicity.train(docs, labels.where("toxic = 0"))[1][-1] < 0
+
+
+def naive_kneser_ney(rows, order, d):
+    """Log-likelihood ratio of a word after others, from strings; every order counts different words before."""
+    level, levels = {}, []
+    for t, label in rows:
+        w = ["^"] * order + re.findall(r"[^\W\d_]+", t.lower())
+        for i in range(order, len(w)):
+            level.setdefault(tuple(w[i - order : i + 1]), [0, 0])[1 - label] += 1
+    for _ in range(order):
+        shorter = {}
+        for g, c in level.items():
+            x = shorter.setdefault(g[1:], [0, 0])
+            x[0], x[1] = x[0] + (c[0] > 0), x[1] + (c[1] > 0)
+        level = shorter
+        levels.insert(0, level)
+    kinds = len(levels[0])
+
+    def p(words, word):  # words: those before, as many as are used
+        n = len(words)
+        if n:
+            lower = p(words[1:], word)
+        else:
+            total = sum(map(sum, levels[0].values()))
+            lower = (max(sum(levels[0].get((word,), [0, 0])) - 1, 0) / total + kinds / total / (kinds + 1),) * 2
+        out = []
+        for k in (0, 1):
+            after = [c[k] for g, c in levels[n].items() if g[:-1] == words]
+            if not sum(after):
+                out.append(lower[k])
+            else:
+                out.append(max(levels[n].get((*words, word), [0, 0])[k] - d, 0) / sum(after) + sum(min(x, d) for x in after) / sum(after) * lower[k])
+        return tuple(out)
+
+    return p, [g[0] for g in levels[0]]
+
+
+def test_kneser_ney_equals_a_naive_one(spark):
+    r = random.Random(3)
+    vocabulary = ["ab", "cd", "ef", "gh", "éx", "Zz", "q"]
+    rows = [(" ".join(r.choice(vocabulary[: 5 + 2 * label]) for _ in range(r.randint(0, 30))), label) for label in (0, 1) for _ in range(60)]
+    df = spark.createDataFrame(rows, "text string, label int")
+    for order, d in ((2, 2.0), (3, 1.0)):
+        counts = toxicity.count(df, order, least=1.0)
+        p, every = naive_kneser_ney(rows, order, d)
+        for before in [("^",) * (order - 1), ("^",) * (order - 2) + ("ab",), ("cd",) * (order - 1), ("never",) * (order - 1)]:
+            sums = np.sum([p(before, w) for w in [*every, "an unseen word"]], 0)
+            assert sums == pytest.approx([1, 1])
+        of = toxicity.fit(counts, d)
+        for text in [rows[5][0], rows[70][0], "ab cd never ab", "Never; AB, cd 12 ab\u00e9"]:
+            found, ends = toxicity.words([text])
+            want, w = [], ["^"] * (order - 1) + re.findall(r"[^\W\d_]+", text.lower())
+            for i in range(order - 1, len(w)):
+                t, o = p(tuple(w[i - order + 1 : i]), w[i])
+                want.append(math.log(t) - math.log(o))
+            assert of.of_words(found, ends) == pytest.approx(want, abs=1e-9)
+
+
+def test_evidence_is_of_the_best_passage(spark):
+    models = toxicity.fit(toxicity.count(spark.createDataFrame([("bad day bad luck the bad end", 1), ("good day good luck the good end", 0)] * 3, "text string, label int"), 2, 0.5), 0.5)
+    texts = ["", "1 2 3", "the bad end", "good " * 40 + "bad luck", "a " * 15 + "bad", " ".join(["bad", "good", "day"] * 30)]
+    got = toxicity.evidence(texts, models)
+    for t, row in zip(texts, got, strict=True):
+        each = models.of_words(*toxicity.words([t]))
+        if not len(each):
+            assert not row.any()
+            continue
+        for size, value in zip((*toxicity.PASSAGES, None), row, strict=True):
+            n = min(size or len(each), len(each))
+            assert value == pytest.approx(max(each[i : i + n].mean() for i in range(len(each) - n + 1)))
+    long = "good day " * 200_000 + "bad luck"
+    assert toxicity.evidence([long], models)[0, 0] == pytest.approx(got[3, 0], abs=1)
+
+
+def test_hash_tables_find_what_is_there():
+    r = np.random.default_rng(1)
+    keys = r.integers(1, 1 << 63, 5000, np.int64).astype(np.uint64)
+    keys = np.unique(np.r_[keys, keys[:1000] + np.uint64(1)])
+    t = hashing.Table(keys, np.arange(len(keys), dtype=float)[:, None])
+    assert (t.get(keys, -1.0) == np.arange(len(keys))).all()
+    assert (t.get(r.integers(1, 1 << 62, 1000, np.int64).astype(np.uint64) * np.uint64(2), -1.0) == -1).all()
+    assert (hashing.Table(keys[:0], np.zeros((0, 1))).get(keys, 3.0) == 3).all()
 
 
 def test_quality_on_held_out_rows(spark, corpus, awkward, empty):
