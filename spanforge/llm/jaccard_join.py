@@ -1,150 +1,299 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A text's set is its distinct word shingles. Texts with equal sets are one kind, of which one stands for all. Shingles
-have one global order, the rarer (by a counting sketch of fixed size over all texts) the earlier. Two sets that are
-similar enough share at least m shingles within prefixes that are m - 1 shingles longer than the least; each kind picks
-its m, up to ``MOST_MATCHES``, by the candidates that it expects from its prefix's document frequencies, and a pair is
-verified, on the whole sets, only if it shares as many as the smaller m of the two asks.
-
-Only components are wanted, so pairs that are connected already need no verification. First each kind is compared with
-one leader, the most promising of the least members of its shingles' groups. That ties families together with as many
-pairs as members, and it gives each kind's delta: the shingles that it adds to its leader's or lacks. Two kinds of one
-leader that are similar enough, and not both similar to the leader, must share delta shingles, and among the rarer ones
-at that; so within a family only those pairs are candidates. Between families, all pairs that share enough prefix
-shingles and still lie in different components are. A component loses no link by this, and a family of near copies is
-never expanded into all its pairs.
+A text's set is its distinct word shingles. Texts with equal sets are one kind, which is named by a digest of the set, so
+that every pass over the texts finds the same names, however a scan is split by then. Shingles have one global order, the
+rarer (by a counting sketch of fixed size over all texts) the earlier. Two sets that are similar enough share at least m
+shingles within prefixes that are m - 1 shingles longer than the least; each kind picks its m, up to ``MOST_MATCHES``, by
+the candidates that it expects from its prefix's document frequencies, and a pair is verified, on the whole sets, only if
+it shares as many as the smaller m of the two asks.
+
+First each kind is compared with one leader, the most promising of the least members of its shingles' groups. That ties
+families together with as many pairs as members, and it gives each kind's delta: the shingles that it adds to its
+leader's or lacks. Deltas are then counted from the family's centre, the shingles that most of its members have. Members
+with small deltas are similar whatever these are, so their links are counted by weights, without naming pairs; others must
+share deltas, and among the rarer ones at that, so only those pairs are candidates, and their deltas decide. Between
+families, all pairs that share enough prefix shingles are. No link is lost by this, and a family of near copies is never
+expanded into all its pairs.
+
+What moves: of prefix shingles, first only sorted, shortened hashes, to find those that several kinds have; they make a
+bitmap of at most ``MAX_BITS``, by which the rest stay where they are. (Beyond some 10**9 shingles the bitmap fills up and
+more of them move; results don't change.) Of whole sets, those that are compared, once for each comparison.
 
 Defined results: a text with fewer words than a shingle has the whole sequence as its one shingle; null texts and texts
 without words have no shingle and are linked with nothing; a null doc_id comes after any other and keeps a component of
-its own null where no other id is in it; rows that repeat an id are rows of their own; an empty table gives an empty
-result. Rows are numbered and written once, and every pass reads them from there.
+its own null where no other id is in it; rows that repeat an id are rows of their own; columns of any name pass through
+one_of_each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanforge.llm import bloom
 from spanforge.llm.common import cut, documents, free_name, numbered, through_python
 from spanforge.llm.components import components
-from spanforge.llm.repeats import _blocks, _hash, _mix, _place, _sums
+from spanforge.llm.hashing import BASE, U, mix
 
 SHINGLE, SIMILARITY = 5, (80, 100)
 MOST_MATCHES, VERIFY_COST = 4, 20
 #: A kind follows its leader if it differs from it by at most this share of the leader's shingles.
 FOLLOWS = 0.6
-#: The sketch's counters; it has this size whatever the input.
-SKETCH, CHUNK = 1 << 20, 1 << 12
+#: The sketch's counters; it has this size whatever the input. Parts of it travel together.
+SKETCH_BITS, CHUNK = 22, 1 << 16
 MAX_BITS, BITS_PER_KEY = 1 << 29, 16
-_U = np.uint64
+#: Prefix shingles of a part of the bitmap; members of a family that one task compares with its leader.
+PART_TOKENS, PART_MEMBERS = 1 << 20, 500
+#: Tables up to so many rows of a few numbers are broadcast.
+SMALL_ROWS = 1 << 20
+#: Bytes of text that are worked on at once, if no word is longer.
+BLOCK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
+_GAPS = re.compile(b"[\\x09-\\x0d\\x20]")
+_RANDOM = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.int64).astype(U) * U(2) + U(1)
+
+
+@lru_cache(1)
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, U), np.full(n, BASE, U)]))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, A-Z lower-cased, and where they begin."""
+    points = _LOWER[np.frombuffer(data + b" ", np.uint8)]
+    edge = np.flatnonzero(np.diff((~_GAP[points]).view(np.int8), prepend=0))
+    begins, sizes = edge[::2], edge[1::2] - edge[::2]
+    if not len(begins):
+        return np.zeros(0, U), begins
+    ends = np.cumsum(sizes)
+    inside = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    power = _powers(1 << max(6, int(sizes.max()).bit_length()))
+    each = _RANDOM[points[np.repeat(begins, sizes) + inside]] * power[inside]
+    return mix(np.add.reduceat(each, ends - sizes) ^ sizes.astype(U)), begins
+
+
+def _sections(text: bytes) -> Iterator[bytes]:
+    """Parts of a long text, cut at white space."""
+    at = 0
+    while len(text) - at > 2 * BLOCK and (gap := _GAPS.search(text, at + BLOCK)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
-    text_ends = np.cumsum([len(t) + 1 for t in texts])
-    gap = _GAP[data]
-    begins = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
-    ends = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
-    words = _hash(_sums(data), begins, ends) ^ _mix((ends - begins).astype(_U))
-    of = np.searchsorted(begins, np.r_[0, text_ends])
+    if len(texts) == 1 and len(texts[0]) > 2 * BLOCK:
+        words = np.concatenate([word_hashes(part)[0] for part in _sections(texts[0])])
+        of = np.array([0, len(words)])
+    else:
+        words, begins = word_hashes(b" ".join(texts))
+        of = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     n = len(words)
     shingles = words.copy()
     for j in range(1, k):
-        shingles[: n - j] = _mix(shingles[: n - j] * _U(3) ^ words[j:])
+        shingles[: n - j] = mix(shingles[: n - j] * U(3) ^ words[j:])
     out = []
-    for a, b in zip(of, of[1:], strict=False):
+    for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True):
         if b - a >= k:
             out.append(np.unique(shingles[a : b - k + 1]))
         elif b > a:  # the whole sequence
             h = words[a : a + 1].copy()
             for j in range(a + 1, b):
-                h = _mix(h * _U(5) ^ words[j : j + 1])
+                h = mix(h * U(5) ^ words[j : j + 1])
             out.append(h)
         else:
-            out.append(np.zeros(0, _U))
+            out.append(np.zeros(0, U))
     return out
 
 
-def _sets(it: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    for keys, texts in _blocks(it):
-        yield keys, shingle_sets(texts, k)
+def _digest(s: np.ndarray, salt: int) -> tuple[int, int]:
+    """Of a set: its name, 63 bits, and another number that tells sets of one name apart."""
+    if not len(s):
+        return 0, 0
+    return int(np.add.reduce(mix(s + U(salt)))) >> 1, int(np.add.reduce(mix(s ^ U(0x5BD1E9955BD1E995))).astype(np.int64))
+
+
+def _sets(it: Iterator[pa.RecordBatch], k: int, text_at: int = 0) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of batches, of about BLOCK bytes of text, with the texts' sets."""
+    for batch in it:
+        texts = [(t or "").encode() for t in batch.column(text_at).to_pylist()]
+        begin = size = 0
+        for i, t in enumerate([*texts, None]):
+            if i > begin and (t is None or size + len(t) > BLOCK):
+                yield batch.slice(begin, i - begin), shingle_sets(texts[begin:i], k)
+                begin, size = i, 0
+            size += len(t or b"")
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> U(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def least_overlap(n: int, similarity: tuple[int, int]) -> int:
     return -(-similarity[0] * n // similarity[1])
 
 
-def sketch(rows: DataFrame, k: int) -> bytes:
-    """For each of the sketch's counters, the size class of its count; SKETCH bytes."""
+def digests(rows: DataFrame, k: int, salt: int) -> DataFrame:
+    """rows with n, name and other in place of text, and rows of chunk and counts: the sketch's parts. Kept."""
+    others = [f for f in rows.schema.fields if f.name != "text"]
+    at = rows.columns.index("text")
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.uint32)
-        for _, sets in _sets(it, k):
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> _U(44)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-        chunks = counts.reshape(-1, CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chunks))), pa.array([c.tobytes() for c in chunks], pa.binary())], ["chunk", "counts"])
-
-    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, schema = np.zeros(1 << SKETCH_BITS, np.uint32), None
+        names = [*(f.name for f in others), "n", "name", "other", "chunk", "counts"]
+        for part, sets in _sets(it, k, at):
+            if any(map(len, sets)):
+                np.add.at(counts, _counter(np.concatenate(sets)), np.uint32(1))
+            found = [_digest(s, salt) for s in sets]
+            kept = [part.column(i) for i in range(part.num_columns) if i != at]
+            out = pa.RecordBatch.from_arrays([*kept, pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[i] for d in found], pa.int64()) for i in range(2)), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names)
+            schema = out.schema
+            yield out
+        if schema is not None:
+            used = [(c, zlib.compress(x.astype(np.uint8 if x.max() < 256 else np.uint32).tobytes(), 1)) for c, x in enumerate(counts.reshape(-1, CHUNK)) if x.any()]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(used), schema.field(i).type) for i in range(len(schema) - 2)), pa.array([c for c, _ in used], pa.int64()), pa.array([x for _, x in used], pa.binary())], names)
+
+    more = [T.StructField(n, T.LongType()) for n in ("n", "name", "other", "chunk")]
+    return cut(through_python(rows, batches, T.StructType([*others, *more, T.StructField("counts", T.BinaryType())])))
+
+
+def sketch(digested: DataFrame) -> bytes:
+    """For each of the sketch's counters, the size class of its count."""
+
+    def add(it: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in it:
-            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, np.uint32).astype(np.uint64)
-                sums[c] = sums[c] + part if c in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.frexp(s.astype(float))[1].astype(np.uint8).tobytes() for s in sums.values()], pa.binary())], ["chunk", "sizes"])
-
-    parts = through_python(rows, count, "chunk long, counts binary").repartition("chunk")
-    out = bytearray(SKETCH)
-    for r in through_python(parts, add, "chunk long, sizes binary").collect():
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = r.sizes
+            for c, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = zlib.decompress(packed)
+                part = np.frombuffer(raw, np.uint8 if len(raw) == CHUNK else np.uint32).astype(np.uint64)
+                sums[c] = np.minimum(sums[c] + part, U(0xFFFFFFFF)) if c in sums else part
+        made = [np.round(6 * np.log2(s + 1.0)).astype(np.uint8) if last else s.astype(np.uint32) for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zlib.compress(s.tobytes(), 1) for s in made], pa.binary())], ["chunk", "counts"])
+
+    parts = through_python(digested.where("chunk IS NOT NULL").select("chunk", "counts"), lambda it: add(it, False), "chunk long, counts binary")
+    out = bytearray(1 << SKETCH_BITS)
+    for r in through_python(parts.repartition("chunk"), lambda it: add(it, True), "chunk long, counts binary").collect():
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = zlib.decompress(r.counts)
     return bytes(out)
 
 
-def prefixes(rows: DataFrame, k: int, similarity: tuple[int, int], sizes: bytes, most: int) -> DataFrame:
-    """(row, n, k1, k2, prefix): the set's size, its digest, and its first shingles in the global order."""
-    held = rows.sparkSession.sparkContext.broadcast(sizes)
+def prefixes(rows: DataFrame, k: int, salt: int, similarity: tuple[int, int], sizes: bytes, most: int, repeated: bytes) -> DataFrame:
+    """(kind, n, prefix) of each kind: its first shingles in the global order. Only kinds that may occur more than once
+    (repeated, a filter) move, to be made one."""
+    held = rows.sparkSession.sparkContext.broadcast((sizes, repeated))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(held.value, np.uint8)
-        for keys, sets in _sets(it, k):
-            digests, prefix = [], []
-            for s in sets:
-                digests.append((int(np.add.reduce(s).view(np.int64)) if len(s) else 0, int(np.add.reduce(_mix(s ^ _U(0x5BD1E995))).view(np.int64)) if len(s) else 0))
-                order = np.lexsort((s, table[(s >> _U(44)).astype(np.int64)]))
-                prefix.append(s[order[: len(s) - least_overlap(len(s), similarity) + most]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[i] for d in digests], pa.int64()) for i in range(2)), pa.array(prefix, pa.binary())], ["row", "n", "k1", "k2", "prefix"])
+        table, done = np.frombuffer(held.value[0], np.uint8), set()
+        for _, sets in _sets(it, k):
+            sets = [s for s in sets if len(s)]
+            names = np.array([_digest(s, salt)[0] for s in sets], np.int64)
+            maybe = bloom.maybe_in(held.value[1], names)
+            out = []
+            for s, name, again in zip(sets, names.tolist(), maybe.tolist(), strict=True):
+                if again and name in done:
+                    continue
+                if again:
+                    done.add(name)
+                order = np.lexsort((s, table[_counter(s)]))
+                out.append((name, len(s), s[order[: len(s) - least_overlap(len(s), similarity) + most]].tobytes(), again))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["kind", "n", "prefix", "again"])
+
+    every = cut(through_python(rows.select("text"), batches, "kind long, n long, prefix binary, again boolean"))
+    one = every.where("again").groupBy("kind").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return every.where("NOT again").select("kind", "n", "prefix").unionByName(one)
+
+
+def shared_bits(kinds: DataFrame, tokens: int) -> bytes:
+    """A bitmap by shingles' first bits: set where several kinds have one in their prefixes. tokens: how many there are."""
+    bits = min(max(16, (8 * max(tokens, 1) - 1).bit_length()), MAX_BITS.bit_length() - 1)
+    low = 64 - min(64, bits + 8)  # shingles are told apart by a few bits more than they are found by
+    split = min(max(0, (tokens // PART_TOKENS).bit_length()), bits - 6)
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(held) if held else np.zeros(0, U)) >> U(low)
+            first = np.r_[True, every[1:] != every[:-1]][: len(every)]
+            every = every[first | np.r_[False, first[:-1]][: len(every)]]  # one or two of each
+            part = (every >> U(64 - low - split)).astype(np.int64) if split else np.zeros(len(every), np.int64)
+            bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(every)]).tolist()
+            raw = []
+            for a, b in zip(bounds, [*bounds[1:], len(every)], strict=False):
+                steps = np.diff(every[a:b], prepend=U(0)).view(np.uint8).reshape(-1, 8)
+                raw.append(zlib.compress(np.ascontiguousarray(steps.T).tobytes(), 1))
+            return pa.RecordBatch.from_arrays([pa.array(part[bounds], pa.int64()), pa.array(raw, pa.binary())], ["part", "steps"])
+
+        for batch in it:
+            for p in batch.column(0).to_pylist():
+                held.append(np.frombuffer(p, U))
+                size += len(held[-1])
+            if size > 1 << 22:
+                yield out()
+                held, size = [], 0
+        yield out()
+
+    def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, list[np.ndarray]] = {}
+        for batch in it:
+            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+                of.setdefault(p, []).append(np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel()))
+        for p, found in of.items():
+            every = np.sort(np.concatenate(found))
+            twice = every[1:][every[1:] == every[:-1]]
+            at = (twice >> U(64 - low - bits)).astype(np.int64) - (p << bits - split)
+            flags = np.zeros(1 << bits - split, bool)
+            flags[at] = True
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([zlib.compress(np.packbits(flags).tobytes(), 1)], pa.binary())], ["part", "bits"])
+
+    parts = through_python(kinds.select("prefix"), pack, "part long, steps binary")
+    if split:
+        parts = parts.repartition(1 << split, "part")
+    else:
+        parts = parts.repartition("part")
+    out = bytearray(1 << bits - 3)
+    size = 1 << bits - split - 3
+    for r in through_python(parts, mark, "part long, bits binary").collect():
+        out[r.part * size : (r.part + 1) * size] = zlib.decompress(r.bits)
+    return bytes(out)
+
 
-    return through_python(rows, batches, "row long, n long, k1 long, k2 long, prefix binary")
+def _maybe_shared(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    at = (tokens >> U(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _tokens(kinds: DataFrame, bits: bytes | None) -> DataFrame:
-    """(token, kind, n, at): kinds' prefix shingles; with bits, only those that may be in other prefixes too."""
+def _tokens(kinds: DataFrame, bits: bytes) -> DataFrame:
+    """(token, kind, n, at): kinds' prefix shingles that other prefixes may have too."""
     held = kinds.sparkSession.sparkContext.broadcast(bits)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(held.value, np.uint8)
         for batch in it:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                raw = [np.frombuffer(p, np.int64) for p in part.column(2).to_pylist()]
-                if not raw:
-                    continue
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                raw = [np.frombuffer(p, U) for p in part.column(2).to_pylist()]
                 sizes = [len(r) for r in raw]
                 token = np.concatenate(raw)
+                keep = _maybe_shared(table, token)
                 at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 kind, n = (np.repeat(part.column(i).to_numpy(), sizes) for i in range(2))
-                keep = np.ones(len(token), bool) if held.value is None else bloom.maybe_in(held.value, token)
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, kind, n, at)], ["token", "kind", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token.view(np.int64), kind, n, at)], ["token", "kind", "n", "at"])
 
     return through_python(kinds.select("kind", "n", "prefix"), batches, "token long, kind long, n long, at long")
 
@@ -154,128 +303,193 @@ def _dealt(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("part", F.pmod(F.col(key), F.lit(8191)))
 
 
-def candidate_tokens(kinds: DataFrame, similarity: tuple[int, int], most: int) -> DataFrame:
-    """(token, kind, n, matches): the prefix shingles, within each kind's chosen prefix, that several kinds have."""
-    shared = cut(_tokens(kinds, None).groupBy("token").count().where("count > 1"))
-    bits = bloom.build_even(shared, "token", bloom.n_blocks(shared.count(), BITS_PER_KEY, MAX_BITS))
-    found = _dealt(_tokens(kinds, bits), "token").join(_dealt(shared, "token"), ["token", "part"]).drop("part")
-    overlap = F.ceil(F.col("n") * similarity[0] / similarity[1]).cast("long")
-    overlap = F.when((overlap - 1) * similarity[1] >= F.col("n") * similarity[0], overlap - 1).otherwise(overlap)
+def _ceil_share(n: Column, num: int, den: int) -> Column:
+    """num * n / den, rounded up, in whole numbers."""
+    return F.call_function("div", n * num + (den - 1), F.lit(den))
+
+
+def candidate_tokens(kinds: DataFrame, tokens: int, similarity: tuple[int, int], most: int) -> DataFrame:
+    """(token, kind, n, at, matches): the prefix shingles, within each kind's chosen prefix, that several kinds have."""
+    found = cut(_tokens(kinds, shared_bits(kinds, tokens)))
+    shared = found.groupBy("token").count().where("count > 1")
+    found = _dealt(found, "token").join(_dealt(shared, "token"), ["token", "part"]).drop("part")
     base = F.col("n") - F.col("overlap") + 1
     of_kind = W.partitionBy("kind")
-    found = found.withColumn("overlap", overlap)
+    found = found.withColumn("overlap", _ceil_share(F.col("n"), similarity[0], similarity[1]))
     costs = []
     for m in range(1, most + 1):
         # Entries read, and pairs expected to share m of them, each at the cost of verifying one.
         entries = F.sum(F.when(F.col("at") < base + m - 1, F.col("count") - 1).otherwise(0)).over(of_kind)
         costs.append(F.struct((entries * (1 + VERIFY_COST / m**2)).alias("cost"), F.lit(m).alias("m")))
     found = found.withColumn("matches", F.least(F.array_min(F.array(*costs))["m"], F.greatest(F.col("overlap"), F.lit(1))))
-    return found.where(F.col("at") < base + F.col("matches") - 1).select("token", "kind", "n", F.col("matches").cast("int").alias("matches"))
+    return found.where(F.col("at") < base + F.col("matches") - 1).select("token", "kind", "n", "at", F.col("matches").cast("int").alias("matches"))
+
+
+def compared(rows: DataFrame, pairs: DataFrame, k: int, salt: int, compare: Callable[[np.ndarray, np.ndarray], tuple | None], schema: str) -> DataFrame:
+    """(a, b, and what compare gives) of the pairs (a, b) of kinds for which it gives something. Sets are made of texts
+    again, for the pairs' kinds only, and meet in groups of some that share b; pairs should be materialised."""
+    spark = rows.sparkSession
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PART_MEMBERS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    members = _dealt(pairs.select("a", "b"), "b").join(_dealt(sizes, "b"), ["b", "part"]).select(F.col("a").alias("kind"), "b", part.alias("part"), F.lit(1).alias("nth"))
+    leads = sizes.select(F.col("b").alias("kind"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("nth"))
+    roles = cut(members.unionByName(leads))
+    n = roles.count()
+    names = roles.select("kind").distinct()
+    blocks = bloom.n_blocks(n, BITS_PER_KEY, MAX_BITS)
+    held = spark.sparkContext.broadcast(bloom.build_even(names, "kind", blocks))
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for _, sets in _sets(it, k):
+            names_ = np.array([_digest(s, salt)[0] for s in sets], np.int64)
+            out = []
+            for i in np.flatnonzero(bloom.maybe_in(held.value, names_)).tolist():
+                if (name := int(names_[i])) not in done and len(sets[i]):
+                    done.add(name)
+                    out.append((name, sets[i].tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], ["kind", "set"])
+
+    sets = through_python(rows.select("text"), batches, "kind long, set binary")
+    met = sets.join(F.broadcast(roles) if n <= SMALL_ROWS else roles, "kind")
+    met = met.select("b", "part", "nth", "kind", "set").repartition("b", "part").sortWithinPartitions("b", "part", "nth", "kind")
+
+    fields = schema.split(", ")
+    arrow = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds_ = [pa.int64(), pa.int64(), *(arrow[f.split()[1]] for f in fields if f)]
+    out_names = ["a", "b", *(f.split()[0] for f in fields if f)]
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = lead = last = None
+        for batch in it:
+            out = []
+            for b, part_, nth, kind, raw in zip(*(batch.column(i) for i in range(5)), strict=True):
+                b, part_, nth, kind = b.as_py(), part_.as_py(), nth.as_py(), kind.as_py()
+                if (b, part_, nth, kind) == last:  # a copy
+                    continue
+                last = (b, part_, nth, kind)
+                if nth == 0:
+                    group, lead = (b, part_), np.frombuffer(raw.as_py(), U)
+                elif (b, part_) == group and (more := compare(np.frombuffer(raw.as_py(), U), lead)) is not None:
+                    out.append((kind, b, *more))
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(out_names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)], out_names)
 
-def with_sets(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(a, b, set_a, set_b) of the pairs (a, b) of rows; sets are made of texts again, for the pairs' rows only. pairs
-    should be materialised."""
-    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    return through_python(met, meet, "a long, b long" + (f", {schema}" if schema else ""))
 
-    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            r = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(_place(r, r))], ["place"])
 
-    place = cut(through_python(ids, places, "place long"))
-    held = rows.sparkSession.sparkContext.broadcast(bloom.build_even(place, "place", bloom.n_blocks(place.count(), BITS_PER_KEY, MAX_BITS)))
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wanted() -> Iterator[pa.RecordBatch]:
-            for batch in it:
-                r = batch.column(0).to_numpy()
-                yield batch.filter(pa.array(bloom.maybe_in(held.value, _place(r, r))))
 
-        for keys, sets in _sets(wanted(), k):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary())], ["row", "set"])
+def verified(rows: DataFrame, pairs: DataFrame, k: int, salt: int, similarity: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) of kinds whose sets are similar enough."""
 
-    sets = through_python(rows, batches, "row long, set binary")
-    one = pairs.select("a", "b").join(sets.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a")
-    return one.join(sets.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    def alike(x: np.ndarray, y: np.ndarray) -> tuple | None:
+        common = _common(x, y)
+        return () if similarity[1] * common >= similarity[0] * (len(x) + len(y) - common) else None
 
+    return compared(rows, pairs, k, salt, alike, "")
 
-def _alike(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> bool:
-    both = np.sort(np.concatenate([x, y]), kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return similarity[1] * common >= similarity[0] * (len(x) + len(y) - common)
 
+def deltas(rows: DataFrame, star: DataFrame, k: int, salt: int, similarity: tuple[int, int]) -> DataFrame:
+    """Of kinds (a) and their leaders (b): (a, b, linked, follows, n, delta). n: the leader's shingles; delta: what the kind
+    adds to them (even numbers) and lacks of them (odd ones)."""
 
-def verified(rows: DataFrame, pairs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (a, b) of rows whose sets are similar enough."""
+    def compare(x: np.ndarray, y: np.ndarray) -> tuple | None:
+        added, lacked = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+        follows = len(added) + len(lacked) <= FOLLOWS * len(y)
+        delta = np.concatenate([added & ~U(1), lacked | U(1)]) if follows else added[:0]
+        common = len(x) - len(added)
+        return similarity[1] * common >= similarity[0] * (len(x) + len(y) - common), follows, len(y), delta.tobytes()
 
-    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            keep = [_alike(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            kept = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+    return compared(rows, star, k, salt, compare, "linked boolean, follows boolean, n long, delta binary")
 
-    return through_python(with_sets(rows, pairs, k), verify, "a long, b long")
 
+def _exploded(members: DataFrame, *columns: str) -> DataFrame:
+    """members' columns, numbers, and token: each of their deltas."""
 
-def deltas(rows: DataFrame, star: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
-    """Of kinds (a) and their leaders (b): (kind, leader, linked, follows, least, delta). delta: what the kind adds to the
-    leader's shingles, and, marked, what it lacks of them. least: how many of these a similar kind of the same leader
-    must share, if one of the two isn't similar to the leader itself."""
-    num, den = similarity
-
-    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows_ = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
-                added, lacked = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
-                follows = len(added) + len(lacked) <= FOLLOWS * len(y)
-                # Similar kinds x, y of leader l share s deltas: s >= w(x) + w(y) - w0, where w is den * lacked + num *
-                # added and w0 (den - num) * |l|, all over num + den; w(x) <= w0 is similarity to the leader.
-                weight, bound = den * len(lacked) + num * len(added), (den - num) * len(y)
-                least = max(weight // (num + den) + 1 if weight <= bound else -(-(weight - bound) // (num + den)), 1)
-                delta = np.concatenate([added, _mix(lacked ^ _U(0xA5A5A5A5A5A5A5A5))]) if follows else added[:0]
-                rows_.append((weight <= bound, follows, least, delta.tobytes()))
-            cols = list(zip(*rows_, strict=True)) if rows_ else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.bool_(), pa.int64(), pa.binary()), strict=True))], ["kind", "leader", "linked", "follows", "least", "delta"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                raw = [np.frombuffer(d, np.int64) for d in part.column(len(columns)).to_pylist()]
+                sizes = [len(r) for r in raw]
+                cols = [np.repeat(part.column(i).to_numpy(zero_copy_only=False), sizes) for i in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(np.concatenate(raw))], [*columns, "token"])
 
-    return through_python(with_sets(rows, star, k), compare, "kind long, leader long, linked boolean, follows boolean, least long, delta binary")
+    return through_python(members.select(*columns, "delta"), explode, ", ".join(f"{c} long" for c in (*columns, "token")))
 
 
-def _family_pairs(followers: DataFrame) -> DataFrame:
-    """(a, b): followers of one leader, in different components, that share one of their rarer delta shingles.
+def centred(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(kind, leader, weight, bound, delta): families' deltas from their centre, the shingles that most members have.
 
-    followers: kind, leader, comp, linked, least, delta. The rarest deltas, all but least - 1 of them, hold a shared one."""
+    members: kind, leader, n, delta (from the leader). Two members are similar if and only if the deltas that they share,
+    times the similarity's sum, reach their weights' sum less the bound; in particular if that isn't above 0."""
+    num, den = similarity
+    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    counts = _exploded(members, "leader").groupBy("leader", "token").agg(F.count(F.lit(1)).alias("df"))
+    most = _dealt(counts, "leader").join(_dealt(sizes, "leader"), ["leader", "part"]).where(F.col("df") * 2 > F.col("size"))
+    flips = most.groupBy("leader").agg(F.collect_list("token").alias("flips"))  # at most twice what deltas have on average
+    joined = _dealt(members, "leader").join(_dealt(flips, "leader"), ["leader", "part"], "left").select("kind", "leader", "n", "delta", "flips")
 
-    def explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                raw = [np.frombuffer(d, np.int64) for d in part.column(5).to_pylist()]
-                sizes = [len(r) for r in raw]
-                cols = [np.repeat(part.column(i).to_numpy(zero_copy_only=False), sizes) for i in range(5)]
-                token = np.concatenate(raw) if raw else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(token)], ["kind", "leader", "comp", "linked", "least", "token"])
-
-    names = "kind long, leader long, comp long, linked boolean, least long"
-    tokens = cut(through_python(followers.select("kind", "leader", "comp", "linked", "least", "delta"), explode, f"{names}, token long"))
-    counts = tokens.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumn("part", F.pmod("token", F.lit(8191)))
-    ranked = tokens.withColumn("part", F.pmod("token", F.lit(8191))).join(counts, ["leader", "token", "part"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    order = W.partitionBy("kind").orderBy("df", "token")
-    ranked = ranked.withColumn("nth", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("kind")))
-    near = ranked.where((F.col("nth") <= F.col("n") - F.col("least") + 1) & (F.col("df") > 1)).select("kind", "leader", "comp", "linked", "token")
-    side = lambda s: near.select("leader", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "comp", "linked")))
-    pairs = side("x").join(side("y"), ["leader", "token"]).where("kind_x > kind_y AND comp_x <> comp_y AND NOT (linked_x AND linked_y)")
-    return pairs.select(F.col("kind_x").alias("a"), F.col("kind_y").alias("b")).distinct()
+            out = []
+            for n, raw, flipped in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                own = np.frombuffer(raw, np.int64)
+                flip = flipped.values.to_numpy() if flipped.is_valid else own[:0]
+                kept, back = np.setdiff1d(own, flip, True), np.setdiff1d(flip, own, True)
+                # What the centre has and the member doesn't have is lacked, and the other way round.
+                lacked = int((kept & 1).sum()) + int((back & 1 ^ 1).sum())
+                added = len(kept) + len(back) - lacked
+                size = n + int((flip & 1 ^ 1).sum()) - int((flip & 1).sum())
+                out.append((den * lacked + num * added, (den - num) * size, np.concatenate([kept, back]).tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True))], ["kind", "leader", "weight", "bound", "delta"])
+
+    return cut(through_python(joined, batches, "kind long, leader long, weight long, bound long, delta binary"))
+
+
+def _family_links(followers: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): similar followers of one leader whose weights' sum exceeds the bound, found and verified by their deltas.
+
+    followers: kind, leader, weight, bound, lightest (the family's least weight), delta. Such pairs share some deltas, by
+    their weights; all but so many of either's rarest deltas, and one more, hold a shared one."""
+    total = sum(similarity)
+    least = lambda over: F.greatest(F.lit(1), _ceil_share(F.greatest(over - F.col("bound"), F.lit(0)), 1, total))
+    sized = followers.withColumn("size", (F.octet_length("delta") / 8).cast("long"))
+    sized = sized.withColumn("last", F.col("size") - least(F.col("weight") + F.col("lightest")) + 1).where("last > 0")
+    tokens = cut(_exploded(sized, "kind", "leader", "weight", "bound", "size", "last"))
+    counts = _dealt(tokens.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "token")
+    ranked = _dealt(tokens, "token").join(counts, ["leader", "token", "part"], "left")
+    order = W.partitionBy("leader", "kind").orderBy(F.coalesce("df", F.lit(1)), "token")
+    near = ranked.withColumn("nth", F.row_number().over(order)).where("nth <= last AND df > 1")
+    near = cut(near.select("kind", "leader", "weight", "bound", "token", (F.col("size") - F.col("nth") + 1).alias("rest")))
+    side = lambda s: near.select("leader", "token", "bound", *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "weight", "rest")))
+    over = F.col("weight_x") + F.col("weight_y")
+    pairs = side("x").join(side("y").drop("bound"), ["leader", "token"]).where((F.col("kind_x") > F.col("kind_y")) & (over > F.col("bound")) & (F.least("rest_x", "rest_y") >= least(over)))
+    pairs = cut(pairs.select("leader", F.col("kind_x").alias("a"), F.col("kind_y").alias("b")).distinct())
+    of = lambda s: followers.select("leader", F.col("kind").alias(s), F.col("weight").alias(f"weight_{s}"), F.col("bound").alias(f"bound_{s}"), F.col("delta").alias(f"delta_{s}"))
+    met = pairs.join(of("a"), ["leader", "a"]).join(of("b"), ["leader", "b"]).select("a", "b", (F.col("weight_a") + F.col("weight_b") - F.col("bound_a")).alias("over"), "delta_a", "delta_b")
+
+    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keep = [total * _common(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)) >= o for o, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)]
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in range(2)], ["a", "b"])
+
+    return through_python(met, verify, "a long, b long")
 
 
 def _apart(tokens: DataFrame, families: DataFrame) -> DataFrame:
-    """tokens of groups that lie in several families, with family, comp, and main (whether most of the group is of the
-    family). families: kind, family, comp; a kind that isn't there is its own."""
-    known = families.select("kind", F.col("family").alias("f"), F.col("comp").alias("c"))
+    """tokens of groups that lie in several families, with family, and main (whether most of the group is of the family).
+    families: kind, family; a kind that isn't there is its own."""
+    known = families.select("kind", F.col("family").alias("f"))
     labelled = _dealt(tokens, "kind").join(_dealt(known, "kind"), ["kind", "part"], "left").drop("part")
-    labelled = labelled.withColumn("family", F.coalesce("f", "kind")).withColumn("comp", F.coalesce("c", "kind")).drop("f", "c")
+    labelled = labelled.withColumn("family", F.coalesce("f", "kind")).drop("f")
     sizes = labelled.groupBy("token", "family").agg(F.count(F.lit(1)).alias("members"))
     groups = sizes.groupBy("token").agg(F.max(F.struct("members", (-F.col("family")).alias("least"))).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1").select("token", (-F.col("top.least")).alias("main_family"))
     joined = _dealt(labelled, "token").join(_dealt(groups, "token"), ["token", "part"]).drop("part")
@@ -286,63 +500,120 @@ def _alike_in_size(a: Column, b: Column, similarity: tuple[int, int]) -> Column:
     return F.least(a, b) * similarity[1] >= F.greatest(a, b) * similarity[0]
 
 
-def links(rows: DataFrame, kinds: DataFrame, k: int, similarity: tuple[int, int], most: int = MOST_MATCHES) -> DataFrame:
-    """(a, b): enough verified links between kinds to connect whatever is connected."""
-    tokens = cut(candidate_tokens(kinds, similarity, most))
-    leaders = tokens.groupBy("token").agg(F.min(F.struct("kind", "n", "matches")).alias("top"))
-    star = _dealt(tokens, "token").join(_dealt(leaders, "token"), ["token", "part"]).where((F.col("kind") != F.col("top.kind")) & _alike_in_size(F.col("n"), F.col("top.n"), similarity))
+def links(rows: DataFrame, kinds: DataFrame, tokens: int, k: int, salt: int, similarity: tuple[int, int], most: int = MOST_MATCHES) -> tuple[DataFrame, DataFrame]:
+    """(a, b): each link between two kinds once, but for those that weights alone tell; and the kinds that have such links:
+    (kind, leader, weight, bound, top), linked with every other kind of the leader where weights add up to the bound at
+    most. top: the lightest one."""
+    tokens_of = cut(candidate_tokens(kinds, tokens, similarity, most))
+    leaders = tokens_of.groupBy("token").agg(F.min(F.struct("kind", "n", "matches")).alias("top"))
+    star = _dealt(tokens_of, "token").join(_dealt(leaders, "token"), ["token", "part"]).where((F.col("kind") != F.col("top.kind")) & _alike_in_size(F.col("n"), F.col("top.n"), similarity))
     star = star.groupBy("kind", F.col("top.kind").alias("leader")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("matches", "top.matches")).alias("least"))
     # Only what would be a candidate in any case is compared; kinds without such a leader are families of their own.
     star = star.where("shared >= least").groupBy("kind").agg(F.max(F.struct("shared", (-F.col("leader")).alias("x"))).alias("top"))
     star = cut(star.select(F.col("kind").alias("a"), (-F.col("top.x")).alias("b")))
-    compared = cut(deltas(rows, star, k, similarity))
-    found = compared.where("linked").select(F.col("kind").alias("a"), F.col("leader").alias("b"))
-    comps = components(found).select(F.col("node").alias("kind"), F.col("least").alias("comp0"))
-    # A kind that leads others is of its own family.
-    followers = compared.where("follows").join(star.select(F.col("b").alias("kind")).distinct(), "kind", "left_anti")
-    followers = cut(followers.join(comps, "kind", "left").withColumn("comp", F.coalesce("comp0", "kind")).drop("comp0"))
-    within = _family_pairs(followers)
-    families = followers.select("kind", F.col("leader").alias("family"), "comp")
-    others = comps.join(followers.select("kind"), "kind", "left_anti").select("kind", F.col("kind").alias("family"), F.col("comp0").alias("comp"))
-    groups = cut(_apart(tokens, families.unionByName(others)).select("token", "kind", "n", "matches", "family", "comp", "main"))
-    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "n", "matches", "family", "comp", "main")))
+    near = cut(deltas(rows, star, k, salt, similarity))
+    followers = centred(near.where("follows").select(F.col("a").alias("kind"), F.col("b").alias("leader"), "n", "delta"), similarity)
+    lightest = _dealt(followers.groupBy("leader").agg(F.min(F.struct("weight", "kind")).alias("top")), "leader")
+    followers = _dealt(followers, "leader").join(lightest, ["leader", "part"]).withColumn("lightest", F.col("top.weight")).withColumn("top", F.col("top.kind"))
+    within = _family_links(followers, similarity)
+    groups = cut(_apart(tokens_of, followers.select("kind", F.col("leader").alias("family"))).select("token", "kind", "n", "at", "matches", "family", "main"))
+    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "n", "at", "matches", "family", "main")))
     # Of two members of different families at least one is apart from the group's main family; that side is the small one.
     pairs = side(groups.where("NOT main"), "x").join(side(groups, "y"), "token")
-    pairs = pairs.where((F.col("family_x") != F.col("family_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("main_y") | (F.col("kind_x") < F.col("kind_y"))) & _alike_in_size(F.col("n_x"), F.col("n_y"), similarity))
-    pairs = pairs.groupBy(F.greatest("kind_x", "kind_y").alias("a"), F.least("kind_x", "kind_y").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("matches_x", "matches_y")).alias("least"))
-    pairs = pairs.where("shared >= least").select("a", "b").unionByName(within)
-    return cut(found.unionByName(verified(rows, cut(pairs.join(star, ["a", "b"], "left_anti")), k, similarity)))
+    pairs = pairs.where((F.col("family_x") != F.col("family_y")) & (F.col("main_y") | (F.col("kind_x") < F.col("kind_y"))) & _alike_in_size(F.col("n_x"), F.col("n_y"), similarity))
+    # Shingles that both have but not in both prefixes come after one of the two prefixes' ends, and after all shared ones.
+    n_x, n_y, total = F.col("n_x"), F.col("n_y"), sum(similarity)
+    common = _ceil_share(n_x + n_y, similarity[0], total)
+    behind = lambda s: _ceil_share(F.col(f"n_{s}"), *similarity) - F.col(f"matches_{s}")
+    asked = F.greatest(F.least("matches_x", "matches_y").cast("long"), common - F.greatest(behind("x"), behind("y")))
+    after = F.least(n_x - F.col("at_x"), n_y - F.col("at_y")) - 1
+    pairs = pairs.select(F.greatest("kind_x", "kind_y").alias("a"), F.least("kind_x", "kind_y").alias("b"), asked.alias("asked"), (common - after).alias("asked_here"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("asked", "asked_here")).alias("asked")).where("shared >= asked")
+    between = verified(rows, cut(pairs.select("a", "b").join(star, ["a", "b"], "left_anti")), k, salt, similarity)
+    found = cut(near.where("linked").select("a", "b").unionByName(within).unionByName(between))
+    return found, followers.select("kind", "leader", "weight", "bound", "top", "lightest")
+
+
+def degrees(found: DataFrame, followers: DataFrame, copies: DataFrame) -> DataFrame:
+    """(kind, n): how many rows of other kinds each kind is linked with, of links() and copies (name, count; else 1)."""
+    copies = _dealt(copies.select(F.col("name").alias("kind"), "count"), "kind")
+    of = lambda df: _dealt(df, "kind").join(copies, ["kind", "part"], "left").withColumn("c", F.coalesce("count", F.lit(1))).drop("count", "part")
+    ends = of(found.select(F.col("a").alias("kind"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("kind"), F.col("a").alias("other"))))
+    told = ends.groupBy(F.col("other").alias("kind")).agg(F.sum("c").alias("n"))
+    # For each weight in a family, the rows with any weight that adds up to the bound at most: a running sum over weights.
+    own = of(followers.select("kind", "leader", "weight", "bound"))
+    at = own.groupBy("leader", "weight", "bound").agg(F.sum("c").alias("c"))
+    points = at.select("leader", F.col("weight").alias("x"), "c", F.lit(None).cast("long").alias("weight")).unionByName(at.select("leader", (F.col("bound") - F.col("weight")).alias("x"), F.lit(0).cast("long").alias("c"), "weight"))
+    upto = points.withColumn("n", F.sum("c").over(W.partitionBy("leader").orderBy("x").rangeBetween(W.unboundedPreceding, 0))).where("weight IS NOT NULL")
+    met = _dealt(own, "leader").join(_dealt(upto.select("leader", "weight", "n"), "leader"), ["leader", "weight", "part"])
+    light = met.select("kind", (F.col("n") - F.when(2 * F.col("weight") <= F.col("bound"), F.col("c")).otherwise(0)).alias("n"))
+    return told.unionByName(light).groupBy("kind").agg(F.sum("n").alias("n"))
+
+
+def _named(rows: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """digests() under a salt by which no two kinds of sets have one name, and the salt."""
+    salt = 0
+    while True:
+        seen = digests(rows, k, salt)
+        kinds = seen.where("n > 0").groupBy("name").agg((F.min("other") != F.max("other")).alias("x"), (F.min("n") != F.max("n")).alias("y"))
+        if not kinds.where("x OR y").limit(1).count():
+            return seen, salt
+        salt += 1
+
+
+def _components(rows: DataFrame, k: int, similarity: tuple[int, int], most: int, counted: bool) -> DataFrame:
+    """rows with n and comp, a number for the component, in place of text; comp is null without shingles. With n_links, if
+    counted."""
+    seen, salt = _named(rows, k)
+    texts = rows.select("text")
+    again = cut(seen.where("n > 0").groupBy("name").count().where("count > 1"))
+    repeated = bloom.build_even(again, "name", bloom.n_blocks(again.count(), BITS_PER_KEY, MAX_BITS))
+    kinds = prefixes(texts, k, salt, similarity, sketch(seen), most, repeated)
+    tokens = kinds.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
+    found, followers = links(texts, kinds, tokens, k, salt, similarity, most)
+    alike = followers.where((F.col("kind") != F.col("top")) & (F.col("weight") + F.col("lightest") <= F.col("bound"))).select(F.col("kind").alias("a"), F.col("top").alias("b"))
+    told = components(found.unionByName(alike)).select(F.col("node").alias("name"), "least")
+    if counted:
+        more = degrees(found, followers, again).select(F.col("kind").alias("name"), F.col("n").alias("others"))
+        told = told.join(more, "name", "full").join(again, "name", "full")
+    member = seen.where("chunk IS NULL").drop("chunk", "counts", "other")
+    out = _dealt(member, "name").join(_dealt(told, "name"), ["name", "part"], "left").drop("part")
+    out = out.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("least", "name")))
+    if counted:
+        links_ = F.coalesce("others", F.lit(0)) + F.coalesce("count", F.lit(1)) - 1
+        out = out.withColumn("n_links", F.when(F.col("n") > 0, links_).otherwise(0).cast("long")).drop("others", "count")
+    return out.drop("name", "least")
+
+
+def _smallest(member: DataFrame, *order: str) -> DataFrame:
+    """member with top: of each component, the least of the columns, a null id last."""
+    least = _dealt(member.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *order)).alias("top")), "comp")
+    return _dealt(member, "comp").join(least, ["comp", "part"], "left")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, most: int = MOST_MATCHES) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id, first): first says whether the row is its component's smallest."""
-    return _classes(numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row"), k, similarity, most)
-
-
-def _classes(keyed: DataFrame, k: int, similarity: tuple[int, int], most: int = MOST_MATCHES) -> DataFrame:
-    """classes() of (row, doc_id, text), whose rows keep their numbers when read anew."""
-    rows = keyed.select("row", "text")
-    sets = prefixes(rows, k, similarity, sketch(rows, k), most)
-    seen = cut(sets)
-    kinds = cut(seen.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("row").alias("kind"), F.min("prefix").alias("prefix")))
-    tied = components(links(rows, kinds, k, similarity, most)).select(F.col("node").alias("kind"), "least")
-    of_kind = kinds.select("n", "k1", "k2", "kind").join(tied, "kind", "left").select("n", "k1", "k2", F.coalesce("least", "kind").alias("comp"))
-    member = seen.select("row", "n", "k1", "k2").where("n > 0").join(of_kind, ["n", "k1", "k2"]).select("row", "n", "comp")
-    member = member.unionByName(seen.where("n = 0").select("row", "n", F.col("row").alias("comp")))
-    member = cut(member.join(keyed.select("row", "doc_id"), "row"))
-    smallest = _dealt(member.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("top")), "comp")
-    joined = _dealt(member, "comp").join(smallest, ["comp", "part"])
-    return joined.select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("first"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """docs without near duplicates: of each component, the row with the smallest id stays."""
+    """(doc_id, n_shingles, component_id, n_links) of each row; n_links: how many other rows it is linked with."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    joined = _smallest(cut(_components(rows, k, similarity, most, True)), "doc_id")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"), "n_links")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, most: int = MOST_MATCHES) -> DataFrame:
+    """docs without near duplicates: of each component, the row with the smallest id stays. Rows are numbered and written
+    once, so that what is dropped are the same rows whenever they are read."""
     (row,) = free_name(docs, "row")
     kept = numbered(docs, row)
     keyed = kept.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dropped = cut(_classes(keyed, k, similarity).where(~F.col("first")).select(F.col("row").alias(row)))
-    return kept.join(dropped, row, "left_anti").select(*docs.columns)
+    member = cut(_components(keyed, k, similarity, most, False))
+    dropped = cut(_smallest(member, "doc_id", "row").where(F.col("row") != F.col("top.row")).select(F.col("row").alias(row)))
+    n = dropped.count()
+    if n <= SMALL_ROWS:
+        return kept.join(F.broadcast(dropped), row, "left_anti").select(*docs.columns)
+    blocks = bloom.n_blocks(n, BITS_PER_KEY, MAX_BITS)
+    (maybe,) = free_name(kept, "maybe")
+    marked = bloom.mark(kept, row, bloom.build(dropped, row, blocks), blocks, maybe)  # only what may be dropped moves
+    return marked.where(~F.col(maybe)).unionByName(marked.where(maybe).join(dropped, row, "left_anti")).select(*docs.columns)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(documents(spark, sf_dir).select("doc_id", "text"), k=3, similarity=(90, 100)).select("doc_id", "n_shingles", "component_id")
+    return classes(documents(spark, sf_dir).select("doc_id", "text"), k=3, similarity=(90, 100))
