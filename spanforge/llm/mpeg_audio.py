@@ -8,12 +8,14 @@ every frame's offset.
 
 Defined results: a null text or payload counts as empty; bytes without any frame give zero frames and duration 0; a
 frame that the data's end cuts off is not counted but reported as ``truncated``; free-format frames are passed over as
-damage.
+damage; tables and tags that state more than there is are read as far as they go; foreign bytes have an empty payload;
+repeated rows are stored alike; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,6 +42,8 @@ RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 LAYER2_BITS = {"a": (11, 12, 4), "b": (11, 12, 7), "c": (2, 6, 0), "d": (2, 10, 0), "lsf": (4, 7, 19)}
 
 UNIT = 64
+#: A batch of stored media ends beyond this size.
+BATCH_BYTES = 1 << 26
 _CRC = []
 for _i in range(256):
     _c = _i << 8
@@ -196,7 +200,7 @@ def _vbr_table(h: Header, data: bytes, at: int) -> dict | None:
     body = at + 4 + (2 if h.protected else 0) + h.side_bytes
     for pos in dict.fromkeys((body, at + 4 + h.side_bytes)):
         if data[pos : pos + 4] in (b"Xing", b"Info"):
-            out, flags = {"kind": data[pos : pos + 4].decode()}, int.from_bytes(data[pos + 4 : pos + 8], "big")
+            out, flags = {"kind": data[pos : pos + 4].decode("ascii")}, int.from_bytes(data[pos + 4 : pos + 8], "big")
             pos += 8
             for bit, name in ((1, "frames"), (2, "bytes")):
                 if flags & bit:
@@ -206,9 +210,10 @@ def _vbr_table(h: Header, data: bytes, at: int) -> dict | None:
                 out["seek"] = list(data[pos : pos + 100])
             return out
     pos = at + 36
-    if data[pos : pos + 4] == b"VBRI":
+    frame_end = at + h.size
+    if data[pos : pos + 4] == b"VBRI" and pos + 26 <= frame_end:
         size, frames, entries, scale, width, per = struct.unpack(">IIHHHH", data[pos + 10 : pos + 26])
-        seek = [int.from_bytes(data[i : i + width], "big") * scale for i in range(pos + 26, pos + 26 + entries * width, width or 1)]
+        seek = [int.from_bytes(data[i : i + width], "big") * scale for i in range(pos + 26, min(pos + 26 + entries * width, frame_end - width + 1), width or 1)]
         return {"kind": "VBRI", "frames": frames, "bytes": size, "seek": seek, "frames_per_entry": per}
     return None
 
@@ -264,6 +269,7 @@ def _frame_crc(head: bytes, body: bytes, bits: int) -> int:
     return crc16(body, crc16(head), bits)
 
 
+_STATED = re.compile("([0-9]{1,18}):[0-9]{1,18}")
 # What encode() writes: MPEG-1 Layer III, protected, mono, 48 kHz.
 _RATE, _SIDE, _START = 48000, 17, 4 + 2 + 17
 _SIZES = [(i, BITRATES[1, 3][i] * 144 // 48) for i in range(1, 15)]
@@ -302,9 +308,12 @@ def encode(payload: bytes, text_bytes: int) -> bytes:
 
 
 def decode(media: bytes, stream: Stream | None = None) -> bytes:
-    """The payload that encode() stored."""
+    """The payload that encode() stored; nothing where the media have no such tag."""
     stream = parse(media) if stream is None else stream
-    length = int(stream.tags["id3v2.payload"].split(":")[0])
+    stated = _STATED.fullmatch(stream.tags.get("id3v2.payload", ""))
+    if stated is None:
+        return b""
+    length = int(stated[1])
     return b"".join(media[o + _START : o + n] for o, n in zip(stream.offsets, stream.sizes, strict=True))[:length]
 
 
@@ -322,11 +331,16 @@ def store_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
-            for lo in range(0, len(texts), 256):
-                raw = [t.as_py() or b"" for t in texts.slice(lo, 256)]
-                media = [encode(t + b"\0" * (-len(t) % UNIT if t else UNIT), len(t)) for t in raw]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            ids, texts, at = batch.column(0), batch.column(1).cast(pa.large_binary()), 0
+            while at < len(texts):
+                sizes, media, held = [], [], 0
+                while at + len(sizes) < len(texts) and len(sizes) < 256 and held < BATCH_BYTES:  # rows of long texts go few at a time
+                    t = texts[at + len(sizes)].as_py() or b""
+                    media.append(encode(t + b"\0" * (-len(t) % UNIT if t else UNIT), len(t)))
+                    sizes.append(len(t))
+                    held += len(media[-1])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                at += len(sizes)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return through_python(docs.select(id_col, text_col), batches, f"doc_id {kind}, n_bytes long, media binary")
@@ -342,7 +356,7 @@ def read_media(stored: DataFrame) -> DataFrame:
             for m in media:
                 m = m.as_py() or b""
                 stream = parse(m)
-                payload = decode(m, stream) if "id3v2.payload" in stream.tags else b""
+                payload = decode(m, stream)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), _describe(stream), float(stream.seconds), stream.offsets))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64())]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
@@ -354,4 +368,4 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_media(store_text(documents(spark, sf_dir)))
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "seek_offsets")
