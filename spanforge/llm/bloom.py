@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm.common import free_name
+
 BLOCK_BITS = 32768
 #: Bits set for a key within its block.
 PROBES = 3
@@ -39,12 +41,13 @@ def _bit(bits: Column, probe: Column) -> Column:
 
 def mark(df: DataFrame, key: str, filter_: DataFrame, blocks: int, name: str) -> DataFrame:
     """df and a boolean column: false only if the key was surely not among those that the filter holds."""
-    held = F.broadcast(filter_.select(F.col("block").alias("__block"), F.col("bits").alias("__bits")))
-    joined = df.withColumn("__at", block_of(F.col(key), blocks)).join(held, F.col("__at") == F.col("__block"), "left")
+    at, block, bits = free_name(df, "at", "block", "bits")
+    held = F.broadcast(filter_.select(F.col("block").alias(block), F.col("bits").alias(bits)))
+    joined = df.withColumn(at, block_of(F.col(key), blocks)).join(held, F.col(at) == F.col(block), "left")
     found = F.lit(True)
     for probe in probes_of(F.col(key)):
-        found = found & _bit(F.col("__bits"), probe)
-    return joined.withColumn(name, F.coalesce(F.col("__bits").isNotNull() & found, F.lit(False))).drop("__at", "__block", "__bits")
+        found = found & _bit(F.col(bits), probe)
+    return joined.withColumn(name, F.coalesce(F.col(bits).isNotNull() & found, F.lit(False))).drop(at, block, bits)
 
 
 # The same filter for keys that are evenly spread 64-bit numbers already: built by Spark, tested with numpy in workers.

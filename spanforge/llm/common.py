@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,10 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder; the cluster's own setting is never replaced."""
+    """Make sure that checkpoint() has a folder; the cluster's own setting is never replaced. Only a session of a single
+    process gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spanforge-checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spanforge-checkpoints-")
+        context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,7 +57,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 
 
 def through_python(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow, on workers that can import this package, with batches small enough for rows of long texts."""
+    """df.mapInArrow, on workers that can import this package, with batches small enough for rows of long texts: the
+    session's batch size is lowered to BATCH_ROWS, where it is more."""
     ship_package(df.sparkSession)
     if not 0 < int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

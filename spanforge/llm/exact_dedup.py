@@ -6,7 +6,8 @@ the others are shuffled. The filter is broadcast and never exceeds ``max_bits``;
 rows take the shuffled way and the result is the same.
 
 Defined results: a null text counts as empty; a null doc_id is smaller than any other; of rows that repeat a doc_id as
-well as a text, one stays (ties go by the other columns); an empty table gives an empty result.
+well as a text, deduplicate() keeps one (ties go by the other columns), while duplicate_groups() marks each of them as
+kept, since it tells rows by their ids only; columns of any name pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
