@@ -5,21 +5,21 @@ from patterns to source quotas; each further copy of a pattern's documents costs
 repetition costs), so the flow of least cost repeats as little as the quotas allow. The flow of a pattern and copy is
 then filled with documents in a seeded order that depends on nothing but the seed and the document's id.
 
-Only patterns (sets of sources, not documents) reach the driver; more than ``max_patterns`` raise an error rather than
-being cut. Defined results: a null text has size 0; a null source is a source of its own, last in order; rows that
-repeat an id share its place in the order; an empty table gives an empty mix.
+Only patterns (distinct sets of sources, not documents) reach the driver; the flow's time grows little faster than their
+number. Defined results: a null text has size 0; a null source is a source of its own, last in order; a document of no
+source is never taken and has a target of 0; rows that repeat an id share its place in the order; columns of docs may
+have any names, but the four that are added replace columns of their names; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
 
-import heapq
-from dataclasses import dataclass
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WORD_SEPARATORS, documents, free_name
+from spanforge.llm.common import WORD_SEPARATORS, cut, documents, free_name
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_COPIES, SEED = 1.5, 2, 17
@@ -45,66 +45,83 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WE
     return out
 
 
-@dataclass
-class Arc:
-    to: int
-    room: int
-    cost: int
-    back: int
-
-
-def min_cost_flow(supply: list[int], demand: list[int], member: list[tuple[int, ...]], copy_cost: list[int]) -> list[list[dict[int, int]]]:
+class Network:
+    """Maximum flow by blocking flows in layered graphs. An arc and its reverse have the numbers 2 i and 2 i + 1."""
+
+    def __init__(self, nodes: int) -> None:
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(r)
+        return len(self.to) - 2
+
+    def _levels(self, start: int, end: int) -> list[int]:
+        level, queue = [-1] * len(self.out), deque([start])
+        level[start] = 0
+        while queue and level[end] < 0:
+            a = queue.popleft()
+            for e in self.out[a]:
+                if self.room[e] and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[a] + 1
+                    queue.append(self.to[e])
+        return level
+
+    def fill(self, start: int, end: int) -> None:
+        """Add to the flow until it is the largest."""
+        while (level := self._levels(start, end))[end] >= 0:
+            next_, path, at = [0] * len(self.out), [], start
+            while True:
+                if at == end:
+                    sent = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= sent
+                        self.room[e ^ 1] += sent
+                    full = next(i for i, e in enumerate(path) if not self.room[e])
+                    at = self.to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                arcs = self.out[at]
+                while next_[at] < len(arcs) and not (self.room[arcs[next_[at]]] and level[self.to[arcs[next_[at]]]] == level[at] + 1):
+                    next_[at] += 1
+                if next_[at] < len(arcs):
+                    path.append(arcs[next_[at]])
+                    at = self.to[path[-1]]
+                elif at == start:
+                    break
+                else:
+                    at = self.to[path.pop() ^ 1]
+                    next_[at] += 1
+
+
+def min_cost_flow(supply: list[int], demand: list[int], member: list[tuple[int, ...]], copies: int) -> list[list[dict[int, int]]]:
     """flow[pattern][copy][quota]: fills the quotas as far as the patterns can, at the least repetition cost.
 
-    Successive shortest paths with potentials. Nodes: start, patterns, quotas, end; copy c of a pattern has the
-    pattern's whole supply as capacity and costs copy_cost[c] a token.
+    Nodes: start, patterns, quotas, end. Each copy of a pattern has its whole supply as capacity and costs more a token
+    than the copies before, whatever the pattern. A cheapest augmenting path leaves the start by the cheapest copies that
+    still have room and costs nothing more on its way, so the flow of least cost is a largest flow with one copy, added to
+    until it is a largest one with two, and so on.
     """
-    n, m, copies = len(supply), len(demand), len(copy_cost)
-    end, graph = 1 + n + m, [[] for _ in range(2 + n + m)]
-
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        graph[a].append(Arc(b, room, cost, len(graph[b])))
-        graph[b].append(Arc(a, 0, -cost, len(graph[a]) - 1))
-
-    for p in range(n):
-        for c in range(copies):
-            arc(0, 1 + p, supply[p], copy_cost[c])
-        for q in member[p]:
-            arc(1 + p, 1 + n + q, supply[p] * copies, 0)
+    n, m = len(supply), len(demand)
+    net, end = Network(2 + n + m), 1 + n + m
+    first = [net.arc(0, 1 + p, 0) for p in range(n)]
+    serves = [[(q, net.arc(1 + p, 1 + n + q, supply[p] * copies)) for q in member[p]] for p in range(n)]
     for q in range(m):
-        arc(1 + n + q, end, demand[q], 0)
-    height = [0] * len(graph)
-    while True:
-        far, via, heap = [float("inf")] * len(graph), [None] * len(graph), [(0, 0)]
-        far[0] = 0
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for i, x in enumerate(graph[a]):
-                if x.room > 0 and (e := d + x.cost + height[a] - height[x.to]) < far[x.to]:
-                    far[x.to], via[x.to] = e, (a, i)
-                    heapq.heappush(heap, (e, x.to))
-        if via[end] is None:
-            break
-        height = [h + (f if f < float("inf") else 0) for h, f in zip(height, far, strict=True)]
-        path, at = [], end
-        while at:
-            a, i = via[at]
-            path.append((a, i))
-            at = a
-        sent = min(graph[a][i].room for a, i in path)
-        for a, i in path:
-            x = graph[a][i]
-            x.room -= sent
-            graph[x.to][x.back].room += sent
+        net.arc(1 + n + q, end, demand[q])
+    for _ in range(copies):
+        for p in range(n):
+            net.room[first[p]] += supply[p]
+        net.fill(0, end)
     flow = []
     for p in range(n):
-        out = {q: graph[x.to][x.back].room for x in graph[1 + p] if x.to > n and (q := x.to - 1 - n) in member[p]}
-        parts = []
+        out, parts = {q: net.room[e ^ 1] for q, e in serves[p]}, []
         for _ in range(copies):  # cheapest copies fill first, whatever quota they serve
             room, part = supply[p], {}
-            for q in list(out):
+            for q in out:
                 if take := min(room, out[q]):
                     part[q], out[q], room = take, out[q] - take, room - take
             parts.append(part)
@@ -117,52 +134,65 @@ def place(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: int = SEED, max_patterns: int = 100_000) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the document).
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: int = SEED, names: tuple[str, ...] = ADDED) -> DataFrame:
+    """docs with the document's size, its sources' size and target, and how often the mix takes the document, under names.
 
     members: an array of the sources to which a document may be counted; by default only its own.
     """
     spark = docs.sparkSession
     own = F.array(F.col(source_col).cast("string")) if members is None else members
-    size, pattern, at = free_name(docs, "mix_size", "mix_pattern", "mix_at")
-    # xxhash64 of the set names a pattern on either side of the joins below; null sources have a mark of their own.
+    size, pattern, at, key, bounds, target, source_size = free_name(docs, "size", "pattern", "at", "key", "bounds", "target", "source_size")
+    # Null sources have a mark of their own.
     named = F.array_sort(F.array_distinct(F.transform(own, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~")))))
-    sized = docs.withColumn(size, words_in(F.col(text_col))).withColumn(pattern, named).withColumn(at, place(F.col(id_col), seed))
-    slice_of = F.floor(F.col(at) / (2**52 // SLICES)).cast("int")
-    slices = sized.groupBy(F.col(pattern).alias("pattern"), slice_of.alias("slice")).agg(F.sum(size).alias("words"))
-    sums = slices.groupBy("pattern").agg(F.sum("words").alias("words")).limit(max_patterns + 1).collect()
-    if len(sums) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+    measures = {size: words_in(F.col(text_col)), pattern: F.coalesce(named, F.array().cast("array<string>")), at: place(F.col(id_col), seed)}
+    slice_of = F.floor(F.col("at") / (2**52 // SLICES)).cast("int")
+    sized = cut(docs.select(*(c.alias(n) for c, n in zip(measures.values(), ("words", "pattern", "at"), strict=True))).withColumn("slice", slice_of))
+    slices = cut(sized.groupBy("pattern", "slice").agg(F.sum("words").alias("words")))
+    sums = [r for r in slices.groupBy("pattern").agg(F.sum("words").alias("words")).collect() if r.pattern]
     sources = sorted({s for r in sums for s in r.pattern})
+    number = {s: i for i, s in enumerate(sources)}
     # A source's size counts each document once, shared evenly where it may be counted to several.
-    sizes = {s: sum(r.words // len(r.pattern) for r in sums if s in r.pattern) for s in sources}
-    real = {None if s == "~" else s[1:]: n for s, n in sizes.items()}
-    targets = source_targets(real, weights, share, max_copies)
+    sizes = dict.fromkeys(sources, 0)
+    for r in sums:
+        for s in r.pattern:
+            sizes[s] += r.words // len(r.pattern)
+    targets = source_targets({None if s == "~" else s[1:]: n for s, n in sizes.items()}, weights, share, max_copies)
     by_name = {("~" if s is None else f"s{s}"): t for s, t in targets.items()}
-    flow = min_cost_flow([r.words for r in sums], [round(by_name[s]) for s in sources], [tuple(sources.index(s) for s in r.pattern) for r in sums], [c * c for c in range(max_copies)])
+    flow = min_cost_flow([r.words for r in sums], [round(by_name[s]) for s in sources], [tuple(number[s] for s in r.pattern) for r in sums], max_copies)
     wanted = [(r.pattern, c, sum(part.values())) for r, parts in zip(sums, flow, strict=True) for c, part in enumerate(parts)]
-    schema = "pattern array<string>, copy int, wanted long"
-    quota = spark.createDataFrame(wanted, schema) if wanted else spark.createDataFrame([], schema)
+    quota = spark.createDataFrame(wanted, "pattern array<string>, copy int, wanted long")
     # The slice in which a flow ends: at most SLICES rows a pattern are ordered here, whatever the number of documents.
     upto = slices.join(quota, "pattern").withColumn("before", F.coalesce(F.sum("words").over(W.partitionBy("pattern", "copy").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    cuts = upto.groupBy("pattern", "copy", "wanted").agg(F.max(F.when(F.col("before") + F.col("words") <= F.col("wanted"), F.col("slice"))).alias("whole"), F.min(F.when(F.col("before") + F.col("words") > F.col("wanted"), F.struct("slice", "before"))).alias("part"))
-    last = cuts.select("pattern", "copy", "wanted", F.col("part.slice").alias("slice"), F.col("part.before").alias("before")).where("slice IS NOT NULL")
-    inside = sized.select(F.col(pattern).alias("pattern"), F.col(at).alias("at"), F.col(size).alias("words"), slice_of.alias("slice")).where("words > 0").groupBy("pattern", "slice", "at").agg(F.sum("words").alias("words"))
+    cuts = upto.groupBy("pattern", "copy", "wanted").agg(F.min(F.when(F.col("before") + F.col("words") > F.col("wanted"), F.struct("slice", "before"))).alias("part"))
+    last = cut(cuts.select("pattern", "copy", "wanted", F.col("part.slice").alias("slice"), F.col("part.before").alias("before")).where("slice IS NOT NULL"))
+    # Of all documents, only those of such slices move: one in SLICES, or so.
+    inside = sized.where("words > 0").join(F.broadcast(last), ["pattern", "slice"]).groupBy("pattern", "copy", "wanted", "before", "at").agg(F.sum("words").alias("words"))
     run = W.partitionBy("pattern", "copy").orderBy("at")
-    ends = inside.join(F.broadcast(last), ["pattern", "slice"]).withColumn("sum", F.col("before") + F.sum("words").over(run.rowsBetween(W.unboundedPreceding, 0)))
+    ends = inside.withColumn("sum", F.col("before") + F.sum("words").over(run.rowsBetween(W.unboundedPreceding, 0)))
     # A document stays in if at least half of it lies within the flow.
     ends = ends.where("sum - words / 2.0 <= wanted").groupBy("pattern", "copy").agg(F.max("at").alias("last_at"))
-    limits = last.join(ends, ["pattern", "copy"], "left").select("pattern", "copy", "slice", "last_at")
-    limits = quota.join(limits, ["pattern", "copy"], "left")
+    limits = quota.join(last.select("pattern", "copy", "slice"), ["pattern", "copy"], "left").join(ends, ["pattern", "copy"], "left")
     # One row a pattern: up to which place its documents are taken, copy by copy.
     bound = F.when(F.col("wanted") == 0, F.lit(-1)).when(F.col("slice").isNull(), F.lit(2**52)).otherwise(F.coalesce("last_at", F.col("slice").cast("long") * (2**52 // SLICES) - 1)).cast("long")
     limits = limits.groupBy("pattern").agg(F.array_agg(bound).alias("bounds"))
-    names = [(r.pattern, [by_name[s] for s in r.pattern], sum(sizes[s] for s in r.pattern)) for r in sums]
-    stats = spark.createDataFrame(names, "pattern array<string>, targets array<double>, source_size long") if names else spark.createDataFrame([], "pattern array<string>, targets array<double>, source_size long")
-    facts = limits.join(stats, "pattern").select(F.col("pattern").alias("__pattern"), "bounds", F.aggregate("targets", F.lit(0.0), lambda a, x: a + x).alias("target"), "source_size")
-    joined = sized.join(F.broadcast(facts), F.col(pattern) == F.col("__pattern"))
-    copies = F.when(F.col(size) == 0, F.lit(0)).otherwise(F.size(F.filter("bounds", lambda b: b >= F.col(at)))).cast("int")
-    return joined.select(*docs.columns, F.col(size).alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.alias("mix_copies"))
+    facts = [(r.pattern, float(sum(by_name[s] for s in r.pattern)), sum(sizes[s] for s in r.pattern)) for r in sums]
+    facts_ = spark.createDataFrame(facts, "pattern array<string>, target double, source_size long").join(limits, "pattern")
+    facts_ = facts_.select(F.col("pattern").alias(key), F.col("bounds").alias(bounds), F.col("target").alias(target), F.col("source_size").alias(source_size))
+    joined = docs.withColumns(measures).join(F.broadcast(facts_), F.col(pattern) == F.col(key), "left")
+    copies = F.when((F.col(size) == 0) | F.col(bounds).isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col(bounds), lambda b: b >= F.col(at)))).cast("int")
+    added = (F.col(size), F.coalesce(source_size, F.lit(0).cast("long")), F.coalesce(target, F.lit(0.0)), copies)
+    taken = {n.lower() for n in names}
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken), *(c.alias(n) for c, n in zip(added, names, strict=True)))
+
+
+def mixed(docs: DataFrame, **how: object) -> DataFrame:
+    """docs' rows, each as often as the mix takes it."""
+    names = free_name(docs, *ADDED)
+    every = mix(docs, names=tuple(names), **how)
+    return every.withColumn(names[3], F.explode(F.array_repeat(F.lit(1), F.col(names[3])))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
