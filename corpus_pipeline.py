@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanforge.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from spanforge.llm.common import documents, shared_checkpoints, table
@@ -34,8 +33,7 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    counted = mixing.mix(docs)
-    return counted.withColumn("mix_copies", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
