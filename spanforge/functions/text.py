@@ -118,6 +118,11 @@ def short_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/\\]*$", 0)
 
 
+def short(path: str) -> str:
+    """short_name() of a collected path."""
+    return path.replace("\\", "/").rsplit("/", 1)[-1]
+
+
 def tool_name(text: Column) -> Column:
     return F.regexp_extract(F.trim(text), r"^\S+", 0)
 
@@ -143,13 +148,27 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_cosine(a: Column, b: Column) -> Column:
-    """Of the two texts' trigram counts; case counts."""
-    ta, tb = trigrams(a), trigrams(b)
-    many = lambda of, t: F.size(F.filter(of, lambda x: x == t))
-    dot = F.aggregate(F.array_intersect(ta, tb), F.lit(0.0), lambda s, t: s + many(ta, t) * many(tb, t))
-    norm = lambda t: F.sqrt(F.aggregate(F.array_distinct(t), F.lit(0.0), lambda s, x: s + F.pow(many(t, x), F.lit(2))))
-    both = norm(ta) * norm(tb)
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).when((F.size(ta) == 0) | (F.size(tb) == 0), 1.0).otherwise(dot / both)
+    """Of the two texts' trigram counts; case counts. Trigrams are sorted once and counted by their runs' ends, so time grows
+    little faster than length."""
+
+    def counts(text: Column) -> Column:
+        """A map of trigrams to counts, from a sorted array: a run ends where the next one differs. Nothing that is in a
+        lambda function refers to a whole array, which would be made anew for each element."""
+        t = F.array_sort(trigrams(text))
+        last = F.zip_with(t, F.slice(t, 2, F.size(t)), lambda x, y: F.when(~x.eqNullSafe(y), x))
+        ends = F.filter(F.transform(last, lambda x, i: F.struct(x.alias("g"), i.alias("i"))), lambda x: x["g"].isNotNull())
+        before = F.concat(F.array(F.lit(-1)), F.transform(ends, lambda x: x["i"]))
+        sized = F.zip_with(ends, before, lambda x, p: F.struct(x["g"].alias("key"), (x["i"] - p).cast("double").alias("value")))
+        return F.map_from_entries(F.filter(sized, lambda x: x["key"].isNotNull()))
+
+    def square(m: Column) -> Column:
+        return F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x * x)
+
+    ca, cb = counts(a), counts(b)
+    both = F.map_zip_with(ca, cb, lambda _, x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0)))
+    dot = F.aggregate(F.map_values(both), F.lit(0.0), lambda s, x: s + x)
+    few = (F.length(a) < 3) | (F.length(b) < 3)
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).when(few, 1.0).otherwise(dot / F.sqrt(F.greatest(square(ca) * square(cb), F.lit(1.0))))
 
 
 def code_density(text: Column) -> Column:
@@ -166,6 +185,18 @@ def count_confidence(text: Column, method: Column) -> Column:
     return F.when(method == "api", base).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - code_density(text) * 0.15)))
 
 
+def count_tokens(text: Column, phase: Column, multiplier: Column | None = None, counted: Column | None = None) -> Column:
+    """struct: tokens, confidence and method: counted elsewhere where that is known, else by characters a token (where that
+    is positive), else by the phase's; an empty text has none, surely."""
+    size, none = F.length(text), F.coalesce(F.length(text) == 0, F.lit(True))
+    known = F.lit(False) if counted is None else counted.isNotNull()
+    fitted = F.lit(False) if multiplier is None else F.coalesce(multiplier > 0, F.lit(False))
+    method = F.when(none, "heuristic").when(known, "api").when(fitted, "calibrated").otherwise("heuristic")
+    by_fit = F.lit(0) if multiplier is None else F.bround(size / F.when(multiplier > 0, multiplier).otherwise(1.0))
+    tokens = F.when(none, 0).when(known, F.lit(0) if counted is None else counted).when(fitted, by_fit).otherwise(phase_tokens(text, phase)).cast("long")
+    return F.struct(tokens.alias("tokens"), F.when(none, 1.0).otherwise(count_confidence(text, method)).alias("confidence"), method.alias("method"))
+
+
 def keyword_overlap(text: Column, keywords: Column) -> Column:
     low = F.lower(text)
     return F.when(F.size(keywords) == 0, 0.0).otherwise(F.size(F.filter(keywords, lambda k: F.contains(low, k))) / F.size(keywords))
@@ -189,5 +220,10 @@ def band(ter: Column) -> Column:
     return F.when(ter >= 0.7, "green").when(ter >= 0.4, "yellow").otherwise("red")
 
 
+def band_of(ter: float) -> str:
+    """band() of a collected value."""
+    return "green" if ter >= 0.7 else "yellow" if ter >= 0.4 else "red"
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)

@@ -21,9 +21,14 @@ def safe(a: Column, b: Column, otherwise: float = 0.0) -> Column:
     return F.when(b == 0, otherwise).otherwise(a / F.when(b == 0, 1).otherwise(b))
 
 
-def usage(messages: DataFrame) -> DataFrame:
-    """Assistant messages' sums, cache rate, output ratio and cost at the mid model's rates."""
-    r = RATES["sonnet"]
+def rates_of(model: str | dict[str, float]) -> dict[str, float]:
+    """A model's rates by its name, or rates as they are given."""
+    return RATES[model] if isinstance(model, str) else model
+
+
+def usage(messages: DataFrame, model: str | dict[str, float] = "sonnet") -> DataFrame:
+    """Assistant messages' sums, cache rate, output ratio and cost."""
+    r = rates_of(model)
     names = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")
     out = messages.where("role = 'assistant'").groupBy("session_id").agg(*(F.sum(F.coalesce(n, F.lit(0))).alias(n) for n in names))
     i, o, w, c = (F.col(n) for n in names)
@@ -44,33 +49,77 @@ def growth(messages: DataFrame, least: int = 100) -> DataFrame:
     return out.select("session_id", "turns", rate.alias("growth_rate"), F.coalesce(more, F.lit(False)).alias("super_linear"), (F.coalesce(more, F.lit(False)) & (rate > 2)).alias("bloat"))
 
 
-def waste_cost(spans: DataFrame, billed: DataFrame) -> DataFrame:
+def waste_cost(spans: DataFrame, billed: DataFrame, model: str | dict[str, float] = "sonnet") -> DataFrame:
     """Assistant waste at output rates, scaled from estimated to billed tokens. billed: session_id, output_tokens."""
     own = F.col("source_role") == "assistant"
     sums = spans.groupBy("session_id").agg(F.sum(F.when(own, F.col("token_count")).otherwise(0)).alias("estimated"), F.sum(F.when(own & ~F.col("aligned"), F.col("token_count")).otherwise(0)).alias("waste"))
     both = sums.join(billed.select("session_id", "output_tokens"), "session_id")
     ratio = F.when((F.col("estimated") == 0) | (F.col("output_tokens") == 0), 1.0).otherwise(F.col("output_tokens") / F.when(F.col("estimated") == 0, 1).otherwise(F.col("estimated")))
-    return both.select("session_id", F.round(ratio, 4).alias("calibration"), F.round(F.col("waste") * ratio * RATES["sonnet"]["output"] / 1e6, 6).alias("waste_cost_usd"))
-
-
-def cost_weighted(spans: DataFrame, model: str = "sonnet") -> DataFrame:
-    """Aligned dollars over all dollars; every span at output rates, rounded to six digits."""
-    cost = F.round(F.col("token_count") * RATES[model]["output"] / 1e6, 6)
-    sums = spans.withColumn("cost", cost).groupBy("session_id").agg(F.sum("cost").alias("total"), F.sum(F.when(F.col("aligned"), F.col("cost")).otherwise(0.0)).alias("good"))
-    return sums.select("session_id", F.round(safe(F.col("good"), F.col("total"), 1.0), 4).alias("cost_weighted_ter"), F.round("total", 6).alias("total_cost_usd"), F.round(F.col("total") - F.col("good"), 6).alias("waste_cost_usd"))
+    return both.select("session_id", F.round(ratio, 4).alias("calibration"), F.round(F.col("waste") * ratio * rates_of(model)["output"] / 1e6, 6).alias("waste_cost_usd"))
+
+
+def _rate(spans: DataFrame, rates: dict[str, float]) -> Column:
+    """A span's rate: that of its category, where it names one, else the output rate; thinking is output."""
+    if "category" not in spans.columns:
+        return F.lit(rates["output"])
+    known = F.create_map(*(F.lit(x) for k, v in (rates | {"thinking": rates["output"]}).items() for x in (k, v)))
+    return F.coalesce(F.element_at(known, F.col("category")), F.lit(rates["output"]))
+
+
+def cost_weighted(spans: DataFrame, model: str | dict[str, float] = "sonnet", cached: DataFrame | None = None) -> DataFrame:
+    """Aligned dollars over all dollars. cached: session_id, cache_read_tokens, cache_creation_tokens; their dollars count
+    on both sides."""
+    rates = rates_of(model)
+    cost = F.col("token_count").cast("decimal(18,0)") * _rate(spans, rates).cast("decimal(14,6)")
+    sums = spans.withColumn("cost", cost).groupBy("session_id").agg(F.sum("cost").alias("total"), F.sum(F.when(F.col("aligned"), F.col("cost")).otherwise(F.lit(0))).alias("good"))
+    if cached is not None:
+        more = F.coalesce("cache_read_tokens", F.lit(0)) * rates["cached_read"] + F.coalesce("cache_creation_tokens", F.lit(0)) * rates["cached_write"]
+        sums = sums.join(cached.select("session_id", "cache_read_tokens", "cache_creation_tokens"), "session_id", "left").withColumn("more", more)
+        sums = sums.withColumn("total", F.col("total").cast("double") + F.col("more")).withColumn("good", F.col("good").cast("double") + F.col("more"))
+    total, good = F.col("total").cast("double") / 1e6, F.col("good").cast("double") / 1e6
+    return sums.select("session_id", F.round(safe(good, total, 1.0), 4).alias("cost_weighted_ter"), F.round(total, 6).alias("total_cost_usd"), F.round(total - good, 6).alias("waste_cost_usd"))
+
+
+def phase_costs(spans: DataFrame, model: str | dict[str, float] = "sonnet") -> DataFrame:
+    """(session_id, phase, cost_usd, waste_cost_usd): sums of spans' costs, each rounded to six digits."""
+    cost = F.round(F.col("token_count") / 1e6 * _rate(spans, rates_of(model)), 6).cast("decimal(18,6)")
+    sums = spans.withColumn("cost", cost).groupBy("session_id", "phase").agg(F.sum("cost").alias("c"), F.sum(F.when(~F.col("aligned"), F.col("cost")).otherwise(F.lit(0))).alias("w"))
+    return sums.select("session_id", "phase", F.col("c").cast("double").alias("cost_usd"), F.round(F.col("w").cast("double"), 6).alias("waste_cost_usd"))
+
+
+def cost_report(spans: DataFrame, density: DataFrame, model: str = "sonnet", cached: DataFrame | None = None) -> DataFrame:
+    """By session: cost_weighted(), phases (name, cost, waste), savings by other models, and advice.
+
+    density: session_id, density, redundancy. Advice names dear waste, the dearest phase, repetitive and thin text, and
+    cheaper models where little is wasted."""
+    own = cost_weighted(spans, model, cached)
+    phases = phase_costs(spans, model)
+    listed = phases.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("phase", "cost_usd", "waste_cost_usd"))).alias("phases"), F.min(F.struct((-F.col("waste_cost_usd")).alias("x"), "phase")).alias("worst"))
+    others = alternatives(spans, model).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("model", "saving_usd"))).alias("savings"))
+    out = own.join(listed, "session_id").join(others, "session_id").join(density.select("session_id", "density", "redundancy"), "session_id", "left")
+    usd = lambda c: F.concat(F.lit("$"), F.format_number(c, 4))
+    rules = F.array(
+        F.when(F.col("waste_cost_usd") > 0.01, F.concat(F.lit("waste costs "), usd(F.col("waste_cost_usd")))),
+        F.when(F.col("worst.x") < 0, F.concat(F.lit("most waste is in "), F.col("worst.phase"), F.lit(": "), usd(-F.col("worst.x")))),
+        F.when(F.col("redundancy") > 0.3, F.lit("text is repetitive: shorten prompts")),
+        F.when(F.col("density") < 0.3, F.lit("text is thin: much of it is filler")),
+    )
+    cheaper = F.transform(F.filter("savings", lambda s: (s["saving_usd"] > 0) & (F.col("cost_weighted_ter") > 0.7)), lambda s: F.concat(s["model"], F.lit(" would save "), usd(s["saving_usd"])))
+    return out.select(*own.columns, "phases", "savings", F.concat(F.array_compact(rules), cheaper).alias("advice"))
 
 
 def alternatives(spans: DataFrame, model: str = "sonnet") -> DataFrame:
-    """What every other model would save: a broadcast of two rows, summed once."""
+    """What every other model would save on the spans: summed once, and told for each other model."""
     tokens = spans.groupBy("session_id").agg(F.sum("token_count").alias("tokens"))
     others = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(r["output"]).alias("rate")) for m, r in RATES.items() if m != model))
     each = tokens.select("session_id", "tokens", F.explode(others).alias("o"))
     return each.select("session_id", F.col("o.model").alias("model"), F.round(F.col("tokens") * (RATES[model]["output"] - F.col("o.rate")) / 1e6, 6).alias("saving_usd"))
 
 
-def waste_breakdown(labelled: DataFrame, found: DataFrame) -> DataFrame:
+def waste_breakdown(labelled: DataFrame, found: DataFrame, model: str | dict[str, float] = "sonnet", calibration: DataFrame | None = None) -> DataFrame:
     """Waste by source: assistant waste by category at output rates, the user's side at input rates, and patterns, of
-    which those that a category already counts are left out."""
+    which those that a category already counts are left out. calibration: session_id, calibration; what is priced as
+    output is scaled by it."""
     bad = labelled.where(~F.col("aligned"))
     category = F.when(F.col("source_role") != "assistant", "user_side").otherwise(F.col("label"))
     rows = bad.groupBy("session_id", category.alias("source")).agg(F.sum("token_count").alias("tokens"), F.count(F.lit(1)).alias("n"))
@@ -82,8 +131,12 @@ def waste_breakdown(labelled: DataFrame, found: DataFrame) -> DataFrame:
     left = by.join(rows.select("session_id", F.col("source").alias("same")), ["session_id", "same"], "left_anti").select("session_id", F.col("pattern_type").alias("source"), "tokens", "n")
     out = rows.unionByName(left)
     cheap = F.col("source").isin("user_side", "repetitive_read", "bash_antipattern", "failed_tool_retry", "repeated_command")
-    rate = F.when(cheap, RATES["sonnet"]["input"]).otherwise(RATES["sonnet"]["output"])
-    return out.select("session_id", "source", "tokens", "n", F.when(cheap, "input").otherwise("output").alias("pricing"), F.round(F.col("tokens") * rate / 1e6, 6).alias("cost_usd"))
+    rates = rates_of(model)
+    scale = F.lit(1.0)
+    if calibration is not None:
+        out, scale = out.join(calibration.select("session_id", "calibration"), "session_id", "left"), F.coalesce("calibration", F.lit(1.0))
+    cost = F.when(cheap, F.col("tokens") * rates["input"]).otherwise(F.col("tokens") * scale * rates["output"])
+    return out.select("session_id", "source", "tokens", "n", F.when(cheap, "input").otherwise("output").alias("pricing"), F.round(cost / 1e6, 6).alias("cost_usd"))
 
 
 def adjustments(history: DataFrame) -> DataFrame:
@@ -99,6 +152,11 @@ def adjustments(history: DataFrame) -> DataFrame:
     return sums.select("complexity", "n", F.when(few, 1.0).otherwise(factor(F.col("thinking"), thinking)).alias("thinking_multiplier"), F.when(few, 1.0).otherwise(factor(F.col("total"), total)).alias("total_multiplier"), other.alias("model_override"), F.round(F.when(few, F.col("n") / 5).otherwise(F.least(F.lit(1.0), F.col("n") / 20)), 3).alias("data_confidence"))
 
 
+def budget_summary(history: DataFrame) -> DataFrame:
+    """By tier: how many past sessions, their average efficiency, thinking tokens and tokens, whole numbers cut."""
+    return history.groupBy("complexity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ter"), 4).alias("avg_ter"), F.floor(F.avg("thinking_tokens")).cast("long").alias("avg_thinking_tokens"), F.floor(F.avg("total_tokens")).cast("long").alias("avg_total_tokens"))
+
+
 def recommend(tasks: DataFrame, adjusted: DataFrame | None = None) -> DataFrame:
     """tasks: tier, confidence and keys; adds model, thinking and total tokens, cost."""
     of = lambda i: F.create_map(*(F.lit(x) for t, v in TIERS.items() for x in (t, v[i])))

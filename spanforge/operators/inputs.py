@@ -1,4 +1,4 @@
-"""Prompts and responses. Prompts: session_id, prompt_index, text; vectors: session_id, prompt_index, bucket, weight."""
+"""Prompts and responses. Prompts: session_id, prompt_index, text."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanforge.operators import similar
+
 
 def token_breakdown(blocks: DataFrame) -> DataFrame:
     """Tokens by origin over raw block text (0 where there is none). blocks: role, block_type, text."""
@@ -23,26 +25,16 @@ def token_breakdown(blocks: DataFrame) -> DataFrame:
     return out.withColumn("user_ratio", F.round(F.when(all_ == 0, 0.0).otherwise(mine / F.when(all_ == 0, 1).otherwise(all_)), 4))
 
 
-def prompt_pairs(vectors: DataFrame) -> DataFrame:
-    """(session_id, i, j, similarity) of a session's prompts, i < j, that share a bucket."""
-    a, b = vectors.alias("a"), vectors.alias("b")
-    met = a.join(b, (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.prompt_index") < F.col("b.prompt_index")))
-    return met.groupBy(F.col("a.session_id").alias("session_id"), F.col("a.prompt_index").alias("i"), F.col("b.prompt_index").alias("j")).agg(F.round(F.sum(F.col("a.weight") * F.col("b.weight")), 4).alias("similarity"))
-
-
 def redundancy(prompts: DataFrame, pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Share of a session's prompts that are like another one."""
+    """Share of a session's prompts that are like another one. pairs: as similar.pairs() has them."""
     like = pairs.where(F.col("similarity") >= threshold).select("session_id", F.explode(F.array("i", "j")).alias("prompt_index")).distinct().groupBy("session_id").agg(F.count(F.lit(1)).alias("like"))
     n = prompts.groupBy("session_id").agg(F.count(F.lit(1)).alias("prompts"))
     return n.join(like, "session_id", "left").select("session_id", "prompts", F.round(F.coalesce("like", F.lit(0)) / F.col("prompts"), 4).alias("redundancy"))
 
 
-def drift_steps(prompts: DataFrame, vectors: DataFrame) -> DataFrame:
+def drift_steps(prompts: DataFrame) -> DataFrame:
     """Similarity of each prompt to the one before it, and its direction."""
-    nxt = vectors.select("session_id", (F.col("prompt_index") + 1).alias("prompt_index"), "bucket", F.col("weight").alias("w"))
-    s = vectors.join(nxt, ["session_id", "prompt_index", "bucket"]).groupBy("session_id", "prompt_index").agg(F.sum(F.col("weight") * F.col("w")).alias("s"))
-    steps = prompts.where("prompt_index > 0").select("session_id", "prompt_index").join(s, ["session_id", "prompt_index"], "left").withColumn("similarity", F.round(F.coalesce("s", F.lit(0.0)), 4)).drop("s")
-    return steps.withColumn("direction", F.when(F.col("similarity") >= 0.6, "convergent").when(F.col("similarity") <= 0.4, "divergent").otherwise("evolving"))
+    return similar.steps(prompts).withColumn("direction", F.when(F.col("similarity") >= 0.6, "convergent").when(F.col("similarity") <= 0.4, "divergent").otherwise("evolving"))
 
 
 def trajectory(steps: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
-"""Intents of a session's prompts: sliding segments, and a hierarchy of one high intent and its parts."""
+"""Intents of a session's prompts: the whole, sliding segments, or a hierarchy of one high intent and its parts.
+
+A strategy takes prompts (session_id, prompt_index, text) and gives intents: session_id, part, text, confidence,
+prompts. Part 0 of a hierarchy is the high intent."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
+from spanforge.operators import similar
 
 
 def sliding(prompts: DataFrame, similarity: DataFrame, threshold: float = 0.45, most: int = 5) -> DataFrame:
@@ -35,12 +41,66 @@ def segment_intents(prompts: DataFrame, segments: DataFrame) -> DataFrame:
     return joined.groupBy("session_id", "segment").agg(F.concat_ws(" ", texts).alias("text"), n.alias("prompts"), F.round(F.when(n > 1, F.least(F.lit(0.95), sure + F.least(F.lit(0.1), n * 0.03))).otherwise(sure), 2).alias("confidence"))
 
 
+def whole(prompts: DataFrame) -> DataFrame:
+    """One intent a session: its weighted prompt text."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("prompt_index", "text"))), lambda t: t["text"])
+    out = prompts.groupBy("session_id").agg(listed.alias("listed"))
+    n = F.size("listed")
+    return out.select("session_id", F.lit(0).alias("part"), T.weighted_prompts(F.col("listed")).alias("text"), T.intent_confidence(F.concat_ws(" ", "listed"), n).alias("confidence"), n.alias("prompts"))
+
+
+def segments(prompts: DataFrame) -> DataFrame:
+    """One intent for each sliding segment."""
+    found = segment_intents(prompts, sliding(prompts, similar.steps(prompts)))
+    return found.select("session_id", F.col("segment").alias("part"), "text", "confidence", F.col("prompts").cast("int").alias("prompts"))
+
+
+def hierarchy(prompts: DataFrame) -> DataFrame:
+    """The first prompt as the high intent, each later one as a part of it."""
+    return prompts.select("session_id", F.col("prompt_index").cast("int").alias("part"), "text", T.intent_confidence(F.col("text"), F.lit(1)).alias("confidence"), F.lit(1).alias("prompts"))
+
+
+def goals(extract: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A strategy from a function that adds goal, steps (array) and constraints (array) to sessions' whole intents, as a
+    model outside of this engine may; where it gives no goal, the prompts themselves stay."""
+
+    def strategy(prompts: DataFrame) -> DataFrame:
+        base = whole(prompts)
+        found = extract(base).select("session_id", goal_text(F.col("goal"), F.col("steps"), F.col("constraints")).alias("goal"))
+        told = F.coalesce("goal", F.lit("")) != ""
+        return base.join(found, "session_id", "left").select("session_id", "part", F.when(told, F.col("goal")).otherwise(F.col("text")).alias("text"), F.when(told, 0.95).otherwise(F.col("confidence")).alias("confidence"), "prompts")
+
+    return strategy
+
+
+STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {"whole": whole, "sliding": segments, "hierarchical": hierarchy}
+
+
+def strategy(name: str) -> Callable[[DataFrame], DataFrame]:
+    if name not in STRATEGIES:
+        raise ValueError(f"no intent strategy {name!r}; there are {', '.join(sorted(STRATEGIES))}")
+    return STRATEGIES[name]
+
+
+def scores(spans: DataFrame, prompts: DataFrame, weight: float = 0.7) -> DataFrame:
+    """(session_id, position, score, part): spans by the hierarchy of the session's prompts. Sessions of one prompt have
+    its similarity as score, and no part."""
+    parts = hierarchy(prompts)
+    both = spans.select("session_id", "position", "text").join(parts.select("session_id", "part", F.col("text").alias("goal")), "session_id")
+    # A row for each span and intent: the pair's key carries the span's place and the part.
+    keyed = both.withColumn("pair_index", F.col("position") * 1_000_000 + F.col("part"))
+    s = similar.between(keyed, F.col("text"), F.col("goal")).select("session_id", F.floor(F.col("pair_index") / 1_000_000).cast("long").alias("position"), (F.col("pair_index") % 1_000_000).cast("int").alias("part"), "similarity")
+    return blended(s.where("part = 0"), s.where("part > 0"), weight)
+
+
 def blended(high: DataFrame, subs: DataFrame, weight: float = 0.7) -> DataFrame:
     """Span scores from the high intent's similarity and the best part's. Both: session_id, position, similarity; subs: part."""
-    best = subs.groupBy("session_id", "position").agg(F.max("similarity").alias("best"), F.max_by("part", "similarity").alias("part"))
-    return high.join(best, ["session_id", "position"], "left").select("session_id", "position", F.round(F.when(F.col("best").isNull(), F.col("similarity")).otherwise(weight * F.col("best") + (1 - weight) * F.col("similarity")), 6).alias("score"), "part")
+    # Of equally similar parts the first; the high intent (no part) where it is more similar than any.
+    best = subs.groupBy("session_id", "position").agg(F.min(F.struct((-F.col("similarity")).alias("x"), "part")).alias("top")).select("session_id", "position", (-F.col("top.x")).alias("best"), F.col("top.part").alias("best_part"))
+    score = F.when(F.col("best").isNull(), F.col("similarity")).otherwise(weight * F.col("best") + (1 - weight) * F.col("similarity"))
+    return high.join(best, ["session_id", "position"], "left").select("session_id", "position", F.round(score, 6).alias("score"), F.when(F.col("best") >= F.col("similarity"), F.col("best_part")).alias("part"))
 
 
-def goal_text(goal, steps, constraints):  # noqa: ANN001, ANN201
+def goal_text(goal: Column, steps: Column, constraints: Column) -> Column:
     """A structured goal as one text: the goal, its steps, its constraints."""
     return F.concat_ws(" ", goal, F.concat_ws(" ", steps), F.concat_ws(" ", constraints))

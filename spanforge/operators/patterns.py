@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
+from spanforge.operators import similar
 from spanforge.operators.spans import islands
 
 COLUMNS = ("session_id", "pattern_type", "start_position", "end_position", "spans_involved", "tokens_wasted", "detail")
@@ -54,13 +55,10 @@ def duplicate_calls(calls: DataFrame, window: int = 5) -> DataFrame:
     return _as(found, "duplicate_tool_call", F.col("first"), F.col("position"), F.lit(2), F.col("token_count"), F.col("signature"))
 
 
-def restatements(spans: DataFrame, vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """A generation span that is like an earlier one; the earliest counts. Pairs meet within a session and a bucket only."""
-    rows = vectors.join(spans.where("phase = 'generation'").select("session_id", "position", "token_count"), ["session_id", "position"])
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("b.position") < F.col("a.position")))
-    pairs = met.groupBy(F.col("a.session_id").alias("session_id"), F.col("a.position").alias("position"), F.col("b.position").alias("prior")).agg(F.round(F.sum(F.col("a.weight") * F.col("b.weight")), 9).alias("s"), F.first("a.token_count").alias("token_count")).where(F.col("s") >= threshold)
-    found = pairs.groupBy("session_id", "position").agg(F.min("prior").alias("prior"), F.first("token_count").alias("token_count"))
+def restatements(spans: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """A generation span that is like an earlier one; the earliest counts."""
+    own = spans.where("phase = 'generation'")
+    found = similar.first_alike(own, threshold).join(own.select("session_id", "position", "token_count"), ["session_id", "position"])
     return _as(found, "context_restatement", F.col("position"), F.col("position"), F.lit(1), F.col("token_count"), F.col("prior"))
 
 
@@ -142,6 +140,26 @@ def together(*found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def waste_by(labelled: DataFrame) -> DataFrame:
+    """(session_id, dimension, name, tokens): wasted tokens by category (the label) and by phase."""
+    each = F.explode(F.array(F.struct(F.lit("category").alias("dimension"), F.col("label").alias("name")), F.struct(F.lit("phase").alias("dimension"), F.col("phase").alias("name"))))
+    return labelled.where("NOT aligned").select("session_id", "token_count", each.alias("x")).groupBy("session_id", "x.dimension", "x.name").agg(F.sum("token_count").alias("tokens"))
+
+
+def explanations(labelled: DataFrame, found: DataFrame) -> DataFrame:
+    """(session_id, total_tokens, waste_tokens, category, pattern, explanation): the largest category (of equal ones the
+    first by name), the dearest pattern, and both in words."""
+    totals = labelled.groupBy("session_id").agg(F.sum("token_count").alias("total_tokens"), F.sum(F.when(~F.col("aligned"), F.col("token_count")).otherwise(0)).alias("waste_tokens"))
+    category = waste_by(labelled).where("dimension = 'category'").groupBy("session_id").agg(F.min(F.struct((-F.col("tokens")).alias("t"), "name")).alias("c")).select("session_id", F.col("c.name").alias("category"), (-F.col("c.t")).alias("category_tokens"))
+    dearest = top(found, 1).select("session_id", F.col("pattern_type").alias("pattern"), F.col("tokens_wasted").alias("pattern_tokens"))
+    out = totals.join(category, "session_id", "left").join(dearest, "session_id", "left")
+    share = F.format_number(F.col("waste_tokens") * 100 / F.greatest(F.col("total_tokens"), F.lit(1)), 1)
+    n = lambda c: F.format_number(F.col(c), 0)
+    text = F.concat_ws(" ", F.concat(n("waste_tokens"), F.lit(" of "), n("total_tokens"), F.lit(" tokens ("), share, F.lit(" %) are waste.")), F.concat(F.lit("Most of it is "), F.translate("category", "_", " "), F.lit(" ("), n("category_tokens"), F.lit(").")), F.concat(F.lit("The dearest pattern is "), F.translate("pattern", "_", " "), F.lit(" ("), n("pattern_tokens"), F.lit(").")))
+    text = F.when(F.col("total_tokens") == 0, "There are no tokens.").when(F.col("waste_tokens") == 0, "No token is waste.").otherwise(text)
+    return out.select("session_id", "total_tokens", "waste_tokens", "category", "pattern", text.alias("explanation"))
+
+
 def top(found: DataFrame, k: int = 5) -> DataFrame:
     """Each session's patterns that waste most."""
     order = W.partitionBy("session_id").orderBy(F.desc("tokens_wasted"), "pattern_type", "start_position", "detail")

@@ -54,7 +54,7 @@ def density(docs: DataFrame, key: str) -> DataFrame:
     out = docs.select(key).join(total, key, "left").join(repeats, key)
     rich = F.col("unique") / n
     mix = 0.4 * rich + 0.4 * norm + 0.2 * (1 - F.col("redundancy"))
-    zero = lambda c, d=0.0: F.round(F.coalesce(F.when(n > 0, c), F.lit(d)), 4)
+    zero = lambda c, d=0.0: F.round(F.round(F.coalesce(F.when(n > 0, c), F.lit(d)), 9), 4)
     return out.select(key, zero(mix).alias("density"), zero(rich).alias("vocabulary_richness"), zero(entropy).alias("entropy"), zero(entropy / F.greatest(F.lit(1), F.floor(n / 4))).alias("avg_information"), zero(F.col("redundancy"), 1.0).alias("redundancy"))
 
 

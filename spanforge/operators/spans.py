@@ -16,28 +16,8 @@ REPETITION, REPETITION_WINDOW = 0.88, 10
 ALIGNED = ("aligned_reasoning", "aligned_tool_use", "aligned_generation")
 
 
-def repetition(spans: DataFrame, vectors: DataFrame, window: int = REPETITION_WINDOW) -> DataFrame:
-    """(session_id, position, repetition): the highest similarity to one of the same phase's previous spans.
-
-    vectors: (session_id, position, bucket, weight). Spans meet only where they share a bucket and lie within the window.
-    """
-    order = W.partitionBy("session_id", "phase").orderBy("position")
-    ranked = spans.select("session_id", "position", "phase", F.row_number().over(order).alias("nth"))
-    rows = vectors.join(ranked, ["session_id", "position"])
-    a, b = rows.alias("a"), rows.alias("b")
-    near = (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.phase") == F.col("b.phase")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.nth") > F.col("b.nth")) & (F.col("a.nth") - F.col("b.nth") <= window)
-    pairs = a.join(b, near).groupBy(F.col("a.session_id").alias("session_id"), F.col("a.position").alias("position"), F.col("b.position").alias("other")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("s"))
-    return pairs.groupBy("session_id", "position").agg(F.round(F.max("s"), 9).alias("repetition"))
-
-
-def intent_similarity(vectors: DataFrame, intents: DataFrame) -> DataFrame:
-    """(session_id, position, similarity) to the session's intent: (session_id, bucket, weight)."""
-    met = vectors.join(intents.select("session_id", "bucket", F.col("weight").alias("w")), ["session_id", "bucket"])
-    return met.groupBy("session_id", "position").agg(F.round(F.sum(F.col("weight") * F.col("w")), 9).alias("similarity"))
-
-
-def label(spans: DataFrame, similarity: DataFrame, repeated: DataFrame, threshold: float = 0.4, confidence: float = 0.75) -> DataFrame:
-    """spans with similarity, label and confidence."""
+def label(spans: DataFrame, measured: DataFrame, threshold: float = 0.4, confidence: float = 0.75) -> DataFrame:
+    """spans with similarity, label and confidence. measured: session_id, position, similarity, repetition."""
     s, r, n = F.coalesce("similarity", F.lit(0.0)), F.coalesce("repetition", F.lit(0.0)), T.n_words(F.col("text"))
     again = (r >= REPETITION) & (r >= confidence)
     held = (r >= REPETITION) & (r < confidence)
@@ -49,7 +29,7 @@ def label(spans: DataFrame, similarity: DataFrame, repeated: DataFrame, threshol
     given = F.when(again, waste).when(held, aligned).when(idle | wordy, waste).otherwise(aligned)
     sure = F.when(again | held, r).when(idle, 0.5).when(wordy, 0.4).when(F.col("phase") == "tool_use", F.greatest(F.lit(0.6), s)).otherwise(F.greatest(F.lit(0.5), s))
     keys = ["session_id", "position"]
-    return spans.join(similarity, keys, "left").join(repeated, keys, "left").select(*spans.columns, s.alias("similarity"), given.alias("label"), sure.alias("confidence"), given.startswith("aligned_").alias("aligned"))
+    return spans.join(measured, keys, "left").select(*spans.columns, s.alias("similarity"), given.alias("label"), sure.alias("confidence"), given.startswith("aligned_").alias("aligned"))
 
 
 def ter(labelled: DataFrame, by: list[str] | None = None, weights: dict[str, float] = PHASE_WEIGHTS) -> DataFrame:

@@ -5,15 +5,14 @@ All sessions are analysed at once; a session is a grouping key, and a parent wit
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.functions import vectors as V
-from spanforge.operators import economics, inputs, patterns, spans
-from spanforge.plugins import Config
+from spanforge.operators import economics, inputs, intents, patterns, similar, spans
+from spanforge.plugins import REGISTRY, Config, Registry
 from spanforge.sources import transcripts
 
 
@@ -24,45 +23,46 @@ class Analysis:
     spans: DataFrame
     prompts: DataFrame
     calls: DataFrame
-    vectors: DataFrame
     intents: DataFrame
     labelled: DataFrame
     results: DataFrame
     patterns: DataFrame
     economics: DataFrame
+    breakdown: DataFrame
+
+    def persist(self) -> Analysis:
+        """Keep what several reports read, so that transcripts are parsed and compared once."""
+        for f in fields(self):
+            if f.name in ("messages", "blocks", "labelled", "patterns"):
+                getattr(self, f.name).persist()
+        return self
 
 
 def intents_of(prompts: DataFrame) -> DataFrame:
     """(session_id, text, confidence, prompts): a session's weighted prompt text."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("prompt_index", "text"))), lambda t: t["text"])
-    out = prompts.groupBy("session_id").agg(listed.alias("prompts"))
-    text = T.weighted_prompts(F.col("prompts"))
-    return out.select("session_id", text.alias("text"), T.intent_confidence(F.concat_ws(" ", "prompts"), F.size("prompts")).alias("confidence"), F.size("prompts").alias("prompts"))
+    return intents.whole(prompts).drop("part")
 
 
-def label(found: DataFrame, intents: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """Labelled spans, and the spans' vectors."""
-    vectors = V.trigram_rows(found, ["session_id", "position"])
-    of_intents = V.trigram_rows(intents, ["session_id"])
-    return spans.label(found, spans.intent_similarity(vectors, of_intents), spans.repetition(found, vectors), config.similarity, config.confidence), vectors
+def label(found: DataFrame, goals: DataFrame, config: Config = Config()) -> DataFrame:
+    """Labelled spans."""
+    return spans.label(found, similar.neighbours(found, goals, spans.REPETITION_WINDOW), config.similarity, config.confidence)
 
 
-def transcripts_at(spark: SparkSession, path: str | list[str], config: Config = Config(), mode: str = "strict") -> Analysis:
-    msgs = transcripts.messages(transcripts.parse_entries(transcripts.read_lines(spark, path), mode))
-    blks = transcripts.blocks(msgs)
-    found = transcripts.spans(blks)
-    prompts = transcripts.prompts(blks)
-    calls = transcripts.calls(blks)
-    intents = intents_of(prompts)
-    labelled, vectors = label(found, intents, config)
-    results = spans.ter(labelled, weights=dict(zip(spans.PHASES, config.weights, strict=True)))
+def operations(found: DataFrame) -> DataFrame:
+    """Calls that read or write a file, with their spans' places and tokens."""
+    calls = found.where("block_type = 'tool_use'").withColumn("file", T.file_path(F.col("parameters"))).where("file IS NOT NULL")
+    return calls.select("session_id", "position", "file", F.col("tool").isin("Edit", "Write").alias("is_write"), F.col("tool").isin("Read", "cat").alias("is_read"), "token_count")
+
+
+def detect(found: DataFrame, labelled: DataFrame, blks: DataFrame, calls: DataFrame, config: Config, registry: Registry) -> DataFrame:
+    """All patterns, those of registered detectors too."""
     signatures = found.where("block_type = 'tool_use'").withColumn("signature", F.trim("text"))
     tool_results = blks.where("block_type = 'tool_result'").select("session_id", "position", "tool_use_id", "text", F.floor(F.length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("token_count"))
-    operations = calls.where("file IS NOT NULL").select("session_id", "position", "file", F.col("tool").isin("Edit", "Write").alias("is_write"), F.col("tool").isin("Read", "cat").alias("is_read"), F.lit(1).cast("long").alias("token_count"))
-    wasted = patterns.together(
+    ops = operations(found)
+    return patterns.together(
         patterns.reasoning_loops(labelled),
         patterns.duplicate_calls(signatures),
-        patterns.restatements(found, vectors, config.restatement),
+        patterns.restatements(found, config.restatement),
         patterns.repeated(calls.where("tool = 'Read'"), "repetitive_read", "file"),
         patterns.edit_fragmentation(calls.where("tool IN ('Edit', 'Write') AND file IS NOT NULL").withColumn("token_count", F.lit(0).cast("long"))),
         patterns.shell_antipatterns(calls.where("tool = 'Bash'")),
@@ -70,24 +70,53 @@ def transcripts_at(spark: SparkSession, path: str | list[str], config: Config =
         patterns.repeated(calls.where("tool = 'Bash'").withColumn("plain", T.plain_command(F.col("command"))), "repeated_command", "plain"),
         patterns.permission_loops(found),
         patterns.error_spirals(found),
-        patterns.over_reading(operations),
-        patterns.abandoned(operations),
+        patterns.over_reading(ops),
+        patterns.abandoned(ops),
         patterns.verbose_thinking(found),
+        *registry.detected(labelled),
     )
-    used = economics.usage(msgs)
+
+
+def transcripts_at(spark: SparkSession, path: str | list[str], config: Config = Config(), mode: str = "strict", registry: Registry = REGISTRY) -> Analysis:
+    msgs = transcripts.messages(transcripts.parse_entries(transcripts.read_lines(spark, path), mode))
+    blks = transcripts.blocks(msgs)
+    found = registry.before(transcripts.spans(blks))
+    prompts = transcripts.prompts(blks)
+    calls = transcripts.calls(blks)
+    goals = intents_of(prompts)
+    labelled = label(found, goals, config)
+    results = registry.after(spans.ter(labelled, weights=dict(zip(spans.PHASES, config.weights, strict=True))))
+    wasted = detect(found, labelled, blks, calls, config, registry)
+    used = economics.usage(msgs, config.model)
     turns = msgs.withColumn("turn", F.col("position"))
-    costs = used.join(economics.growth(turns), "session_id", "left").join(economics.waste_cost(labelled, used), "session_id", "left").join(spans.thirds(labelled), "session_id", "left")
-    return Analysis(msgs, blks, found, prompts, calls, vectors, intents, labelled, results, wasted, costs)
+    dear = economics.waste_cost(labelled, used, config.model)
+    costs = used.join(economics.growth(turns), "session_id", "left").join(dear, "session_id", "left").join(spans.thirds(labelled), "session_id", "left")
+    return Analysis(msgs, blks, found, prompts, calls, goals, labelled, results, wasted, costs, economics.waste_breakdown(labelled, wasted, config.model, dear))
+
+
+def exchanges(a: Analysis) -> DataFrame:
+    """(session_id, pair_index, prompt, response, similarity) of prompts and the texts that answer them."""
+    texts = F.array_sort(F.collect_list(F.when((F.col("block_type") == "text") & (F.col("text") != ""), F.struct("block_seq", "text"))))
+    said = a.blocks.groupBy("session_id", "position", "role").agg(F.concat_ws(" ", F.transform(texts, lambda t: t["text"])).alias("text"))
+    told = inputs.prompt_responses(said.withColumn("is_prompt", (F.col("role") == "user") & (F.col("text") != "")))
+    return told.join(similar.between(told, F.col("prompt"), F.col("response")), ["session_id", "pair_index"])
 
 
 def input_analysis(a: Analysis, config: Config = Config()) -> dict[str, DataFrame]:
-    vectors = V.trigram_rows(a.prompts, ["session_id", "prompt_index"])
-    pairs = inputs.prompt_pairs(vectors)
-    steps = inputs.drift_steps(a.prompts, vectors)
-    return {"breakdown": inputs.token_breakdown(a.blocks), "pairs": pairs, "redundancy": inputs.redundancy(a.prompts, pairs, config.prompt_similarity), "drift": steps, "trajectory": inputs.trajectory(steps)}
+    pairs, steps, told = similar.pairs(a.prompts), inputs.drift_steps(a.prompts), exchanges(a)
+    return {
+        "breakdown": inputs.token_breakdown(a.blocks), "pairs": pairs, "similar": pairs.where(F.col("similarity") >= config.prompt_similarity), "redundancy": inputs.redundancy(a.prompts, pairs, config.prompt_similarity),
+        "drift": steps, "trajectory": inputs.trajectory(steps), "exchanges": told, "alignment": inputs.alignment(told),
+    }
+
+
+def parents(a: Analysis) -> DataFrame:
+    """(session_id, group_id): the session whose file an agent's folder is named for, or the session itself."""
+    ids = a.messages.select("session_id", "stem", "parent").distinct()
+    heads = ids.where("parent = ''").select(F.col("stem").alias("parent"), F.col("session_id").alias("head")).dropDuplicates(["parent"])
+    return ids.join(heads, "parent", "left").select("session_id", F.coalesce("head", F.nullif("parent", F.lit("")), "session_id").alias("group_id"))
 
 
 def groups(a: Analysis) -> DataFrame:
     """Parents with their agents, as one each."""
-    parents = a.messages.select("session_id", F.when(F.col("parent") == "", F.col("session_id")).otherwise(F.col("parent")).alias("group_id")).distinct()
-    return spans.group_ter(a.results.join(parents, "session_id"), "group_id")
+    return spans.group_ter(a.results.join(parents(a), "session_id"), "group_id")

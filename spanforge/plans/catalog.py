@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.functions import vectors as V
-from spanforge.operators import economics, history, inputs, intents, patterns, quality, reasoning, spans
+from spanforge.operators import economics, history, inputs, intents, patterns, quality, reasoning, similar, spans
 from spanforge.plans import analyze, views
 from spanforge.streaming import live
 
@@ -55,18 +55,18 @@ l AS (SELECT t.*, coalesce(similarity, 0) AS similarity, NOT (coalesce(repetitio
 """
 
 
-def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.label(views.turns(spark, sf), analyze.intents_of(views.prompts(spark, sf)))
 
 
 @query(LABEL_SQL + ter_sql("l"))
 def ter_by_session(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.ter(_labelled(spark, sf)[0])
+    return spans.ter(_labelled(spark, sf))
 
 
 @query(LABEL_SQL + "SELECT session_id, position, round(similarity, 6) AS similarity, CASE WHEN aligned THEN 'aligned_generation' ELSE 'over_explanation' END AS label FROM l")
 def span_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return _labelled(spark, sf)[0].select("session_id", "position", F.round("similarity", 6).alias("similarity"), "label")
+    return _labelled(spark, sf).select("session_id", "position", F.round("similarity", 6).alias("similarity"), "label")
 
 
 @query(f"WITH {views.LABELLED} " + ter_sql("labelled"))
@@ -178,7 +178,13 @@ def permission_loops(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.permission_loops(views.calls(spark, sf), least=1)
 
 
-@query()
+_GRAMS = lambda c: f"list_transform(range(1, length({c}) - 1), lambda i: substr({c}, i::INT, 3))"
+_MANY = lambda c: f"len(list_filter({_GRAMS(c)}, lambda x: x = g))"
+_SUM = lambda c, a, b: f"list_sum(list_transform(list_distinct({_GRAMS(c)}), lambda g: {_MANY(a)} * {_MANY(b)}))::DOUBLE"
+_ALIKE = f"CASE WHEN p0 = parameters THEN 1.0 WHEN p0 = '' OR parameters = '' THEN 0.0 WHEN length(p0) < 3 OR length(parameters) < 3 THEN 1.0 ELSE {_SUM('p0', 'p0', 'parameters')} / sqrt({_SUM('p0', 'p0', 'p0')} * {_SUM('parameters', 'parameters', 'parameters')}) END >= 0.5"
+
+
+@query(_chain_sql("error_retry_spiral", hits("text", T.ERROR_WORDS) + " > 0", 1, _ALIKE))
 def error_spirals(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.error_spirals(views.calls(spark, sf), least=1, similarity=0.5)
 
@@ -200,7 +206,7 @@ def abandoned_approaches(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.abandoned(_operations(spark, sf))
 
 
-@query()
+@query(pattern_sql("verbose_thinking", "a AS (SELECT *, min(CASE WHEN phase <> 'reasoning' THEN position END) OVER (PARTITION BY session_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS np FROM calls), j AS (SELECT a.*, greatest(c.token_count, 1) AS g FROM a LEFT JOIN calls c ON c.session_id = a.session_id AND c.position = a.np WHERE a.phase = 'reasoning' AND a.token_count >= 20), found AS (SELECT * FROM j WHERE np IS NULL OR token_count / g::DOUBLE > 1.5)", "position", "coalesce(np, position)", "CASE WHEN np IS NULL THEN 1 ELSE 2 END", "CASE WHEN np IS NULL THEN token_count ELSE token_count - floor(1.5::DOUBLE * g) END", "CASE WHEN np IS NULL THEN 'inf' ELSE round(round(token_count / g::DOUBLE, 9)::DECIMAL(18, 9), 2)::DOUBLE::VARCHAR END"))
 def verbose_thinking(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.verbose_thinking(views.calls(spark, sf), least=20, ratio=1.5)
 
@@ -213,8 +219,7 @@ SELECT session_id, 'context_restatement' AS pattern_type, position AS start_posi
 
 @query(_REST)
 def context_restatements(spark: SparkSession, sf: str) -> DataFrame:
-    found = views.turns(spark, sf)
-    return patterns.restatements(found, V.trigram_rows(found, ["session_id", "position"]))
+    return patterns.restatements(views.turns(spark, sf))
 
 
 @query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS nth FROM embeddings),
@@ -226,34 +231,39 @@ def vector_repetition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PV = f"WITH {views.PROMPTS}, {views.vectors_sql('prompts', 'session_id, prompt_index')}"
-_PAIRS = _PV + ", pairs AS (SELECT a.session_id, a.prompt_index AS i, b.prompt_index AS j, round(sum(a.weight * b.weight), 4) AS similarity FROM vec a JOIN vec b ON a.session_id = b.session_id AND a.bucket = b.bucket AND a.prompt_index < b.prompt_index GROUP BY ALL) "
+_PAIRS = _PV + ", met AS (SELECT a.session_id, a.prompt_index AS i, b.prompt_index AS j, round(sum(a.weight * b.weight), 4) AS s FROM vec a JOIN vec b ON a.session_id = b.session_id AND a.bucket = b.bucket AND a.prompt_index < b.prompt_index GROUP BY ALL), pairs AS (SELECT a.session_id, a.prompt_index AS i, b.prompt_index AS j, coalesce(s, 0)::DOUBLE AS similarity FROM prompts a JOIN prompts b ON a.session_id = b.session_id AND a.prompt_index < b.prompt_index LEFT JOIN met ON met.session_id = a.session_id AND met.i = a.prompt_index AND met.j = b.prompt_index) "
 _STEPS = _PV + ", s AS (SELECT a.session_id, a.prompt_index, sum(a.weight * b.weight) AS s FROM vec a JOIN vec b ON a.session_id = b.session_id AND a.bucket = b.bucket AND b.prompt_index = a.prompt_index - 1 GROUP BY ALL), d AS (SELECT p.session_id, p.prompt_index, round(coalesce(s, 0), 4) AS similarity FROM prompts p LEFT JOIN s USING (session_id, prompt_index) WHERE p.prompt_index > 0), steps AS (SELECT *, CASE WHEN similarity >= 0.6 THEN 'convergent' WHEN similarity <= 0.4 THEN 'divergent' ELSE 'evolving' END AS direction FROM d) "
 
 
-def _prompt_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    p = views.prompts(spark, sf)
-    return p, V.trigram_rows(p, ["session_id", "prompt_index"])
-
-
 @query(_PAIRS + "SELECT * FROM pairs")
 def prompt_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.prompt_pairs(_prompt_vectors(spark, sf)[1])
+    return similar.pairs(views.prompts(spark, sf))
 
 
 @query(_PAIRS + ", l AS (SELECT DISTINCT session_id, unnest([i, j]) AS x FROM pairs WHERE similarity >= 0.75), c AS (SELECT session_id, count(*) AS like_ FROM l GROUP BY 1) SELECT session_id, count(*) AS prompts, round(coalesce(any_value(like_), 0) / count(*)::DOUBLE, 4) AS redundancy FROM prompts LEFT JOIN c USING (session_id) GROUP BY session_id".replace(", l AS", ", l AS", 1))
 def prompt_redundancy(spark: SparkSession, sf: str) -> DataFrame:
-    p, v = _prompt_vectors(spark, sf)
-    return inputs.redundancy(p, inputs.prompt_pairs(v))
+    p = views.prompts(spark, sf)
+    return inputs.redundancy(p, similar.pairs(p))
+
+
+@query(_PAIRS + "SELECT session_id, i, j, similarity FROM pairs UNION ALL SELECT session_id, j, i, similarity FROM pairs UNION ALL SELECT session_id, prompt_index, prompt_index, 1.0::DOUBLE FROM prompts")
+def prompt_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return similar.matrix(views.prompts(spark, sf))
+
+
+@query(_PV + " SELECT session_id, prompt_index, bucket, round(weight, 9) AS weight FROM vec")
+def trigram_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return V.trigram_rows(views.prompts(spark, sf), ["session_id", "prompt_index"]).withColumn("weight", F.round("weight", 9))
 
 
 @query(_STEPS + "SELECT * FROM steps")
 def drift_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.drift_steps(*_prompt_vectors(spark, sf))
+    return inputs.drift_steps(views.prompts(spark, sf))
 
 
 @query(_STEPS + ", g AS (SELECT session_id, count(*) AS steps, round(avg(similarity), 4) AS avg_similarity, count_if(direction = 'convergent') AS c, count_if(direction = 'divergent') AS d FROM steps GROUP BY session_id) SELECT session_id, steps, avg_similarity, CASE WHEN c = 0 AND d = 0 THEN 'stable' WHEN c > steps / 2.0 THEN 'convergent' WHEN d > steps / 2.0 THEN 'divergent' ELSE 'mixed' END AS trajectory FROM g")
 def drift_trajectory(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.trajectory(inputs.drift_steps(*_prompt_vectors(spark, sf)))
+    return inputs.trajectory(inputs.drift_steps(views.prompts(spark, sf)))
 
 
 _RESPONSES = f"""WITH {views.TURNS}, t AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY session_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS turn FROM turns),
@@ -272,11 +282,7 @@ def prompt_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_RESPONSES + f", pp AS (SELECT session_id, pair_index, prompt AS text FROM pr), rr AS (SELECT session_id, pair_index, response AS text FROM pr), {views.vectors_sql('pp', 'session_id, pair_index', 'a')}, {views.vectors_sql('rr', 'session_id, pair_index', 'b')}, s AS (SELECT session_id, pair_index, sum(a.weight * b.weight) AS s FROM a JOIN b USING (session_id, pair_index, bucket) GROUP BY ALL) SELECT session_id, count(*) AS pairs, round(avg(round(coalesce(s, 0), 4)), 4) AS avg_alignment, count_if(round(coalesce(s, 0), 4) < 0.3)::BIGINT AS low_pairs FROM pr LEFT JOIN s USING (session_id, pair_index) GROUP BY session_id")
 def prompt_response_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    pairs, keys = _responses(spark, sf), ["session_id", "pair_index"]
-    a = V.trigram_rows(pairs.withColumn("text", F.col("prompt")), keys)
-    b = V.trigram_rows(pairs.withColumn("text", F.col("response")), keys).withColumnRenamed("weight", "w")
-    s = a.join(b, [*keys, "bucket"]).groupBy(*keys).agg(F.sum(F.col("weight") * F.col("w")).alias("s"))
-    return inputs.alignment(pairs.join(s, keys, "left").withColumn("similarity", F.round(F.coalesce("s", F.lit(0.0)), 4)))
+    return inputs.alignment(similar.between(_responses(spark, sf), F.col("prompt"), F.col("response")))
 
 
 @query(f"""WITH {views.PROMPTS}, g AS (SELECT session_id, string_agg(text, ' ' ORDER BY prompt_index) AS all_text, string_agg(CASE WHEN prompt_index = 0 THEN text ELSE text || ' ' || text END, ' ' ORDER BY prompt_index) AS text, count(*) AS n FROM prompts GROUP BY session_id),
@@ -286,10 +292,34 @@ def intent_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.intents_of(views.prompts(spark, sf)).select("session_id", F.md5("text").alias("intent_md5"), "confidence", "prompts")
 
 
-@query()
+_WALK = _STEPS.replace("WITH ", "WITH RECURSIVE ", 1) + """, walk AS (SELECT session_id, prompt_index, 0 AS segment, 1 AS length FROM prompts WHERE prompt_index = 0 UNION ALL
+SELECT session_id, prompt_index, CASE WHEN fresh THEN segment + 1 ELSE segment END, CASE WHEN fresh THEN 1 ELSE length + 1 END FROM (SELECT p.session_id, p.prompt_index, w.segment, w.length, coalesce(d.similarity, 0) < 0.45 OR w.length >= 5 AS fresh FROM walk w JOIN prompts p ON p.session_id = w.session_id AND p.prompt_index = w.prompt_index + 1 LEFT JOIN d ON d.session_id = p.session_id AND d.prompt_index = p.prompt_index))"""
+
+
+@query(_WALK + " SELECT session_id, prompt_index::INT AS prompt_index, segment::INT AS segment FROM walk")
 def sliding_intents(spark: SparkSession, sf: str) -> DataFrame:
-    p, v = _prompt_vectors(spark, sf)
-    return intents.sliding(p, inputs.drift_steps(p, v))
+    p = views.prompts(spark, sf)
+    return intents.sliding(p, similar.steps(p))
+
+
+_SURE = "(CASE WHEN w <= 1 THEN 0.2 WHEN w <= 2 THEN 0.3 WHEN w <= 5 THEN 0.5 WHEN w <= 10 THEN 0.7 ELSE 0.85 END)::DOUBLE"
+
+
+@query(_WALK + f""", own AS (SELECT session_id, segment, prompt_index, text, {_SURE} AS sure FROM (SELECT *, len({words("text")}) AS w FROM walk JOIN prompts USING (session_id, prompt_index)))
+SELECT session_id, segment::INT AS part, md5(string_agg(text, ' ' ORDER BY prompt_index)) AS text_md5, round(round(CASE WHEN count(*) > 1 THEN least(0.95, avg(sure) + least(0.1, count(*) * 0.03)) ELSE avg(sure) END, 9)::DECIMAL(18, 9), 2)::DOUBLE AS confidence, count(*)::INT AS prompts FROM own GROUP BY session_id, segment""")
+def segment_intents(spark: SparkSession, sf: str) -> DataFrame:
+    return intents.strategy("sliding")(views.prompts(spark, sf)).select("session_id", "part", F.md5("text").alias("text_md5"), "confidence", "prompts")
+
+
+_BLEND = f"""WITH {views.TURNS}, {views.PROMPTS}, {views.vectors_sql("turns", "session_id, position")}, {views.vectors_sql("prompts", "session_id, prompt_index", "goal")},
+met AS (SELECT v.session_id, v.position, g.prompt_index, sum(v.weight * g.weight) AS s FROM vec v JOIN goal g USING (session_id, bucket) GROUP BY ALL),
+every AS (SELECT t.session_id, t.position, p.prompt_index AS part, round(coalesce(s, 0), 4) AS s FROM turns t JOIN prompts p USING (session_id) LEFT JOIN met ON met.session_id = t.session_id AND met.position = t.position AND met.prompt_index = p.prompt_index),
+best AS (SELECT session_id, position, max(s) AS best, arg_min(part, (-s, part)) AS part FROM (SELECT session_id, position, part, s FROM every WHERE part > 0) GROUP BY ALL)"""
+
+
+@query(_BLEND + " SELECT e.session_id, e.position, round(CASE WHEN best IS NULL THEN e.s ELSE 0.7::DOUBLE * best + (1 - 0.7::DOUBLE) * e.s END, 6) AS score, (CASE WHEN best >= e.s THEN b.part END)::INT AS part FROM every e LEFT JOIN best b USING (session_id, position) WHERE e.part = 0")
+def hierarchical_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return intents.scores(views.turns(spark, sf), views.prompts(spark, sf))
 
 
 _WASTE = f"""{views.LABELLED}, c AS (SELECT session_id, CASE WHEN source_role <> 'assistant' THEN 'user_side' ELSE label END AS source, sum(token_count)::BIGINT AS tokens, count(*) AS n FROM labelled WHERE NOT aligned GROUP BY ALL)"""
@@ -313,17 +343,36 @@ def top_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.top(found).select("session_id", "pattern_type", "detail", "tokens_wasted", "rank")
 
 
+_BY = " UNION ALL ".join(f"SELECT session_id, '{d}' AS dimension, {c} AS name, sum(token_count)::BIGINT AS tokens FROM labelled WHERE NOT aligned GROUP BY ALL" for d, c in (("category", "label"), ("phase", "phase")))
+
+
+@query(f"WITH {views.LABELLED} {_BY}")
+def waste_by_kind(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.waste_by(views.labelled_calls(spark, sf))
+
+
+@query(f"""WITH {views.LABELLED}, n AS (SELECT session_id, sum(token_count)::BIGINT AS n, coalesce(sum(token_count) FILTER (WHERE NOT aligned), 0)::BIGINT AS w FROM labelled GROUP BY session_id), c AS (SELECT session_id, arg_min(label, (-t, label)) AS label, max(t) AS t FROM (SELECT session_id, label, sum(token_count) AS t FROM labelled WHERE NOT aligned GROUP BY ALL) GROUP BY session_id),
+f AS (SELECT session_id, file, sum(token_count) - arg_min(token_count, position) AS t FROM calls WHERE tool = 'view' GROUP BY session_id, file HAVING count(*) >= 3), p AS (SELECT session_id, max(t) AS t FROM f GROUP BY session_id)
+SELECT session_id, n AS total_tokens, w AS waste_tokens, label AS category, CASE WHEN p.t IS NOT NULL THEN 'repetitive_read' END AS pattern, CASE WHEN w = 0 THEN 'No token is waste.' ELSE concat_ws(' ', format('{{:,}}', w) || ' of ' || format('{{:,}}', n) || ' tokens (' || printf('%.1f', round_even(w * 100 / n::DOUBLE, 1)) || ' %) are waste.', 'Most of it is ' || replace(label, '_', ' ') || ' (' || format('{{:,}}', c.t::BIGINT) || ').', 'The dearest pattern is repetitive read (' || format('{{:,}}', p.t::BIGINT) || ').') END AS explanation FROM n LEFT JOIN c USING (session_id) LEFT JOIN p USING (session_id)""")
+def waste_explanations(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.explanations(views.labelled_calls(spark, sf), repetitive_reads(spark, sf))
+
+
 @query(f"""WITH {views.LABELLED}, t AS ({ter_sql("labelled")}) SELECT session_id % 10 AS group_id, round(sum(aggregate_ter * total_tokens) / sum(total_tokens), 4) AS group_ter, sum(total_tokens)::BIGINT AS total_tokens, sum(waste_tokens)::BIGINT AS waste_tokens, round(sum(waste_tokens) * 100 / sum(total_tokens)::DOUBLE, 1) AS waste_percent, count(*) AS sessions FROM t GROUP BY 1""")
 def group_weighted_ter(spark: SparkSession, sf: str) -> DataFrame:
     return spans.group_ter(ter_from_events(spark, sf).withColumn("group_id", F.col("session_id") % 10), "group_id")
 
 
-_ROLL = f"""WITH {views.LABELLED}, r AS (SELECT session_id, position AS msg_seq, sum(token_count) OVER w AS n, sum(CASE WHEN aligned THEN token_count ELSE 0 END) OVER w AS a FROM labelled WINDOW w AS (PARTITION BY session_id ORDER BY position ROWS UNBOUNDED PRECEDING)),
-s AS (SELECT session_id, msg_seq, n::BIGINT AS total_tokens, a::BIGINT AS aligned_tokens, round(a / n::DOUBLE, 4) AS ter, row_number() OVER (PARTITION BY session_id ORDER BY msg_seq)::DOUBLE AS nth FROM r),
+_RUN = ", ".join(f"sum(CASE WHEN phase = '{p}' THEN token_count ELSE 0 END) OVER w AS {p}_n, sum(CASE WHEN phase = '{p}' AND aligned THEN token_count ELSE 0 END) OVER w AS {p}_a" for p in spans.PHASES)
+_WEIGHED = " + ".join(f"CASE WHEN {p}_n = 0 THEN 1.0::DOUBLE ELSE {p}_a / {p}_n::DOUBLE END * {w}::DOUBLE" for p, w in spans.PHASE_WEIGHTS.items())
+_SIGNALS = f"""{views.LABELLED}, r AS (SELECT session_id, position AS msg_seq, sum(token_count) OVER w AS n, sum(CASE WHEN aligned THEN token_count ELSE 0 END) OVER w AS a, {_RUN} FROM labelled WINDOW w AS (PARTITION BY session_id ORDER BY position ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT session_id, msg_seq, n::BIGINT AS total_tokens, a::BIGINT AS aligned_tokens, round(round({_WEIGHED}, 9)::DECIMAL(18, 9), 4)::DOUBLE AS ter, round(a / n::DOUBLE, 4) AS raw_ratio, row_number() OVER (PARTITION BY session_id ORDER BY msg_seq)::DOUBLE AS nth FROM r)"""
+_ROLL = f"""WITH {_SIGNALS},
 d AS (SELECT *, count(*) OVER w AS c, regr_slope(ter, nth) OVER w AS slope FROM s WINDOW w AS (PARTITION BY session_id ORDER BY msg_seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
-x AS (SELECT session_id, msg_seq, total_tokens, aligned_tokens, ter, CASE WHEN c < 2 THEN 0.0 ELSE round(slope * c, 6) END AS drift FROM d)
-SELECT session_id, msg_seq, total_tokens, aligned_tokens, ter, drift + 0.0 AS drift, CASE WHEN abs(drift) < 0.1 THEN 'stable' WHEN drift > 0 THEN 'improving' ELSE 'degrading' END AS direction,
-CASE WHEN ter < 0.4 THEN 'alert' WHEN (drift < 0 AND abs(drift) > 0.1) OR (total_tokens > 5000 AND ter < 0.5) THEN 'caution' ELSE 'none' END AS warning FROM x"""
+x AS (SELECT session_id, msg_seq, total_tokens, aligned_tokens, ter, raw_ratio, CASE WHEN c < 2 THEN 0.0 ELSE round(slope * c, 6) END + 0.0 AS drift FROM d),
+y AS (SELECT *, CASE WHEN abs(drift) < 0.1 THEN 'stable' WHEN drift > 0 THEN 'improving' ELSE 'degrading' END AS direction FROM x),
+z AS (SELECT *, CASE WHEN ter < 0.4 THEN 'alert' WHEN (direction = 'degrading' AND abs(drift) > 0.1) OR (total_tokens > 5000 AND raw_ratio < 0.5) THEN 'caution' ELSE 'none' END AS warning FROM y)
+SELECT *, warning = 'none' AND direction <> 'degrading' AS healthy FROM z"""
 
 
 @query(_ROLL)
@@ -332,7 +381,7 @@ def rolling_ter_drift(spark: SparkSession, sf: str) -> DataFrame:
     return live.warnings(live.drift(live.rolling(rows)))
 
 
-@query()
+@query(f"WITH {_SIGNALS}, l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY msg_seq DESC) = 1) SELECT count(*) AS sessions, round(avg(ter), 4) AS mean_ter, sum(total_tokens)::BIGINT AS total_tokens, (sum(total_tokens) - sum(aligned_tokens))::BIGINT AS waste_tokens FROM l")
 def live_dashboard(spark: SparkSession, sf: str) -> DataFrame:
     return live.dashboard(live.rolling(views.labelled_calls(spark, sf).withColumn("msg_seq", F.col("position"))))
 
@@ -365,7 +414,16 @@ def reasoning_phases(spark: SparkSession, sf: str) -> DataFrame:
     return views.turns(spark, sf).select("session_id", "position", T.reasoning_phase(F.col("text")).alias("reasoning_phase"), T.hits(F.col("text"), T.HIGH_VALUE).alias("high_value"))
 
 
-@query()
+_ROUND4 = lambda x: f"round(round({x}, 9)::DECIMAL(18, 9), 4)::DOUBLE"
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT doc_id, unnest({words("lower(text)")}) AS word FROM t), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL),
+z AS (SELECT doc_id, sum(n)::DOUBLE AS n, count(*)::DOUBLE AS u, sum(n * log2(n)) AS plogp FROM c GROUP BY doc_id),
+s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS sents FROM t), sr AS (SELECT doc_id, unnest(sents) AS x FROM s), sw AS (SELECT doc_id, {words("lower(x)")} AS ws FROM sr),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM sw), r AS (SELECT doc_id, count(*) AS k, count(DISTINCT g) AS d FROM g GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(n, 0) AS n, u / n AS rich, log2(n) - plogp / n AS entropy, CASE WHEN len(sents) > 1 AND k > 0 THEN 1 - d / k::DOUBLE ELSE 0.0 END AS red FROM s LEFT JOIN z USING (doc_id) LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, CASE WHEN n > 1 THEN entropy / log2(n) ELSE 0 END AS norm FROM e)
+SELECT doc_id, CASE WHEN n > 0 THEN {_ROUND4("0.4::DOUBLE * rich + 0.4::DOUBLE * norm + 0.2::DOUBLE * (1 - red)")} ELSE 0 END AS density, CASE WHEN n > 0 THEN {_ROUND4("rich")} ELSE 0 END AS vocabulary_richness, CASE WHEN n > 0 THEN {_ROUND4("entropy")} ELSE 0 END AS entropy, CASE WHEN n > 0 THEN {_ROUND4("entropy / greatest(1, floor(n / 4))")} ELSE 0 END AS avg_information, CASE WHEN n > 0 THEN {_ROUND4("red")} ELSE 1 END AS redundancy FROM f""")
 def semantic_density(spark: SparkSession, sf: str) -> DataFrame:
     return reasoning.density(views.texts(spark, sf), "doc_id")
 
@@ -377,6 +435,16 @@ def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return views.texts(spark, sf).select("doc_id", F.round(T.code_density(t), 6).alias("code_density"), T.phase_tokens(t, F.lit("tool_use")).alias("tool_tokens"), T.phase_tokens(t, F.lit("generation")).alias("prose_tokens"), F.round(T.count_confidence(t, F.lit("heuristic")), 6).alias("confidence"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, text, CASE WHEN length(text) = 0 THEN 0.0::DOUBLE ELSE least(1.0, len(regexp_extract_all(text, '[{}\[\]();=<>]')) / length(text)::DOUBLE) END AS d, CASE doc_id % 3 WHEN 0 THEN 'api' WHEN 1 THEN 'calibrated' ELSE 'heuristic' END AS kind FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+m AS (SELECT *, CASE WHEN length(text) = 0 THEN 'heuristic' ELSE kind END AS method FROM d)
+SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 WHEN method = 'api' THEN doc_id % 100 WHEN method = 'calibrated' THEN round_even(length(text) / 3.7::DOUBLE, 0) ELSE round_even(length(text) / 4.0::DOUBLE, 0) END::BIGINT AS tokens, round(CASE WHEN length(text) = 0 OR method = 'api' THEN 1.0 WHEN method = 'calibrated' THEN 0.9::DOUBLE - d * 0.15::DOUBLE ELSE 0.8::DOUBLE - d * 0.15::DOUBLE END, 6) AS confidence, method FROM m""")
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    multiplier = F.when(F.col("doc_id") % 3 == 1, 3.7)
+    counted = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 100)
+    out = views.texts(spark, sf).select("doc_id", T.count_tokens(F.col("text"), F.lit("generation"), multiplier, counted).alias("c"))
+    return out.select("doc_id", "c.tokens", F.round("c.confidence", 6).alias("confidence"), "c.method")
+
+
 _SENT = "greatest(1, len(regexp_extract_all(text, '[.!?]')))"
 _COMPLEX = rf"""f AS (SELECT doc_id, len({words("text")}) AS w, {_SENT} AS s, contains(text, '`')::INT AS code, regexp_matches(text, '[/\\]\w+\.\w+')::INT AS path, {hits("text", T.SIMPLE)} AS si, {hits("text", T.MULTI_FILE)} AS mf, {hits("text", T.ARCHITECTURE)} AS ar, {hits("text", T.BUG)} AS bu, {hits("text", T.FEATURE)} AS fe FROM documents),
 g AS (SELECT doc_id, (si * 3 + (w < 15)::INT * 2 + (s <= 2)::INT)::DOUBLE AS a, (bu * 2 + fe * 2 + (w BETWEEN 15 AND 80)::INT * 1.5 + path)::DOUBLE AS b, (mf * 3 + ar * 3 + (w > 80)::INT * 2 + (s > 5)::INT + code * 1.5)::DOUBLE AS c FROM f),
@@ -398,17 +466,44 @@ _HISTORY = "h AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'simple' WHEN 'O' THEN
 SELECT complexity, n, CASE WHEN n < 5 THEN 1.0 ELSE round(greatest(0.3, least(2.0, th / CASE complexity WHEN 'simple' THEN 2048 WHEN 'standard' THEN 8192 ELSE 32768 END * 1.2::DOUBLE)), 3) END AS thinking_multiplier, CASE WHEN n < 5 THEN 1.0 ELSE round(greatest(0.3, least(2.0, tt / CASE complexity WHEN 'simple' THEN 5000 WHEN 'standard' THEN 25000 ELSE 100000 END * 1.2::DOUBLE)), 3) END AS total_multiplier,
 CASE WHEN n < 5 THEN NULL WHEN ter > 0.85 AND complexity <> 'simple' THEN CASE complexity WHEN 'standard' THEN 'haiku' ELSE 'sonnet' END WHEN ter < 0.45 AND complexity <> 'complex' THEN CASE complexity WHEN 'simple' THEN 'sonnet' ELSE 'opus' END END AS model_override, round(CASE WHEN n < 5 THEN n / 5.0::DOUBLE ELSE least(1.0, n / 20.0::DOUBLE) END, 3) AS data_confidence FROM g""")
 def budget_adjustments(spark: SparkSession, sf: str) -> DataFrame:
+    return economics.adjustments(_budgets(spark, sf))
+
+
+def _budgets(spark: SparkSession, sf: str) -> DataFrame:
     price = F.col("o_totalprice")
-    rows = views.table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "F", "simple").when(F.col("o_orderstatus") == "O", "standard").otherwise("complex").alias("complexity"), ((F.floor(price) % 1000) / 1000.0).alias("ter"), F.floor(price / 40).cast("long").alias("thinking_tokens"), F.floor(price / 9).cast("long").alias("total_tokens"))
-    return economics.adjustments(rows)
+    return views.table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "F", "simple").when(F.col("o_orderstatus") == "O", "standard").otherwise("complex").alias("complexity"), ((F.floor(price) % 1000) / 1000.0).alias("ter"), F.floor(price / 40).cast("long").alias("thinking_tokens"), F.floor(price / 9).cast("long").alias("total_tokens"))
+
 
+@query(f"WITH {_HISTORY} SELECT complexity, count(*) AS n, round(avg(ter), 4) AS avg_ter, floor(avg(thinking))::BIGINT AS avg_thinking_tokens, floor(avg(total))::BIGINT AS avg_total_tokens FROM h GROUP BY complexity")
+def budget_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return economics.budget_summary(_budgets(spark, sf))
 
-@query(f"""WITH {views.LABELLED}, c AS (SELECT session_id, aligned, round(token_count * 15.0::DOUBLE / 1e6, 6) AS cost FROM labelled), s AS (SELECT session_id, sum(cost) AS t, coalesce(sum(cost) FILTER (WHERE aligned), 0) AS g FROM c GROUP BY session_id)
+
+@query(f"""WITH {views.LABELLED}, s AS (SELECT session_id, sum(token_count) * 15.0::DOUBLE / 1e6 AS t, coalesce(sum(token_count) FILTER (WHERE aligned), 0) * 15.0::DOUBLE / 1e6 AS g FROM labelled GROUP BY session_id)
 SELECT session_id, round(CASE WHEN t = 0 THEN 1.0 ELSE g / t END, 4) AS cost_weighted_ter, round(t, 6) AS total_cost_usd, round(t - g, 6) AS waste_cost_usd FROM s""")
 def cost_weighted_ter(spark: SparkSession, sf: str) -> DataFrame:
     return economics.cost_weighted(views.labelled_calls(spark, sf))
 
 
+@query(f"WITH {views.LABELLED} SELECT session_id, phase, round(sum(round(token_count / 1e6 * 15.0::DOUBLE, 6)), 6) AS cost_usd, round(coalesce(sum(round(token_count / 1e6 * 15.0::DOUBLE, 6)) FILTER (WHERE NOT aligned), 0), 6) AS waste_cost_usd FROM labelled GROUP BY ALL")
+def phase_costs(spark: SparkSession, sf: str) -> DataFrame:
+    return economics.phase_costs(views.labelled_calls(spark, sf))
+
+
+def _usd(x: str) -> str:
+    return f"'$' || printf('%.4f', {x})"
+
+
+@query(f"""WITH {views.LABELLED}, s AS (SELECT session_id, sum(token_count) AS n, sum(token_count) * 15.0::DOUBLE / 1e6 AS t, coalesce(sum(token_count) FILTER (WHERE aligned), 0) * 15.0::DOUBLE / 1e6 AS g FROM labelled GROUP BY session_id),
+p AS (SELECT session_id, phase, round(coalesce(sum(round(token_count / 1e6 * 15.0::DOUBLE, 6)) FILTER (WHERE NOT aligned), 0), 6) AS w FROM labelled GROUP BY ALL), x AS (SELECT session_id, max(w) AS w, arg_min(phase, (-w, phase)) AS phase FROM p GROUP BY session_id),
+r AS (SELECT session_id, round(CASE WHEN t = 0 THEN 1.0 ELSE g / t END, 4) AS ter, round(t - g, 6) AS waste, round(n * 11.0::DOUBLE / 1e6, 6) AS saving, x.w, x.phase FROM s JOIN x USING (session_id))
+SELECT session_id, ter AS cost_weighted_ter, waste AS waste_cost_usd, concat_ws('; ', CASE WHEN waste > 0.01 THEN 'waste costs ' || {_usd("waste")} END, CASE WHEN w > 0 THEN 'most waste is in ' || phase || ': ' || {_usd("w")} END, CASE WHEN session_id % 2 = 0 THEN 'text is repetitive: shorten prompts' END, CASE WHEN session_id % 3 = 0 THEN 'text is thin: much of it is filler' END, CASE WHEN saving > 0 AND ter > 0.7 THEN 'haiku would save ' || {_usd("saving")} END) AS advice FROM r""")
+def cost_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = views.labelled_calls(spark, sf)
+    density = rows.select("session_id").distinct().select("session_id", F.when(F.col("session_id") % 3 == 0, 0.2).otherwise(0.8).alias("density"), F.when(F.col("session_id") % 2 == 0, 0.5).otherwise(0.1).alias("redundancy"))
+    return economics.cost_report(rows, density).select("session_id", "cost_weighted_ter", "waste_cost_usd", F.concat_ws("; ", "advice").alias("advice"))
+
+
 @query(f"""WITH {views.CALLS}, s AS (SELECT session_id, sum(token_count) AS t FROM calls GROUP BY session_id) SELECT session_id, model, round(t * (15.0::DOUBLE - rate) / 1e6, 6) AS saving_usd FROM s, (VALUES ('haiku', 4.0::DOUBLE), ('opus', 75.0::DOUBLE)) r(model, rate)""")
 def alternative_savings(spark: SparkSession, sf: str) -> DataFrame:
     return economics.alternatives(views.calls(spark, sf))
@@ -447,6 +542,27 @@ def quality_report(spark: SparkSession, sf: str) -> DataFrame:
     return quality.health(views.turns(spark, sf))
 
 
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as messages, some of them billed."""
+    zero = F.lit(0).cast("long")
+    return views.turns(spark, sf).select("session_id", "position", "role", F.lit(None).cast("timestamp").alias("timestamp"), F.when(F.col("session_id") % 3 == 0, F.col("token_count")).otherwise(zero).alias("input_tokens"), zero.alias("output_tokens"), zero.alias("cache_creation_tokens"), F.when(F.col("position") == 7, -1).otherwise(0).cast("long").alias("cache_read_tokens"))
+
+
+@query(f"""WITH {views.TURNS}, g AS (SELECT session_id, count_if(role = 'user')::BIGINT AS user_messages, count_if(role = 'assistant')::BIGINT AS assistant_messages, count(*) AS n, sum(greatest(1, round_even(length(text) / 4.0::DOUBLE, 0)))::BIGINT AS e, (sum(CASE WHEN session_id % 3 = 0 THEN token_count ELSE 0 END) - count_if(position = 7))::BIGINT AS b FROM turns GROUP BY session_id)
+SELECT session_id, user_messages, assistant_messages, n AS text_blocks, 0::BIGINT AS tool_use_blocks, 0::BIGINT AS tool_result_blocks, 0::BIGINT AS thinking_blocks, 0::BIGINT AS other_blocks, 0::BIGINT AS reasoning_tokens, 0::BIGINT AS tool_use_tokens, e AS generation_tokens, round(n * 0.0005::DOUBLE, 4) AS seconds, CASE WHEN b > 0 THEN b ELSE e END AS tokens FROM g""")
+def health_report(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.health_report(_messages(spark, sf), views.turns(spark, sf))
+
+
+@query(f"""WITH {views.TURNS}, m AS (SELECT session_id, count(*) AS messages, bool_or(role = 'user') AS u, bool_or(role = 'assistant') AS a, bool_or(position = 7) AS neg, bool_or(role = 'assistant' AND position % 5 = 1) AS unresolved, bool_or(role = 'user' AND position % 5 = 2) AS unmatched FROM turns GROUP BY session_id)
+SELECT session_id, messages, concat_ws(',', CASE WHEN NOT u THEN 'no user message' END, CASE WHEN NOT a THEN 'no assistant message' END, CASE WHEN neg THEN 'negative token count' END, CASE WHEN unmatched THEN 'result without a call' END) AS errors, CASE WHEN unresolved THEN 'call without a result' ELSE '' END AS warnings, u AND a AND NOT neg AND NOT unmatched AS valid FROM m""")
+def session_validation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = views.turns(spark, sf).withColumn("tool_use_id", F.concat_ws(":", "role", "position"))
+    uses, results = rows.where("role = 'assistant' AND position % 5 = 1"), rows.where("role = 'user' AND position % 5 = 2")
+    found = quality.sessions(_messages(spark, sf), uses, results)
+    return found.withColumn("errors", F.concat_ws(",", "errors")).withColumn("warnings", F.concat_ws(",", "warnings"))
+
+
 @query(f"WITH {views.TURNS}, l AS (SELECT session_id, count_if(role = 'assistant') AS n, arg_max(role, position) AS last FROM turns GROUP BY session_id) SELECT session_id, CASE WHEN n = 0 THEN 0.5 ELSE 0.7 END::DOUBLE AS completeness FROM l")
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
     return quality.completeness(views.turns(spark, sf).withColumn("stop_reason", F.lit(None).cast("string")).withColumn("last_block", F.lit("text")))
@@ -474,7 +590,12 @@ def threshold_check(spark: SparkSession, sf: str) -> DataFrame:
     return history.check(views.results(spark, sf), 0.5, 0.4)
 
 
-@query()
+_DUPLICATES = "dup_d AS (SELECT a.session_id, a.signature, a.position FROM calls a JOIN calls b ON a.session_id = b.session_id AND a.signature = b.signature AND b.position < a.position AND a.position - b.position <= 5 GROUP BY ALL), dups AS (SELECT DISTINCT session_id FROM dup_d)"
+_PHASE_HINT = " UNION ALL ".join("SELECT session_id, '{}' AS category, '{}' AS suggestion, '{}' AS impact, NULL AS pattern_type FROM t WHERE {}_score < 0.6".format(p, x, i, p) for p, x, i in history.PHASE_HINTS)
+_PATTERN_HINT = next("SELECT session_id, '{}' AS category, '{}' AS suggestion, '{}' AS impact, '{}' AS pattern_type FROM dups".format(c, x, i, k) for k, c, x, i in history.PATTERN_HINTS if k == "duplicate_tool_call")
+
+
+@query(f"WITH {views.LABELLED}, t AS ({ter_sql('labelled')}), {_DUPLICATES}, h AS ({_PATTERN_HINT} UNION ALL {_PHASE_HINT}) SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, pattern_type IS NULL, pattern_type, category)::INT AS rank FROM h")
 def prompt_hints(spark: SparkSession, sf: str) -> DataFrame:
     return history.hints(ter_from_events(spark, sf), duplicate_tool_calls(spark, sf))
 

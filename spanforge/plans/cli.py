@@ -1,4 +1,4 @@
-"""Command line: analyze, report, compare, list."""
+"""Command line: analyze, report, compare, list, watch."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from spanforge import __version__
 from spanforge.plans import analyze, report
-from spanforge.plugins import Config, parse_cost_model, parse_weights
+from spanforge.plugins import REGISTRY, Config, parse_cost_model, parse_weights
 from spanforge.sources import transcripts
 
 
@@ -32,17 +32,46 @@ def parser() -> argparse.ArgumentParser:
     ls = sub.add_parser("list")
     ls.add_argument("path")
     ls.add_argument("--limit", type=int, default=20)
-    for x in (one, rep):
+    live_ = sub.add_parser("watch")
+    live_.add_argument("path")
+    live_.add_argument("--checkpoint", required=True)
+    live_.add_argument("--interval", default="2 seconds")
+    live_.add_argument("--once", action="store_true")
+    for x in (one, rep, cmp_):
+        x.add_argument("--config")
         x.add_argument("--similarity-threshold", type=float)
         x.add_argument("--confidence-threshold", type=float)
         x.add_argument("--restatement-threshold", type=float)
+        x.add_argument("--prompt-similarity-threshold", type=float)
         x.add_argument("--phase-weights")
-        x.add_argument("--cost-model", default="sonnet")
+        x.add_argument("--cost-model")
+        x.add_argument("--no-input-analysis", action="store_true")
     for x in (one, cmp_, ls):
-        x.add_argument("--format", choices=("text", "json"), default="text")
+        x.add_argument("--format")
     return p
 
 
+def configured(args: argparse.Namespace) -> Config:
+    """The configuration file's values, over them the command line's; plug-ins are loaded, those of installed packages and those that the file names."""
+    config = Config.load(args.config)
+    REGISTRY.discover()
+    REGISTRY.load({k.rstrip("s"): v for k, v in config.plugins.items()})
+    if isinstance(config.model, str):
+        config = config.merge(model=parse_cost_model(config.model))
+    return config.merge(
+        similarity=args.similarity_threshold, confidence=args.confidence_threshold, restatement=args.restatement_threshold, prompt_similarity=args.prompt_similarity_threshold, format=getattr(args, "format", None),
+        weights=parse_weights(args.phase_weights) if args.phase_weights else None, model=parse_cost_model(args.cost_model) if args.cost_model else None,
+    )
+
+
+def _watch(spark: SparkSession, args: argparse.Namespace) -> None:
+    from spanforge.streaming import live
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    tell = lambda s: print(f"{s['session_id']}  #{s['msg_seq']}  TER {s['ter']:.2f}  {s['direction']}  {s['warning']}", flush=True)
+    live.watch(spark, args.path, args.checkpoint, tell, None if args.once else args.interval).awaitTermination()
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("spanforge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -51,23 +80,25 @@ def main(argv: list[str] | None = None) -> int:
             rows = [r.asDict() for r in transcripts.sessions(spark, args.path, args.limit).collect()]
             print(json.dumps(rows, indent=2, default=str) if args.format == "json" else "\n".join(f"{r['modified']}  {r['size']:>10,}  {r['name']}  agents {r['subagents']}" for r in rows))
             return 0
+        if args.command == "watch":
+            _watch(spark, args)
+            return 0
+        config = configured(args)
         if args.command == "compare":
-            a = analyze.transcripts_at(spark, args.paths)
-            results = report.compared(a, args.sort)
+            a = analyze.transcripts_at(spark, args.paths, config).persist()
+            results = report.compared(a, args.sort, config)
             if args.baseline:
                 if len(results) != 2:
                     raise ValueError("--baseline takes two sessions")
-                print(report.baseline_markdown(*report.collect(a)))
+                print(report.baseline_markdown(*sorted(results, key=lambda r: r["session_id"])))
             else:
-                print(report.as_json(results, True) if args.format == "json" else report.as_text(results))
+                print(report.rendered(results, config.format, True, sys.stdout.isatty()))
             return 0
-        parse_cost_model(args.cost_model)
-        config = Config.load().merge(similarity=args.similarity_threshold, confidence=args.confidence_threshold, restatement=args.restatement_threshold, weights=parse_weights(args.phase_weights) if args.phase_weights else None)
-        a = analyze.transcripts_at(spark, args.path, config)
+        a = analyze.transcripts_at(spark, args.path, config).persist()
         if args.command == "analyze" and args.group:
-            print(report.grouped_json(a))
+            print(report.grouped_json(a, config) if config.format == "json" else report.grouped_text(a, config, sys.stdout.isatty()))
             return 0
-        results = report.collect(a)
+        results = report.collect(a, config, not args.no_input_analysis)
         if args.command == "report":
             text = report.as_markdown(results[0])
             if args.output:
@@ -76,9 +107,9 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 print(text)
         else:
-            print(report.as_json(results) if args.format == "json" else report.as_text(results))
+            print(report.rendered(results, config.format, False, sys.stdout.isatty()))
         return 0
-    except (ValueError, IndexError, FileNotFoundError, PySparkException) as error:
+    except (ValueError, TypeError, IndexError, FileNotFoundError, ImportError, PySparkException) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
 

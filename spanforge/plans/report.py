@@ -3,30 +3,97 @@
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.operators import history, patterns
-from spanforge.plans.analyze import Analysis, groups
+from spanforge.functions import text as T
+from spanforge.operators import history, patterns, spans
+from spanforge.plans.analyze import Analysis, groups, input_analysis, parents
+from spanforge.plugins import REGISTRY, Config, Registry
+
+#: Patterns that a report lists; pairs and exchanges whose texts are shown, and how much of them.
+MOST_PATTERNS, MOST_PAIRS, SHOWN = 6, 5, 40
+COLOURS = {"green": "\x1b[32m", "yellow": "\x1b[33m", "red": "\x1b[31m"}
+
+
+def _by_session(df: DataFrame) -> dict[Any, list[dict[str, Any]]]:
+    out: dict[Any, list[dict[str, Any]]] = defaultdict(list)
+    for r in df.collect():
+        out[r.session_id].append({k: v for k, v in r.asDict(recursive=True).items() if k != "session_id"})
+    return out
+
+
+def collect(a: Analysis, config: Config = Config(), with_inputs: bool = True) -> list[dict[str, Any]]:
+    """One dict for each session, by session. What several parts read is computed once."""
+    if not a.labelled.is_cached:
+        a.persist()
+    confidence = a.intents.select("session_id", F.col("confidence").alias("intent_confidence"))
+    rows = {r.session_id: r.asDict() for r in a.results.join(confidence, "session_id", "left").orderBy("session_id").collect()}
+    for r in rows.values():
+        r["phase_scores"] = {p: r[f"{p}_score"] for p in spans.PHASES}
+    for s, (own,) in _by_session(a.economics).items():
+        if s in rows:
+            rows[s]["economics"] = own
+    for s, found in _by_session(patterns.top(a.patterns, MOST_PATTERNS).orderBy("session_id", "rank")).items():
+        if s in rows:
+            rows[s]["waste_patterns"] = [{k: v for k, v in x.items() if k != "rank"} for x in found]
+    for s, (own,) in _by_session(patterns.explanations(a.labelled, a.patterns)).items():
+        if s in rows:
+            rows[s]["waste_summary"] = own | {"by_category": {}, "by_phase": {}}
+    for s, found in _by_session(patterns.waste_by(a.labelled)).items():
+        for x in found:
+            rows[s]["waste_summary"][f"by_{x['dimension']}"][x["name"]] = x["tokens"]
+    for s, found in _by_session(a.breakdown.orderBy("session_id", F.desc("cost_usd"), "source")).items():
+        if s in rows:
+            total = sum(x["tokens"] for x in found)
+            sources = [x | {"percentage": round(x["tokens"] * 100 / total, 1) if total else 0.0} for x in found]
+            rows[s]["waste_breakdown"] = {"sources": sources, "total_tokens": total, "total_cost_usd": round(sum(x["cost_usd"] for x in found), 6)}
+    if with_inputs:
+        for s, own in _inputs(a, config).items():
+            if s in rows:
+                rows[s]["input_analysis"] = own
+    return list(rows.values())
 
 
-def collect(a: Analysis) -> list[dict[str, Any]]:
-    """One dict for each session, with its economics and its patterns by tokens."""
-    rows = {r.session_id: r.asDict() for r in a.results.join(a.intents.select("session_id", F.col("confidence").alias("intent_confidence")), "session_id", "left").orderBy("session_id").collect()}
-    for r in a.economics.collect():
-        if r.session_id in rows:
-            rows[r.session_id]["economics"] = {k: v for k, v in r.asDict().items() if k != "session_id"}
-    for r in patterns.top(a.patterns, 6).orderBy("session_id", "rank").collect():
-        if r.session_id in rows:
-            rows[r.session_id].setdefault("waste_patterns", []).append({k: v for k, v in r.asDict().items() if k not in ("session_id", "rank")})
-    return list(rows.values())
+def _inputs(a: Analysis, config: Config) -> dict[Any, dict[str, Any]]:
+    found = input_analysis(a, config)
+    texts = a.prompts.select("session_id", "prompt_index", F.substring("text", 1, SHOWN).alias("text"))
+    near = found["similar"].join(texts.withColumnsRenamed({"prompt_index": "i", "text": "text_i"}), ["session_id", "i"]).join(texts.withColumnsRenamed({"prompt_index": "j", "text": "text_j"}), ["session_id", "j"])
+    out: dict[Any, dict[str, Any]] = defaultdict(dict)
+    for name, df in (("token_breakdown", found["breakdown"]), ("prompt_similarity", found["redundancy"]), ("intent_drift", found["trajectory"]), ("prompt_response_alignment", found["alignment"])):
+        for s, (own,) in _by_session(df).items():
+            out[s][name] = own
+    exchanges = found["exchanges"].select("session_id", "pair_index", F.substring("prompt", 1, SHOWN).alias("prompt"), "similarity")
+    lists = (("prompt_similarity", "similar_pairs", near.orderBy("session_id", F.desc("similarity"), "i", "j")), ("intent_drift", "drift_steps", found["drift"].orderBy("session_id", "prompt_index")), ("prompt_response_alignment", "exchanges", exchanges.orderBy("session_id", "pair_index")))
+    for name, key, df in lists:
+        for s, own in _by_session(df).items():
+            out[s].setdefault(name, {})[key] = own
+    return out
+
+
+def waste_usd(r: dict) -> float:
+    return r.get("waste_breakdown", {}).get("total_cost_usd", 0.0)
+
+
+def cost_usd(r: dict) -> float:
+    return (r.get("economics") or {}).get("cost_usd") or 0.0
+
+
+def totals(results: list[dict]) -> dict[str, Any]:
+    """Of sessions side by side; the efficiency is weighted by tokens for a group, plain for a comparison."""
+    tokens, waste = sum(r["total_tokens"] for r in results), sum(r["waste_tokens"] for r in results)
+    return {
+        "average_ter": round(sum(r["aggregate_ter"] for r in results) / len(results), 4) if results else 0.0, "total_tokens": tokens, "waste_tokens": waste, "waste_percent": round(waste * 100 / tokens, 1) if tokens else 0.0,
+        "total_cost_usd": round(sum(map(cost_usd, results)), 6), "total_waste_cost_usd": round(sum(map(waste_usd, results)), 6),
+    }
 
 
 def as_json(results: list[dict], comparison: bool = False) -> str:
     if comparison:
-        mean = sum(r["aggregate_ter"] for r in results) / len(results) if results else 0.0
-        return json.dumps({"sessions": results, "average_ter": round(mean, 4)}, indent=2, default=str)
+        return json.dumps({"sessions": results} | totals(results), indent=2, default=str)
     return json.dumps(results[0] if len(results) == 1 else results, indent=2, default=str)
 
 
@@ -34,51 +101,155 @@ def _short(session_id: str) -> str:
     return session_id if len(session_id) <= 11 else session_id[:8] + "..."
 
 
-def as_text(results: list[dict]) -> str:
+def _ter(value: float, colour: bool) -> str:
+    return f"{COLOURS[T.band_of(value)]}{value:.2f}\x1b[0m" if colour else f"{value:.2f}"
+
+
+def _waste_table(r: dict) -> list[str]:
+    table = r.get("waste_breakdown")
+    if not table:
+        return []
+    out = ["  Waste by source:", f"    {'source':<24}{'tokens':>10}{'%':>7}{'cost':>11}{'count':>7}"]
+    out += [f"    {x['source'].replace('_', ' '):<24}{x['tokens']:>10,}{x['percentage']:>7.1f}{'$' + format(x['cost_usd'], '.4f'):>11}{x['n']:>7}" for x in table["sources"]]
+    return [*out, f"    {'all':<24}{table['total_tokens']:>10,}{100:>7.1f}{'$' + format(table['total_cost_usd'], '.4f'):>11}"]
+
+
+def _input_lines(r: dict) -> list[str]:
+    i = r.get("input_analysis")
+    if not i:
+        return []
+    out = []
+    if b := i.get("token_breakdown"):
+        out += [f"    user tokens: {b['user_prompt'] + b['user_tool_result']:,} (prompts {b['user_prompt']:,}, tool results {b['user_tool_result']:,}), {b['user_ratio']:.1%} of all", f"    model tokens: reasoning {b['model_reasoning']:,}, tools {b['model_tool']:,}, text {b['model_generation']:,}"]
+    if (p := i.get("prompt_similarity")) and p.get("prompts", 0) >= 2:
+        near = p.get("similar_pairs", [])
+        out.append(f"    prompt redundancy: {p['redundancy']:.0%} of {p['prompts']} prompts, {len(near)} alike")
+        out += [f"      #{x['i'] + 1} \"{x['text_i']}\" ~ #{x['j'] + 1} \"{x['text_j']}\" ({x['similarity']:.2f})" for x in near[:MOST_PAIRS]]
+    if (d := i.get("intent_drift")) and d.get("steps"):
+        out.append(f"    intent: {d['trajectory']}, average similarity {d['avg_similarity']:.2f}")
+        out += [f"      #{x['prompt_index']} to #{x['prompt_index'] + 1}: {x['direction']} ({x['similarity']:.2f})" for x in d.get("drift_steps", [])]
+    if (q := i.get("prompt_response_alignment")) and q.get("pairs"):
+        out.append(f"    alignment of answers: {q['avg_alignment']:.2f} of {q['pairs']}, {q['low_pairs']} low")
+        out += [f"      #{x['pair_index'] + 1} \"{x['prompt']}\": {x['similarity']:.2f}" for x in q.get("exchanges", [])[:MOST_PAIRS]]
+    return ["  Input:", *out] if out else []
+
+
+def as_text(results: list[dict], colour: bool = False) -> str:
     lines = []
     for r in results:
-        e = r.get("economics", {})
-        lines += [f"Session {_short(r['session_id'])}", f"  TER {r['aggregate_ter']:.2f} (raw {r['raw_ratio']:.2f})", f"  Tokens {r['total_tokens']:,}, waste {r['waste_tokens']:,}"]
-        lines += [f"  {p}: {r[f'{p}_score']:.2f}" for p in ("reasoning", "tool_use", "generation")]
+        e, waste = r.get("economics") or {}, r["waste_tokens"] * 100 / r["total_tokens"] if r["total_tokens"] else 0.0
+        head = f"  TER {_ter(r['aggregate_ter'], colour)} (raw {r['raw_ratio']:.2f}), waste {waste:.1f} %"
+        lines += [f"Session {_short(r['session_id'])}", head + (f", cost ${cost_usd(r):.4f}, of it waste ${waste_usd(r):.4f}" if e else "")]
+        lines += [f"  Tokens {r['total_tokens']:,}, aligned {r['aligned_tokens']:,}, waste {r['waste_tokens']:,}"]
+        lines.append("  Phases: " + ", ".join(f"{p.replace('_', ' ')} {_ter(r[f'{p}_score'], colour)}" for p in spans.PHASES))
         if e:
-            lines.append(f"  Cost ${e['cost_usd']:.4f}, cache hits {e['cache_hit_rate']:.1%}")
-        lines += [f"  - {p['pattern_type']}: {p['tokens_wasted']:,} tokens" for p in r.get("waste_patterns", [])]
+            state = "bloat" if e.get("bloat") else "accelerating" if e.get("super_linear") else "steady"
+            lines.append(f"  Input {e['input_tokens']:,}, cache reads {e['cache_read_tokens']:,}, cache hits {e['cache_hit_rate']:.1%}")
+            if e.get("growth_rate") is not None:
+                lines.append(f"  Context grew {e['growth_rate']:.2f} times over {e['turns']} turns: {state}")
+            if e.get("early_ter") is not None:
+                lines.append(f"  TER by thirds: {e['early_ter']:.2f}, {e['mid_ter']:.2f}, {e['late_ter']:.2f}")
+        lines += _waste_table(r)
+        lines += [f"  - {p['pattern_type'].replace('_', ' ')}: {p['tokens_wasted']:,} tokens" + (f" ({T.short(p['detail'])})" if p.get("detail") else "") for p in r.get("waste_patterns", [])]
+        if s := r.get("waste_summary"):
+            lines.append(f"  {s['explanation']}")
+        lines += _input_lines(r)
     if len(results) > 1:
-        lines.append(f"Average TER {sum(r['aggregate_ter'] for r in results) / len(results):.2f}, total waste {sum(r['waste_tokens'] for r in results):,}")
+        t = totals(results)
+        lines.append(f"Average TER {t['average_ter']:.2f}, waste {t['waste_tokens']:,} tokens, cost ${t['total_cost_usd']:.4f}, of it waste ${t['total_waste_cost_usd']:.4f}")
     return "\n".join(lines)
 
 
+def _table(results: list[dict], roles: list[str], colour: bool) -> list[str]:
+    out = [f"  {'':<10}{'session':<13}{'TER':>6}{'waste %':>9}{'tokens':>12}{'cost':>10}{'waste $':>10}{'patterns':>10}"]
+    for role, r in zip(roles, results, strict=True):
+        waste = r["waste_tokens"] * 100 / r["total_tokens"] if r["total_tokens"] else 0.0
+        pad = " " * (6 - len(f"{r['aggregate_ter']:.2f}"))
+        out.append(f"  {role:<10}{_short(r['session_id']):<13}{pad}{_ter(r['aggregate_ter'], colour)}{waste:>9.1f}{r['total_tokens']:>12,}{cost_usd(r):>10.4f}{waste_usd(r):>10.4f}{len(r.get('waste_patterns', [])):>10}")
+    return out
+
+
+def comparison_text(results: list[dict], colour: bool = False) -> str:
+    t = totals(results)
+    return "\n".join([*_table(results, [str(i) for i in range(1, len(results) + 1)], colour), f"Average TER {t['average_ter']:.2f}, cost ${t['total_cost_usd']:.4f}, of it waste ${t['total_waste_cost_usd']:.4f}"])
+
+
 def as_markdown(r: dict) -> str:
-    e = r.get("economics", {})
+    e = r.get("economics") or {}
     out = [f"# Session {r['session_id']}", "", "| Measure | Value |", "| --- | --- |", f"| TER | {r['aggregate_ter']:.4f} |", f"| Tokens | {r['total_tokens']:,} |", f"| Waste | {r['waste_tokens']:,} |"]
     if e:
-        out += [f"| Cost | ${e['cost_usd']:.4f} |", f"| Cache hits | {e['cache_hit_rate']:.2%} |"]
-    if found := r.get("waste_patterns"):
-        out += ["", "## Waste", ""] + [f"- {p['pattern_type']}: {p['tokens_wasted']:,} tokens" for p in found[:6]]
+        out += [f"| Cost | ${e['cost_usd']:.4f} |", f"| Waste cost | ${waste_usd(r):.4f} |", f"| Cache hits | {e['cache_hit_rate']:.2%} |"]
+        if e.get("growth_rate") is not None:
+            out.append(f"| Context growth | {'bloat' if e['bloat'] else format(e['growth_rate'], '.2f')} |")
+        if e.get("early_ter") is not None:
+            out.append(f"| TER by thirds | {e['early_ter']:.2f}, {e['mid_ter']:.2f}, {e['late_ter']:.2f} |")
+    out += ["", "## Phases", ""] + [f"- {p}: {r[f'{p}_score']:.3f}" for p in spans.PHASES]
+    found = r.get("waste_patterns", [])
+    if found:
+        out += ["", "## Waste", ""] + [f"- {p['pattern_type']}: {p['tokens_wasted']:,} tokens" for p in found[:MOST_PATTERNS]]
+    advice = [f"The weakest phase is {min(spans.PHASES, key=lambda p: r[f'{p}_score'])}: say more plainly what is wanted there."]
     if e and e["cache_hit_rate"] < 0.5:
-        out += ["", "Few tokens come from the cache: keep the start of prompts stable."]
-    if (r.get("redundancy") or 0) > 0.2:
-        out += ["", "Many prompts repeat earlier ones."]
-    return "\n".join(out) + "\n"
+        advice.append("Few tokens come from the cache: keep the start of prompts stable.")
+    if found:
+        advice.append(f"Begin with {found[0]['pattern_type']}: it wastes most.")
+    if r.get("input_analysis", {}).get("prompt_similarity", {}).get("redundancy", 0) > 0.2:
+        advice.append("Many prompts repeat earlier ones: join them.")
+    return "\n".join([*out, "", "## Next", "", *(f"- {x}" for x in advice), "", "Tokens are estimated as a quarter of the characters; waste dollars are scaled to billed output where it is known."]) + "\n"
 
 
 def baseline_markdown(before: dict, after: dict) -> str:
     out = ["# Baseline", "", "| Measure | Before | After | Delta |", "| --- | --- | --- | --- |"]
     for k in ("aggregate_ter", "raw_ratio", "total_tokens", "waste_tokens"):
         out.append(f"| {k} | {before[k]} | {after[k]} | {round(after[k] - before[k], 4)} |")
+    for k, of in (("cost_usd", cost_usd), ("waste_cost_usd", waste_usd)):
+        out.append(f"| {k} | {of(before):.4f} | {of(after):.4f} | {of(after) - of(before):.4f} |")
     return "\n".join(out) + "\n"
 
 
-def grouped_json(a: Analysis) -> str:
-    every = {r["session_id"]: r for r in collect(a)}
+def grouped(a: Analysis, config: Config = Config()) -> list[dict[str, Any]]:
+    """Each group: its measures, its parent and its agents."""
+    every = {r["session_id"]: r for r in collect(a, config, with_inputs=False)}
+    members: dict[str, list[str]] = defaultdict(list)
+    for r in parents(a).orderBy("session_id").collect():
+        members[r.group_id].append(r.session_id)
     out = []
     for g in groups(a).orderBy("group_id").collect():
-        own = {r.session_id for r in a.messages.where(F.col("parent") == g.group_id).select("session_id").distinct().collect()}
-        out.append({"group": g.asDict() | {"parent_session_id": g.group_id, "subagent_count": len(own)}, "parent": every.get(g.group_id), "subagents": [every[s] for s in sorted(own) if s in every]})
+        agents = [s for s in members[g.group_id] if s != g.group_id and s in every]
+        own = [every[s] for s in ([g.group_id] if g.group_id in every else []) + agents]
+        summed = totals(own)
+        group = {"parent_session_id": g.group_id, "subagent_count": len(agents), "weighted_ter": g.group_ter} | {k: v for k, v in summed.items() if k != "average_ter"}
+        out.append({"group": group, "parent": every.get(g.group_id), "subagents": [every[s] for s in agents]})
+    return out
+
+
+def grouped_json(a: Analysis, config: Config = Config()) -> str:
+    out = grouped(a, config)
     return json.dumps(out[0] if len(out) == 1 else out, indent=2, default=str)
 
 
-def compared(a: Analysis, by: str) -> list[dict]:
+def grouped_text(a: Analysis, config: Config = Config(), colour: bool = False) -> str:
+    lines = []
+    for g in grouped(a, config):
+        x = g["group"]
+        own = ([g["parent"]] if g["parent"] else []) + g["subagents"]
+        lines += [f"Group {_short(x['parent_session_id'])}: TER {_ter(x['weighted_ter'], colour)}, waste {x['waste_percent']:.1f} %, cost ${x['total_cost_usd']:.4f}, of it waste ${x['total_waste_cost_usd']:.4f}, tokens {x['total_tokens']:,}, agents {x['subagent_count']}"]
+        lines += _table(own, (["parent"] if g["parent"] else []) + ["agent"] * len(g["subagents"]), colour)
+    return "\n".join(lines)
+
+
+def compared(a: Analysis, by: str, config: Config = Config()) -> list[dict]:
     order = [r.session_id for r in history.compare(a.results, by).select("session_id").collect()]
-    every = {r["session_id"]: r for r in collect(a)}
+    every = {r["session_id"]: r for r in collect(a, config, with_inputs=False)}
     return [every[s] for s in order]
+
+
+def rendered(results: list[dict], form: str, comparison: bool = False, colour: bool = False, registry: Registry = REGISTRY) -> str:
+    """By a registered formatter of that name, else as json, rich (coloured text) or text."""
+    if own := registry.formatter(form):
+        return own.format_comparison(results) if comparison else "\n".join(own.format_result(r) for r in results)
+    if form == "json":
+        return as_json(results, comparison)
+    if form not in ("text", "rich"):
+        raise ValueError(f"no output format {form!r}")
+    colour = colour or form == "rich"
+    return comparison_text(results, colour) if comparison else as_text(results, colour)

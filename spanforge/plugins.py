@@ -78,6 +78,33 @@ class Registry:
         for plugins in self.of.values():
             plugins.clear()
 
+    # What the analysis calls.
+
+    def before(self, spans: DataFrame) -> DataFrame:
+        for m in self.of["middleware"].values():
+            spans = m.pre_process(spans)
+        return spans
+
+    def after(self, results: DataFrame) -> DataFrame:
+        for m in self.of["middleware"].values():
+            results = m.post_process(results)
+        return results
+
+    def detected(self, labelled: DataFrame) -> list[DataFrame]:
+        """What the detectors find; each must give the patterns' columns."""
+        from spanforge.operators.patterns import COLUMNS
+
+        out = []
+        for d in self.of["detector"].values():
+            found = d.detect(labelled)
+            if missing := set(COLUMNS) - set(found.columns):
+                raise TypeError(f"detector {d.name} lacks {', '.join(sorted(missing))}")
+            out.append(found.select(*COLUMNS))
+        return out
+
+    def formatter(self, name: str) -> OutputFormatter | None:
+        return self.of["formatter"].get(name)
+
 
 REGISTRY = Registry()
 
@@ -100,7 +127,7 @@ class Config:
     restatement: float = 0.85
     prompt_similarity: float = 0.75
     weights: tuple[float, float, float] = (0.3, 0.4, 0.3)
-    model: str = "sonnet"
+    model: str | dict[str, float] = "sonnet"
     format: str = "text"
     plugins: dict[str, list[str]] = field(default_factory=dict)
 
@@ -140,8 +167,8 @@ def parse_cost_model(text: str) -> dict[str, float]:
     """A model's name, or four rates: input, output, cache read, cache write."""
     from spanforge.operators.economics import RATES
 
-    if text in RATES:
-        return dict(RATES[text])
+    if text.lower() in RATES:
+        return dict(RATES[text.lower()])
     parts = [float(x) for x in text.split(",")]
     if len(parts) != 4:
         raise ValueError("a model name or four rates are needed")

@@ -11,25 +11,46 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 
-MESSAGE = "role STRING, content STRING, stop_reason STRING, usage STRUCT<input_tokens: BIGINT, output_tokens: BIGINT, cache_creation_input_tokens: BIGINT, cache_read_input_tokens: BIGINT>"
+MESSAGE = "role STRING, content STRING, stop_reason STRING, requestId STRING, usage STRUCT<input_tokens: BIGINT, output_tokens: BIGINT, cache_creation_input_tokens: BIGINT, cache_read_input_tokens: BIGINT>"
 ENTRY = f"type STRING, uuid STRING, parentUuid STRING, sessionId STRING, timestamp STRING, requestId STRING, message STRUCT<{MESSAGE.replace(' STRING', ': STRING').replace('usage STRUCT', 'usage: STRUCT')}>"
 BLOCK = "type STRING, text STRING, content STRING, thinking STRING, name STRING, input STRING, id STRING, tool_use_id STRING"
 
 
+def _checked(spark: SparkSession, path: str) -> None:
+    """A single file must be there and a .jsonl one."""
+    if any(c in path for c in "*?[{"):
+        return
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(there):
+        raise FileNotFoundError(path)
+    if files.getFileStatus(there).isFile() and not path.endswith(".jsonl"):
+        raise ValueError(f"not a .jsonl file: {path}")
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, stem, line_no, raw), line_no from 1."""
+    """(file, stem, blank, line_no, raw), line_no from 1; blank: whether the file has nothing but white space."""
+    for p in [path] if isinstance(path, str) else path:
+        _checked(spark, p)
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     named = whole.select(F.col("_metadata.file_path").alias("file"), "value").withColumn("stem", F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))
-    return named.select("file", "stem", F.posexplode(F.split("value", "\n")).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1)
+    return named.select("file", "stem", (~F.col("value").rlike(r"\S")).alias("blank"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def parse_entries(lines: DataFrame, mode: str = "strict") -> DataFrame:
-    """Non-blank lines as entries. mode: strict raises on a malformed line, skip leaves it out, report keeps it as malformed."""
-    full = lines.where(F.trim("raw") != "").withColumn("v", F.try_parse_json("raw"))
+    """Non-blank lines as entries. mode: strict raises on a malformed line and on an empty file, skip leaves such out, report
+    keeps malformed lines as such."""
+    strict = mode == "strict"
+    kept = F.col("raw").rlike(r"\S")
+    kept = kept | F.col("blank") if strict else kept
+    full = lines.where(kept).withColumn("v", F.try_parse_json("raw"))
     bad = F.col("v").isNull()
     if mode == "skip":
         full = full.where(~bad)
-    raw = F.when(bad, F.raise_error(F.concat(F.lit("malformed line "), F.col("line_no").cast("string"), F.lit(" of "), F.col("file")))).otherwise(F.col("raw")) if mode == "strict" else F.col("raw")
+    raw = F.col("raw")
+    if strict:
+        where = F.concat(F.lit("malformed line "), F.col("line_no").cast("string"), F.lit(" of "), F.col("file"))
+        raw = F.when(F.col("blank"), F.raise_error(F.concat(F.lit("empty file "), F.col("file")))).when(bad, F.raise_error(where)).otherwise(raw)
     content_type = F.schema_of_variant(F.try_variant_get("v", "$.message.content", "variant"))
     out = full.select("file", "stem", "line_no", F.from_json(raw, ENTRY).alias("e"), F.coalesce(content_type == "STRING", F.lit(False)).alias("plain_content"), bad.alias("malformed"), "raw")
     return out if mode == "report" else out.drop("malformed", "raw")
@@ -48,11 +69,11 @@ def messages(entries: DataFrame) -> DataFrame:
     """User and assistant entries, in order, with session_id, position, role, usage, timestamp and content."""
     kept = deduplicate(entries).where(F.col("e.type").isin("user", "assistant"))
     of = W.partitionBy("file").orderBy("place")
-    agent = F.col("file").contains("/subagents/")
+    agent = F.col("file").rlike("/subagents/[^/]+$")
     named = F.first(F.nullif(F.col("e.sessionId"), F.lit("")), ignorenulls=True).over(of.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     u = lambda c: F.coalesce(F.col(f"e.message.usage.{c}"), F.lit(0))
     return kept.select(
-        "file", F.when(agent, F.col("stem")).otherwise(F.coalesce(named, F.col("stem"))).alias("session_id"),
+        "file", "stem", F.when(agent, F.col("stem")).otherwise(F.coalesce(named, F.col("stem"))).alias("session_id"),
         F.regexp_extract("file", r"([^/]+)/subagents/[^/]+$", 1).alias("parent"), (F.row_number().over(of) - 1).alias("position"),
         F.coalesce("e.message.role", "e.type").alias("role"), F.col("e.uuid").alias("uuid"), F.try_to_timestamp("e.timestamp").alias("timestamp"), F.col("e.message.stop_reason").alias("stop_reason"),
         F.col("e.message.usage").isNotNull().alias("has_usage"), u("input_tokens").alias("input_tokens"), u("output_tokens").alias("output_tokens"), u("cache_creation_input_tokens").alias("cache_creation_tokens"), u("cache_read_input_tokens").alias("cache_read_tokens"),
@@ -60,20 +81,22 @@ def messages(entries: DataFrame) -> DataFrame:
     )
 
 
-def blocks(msgs: DataFrame, accept_thinking_key: bool = False) -> DataFrame:
-    """Content blocks: a string is one text block; of a list, strings and objects count, anything else is passed over."""
+def blocks(msgs: DataFrame, accept_thinking_key: bool = False, quick: bool = False) -> DataFrame:
+    """Content blocks: a string is one text block; of a list, strings and objects count, anything else is passed over. The
+    quick reading passes over strings in lists too, and prefers ``thinking`` to ``text``."""
     listed = F.from_json("content", "array<string>")
     items = F.when(F.col("plain_content"), F.array(F.to_json(F.named_struct(F.lit("type"), F.lit("text"), F.lit("text"), F.col("content"))))).otherwise(F.coalesce(listed, F.array().cast("array<string>")))
     out = msgs.select(*(c for c in msgs.columns if c not in ("content", "plain_content")), F.posexplode(items).alias("block_seq", "item"))
     v = F.try_parse_json("item")
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    bare = v.isNull() | F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+    bare = F.lit(False) if quick else v.isNull() | F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
     out = out.withColumn("is_object", is_object).where(is_object | bare).withColumn("b", F.from_json("item", BLOCK))
     inner = F.from_json("b.content", "array<struct<text: string>>")
     joined = F.concat_ws(" ", F.filter(F.transform(inner, lambda x: x["text"]), lambda t: t != ""))
     listed_content = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.content", "variant")).startswith("ARRAY"), F.lit(False))
     text = F.coalesce("b.text", F.when(listed_content, joined).otherwise(F.col("b.content")))
     text = F.coalesce(text, F.col("b.thinking")) if accept_thinking_key else text
+    text = F.when(F.col("b.type") == "thinking", F.coalesce(F.nullif("b.thinking", F.lit("")), text)).otherwise(text) if quick else text
     return out.select(
         *(c for c in out.columns if c not in ("item", "b", "is_object")), F.when(F.col("is_object"), F.coalesce("b.type", F.lit("text"))).otherwise("text").alias("block_type"), F.when(F.col("is_object"), text).otherwise(F.col("item")).alias("text"),
         F.col("b.name").alias("tool"), F.col("b.input").alias("tool_input"), F.coalesce("b.id", "b.tool_use_id").alias("tool_use_id"),
@@ -113,11 +136,46 @@ def calls(blks: DataFrame) -> DataFrame:
     return out.select("session_id", F.col("seq").alias("position"), "tool", "tool_use_id", F.col("tool_input").alias("parameters"), F.coalesce(T.file_path(F.col("tool_input"))).alias("file"), F.get_json_object("tool_input", "$.command").alias("command"), F.coalesce("result_tokens", F.lit(0)).alias("token_count"))
 
 
+def quick(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prompts, spans) by the tolerant reading: entries with a message, of each request the one with the most output tokens
+    (the first of several), those without a request first, all in the order of their timestamps as text. User text makes
+    prompts and no spans; a call's text is its name and its input as compact JSON; reasoning is read from ``thinking``, else
+    ``text``.
+
+    prompts: file, session_id, prompt_index, text; spans: file, session_id, position, phase, text, token_count."""
+    m = F.col("e.message")
+    own = entries.where(m.isNotNull())
+    request = F.coalesce(F.nullif(m["requestId"], F.lit("")), F.nullif(F.col("e.requestId"), F.lit("")))
+    own = own.withColumn("request", request).withColumn("key", F.coalesce(F.concat(F.lit("r"), "request"), F.concat(F.lit("l"), F.col("line_no").cast("string"))))
+    of = W.partitionBy("file", "key")
+    best = own.withColumn("place", F.min("line_no").over(of)).withColumn("best", F.row_number().over(of.orderBy(F.coalesce(m["usage"]["output_tokens"], F.lit(0)).desc(), "line_no"))).where("best = 1")
+    named = F.first(F.nullif(F.col("e.sessionId"), F.lit("")), ignorenulls=True).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    ids = entries.select("file", "stem", named.alias("id")).distinct().select("file", F.coalesce("id", "stem").alias("session_id"))
+    order = W.partitionBy("file").orderBy(F.coalesce("e.timestamp", F.lit("")), F.col("request").isNotNull(), "place")
+    msgs = best.join(ids, "file").select("file", "session_id", (F.row_number().over(order) - 1).alias("position"), F.coalesce(m["role"], F.col("e.type")).alias("role"), m["content"].alias("content"), "plain_content")
+    text, kind = F.coalesce("text", F.lit("")), F.col("block_type")
+    blks = blocks(msgs, quick=True)
+    empty_input = F.col("tool_input").isNull() | F.col("tool_input").isin("{}", "[]", '""', "null", "0", "false")
+    call = F.concat(F.coalesce("tool", F.lit("unknown")), F.lit(": "), F.when(empty_input, "").otherwise(F.col("tool_input")))
+    full = blks.where(kind.isin("text", "thinking", "tool_use", "tool_result")).withColumn("text", F.when(kind == "tool_use", call).otherwise(text)).where(F.col("text").rlike(r"\S"))
+    by = W.partitionBy("file").orderBy("position", "block_seq")
+    mine = (F.col("role") == "user") & (kind == "text")
+    prompts_ = full.where(mine).select("file", "session_id", (F.row_number().over(by) - 1).alias("prompt_index"), "text")
+    phase = F.when(kind == "thinking", "reasoning").when(kind.isin("tool_use", "tool_result"), "tool_use").otherwise("generation")
+    spans_ = full.where(~mine).select("file", "session_id", (F.row_number().over(by) - 1).alias("position"), phase.alias("phase"), "text", T.span_tokens(F.col("text")).alias("token_count"))
+    return prompts_, spans_
+
+
 def sessions(spark: SparkSession, folder: str, limit: int = 20) -> DataFrame:
-    """Session files, the newest first, with size and number of sub-agents; no content is read."""
+    """Session files, the newest first, with size and number of sub-agents; no content is read. Files in a folder named
+    ``subagents`` under the given one are agents of the session that the folder above is named for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(folder).select("path", "modificationTime", "length")
-    agents = files.where(F.col("path").contains("/subagents/")).groupBy(F.regexp_extract("path", r"^(.*)/subagents/", 1).alias("stem_path")).agg(F.count(F.lit(1)).alias("subagents"))
-    own = files.where(~F.col("path").contains("subagents")).withColumn("stem_path", F.regexp_replace("path", r"\.jsonl$", ""))
+    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toUri().getPath().rstrip("/")
+    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    files = files.withColumn("under", F.when(plain.startswith(root + "/"), F.substr(plain, F.lit(len(root) + 1))).otherwise(plain))
+    agents = files.where(F.col("under").rlike("/subagents/[^/]+$")).groupBy(F.regexp_extract("path", r"^(.*)/subagents/[^/]+$", 1).alias("stem_path")).agg(F.count(F.lit(1)).alias("subagents"))
+    own = files.where(~F.col("under").rlike("/subagents/")).withColumn("stem_path", F.regexp_replace("path", r"\.jsonl$", ""))
     out = own.join(agents, "stem_path", "left").select("path", F.regexp_extract("path", r"[^/]+$", 0).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.coalesce("subagents", F.lit(0)).alias("subagents"))
     return out.orderBy(F.desc("modified"), "path").limit(limit)
 
@@ -134,5 +192,62 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.where("t1 IS NOT NULL AND (t0 IS NULL OR t1 > t0)").select("path", F.when(F.col("t0").isNull(), "new_session").otherwise("modified_session").alias("event"))
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, modificationTime) of all transcripts."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(folder).select("path", "modificationTime")
+
+
+class Snapshots:
+    """Tables that are written anew at each poll, numbered, in a folder that outlives the process."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self.files = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _last(self) -> int:
+        if not self.files.exists(self.path):
+            return -1
+        names = [s.getPath() for s in self.files.listStatus(self.path)]
+        done = [int(p.getName()) for p in names if p.getName().isdigit() and self.files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return max(done, default=-1)
+
+    def read(self) -> DataFrame | None:
+        n = self._last()
+        return None if n < 0 else self.spark.read.parquet(f"{self.folder}/{n}")
+
+    def write(self, table: DataFrame) -> DataFrame:
+        n = self._last() + 1
+        table.write.mode("overwrite").parquet(f"{self.folder}/{n}")
+        return self.spark.read.parquet(f"{self.folder}/{n}")
+
+
+def poll_changes(spark: SparkSession, folder: str, snapshots: str) -> DataFrame:
+    """(path, event): transcripts that are new or modified since the last call with the same snapshots."""
+    held = Snapshots(spark, snapshots)
+    before = held.read()
+    now = held.write(listing(spark, folder))
+    return changes(now.limit(0) if before is None else before, now)
+
+
+def poll_lines(spark: SparkSession, folder: str, snapshots: str) -> DataFrame:
+    """Lines that transcripts have gained since the last call with the same snapshots, as read_lines() has them. A last line
+    without its line end waits for the next call."""
+    held = Snapshots(spark, snapshots)
+    before = held.read()
+    ends = W.partitionBy("file")
+    lines = read_lines(spark, folder).withColumn("ends", F.max("line_no").over(ends)).where("line_no < ends").drop("ends")
+    now = held.write(lines.groupBy("file").agg(F.max("line_no").alias("upto")))
+    lines = lines.join(now.withColumnRenamed("upto", "now_upto"), "file").where("line_no <= now_upto").drop("now_upto")
+    if before is None:
+        return lines
+    return lines.join(before, "file", "left").where("line_no > coalesce(upto, 0)").drop("upto")
+
+
 def append_history(results: DataFrame, path: str) -> None:
     results.write.mode("append").parquet(path)
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """What append_history() has stored, columns that came later included."""
+    return spark.read.option("mergeSchema", "true").parquet(path)

@@ -1,8 +1,10 @@
 """Live efficiency: the running state of each session, in batch and as a stream.
 
-Lines arrive as files in a landing folder (an appended file is not read anew by a file stream); a line is session_id,
-msg_seq, request_id, role, block_type, text. User text extends the intent and forms no span; a user's tool results are
-ignored; an assistant block is aligned if its trigram vector is close enough to the intent's, or if there is no intent.
+Lines arrive as files in a landing folder (an appended file is not read anew by a file stream; sources.transcripts can
+poll one); a line is session_id, msg_seq, request_id, role, block_type, text. User text extends the intent and forms no
+span; a user's tool results are ignored; an assistant block is aligned if its trigram vector is close enough to the
+intent's, or if there is no intent. A session's efficiency is the phases' aligned shares (1 without tokens), weighted; 0
+before the first token.
 """
 
 from __future__ import annotations
@@ -10,24 +12,27 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from spanforge.functions.runtime import ship_package
+from spanforge.operators.spans import PHASE_WEIGHTS, PHASES
 
-THRESHOLD, DRIFT, RING = 0.4, 0.10, 5
+#: Drift is that of the last WINDOW values; a session's state keeps RING of them.
+THRESHOLD, DRIFT, WINDOW, RING = 0.4, 0.10, 5, 10
+PHASE_OF = {"thinking": "reasoning", "tool_use": "tool_use", "tool_result": "tool_use"}
 LINE = "session_id string, msg_seq long, request_id string, role string, block_type string, text string"
-SIGNAL = "session_id string, msg_seq long, total_tokens long, aligned_tokens long, ter double"
+SIGNAL = "session_id string, msg_seq long, total_tokens long, aligned_tokens long, ter double, raw_ratio double, drift double, direction string"
 
 
 def drift(signals: DataFrame) -> DataFrame:
     """signals (session_id, msg_seq, ter) with the drift of the last five values: slope times their number."""
-    last = W.partitionBy("session_id").orderBy("msg_seq").rowsBetween(-(RING - 1), 0)
+    last = W.partitionBy("session_id").orderBy("msg_seq").rowsBetween(-(WINDOW - 1), 0)
     numbered = signals.withColumn("nth", F.row_number().over(W.partitionBy("session_id").orderBy("msg_seq")).cast("double"))
     n = F.count(F.lit(1)).over(last)
     amount = F.when(n < 2, 0.0).otherwise(F.round(F.coalesce(F.regr_slope("ter", "nth").over(last), F.lit(0.0)) * n, 6))
@@ -36,18 +41,24 @@ def drift(signals: DataFrame) -> DataFrame:
 
 
 def warnings(signals: DataFrame) -> DataFrame:
-    """The level of each signal: falling, low, or long and low."""
+    """The level of each signal: falling, low, or long and low; a signal without any that doesn't fall is healthy."""
     alert = F.col("ter") < 0.4
-    caution = ((F.col("direction") == "degrading") & (F.abs("drift") > DRIFT)) | ((F.col("total_tokens") > 5000) & (F.col("ter") < 0.5))
-    return signals.withColumn("warning", F.when(alert, "alert").when(caution, "caution").otherwise("none"))
+    caution = ((F.col("direction") == "degrading") & (F.abs("drift") > DRIFT)) | ((F.col("total_tokens") > 5000) & (F.col("raw_ratio") < 0.5))
+    out = signals.withColumn("warning", F.when(alert, "alert").when(caution, "caution").otherwise("none"))
+    return out.withColumn("healthy", (F.col("warning") == "none") & (F.col("direction") != "degrading"))
 
 
 def rolling(blocks: DataFrame) -> DataFrame:
-    """Batch form: running tokens after each message. blocks: session_id, msg_seq, token_count, aligned."""
-    per = blocks.groupBy("session_id", "msg_seq").agg(F.sum("token_count").alias("n"), F.sum(F.when(F.col("aligned"), F.col("token_count")).otherwise(0)).alias("a"))
+    """Batch form: running tokens after each message. blocks: session_id, msg_seq, phase, token_count, aligned."""
+    of = lambda p, good: F.sum(F.when((F.col("phase") == p) & (F.col("aligned") if good else F.lit(True)), F.col("token_count")).otherwise(0))
+    per = blocks.groupBy("session_id", "msg_seq").agg(*(of(p, False).alias(f"{p}_n") for p in PHASES), *(of(p, True).alias(f"{p}_a") for p in PHASES))
     run = W.partitionBy("session_id").orderBy("msg_seq").rowsBetween(W.unboundedPreceding, 0)
-    out = per.select("session_id", "msg_seq", F.sum("n").over(run).alias("total_tokens"), F.sum("a").over(run).alias("aligned_tokens"))
-    return out.withColumn("ter", F.round(F.when(F.col("total_tokens") == 0, 0.0).otherwise(F.col("aligned_tokens") / F.when(F.col("total_tokens") == 0, 1).otherwise(F.col("total_tokens"))), 4))
+    sums = per.select("session_id", "msg_seq", *(F.sum(f"{p}_{k}").over(run).alias(f"{p}_{k}") for p in PHASES for k in "na"))
+    total, good = (sum((F.col(f"{p}_{k}") for p in PHASES), F.lit(0)) for k in "na")
+    share = lambda a, n, none: F.when(n == 0, none).otherwise(a / F.when(n == 0, 1).otherwise(n))
+    ter = sum((share(F.col(f"{p}_a"), F.col(f"{p}_n"), 1.0) * PHASE_WEIGHTS[p] for p in PHASES), F.lit(0.0))
+    out = sums.select("session_id", "msg_seq", total.alias("total_tokens"), good.alias("aligned_tokens"), F.round(F.round(F.when(total == 0, 0.0).otherwise(ter), 9), 4).alias("ter"), F.round(share(good, total, 0.0), 4).alias("raw_ratio"))
+    return out
 
 
 def counts_of(text: str) -> Counter:
@@ -61,18 +72,35 @@ def similarity(a: dict, b: dict) -> float:
     return sum(v * b.get(k, 0) for k, v in a.items()) / both if both else 0.0
 
 
+def drift_of(values: list[float]) -> tuple[float, str]:
+    """As drift() has it, of a session's latest values."""
+    last = values[-WINDOW:]
+    n = len(last)
+    if n < 2:
+        return 0.0, "stable"
+    mean, middle = sum(last) / n, (n - 1) / 2
+    amount = round(sum((i - middle) * (v - mean) for i, v in enumerate(last)) / sum((i - middle) ** 2 for i in range(n)) * n, 6) + 0.0
+    return amount, "stable" if abs(amount) < DRIFT else "improving" if amount > 0 else "degrading"
+
+
 class RollingState(StatefulProcessor):
-    """One session's running state: tokens, the intent's trigram counts (they add up, so no text is kept), seen requests."""
+    """One session's running state: tokens by phase, the latest values, the intent's trigram counts (they add up, so no
+    text is kept), and requests seen, which may be forgotten after ``remember_ms``."""
+
+    def __init__(self, remember_ms: int | None = None) -> None:
+        self.remember_ms = remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState("sums", "total long, aligned long, tail string")
+        self.sums = handle.getValueState("sums", ", ".join(f"{p}_n long, {p}_a long" for p in PHASES) + ", tail string, recent array<double>")
         self.intent = handle.getMapState("intent", "bucket int", "n long")
-        self.seen = handle.getMapState("seen", "request string", "n int")
+        self.seen = handle.getMapState("seen", "request string", "n int", *([self.remember_ms] if self.remember_ms else []))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
         got = pd.concat(list(rows)).sort_values("msg_seq", kind="stable")
-        total, aligned, tail = self.sums.get() if self.sums.exists() else (0, 0, "")
-        intent = {k[0]: v[0] for k, v in self.intent.iterator()}
+        held = self.sums.get() if self.sums.exists() else (*[0] * 6, "", [])
+        n, good = {p: held[2 * i] for i, p in enumerate(PHASES)}, {p: held[2 * i + 1] for i, p in enumerate(PHASES)}
+        tail, recent = held[6], list(held[7])
+        intent, changed = {k[0]: v[0] for k, v in self.intent.iterator()}, set()
         out = []
         for seq, message in got.groupby("msg_seq", sort=True):
             first = message.iloc[0]
@@ -87,30 +115,49 @@ class RollingState(StatefulProcessor):
                 if block.role == "user":
                     if block.block_type == "text":
                         text = (tail + " " if intent else "") + block.text
-                        for b, n in counts_of(text).items():
-                            intent[b] = intent.get(b, 0) + n
+                        for b, k in counts_of(text).items():
+                            intent[b] = intent.get(b, 0) + k
+                            changed.add(b)
                         tail = block.text.lower()[-2:]
                     continue
-                n = max(1, len(block.text) // 4)
-                tokens += n
+                k, phase = max(1, len(block.text) // 4), PHASE_OF.get(block.block_type, "generation")
+                tokens += k
+                n[phase] += k
                 if not intent or similarity(counts_of(block.text), intent) >= THRESHOLD:
-                    aligned += n
-            total += tokens
+                    good[phase] += k
             if tokens:
-                out.append((key[0], seq, total, aligned, round(aligned / total, 4)))
-        self.sums.update((total, aligned, tail))
-        for b, n in intent.items():
-            self.intent.updateValue((b,), (n,))
-        yield pd.DataFrame(out, columns=["session_id", "msg_seq", "total_tokens", "aligned_tokens", "ter"])
+                total, aligned = sum(n.values()), sum(good.values())
+                ter = round(sum(PHASE_WEIGHTS[p] * (good[p] / n[p] if n[p] else 1.0) for p in PHASES), 4)
+                recent = [*recent, ter][-RING:]
+                out.append((key[0], seq, total, aligned, ter, round(aligned / total, 4), *drift_of(recent)))
+        self.sums.update((*(x for p in PHASES for x in (n[p], good[p])), tail, recent))
+        for b in changed:
+            self.intent.updateValue((b,), (intent[b],))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SIGNAL.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def live(lines: DataFrame) -> DataFrame:
-    """A stream of signals, one for each assistant message with tokens; needs a checkpoint and the RocksDB state store."""
+def live(lines: DataFrame, remember_ms: int | None = None) -> DataFrame:
+    """A stream of signals, one for each assistant message with tokens; needs a checkpoint and the RocksDB state store.
+    remember_ms: how long a request is known as seen; without it, always."""
     ship_package(lines.sparkSession)
-    return lines.groupBy("session_id").transformWithStateInPandas(statefulProcessor=RollingState(), outputStructType=SIGNAL, outputMode="Append", timeMode="None")
+    return lines.groupBy("session_id").transformWithStateInPandas(statefulProcessor=RollingState(remember_ms), outputStructType=SIGNAL, outputMode="Append", timeMode="ProcessingTime" if remember_ms else "None")
+
+
+def watch(spark: SparkSession, landing: str, checkpoint: str, on_signal: Callable[[dict], None], interval: str | None = "2 seconds", form: str = "json", remember_ms: int | None = None) -> StreamingQuery:
+    """Call on_signal with each signal of a landing folder, in turn, with its warning: at every interval, or, with None, of
+    what there is now. Requests can only be forgotten where the stream goes on."""
+    if remember_ms and not interval:
+        raise ValueError("remember_ms needs an interval")
+
+    def each(batch: DataFrame, _: int) -> None:
+        for row in warnings(batch).orderBy("session_id", "msg_seq").toLocalIterator():
+            on_signal(row.asDict())
+
+    writer = live(spark.readStream.schema(LINE).format(form).load(landing), remember_ms).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
 def dashboard(signals: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.functions import vectors as V
-from spanforge.operators import economics, history, inputs, intents, patterns, quality, reasoning, spans
+from spanforge.operators import economics, history, inputs, intents, patterns, quality, reasoning, similar, spans
 from spanforge.plugins import REGISTRY, Config, parse_cost_model, parse_weights
 from spanforge.streaming import live
 
@@ -141,8 +141,7 @@ def test_trigram_vectors(spark):
 
 def test_redundancy_of_four_prompts(spark):
     p = spark.createDataFrame([("s", i, t) for i, t in enumerate(("please fix the login bug", "please fix the login bug", "please fix the login bug", "zqx vww kjy"))], "session_id string, prompt_index long, text string")
-    v = V.trigram_rows(p, ["session_id", "prompt_index"])
-    assert inputs.redundancy(p, inputs.prompt_pairs(v)).first().redundancy == 0.75
+    assert inputs.redundancy(p, similar.pairs(p)).first().redundancy == 0.75
 
 
 def test_pairing_skips_tool_results(spark):
@@ -212,6 +211,115 @@ def test_configuration(tmp_path):
     assert parse_cost_model("1,2,3,4")["cached_write"] == 4.0
 
 
+def brute_vector(text):
+    import hashlib
+
+    import numpy as np
+
+    low, out = text.lower(), np.zeros(384)
+    for i in range(len(low) - 2):
+        out[int(hashlib.md5(low[i : i + 3].encode()).hexdigest(), 16) % 384] += 1
+    if len(low) < 3:
+        out[0] = 1
+    return out / np.sqrt(out @ out)
+
+
+def test_similarities_equal_brute_force(spark):
+    r = random.Random(4)
+    words = ["parser", "token", "test", "Ünï", "a", "fix", "the", "span"]
+    rows = [(s, i, r.choice(["reasoning", "generation"]), " ".join(r.choices(words, k=r.randint(0, 9)))) for s in ("x", "y", "z") for i in range(40)]
+    found = spark.createDataFrame(rows, "session_id string, position long, phase string, text string").repartition(5)
+    goals = {"x": "fix the parser test", "y": ""}
+    got = {(g.session_id, g.position): (g.similarity, g.repetition) for g in similar.neighbours(found, spark.createDataFrame(list(goals.items()), "session_id string, text string"), 10).collect()}
+    firsts = {(g.session_id, g.position): g.prior for g in similar.first_alike(found, 0.7).collect()}
+    assert len(got) == len(rows)
+    for s, i, phase, text in rows:
+        v = brute_vector(text)
+        near = [x[3] for x in rows if x[0] == s and x[2] == phase and x[1] < i][-10:]
+        assert got[s, i] == pytest.approx((float(v @ brute_vector(goals[s])) if s in goals else 0.0, max((float(v @ brute_vector(t)) for t in near), default=0.0)), abs=1e-8)
+        alike = [x[1] for x in rows if x[0] == s and x[1] < i and v @ brute_vector(x[3]) >= 0.7 - 1e-12]
+        assert firsts.get((s, i)) == (alike[0] if alike else None)
+    prompts = found.select("session_id", F.col("position").alias("prompt_index"), "text")
+    pairs = {(p.session_id, p.i, p.j): p.similarity for p in similar.pairs(prompts).collect()}
+    texts = {(s, i): t for s, i, _, t in rows}
+    assert len(pairs) == 3 * 40 * 39 // 2
+    assert all(v == pytest.approx(float(brute_vector(texts[s, i]) @ brute_vector(texts[s, j])), abs=6e-5) for (s, i, j), v in pairs.items())
+    assert similar.matrix(prompts).count() == 3 * 1600
+    steps = {(p.session_id, p.prompt_index): p.similarity for p in similar.steps(prompts).collect()}
+    assert steps == {(s, j): v for (s, i, j), v in pairs.items() if j == i + 1}
+
+
+def test_large_sessions_stream(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit("s").alias("session_id"), F.col("id").alias("position"), F.lit("generation").alias("phase"), F.concat(F.lit("step "), F.md5(F.col("id").cast("string"))).alias("text"), F.lit(1).cast("long").alias("token_count"))
+    out = similar.neighbours(rows, spark.createDataFrame([("s", "step")], "session_id string, text string"), 10)
+    assert out.agg(F.count("*"), F.max("repetition")).first()[0] == n
+    assert patterns.restatements(rows.where("position < 3000")).count() == 0
+
+
+def test_trigram_cosine(spark):
+    from collections import Counter
+
+    r = random.Random(2)
+    texts = ["", "ab", "abc", "aaaa", "Ab cab", *("".join(r.choice("abcd") for _ in range(r.randint(3, 40))) for _ in range(20))]
+    rows = [(a, b) for a in texts for b in texts]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", T.trigram_cosine(F.col("a"), F.col("b")).alias("s")).collect()
+    for x in got:
+        ca, cb = (Counter(t[i : i + 3] for i in range(len(t) - 2)) for t in (x.a, x.b))
+        if x.a == x.b:
+            want = 1.0
+        elif not x.a or not x.b:
+            want = 0.0
+        elif not ca or not cb:
+            want = 1.0
+        else:
+            want = sum(ca[g] * cb[g] for g in ca) / math.sqrt(sum(v * v for v in ca.values()) * sum(v * v for v in cb.values()))
+        assert x.s == pytest.approx(want), (x.a, x.b)
+    long = "abcdefghij" * 2000
+    assert value(spark, T.trigram_cosine(F.lit(long), F.lit(long + "x"))) > 0.99
+
+
+def test_custom_cost_model(spark):
+    m = spark.createDataFrame([("s", "assistant", 1_000_000, 2_000_000, 3_000_000, 4_000_000)], "session_id string, role string, input_tokens long, output_tokens long, cache_creation_tokens long, cache_read_tokens long")
+    rates = parse_cost_model("1,2,3,4")
+    assert economics.usage(m, rates).first().cost_usd == pytest.approx(1 * 1 + 2 * 2 + 4 * 3 + 3 * 4)
+    s = spark.createDataFrame([("s", 0, "generation", "assistant", "over_explanation", False, 100), ("s", 1, "tool_use", "user", "unnecessary_tool_call", False, 50)], "session_id string, position long, phase string, source_role string, label string, aligned boolean, token_count long")
+    none = spark.createDataFrame([], "session_id string, pattern_type string, tokens_wasted long")
+    scale = spark.createDataFrame([("s", 2.5)], "session_id string, calibration double")
+    got = {r.source: (r.pricing, r.cost_usd) for r in economics.waste_breakdown(s, none, rates, scale).collect()}
+    assert got == {"over_explanation": ("output", pytest.approx(100 * 2.5 * 2 / 1e6)), "user_side": ("input", pytest.approx(50 * 1 / 1e6))}
+    w = economics.cost_weighted(s.withColumn("aligned", F.lit(True)).withColumn("category", F.lit("input")), rates, spark.createDataFrame([("s", 1000, 2000)], "session_id string, cache_read_tokens long, cache_creation_tokens long")).first()
+    assert w.total_cost_usd == pytest.approx((150 + 3000 + 8000) / 1e6) and w.cost_weighted_ter == 1.0
+
+
+def test_hierarchy_and_strategies(spark):
+    p = spark.createDataFrame([("s", 0, "fix the parser"), ("s", 1, "write the docs"), ("t", 0, "only one")], "session_id string, prompt_index long, text string")
+    spans_ = spark.createDataFrame([("s", 0, "docs written"), ("s", 1, "parser fix"), ("t", 0, "one only")], "session_id string, position long, text string")
+    got = {(r.session_id, r.position): (r.score, r.part) for r in intents.scores(spans_, p).collect()}
+    for s, i, text, high, sub in (("s", 0, "docs written", "fix the parser", "write the docs"), ("s", 1, "parser fix", "fix the parser", "write the docs")):
+        h, b = float(brute_vector(text) @ brute_vector(high)), float(brute_vector(text) @ brute_vector(sub))
+        assert got[s, i] == (pytest.approx(0.7 * b + 0.3 * h, abs=1e-4), 1 if b >= h else None)
+    assert got["t", 0][1] is None
+    assert intents.strategy("hierarchical")(p).count() == 3 and intents.strategy("whole")(p).count() == 2 and intents.strategy("sliding")(p).count() >= 2
+    with pytest.raises(ValueError):
+        intents.strategy("other")
+    told = intents.goals(lambda base: base.select("session_id", F.when(F.col("session_id") == "s", "ship it").alias("goal"), F.array(F.lit("one")).alias("steps"), F.array().cast("array<string>").alias("constraints")).where("goal IS NOT NULL"))
+    assert {r.session_id: (r.text.strip(), r.confidence) for r in told(p).collect()} == {"s": ("ship it one", 0.95), "t": ("only one", 0.3)}
+
+
+def test_block_rules(spark):
+    def raw(content):
+        import json
+
+        return json.dumps({"type": "user", "uuid": "u", "sessionId": "s", "message": {"role": "user", "content": content}})
+
+    rows = [raw([{"type": "text"}, {"type": "tool_use", "name": "x"}, {"type": "odd"}, 5, {"text": "t"}, {"type": "tool_result"}, {"type": "text", "text": 7}, {"type": "thinking"}]), raw(7), "[1]", '{"type":"user","uuid":"u","sessionId":"s","message":3}', raw([{"type": "text", "text": "fine"}]).replace('"role": "user"', '"role": "robot"')]
+    got = {r.line_no: (list(r.errors), list(r.warnings)) for r in quality.lines(spark.createDataFrame([("s", i, r) for i, r in enumerate(rows)], "session_id string, line_no int, raw string")).collect()}
+    assert got[0] == (["content[0] lacks text", "content[1] lacks id", "content[4] lacks type", "content[5] lacks tool_use_id", "content[6] has a text that is no string"], ["content[2] has an unknown type", "content[3] is no object", "content[7] lacks thinking"])
+    assert got[1][0] == ["content is neither a string nor a list"] and got[2][0] == ["no JSON object"] and got[3][0] == ["message is no object"]
+    assert got[4] == ([], ["unexpected role"])
+
+
 def test_registry():
     class Mine:
         name = "mine"
@@ -225,6 +333,7 @@ def test_registry():
     assert REGISTRY.of["detector"]["mine"] is first
     with pytest.raises(TypeError):
         REGISTRY.register("formatter", Mine())
+    REGISTRY.reset()
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -247,3 +356,16 @@ def test_stream_equals_batch(spark, tmp_path):
         assert q.awaitTermination(120)
     got = [(r.msg_seq, r.total_tokens, r.aligned_tokens) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("msg_seq").collect()]
     assert got == want
+    told = []
+    assert live.watch(spark, str(folder), str(tmp_path / "cp2"), told.append, None, "parquet").awaitTermination(120)
+    assert [(t["msg_seq"], t["total_tokens"], t["aligned_tokens"]) for t in told] == want and all("warning" in t and "healthy" in t for t in told)
+    values = [t["ter"] for t in told]
+    assert (told[-1]["drift"], told[-1]["direction"]) == live.drift_of(values)
+
+
+def test_drift_of_values_equals_the_window(spark):
+    r = random.Random(3)
+    values = [round(r.random(), 4) for _ in range(14)]
+    rows = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "session_id string, msg_seq long, ter double")
+    got = [(x.drift, x.direction) for x in live.drift(rows).orderBy("msg_seq").collect()]
+    assert got == [(pytest.approx(live.drift_of(values[: i + 1])[0], abs=2e-6), live.drift_of(values[: i + 1])[1]) for i in range(14)]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.plans import analyze, cli, report
+from spanforge.plugins import Config, Registry, parse_cost_model
 from spanforge.sources import transcripts
 
 
@@ -81,6 +82,163 @@ def test_subagents_group_and_listing(spark, tmp_path):
     assert [(r.name, r.subagents) for r in listed] == [("p.jsonl", 1)]
 
 
+def test_grouped_reports(spark, tmp_path):
+    write(tmp_path / "p.jsonl", SESSION)
+    write(tmp_path / "p" / "subagents" / "agent-1.jsonl", SESSION[:1] + SESSION[5:])
+    a = analyze.transcripts_at(spark, str(tmp_path))
+    (g,) = report.grouped(a)
+    assert g["group"]["parent_session_id"] == "s1" and g["group"]["subagent_count"] == 1
+    assert g["parent"]["session_id"] == "s1" and [x["session_id"] for x in g["subagents"]] == ["agent-1"]
+    assert g["group"]["total_tokens"] == g["parent"]["total_tokens"] + g["subagents"][0]["total_tokens"]
+    text = report.grouped_text(a)
+    assert "agents 1" in text and "agent-1" in text
+
+
+def test_listing_under_a_folder_named_like_agents(spark, tmp_path):
+    root = tmp_path / "subagents" / "my_subagents_here"
+    write(root / "p.jsonl", SESSION)
+    write(root / "p" / "subagents" / "agent-1.jsonl", SESSION)
+    assert [(r.name, r.subagents) for r in transcripts.sessions(spark, str(root)).collect()] == [("p.jsonl", 1)]
+
+
+def reads(n, tool="Read", file="a.py", extra=""):
+    return [entry("assistant", [{"type": "tool_use", "id": f"t{i}", "name": tool, "input": {"file_path": file, "note": "x" * 40 + extra}}], f"a{i}", f"r{i}", {"input_tokens": 1, "output_tokens": 5}) for i in range(n)]
+
+
+def test_over_reading_counts_spans_tokens(spark, tmp_path):
+    a = analyze.transcripts_at(spark, write(tmp_path / "s.jsonl", [SESSION[0], *reads(4)]))
+    each = [s.token_count for s in a.spans.where("block_type = 'tool_use'").orderBy("position").collect()]
+    assert len(each) == 4 and each[0] > 10
+    (got,) = [p for p in a.patterns.collect() if p.pattern_type == "over_reading"]
+    assert (got.start_position, got.end_position, got.spans_involved, got.tokens_wasted, got.detail) == (1, 4, 4, sum(each[1:]), "a.py")
+
+
+def test_abandoned_counts_spans_tokens(spark, tmp_path):
+    a = analyze.transcripts_at(spark, write(tmp_path / "s.jsonl", [SESSION[0], *reads(2, "Edit"), *reads(3, file="b.py")[2:]]))
+    (got,) = [p for p in a.patterns.collect() if p.pattern_type == "abandoned_approach"]
+    own = [s.token_count for s in a.spans.where("tool = 'Edit'").collect()]
+    assert (got.start_position, got.end_position, got.spans_involved, got.tokens_wasted) == (1, 2, 2, sum(own))
+
+
+def test_every_detector_on_a_transcript(spark, tmp_path):
+    use = lambda i, name, **given: entry("assistant", [{"type": "tool_use", "id": f"u{i}", "name": name, "input": given}], f"m{i}", f"q{i}", {"input_tokens": 1, "output_tokens": 9})
+    said = lambda i, text: entry("user", [{"type": "tool_result", "tool_use_id": f"u{i}", "content": text}], f"n{i}")
+    thought = "x" * 8000
+    rows = [SESSION[0]]
+    for i in range(3):
+        rows += [use(i, "Read", file_path="a.py"), said(i, "def f(): return 1  # file text " * 4)]
+    for i in range(3, 6):
+        rows += [use(i, "Edit", file_path="b.py", old="x", new=str(i)), said(i, "done")]
+    for i in range(6, 9):
+        rows += [use(i, "Bash", command=f"cat  log.txt | tail -{i}"), said(i, "Permission denied")]
+    rows += [entry("assistant", [{"type": "thinking", "text": thought}, {"type": "text", "text": "ok"}], "th", "qt", {"input_tokens": 1, "output_tokens": 3000})]
+    rows += [entry("assistant", "This very sentence is told twice in the session", f"d{i}", f"e{i}", {"input_tokens": 1, "output_tokens": 9}) for i in range(2)]
+    a = analyze.transcripts_at(spark, write(tmp_path / "s.jsonl", rows))
+    got = {p.pattern_type: p for p in a.patterns.collect()}
+    file_tokens = len("def f(): return 1  # file text " * 4) // 4
+    assert got["repetitive_read"].tokens_wasted == 2 * file_tokens and got["repetitive_read"].detail == "a.py"
+    assert (got["edit_fragmentation"].spans_involved, got["edit_fragmentation"].tokens_wasted) == (3, 0)
+    denied = len("Permission denied") // 4
+    assert (got["bash_antipattern"].spans_involved, got["bash_antipattern"].tokens_wasted) == (3, 3 * denied)
+    assert (got["failed_tool_retry"].spans_involved, got["failed_tool_retry"].tokens_wasted) == (3, 3 * denied)
+    assert (got["repeated_command"].spans_involved, got["repeated_command"].tokens_wasted, got["repeated_command"].detail) == (3, 2 * denied, "cat log.txt")
+    assert got["permission_loop"].spans_involved == 3
+    assert got["duplicate_tool_call"].detail == 'Read {"file_path":"a.py"}'
+    assert got["context_restatement"].tokens_wasted == len("This very sentence is told twice in the session") // 4
+    assert got["verbose_thinking"].tokens_wasted == 2000 - 10 and got["over_reading"].detail == "a.py"
+
+
+def test_cost_model_and_calibration(spark, tmp_path):
+    path = write(tmp_path / "s1.jsonl", SESSION)
+    plain = report.collect(analyze.transcripts_at(spark, path))[0]
+    dear = report.collect(analyze.transcripts_at(spark, path, Config(model=parse_cost_model("6,30,0.6,7.5"))))[0]
+    assert dear["economics"]["cost_usd"] == pytest.approx(2 * plain["economics"]["cost_usd"])
+    own = [entry("assistant", "word " * 60, f"d{i}", f"e{i}", {"input_tokens": 10, "output_tokens": 300}) for i in range(2)]
+    r = report.collect(analyze.transcripts_at(spark, write(tmp_path / "s2.jsonl", [SESSION[0], *own])))[0]
+    (source,) = [x for x in r["waste_breakdown"]["sources"] if x["source"] == "over_explanation"]
+    assert r["economics"]["calibration"] == pytest.approx(600 / 150)
+    assert source["cost_usd"] == pytest.approx(source["tokens"] * 4 * 15 / 1e6)
+    assert r["waste_summary"]["by_phase"] == {"generation": source["tokens"]} and "waste" in r["waste_summary"]["explanation"]
+
+
+def test_quick_reading(spark, tmp_path):
+    rows = [
+        entry("user", "second", ts="2026-01-01T00:00:05Z"),
+        entry("assistant", [{"type": "thinking", "thinking": "deep thought", "text": "t"}, "bare", {"type": "tool_use", "id": "t", "name": "Read", "input": {"a": 1}}], request="r1", usage={"output_tokens": 1}, ts="2026-01-01T00:00:01Z"),
+        "{broken",
+        entry("assistant", "longer answer", request="r1", usage={"output_tokens": 9}, ts="2026-01-01T00:00:09Z"),
+        entry("user", [{"type": "tool_result", "tool_use_id": "t", "content": "result"}, {"type": "text", "text": "third"}], ts="2026-01-01T00:00:06Z"),
+        entry("assistant", [{"type": "thinking", "thinking": "deep thought", "text": "t"}, "bare", {"type": "tool_use", "id": "t", "name": "Read", "input": {"a": 1}}], ts="2026-01-01T00:00:01Z"),
+    ]
+    lines = transcripts.read_lines(spark, write(tmp_path / "q.jsonl", rows))
+    prompts, found = transcripts.quick(transcripts.parse_entries(lines, "skip"))
+    assert [(p.session_id, p.text) for p in prompts.orderBy("prompt_index").collect()] == [("s1", "second"), ("s1", "third")]
+    assert [(s.phase, s.text) for s in found.orderBy("position").collect()] == [("reasoning", "deep thought"), ("tool_use", 'Read: {"a":1}'), ("tool_use", "result"), ("generation", "longer answer")]
+
+
+def test_wrong_missing_and_empty_files(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        transcripts.read_lines(spark, str(tmp_path / "none.jsonl"))
+    (tmp_path / "x.txt").write_text("{}")
+    with pytest.raises(ValueError, match="not a .jsonl"):
+        transcripts.read_lines(spark, str(tmp_path / "x.txt"))
+    (tmp_path / "e.jsonl").write_text(" \n\n")
+    with pytest.raises(Exception, match="empty file"):
+        transcripts.messages(transcripts.parse_entries(transcripts.read_lines(spark, str(tmp_path / "e.jsonl")))).collect()
+
+
+def test_polls(spark, tmp_path):
+    folder, held = tmp_path / "t", str(tmp_path / "held")
+    write(folder / "a.jsonl", SESSION[:2])
+    assert [r.event for r in transcripts.poll_changes(spark, str(folder), held + "1").collect()] == ["new_session"]
+    assert transcripts.poll_lines(spark, str(folder), held + "2").count() == 2
+    assert transcripts.poll_changes(spark, str(folder), held + "1").count() == 0
+    with open(folder / "a.jsonl", "a") as f:
+        f.write(json.dumps(SESSION[2]) + "\n" + json.dumps(SESSION[3])[:20])
+    os.utime(folder / "a.jsonl", (time.time() + 5, time.time() + 5))
+    write(folder / "b.jsonl", SESSION[:1])
+    assert {r.path.rsplit("/", 1)[-1]: r.event for r in transcripts.poll_changes(spark, str(folder), held + "1").collect()} == {"a.jsonl": "modified_session", "b.jsonl": "new_session"}
+    assert sorted((r.stem, r.line_no) for r in transcripts.poll_lines(spark, str(folder), held + "2").collect()) == [("a", 3), ("b", 1)]
+
+
+def test_plugins_take_part(spark, tmp_path, capsys):
+    from pyspark.sql import functions as F
+
+    class Long:
+        name = "long"
+
+        def detect(self, labelled):
+            return labelled.where("token_count > 5").select("session_id", F.lit("long_span").alias("pattern_type"), F.col("position").alias("start_position"), F.col("position").alias("end_position"), F.lit(1).cast("long").alias("spans_involved"), F.col("token_count").alias("tokens_wasted"), F.lit(None).cast("string").alias("detail"))
+
+    class NoReasoning:
+        name = "none"
+
+        def pre_process(self, spans):
+            return spans.where("phase <> 'reasoning'")
+
+        def post_process(self, results):
+            return results.withColumn("mark", F.lit("seen"))
+
+    class Shout:
+        name = "shout"
+
+        def format_result(self, result):
+            return f"TER!! {result['aggregate_ter']}"
+
+        def format_comparison(self, results):
+            return f"{len(results)}!!"
+
+    registry = Registry()
+    for kind, plugin in (("detector", Long()), ("middleware", NoReasoning()), ("formatter", Shout())):
+        registry.register(kind, plugin)
+    a = analyze.transcripts_at(spark, write(tmp_path / "s1.jsonl", SESSION), registry=registry)
+    assert a.spans.where("phase = 'reasoning'").count() == 0 and a.results.first().mark == "seen"
+    assert a.patterns.where("pattern_type = 'long_span'").count() > 0
+    assert report.rendered(report.collect(a), "shout", registry=registry).startswith("TER!!")
+    with pytest.raises(ValueError, match="no output format"):
+        report.rendered([], "other")
+
+
 def test_repeated_result_is_waste_and_cost(spark, tmp_path):
     result = lambda i: entry("user", [{"type": "tool_result", "tool_use_id": i, "content": "the very same output again"}])
     a = analyze.transcripts_at(spark, write(tmp_path / "s4.jsonl", [SESSION[0], result("a"), result("b"), SESSION[5]]))
@@ -101,6 +259,19 @@ def test_reports_and_command_line(spark, tmp_path, capsys):
     assert cli.main(["list", str(tmp_path), "--format", "json"]) == 0
     assert cli.main(["analyze", path, "--phase-weights", "1,1,1"]) == 1
     assert cli.main(["report", path, "-o", str(tmp_path / "r.md")]) == 0 and os.path.getsize(tmp_path / "r.md") > 50
+    capsys.readouterr()
+    assert cli.main(["analyze", path, "--format", "json", "--cost-model", "6,30,0.6,7.5"]) == 0
+    assert json.loads(capsys.readouterr().out)["economics"]["cost_usd"] == pytest.approx(2 * one["economics"]["cost_usd"])
+    assert cli.main(["analyze", path, "--cost-model", "dear"]) == 1
+    write(tmp_path / "t" / "s2.jsonl", [entry("user", "another task", session="s2"), entry("assistant", "fine", "x", "y", {"output_tokens": 4}, session="s2")])
+    capsys.readouterr()
+    assert cli.main(["compare", path, str(tmp_path / "t"), "--baseline"]) == 0 and "| cost_usd |" in capsys.readouterr().out
+    assert cli.main(["compare", path, str(tmp_path / "t"), "--format", "json"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert len(got["sessions"]) == 2 and got["total_cost_usd"] >= one["economics"]["cost_usd"]
+    text = report.as_text([one])
+    assert "Waste by source" in text or not one.get("waste_breakdown")
+    assert "Input:" in text and "Phases:" in text and "Context grew" in text and report.as_text([one], True).count("\x1b[") > 3
 
 
 def test_snapshot_changes(spark):
@@ -118,5 +289,5 @@ def test_file_hash(spark, tmp_path):
 
 def test_history_is_appended(spark, tmp_path):
     for i in range(2):
-        transcripts.append_history(spark.range(1).select(F.lit(i).alias("i")), str(tmp_path / "h"))
-    assert spark.read.parquet(str(tmp_path / "h")).count() == 2
+        transcripts.append_history(spark.range(1).select(F.lit(i).alias("i"), *([F.lit(1).alias("more")] if i else [])), str(tmp_path / "h"))
+    assert sorted((r.i, r.more) for r in transcripts.history(spark, str(tmp_path / "h")).fillna(0).collect()) == [(0, 0), (1, 1)]
