@@ -17,11 +17,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Values by distinct, evenly spread 64-bit keys, looked up many at a time: open addressing at a quarter's load."""
+    """Values by distinct, evenly spread 64-bit keys, looked up many at a time: open addressing at half load at most."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.values = values
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.keys = np.zeros(1 << self.bits, U)
         at, left = self._home(keys), np.arange(len(keys))
@@ -58,3 +58,23 @@ class Table:
         if not len(self.values):
             return np.broadcast_to(np.asarray(default, float), len(keys)).copy()
         return np.where(at >= 0, self.values[at, column], default)
+
+
+class Grown:
+    """An array that grows at its end, in doubled room."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.n = np.zeros(16, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.zeros(self.n + 2 * len(more), self.room.dtype)])
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]

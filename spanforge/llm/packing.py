@@ -9,20 +9,23 @@ rest seeds the next window, so windows are full; what a partition has left at it
 two, which need no padding. Documents longer than a window first give whole windows of their own. A lost task is repeated
 with the same result.
 
-Ids are those of the tokenizer file. Text is cut into chunks that the tokenizer never joins: the tokenizer's own pieces,
-where all characters are plain Latin ones, else runs that begin with white space. Each worker keeps the ids of chunks it
-has seen (at most ``CACHE`` of them; then it starts anew).
+Ids are those of the tokenizer file, whose added tokens are known in texts (``added_tokens``). Where all characters of a
+text are plain Latin ones, the tokenizer's own pieces are found for many texts at once, as arrays, and looked up by two
+64-bit hashes; other texts are cut into runs that begin with white space. Each worker keeps the ids of pieces it has seen
+(at most ``CACHE`` of them; then it starts anew).
 
 Defined results: a null text counts as empty and gives the end id alone; rows that repeat an id are packed as often as
-they occur; strings of special tokens are ordinary text; an empty table gives no pieces.
+they occur; without ``added_tokens``, strings of added tokens are ordinary text; ties go by an order of ids and texts; other columns
+are not read; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import cut, documents, through_python
+from spanforge.llm.hashing import BASE, SPREAD, Grown, Table, U, mix
 
 WINDOW, END_ID, SHARD_TOKENS = 2048, 1, 1 << 20
 VOCABULARY = "byte_bpe_50k.json"
-CACHE = 900_000
+CACHE = 1_500_000
+#: Characters that are worked on at once, if no word is longer.
+BLOCK = 1 << 19
 #: Shared tokens by which documents are dealt; counters of token frequencies that travel together; tokens of a partition.
 RAREST, CHUNK, PARTITION_TOKENS = 8, 1 << 12, 1 << 21
 K1, B = 1.2, 0.75
@@ -49,36 +55,90 @@ _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc
 _PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\\t-\\r {_L}{_N}]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+")
 
 
-class Known(dict):
-    """Numbers of chunks; an unknown one is encoded and gets the next."""
+_BETWEEN = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+_ODD, _LETTER, _NUMBER, _OTHER, _SPACE = range(5)
 
-    def __init__(self, encode: Callable[[str], list[int]]) -> None:
-        super().__init__()
-        self.encode, self.fresh = encode, []
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = at = len(self)
-        self.fresh.append(self.encode(chunk))
-        return at
+def _kinds() -> np.ndarray:
+    """The kind of each plain character; the last entry is for all others."""
+    out = np.full(0x251, _OTHER, np.uint8)
+    for pattern, kind in ((f"[{_L}]", _LETTER), (f"[{_N}]", _NUMBER), ("[\\t-\\r ]", _SPACE), (_UNUSUAL.pattern, _ODD)):
+        found = re.compile(pattern)
+        out[[c for c in range(0x250) if found.match(chr(c))]] = kind
+    out[-1] = _ODD
+    return out
+
+
+_KINDS = _kinds()
+_RANDOM = [r * U(2) + U(1) for r in np.random.default_rng(20240301).integers(0, 1 << 63, (2, len(_KINDS)), np.int64).astype(U)]
+_BASES = (BASE, SPREAD)
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, U), np.full(n, base, U)]))
+
+
+_POWERS = [_powers_of(b, 64) for b in _BASES]
+
+
+def piece_starts(points: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the tokenizer's pieces begin, of texts that stand one after the other: what _PIECE finds in each of them."""
+    n = len(points)
+    text_start = np.zeros(n + 1, bool)
+    text_start[np.r_[0, ends]] = True
+    new_kind = np.r_[True, kind[1:] != kind[:-1], True] | text_start
+    starts = new_kind[:-1].copy()
+    # The last of a run of white space that something follows: a blank goes with that, another one is a piece.
+    last = np.flatnonzero(new_kind[1:n] & (kind[:-1] == _SPACE) & ~text_start[1:n]) if n > 1 else np.zeros(0, np.int64)
+    starts[last] = True
+    starts[last[points[last] == 32] + 1] = False
+    # An apostrophe that stands alone, with one of some endings, is a piece; what follows is another.
+    alone = np.flatnonzero((points == 39) & starts & new_kind[1:])
+    alone = alone[alone < n - 1]
+    alone = alone[~text_start[alone + 1]]
+    if len(alone):
+        padded = np.r_[points, 0, 0]
+        one, two = padded[alone + 1], padded[alone + 2]
+        two = np.where(text_start[np.minimum(alone + 2, n)], 0, two)
+        pair = one.astype(np.int64) << 8 | np.where(two < 256, two, 0)
+        size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 1, np.where(np.isin(pair, [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]), 2, 0))
+        alone, size = alone[size > 0], size[size > 0]
+        starts[alone + 1] = False
+        after = alone + 1 + size
+        starts[after[after < n]] = True
+    return starts
+
+
+def sections(text: str) -> Iterator[str]:
+    """Parts of a long text, cut before blanks between letters, where a piece begins in any case."""
+    at = 0
+    while len(text) - at > 2 * BLOCK and (cut_ := _BETWEEN.search(text, at + BLOCK)):
+        yield text[at : cut_.start()]
+        at = cut_.start()
+    if at < len(text):
+        yield text[at:]
 
 
 class Ids:
-    """Token ids of texts, by the tokenizer file at path."""
+    """Token ids of texts, by the tokenizer file at path; strings of its added tokens are those tokens, or ordinary text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = True) -> None:
         import json
 
         import tiktoken
 
-        self.path = path
+        self.path, self.added_tokens = path, added_tokens
         # Byte-level vocabularies name each byte by a character: printable ones by themselves, the rest from U+0100 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        ranks = {bytes(byte_of[c] for c in word): i for word, i in vocabulary.items() if all(c in byte_of for c in word) and not (word.startswith("<|") and word.endswith("|>"))}
+            file = json.load(f)
+        added = {x["content"]: x["id"] for x in file["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in file["model"]["vocab"].items() if word not in added and all(c in byte_of for c in word)}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = added if added_tokens else {}
+        self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.clear()
 
     @cached_property
@@ -86,45 +146,119 @@ class Ids:
         from tokenizers import Tokenizer
 
         out = Tokenizer.from_file(self.path)
-        out.encode_special_tokens = True
+        out.encode_special_tokens = True  # added tokens are cut out before
         return out
 
     def clear(self) -> None:
-        self.of = Known(self._encode)
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        """Forget all pieces."""
+        self.by_chunk: dict[str, list[int]] = {}
+        self.keys, self.checks, self.starts, self.flat = Grown(U), Grown(U), Grown(np.int64), Grown(np.uint32)
+        self.starts.add(np.zeros(1, np.int64))
+        self.old = self.young = Table(self.keys.all, np.zeros((0, 1), np.int8))
 
     def _encode(self, chunk: str) -> list[int]:
         return self.fast.encode_ordinary(chunk) if _PLAIN.fullmatch(chunk) else self.slow.encode(chunk, add_special_tokens=False).ids
 
+    def _by_chunks(self, text: str) -> np.ndarray:
+        """Ids of a text with other than plain characters."""
+        out: list[int] = []
+        for chunk in [text] if _UNUSUAL.search(text) else _CHUNK.findall(text):
+            if (ids := self.by_chunk.get(chunk)) is None:
+                ids = self.by_chunk[chunk] = self._encode(chunk)
+            out += ids
+        return np.array(out, np.uint32)
+
+    def _learn(self, pieces: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
+        fresh = list(map(self.fast.encode_ordinary, pieces))
+        lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        self.starts.add(len(self.flat) + np.cumsum(lengths))
+        self.flat.add(np.fromiter(chain.from_iterable(fresh), np.uint32, int(lengths.sum())))
+        self.keys.add(keys)
+        self.checks.add(checks)
+        young = len(self.keys) - len(self.old)
+        if young > max(1 << 14, len(self.old) // 4):
+            self.old = Table(self.keys.all, np.zeros((len(self.keys), 1), np.int8))
+            young = 0
+        self.young = Table(self.keys.all[len(self.keys) - young :], np.zeros((young, 1), np.int8))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        at = self.old.find(keys).astype(np.int64)
+        left = np.flatnonzero(at < 0)
+        if len(left) and len(self.young):
+            later = self.young.find(keys[left])
+            at[left] = np.where(later >= 0, later + len(self.old), -1)
+        return at
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text, None where some character isn't plain."""
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(t) for t in texts])
+        kind = _KINDS[np.minimum(points, len(_KINDS) - 1)]
+        odd = np.flatnonzero(kind == _ODD)
+        starts = piece_starts(points, kind, ends)
+        begins = np.flatnonzero(starts)
+        sizes = np.diff(np.r_[begins, len(points)])
+        inside = np.arange(len(points)) - np.repeat(begins, sizes)
+        most = int(sizes.max(initial=0))
+        if len(_POWERS[0]) < most:
+            _POWERS[:] = [_powers_of(b, 2 * most) for b in _BASES]
+        low = np.minimum(points, len(_KINDS) - 1)
+        keys, checks = (mix(np.add.reduceat(r[low] * p[inside], begins)) if len(begins) else np.zeros(0, U) for r, p in zip(_RANDOM, _POWERS, strict=True))
+        at = self._find(keys)
+        plain = np.ones(len(texts), bool)
+        plain[np.searchsorted(ends, odd, "right")] = False
+        piece_ends = np.searchsorted(begins, ends)
+        text_of = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, piece_ends]))
+        unknown = np.flatnonzero((at < 0) & plain[text_of])
+        if len(unknown):
+            _, first = np.unique(keys[unknown], return_index=True)
+            new = unknown[first]
+            self._learn([joined[b : b + n] for b, n in zip(begins[new].tolist(), sizes[new].tolist(), strict=True)], keys[new], checks[new])
+            at[unknown] = self._find(keys[unknown])
+        known = plain[text_of]
+        if (self.checks.all[at[known]] != checks[known]).any():  # two pieces of one key: never seen
+            return [np.array([i for p in _PIECE.findall(t) for i in self._encode(p)], np.uint32) if ok else None for t, ok in zip(texts, plain.tolist(), strict=True)]
+        at = np.where(known, at, 0)
+        starts_ = self.starts.all
+        length = np.where(known, starts_[at + 1] - starts_[at], 0)
+        upto = np.r_[0, np.cumsum(length)]
+        flat = self.flat.all[np.arange(upto[-1]) + np.repeat(starts_[at] - upto[:-1], length)]
+        bounds = upto[np.r_[0, piece_ends]].tolist()
+        return [flat[a:b] if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], plain.tolist(), strict=True)]
+
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        if len(self.of) > CACHE:
+        if len(self.keys) + len(self.by_chunk) > CACHE:
             self.clear()
-        number, numbered, out = self.of.__getitem__, [], []
+        parts: list[str] = []
+        made: list[list] = []  # of each text: parts' numbers, and added tokens as arrays
         for t in texts:
-            chunks = [t] if _UNUSUAL.search(t) else _PIECE.findall(t) if _PLAIN.fullmatch(t) else _CHUNK.findall(t)
-            numbered.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
-        if fresh := self.of.fresh:
-            lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in fresh for i in x), np.uint32, int(lengths.sum()))])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.of.fresh = []
-        for at in numbered:
-            begin = self.starts[at]
-            length = self.starts[at + 1] - begin
-            ends = np.cumsum(length)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.arange(total) + np.repeat(begin - ends + length, length)]
-            ids[total] = END_ID
-            out.append(ids)
-        return out
+            own: list = []
+            for i, part in enumerate(self.added_pattern.split(t)) if self.added_pattern and self.added_pattern.search(t) else ((0, t),):
+                if i % 2:
+                    own.append(np.array([self.added[part]], np.uint32))
+                else:
+                    for piece in sections(part):
+                        own.append(len(parts))
+                        parts.append(piece)
+            made.append(own)
+        found: list[np.ndarray | None] = []
+        while len(found) < len(parts):
+            begin = end = len(found)
+            size = 0
+            while end < len(parts) and (end == begin or size + len(parts[end]) <= BLOCK):
+                size += len(parts[end])
+                end += 1
+            found += [self._by_chunks(p) if ids is None else ids for p, ids in zip(parts[begin:end], self._plain(parts[begin:end]), strict=True)]
+        end = np.array([END_ID], np.uint32)
+        return [np.concatenate([*(found[x] if isinstance(x, int) else x for x in own), end]) for own in made]
 
 
 @lru_cache(1)
-def ids_by(path: str) -> Ids:
+def ids_by(path: str, added_tokens: bool) -> Ids:
     """One for each worker process, which keeps it from task to task."""
-    return Ids(path)
+    return Ids(path, added_tokens)
 
 
 class Index:
@@ -240,13 +374,13 @@ class Packer:
         self.room = self.window
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None) -> DataFrame:
+def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, added_tokens: bool = True) -> DataFrame:
     """(doc_id, n, ids) of each document and, with n null, (chunk, counts): parts of tokens' document frequencies."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        ids_of = ids_by(tokenizer or public_tokenizers.path(VOCABULARY))
+        ids_of = ids_by(tokenizer or public_tokenizers.path(VOCABULARY), added_tokens)
         df, kind = np.zeros(CHUNK, np.int64), None
         names = ["doc_id", "n", "ids", "chunk", "counts"]
         for batch in it:
@@ -322,9 +456,9 @@ def dealt(held: DataFrame, df: np.ndarray, tokens: int) -> DataFrame:
     return keyed.repartitionByRange(max(1, -(-tokens // PARTITION_TOKENS)), "rare", "tie").sortWithinPartitions("rare", "tie").select("doc_id", "n", "ids")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, query_terms: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, query_terms: int | None = None, added_tokens: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    tokens_of = cut(tokenized(docs, id_col, text_col, tokenizer))
+    tokens_of = cut(tokenized(docs, id_col, text_col, tokenizer, added_tokens))
     n, total = tokens_of.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = frequencies(tokens_of)
     overall = docs.sparkSession.sparkContext.broadcast((n, total / max(n, 1), df))
