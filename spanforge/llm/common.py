@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -65,6 +66,14 @@ def through_python(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]],
     return df.mapInArrow(batches, schema)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver has, a few, as a table that no Python worker has a part in."""
+    kind = T._parse_datatype_string(schema)
+    told = json.dumps([dict(zip(kind.fieldNames(), r, strict=True)) for r in rows])
+    one = spark.range(1).select(F.explode(F.from_json(F.lit(told), T.ArrayType(kind))).alias("row"))
+    return one.select("row.*")
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the fold from which nothing is learnt."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

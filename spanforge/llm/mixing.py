@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WORD_SEPARATORS, cut, documents, free_name
+from spanforge.llm.common import WORD_SEPARATORS, cut, documents, free_name, small_table
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_COPIES, SEED = 1.5, 2, 17
@@ -163,7 +163,7 @@ def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id",
     by_name = {("~" if s is None else f"s{s}"): t for s, t in targets.items()}
     flow = min_cost_flow([r.words for r in sums], [round(by_name[s]) for s in sources], [tuple(number[s] for s in r.pattern) for r in sums], max_copies)
     wanted = [(r.pattern, c, sum(part.values())) for r, parts in zip(sums, flow, strict=True) for c, part in enumerate(parts)]
-    quota = spark.createDataFrame(wanted, "pattern array<string>, copy int, wanted long")
+    quota = small_table(spark, wanted, "pattern array<string>, copy int, wanted long")
     # The slice in which a flow ends: at most SLICES rows a pattern are ordered here, whatever the number of documents.
     upto = slices.join(quota, "pattern").withColumn("before", F.coalesce(F.sum("words").over(W.partitionBy("pattern", "copy").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     cuts = upto.groupBy("pattern", "copy", "wanted").agg(F.min(F.when(F.col("before") + F.col("words") > F.col("wanted"), F.struct("slice", "before"))).alias("part"))
@@ -179,7 +179,7 @@ def mix(docs: DataFrame, members: Column | None = None, id_col: str = "doc_id",
     bound = F.when(F.col("wanted") == 0, F.lit(-1)).when(F.col("slice").isNull(), F.lit(2**52)).otherwise(F.coalesce("last_at", F.col("slice").cast("long") * (2**52 // SLICES) - 1)).cast("long")
     limits = limits.groupBy("pattern").agg(F.array_agg(bound).alias("bounds"))
     facts = [(r.pattern, float(sum(by_name[s] for s in r.pattern)), sum(sizes[s] for s in r.pattern)) for r in sums]
-    facts_ = spark.createDataFrame(facts, "pattern array<string>, target double, source_size long").join(limits, "pattern")
+    facts_ = small_table(spark, facts, "pattern array<string>, target double, source_size long").join(limits, "pattern")
     facts_ = facts_.select(F.col("pattern").alias(key), F.col("bounds").alias(bounds), F.col("target").alias(target), F.col("source_size").alias(source_size))
     joined = docs.withColumns(measures).join(F.broadcast(facts_), F.col(pattern) == F.col(key), "left")
     copies = F.when((F.col(size) == 0) | F.col(bounds).isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col(bounds), lambda b: b >= F.col(at)))).cast("int")
