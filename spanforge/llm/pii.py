@@ -1,22 +1,29 @@
 """Personal data by a semi-Markov conditional random field.
 
-Base patterns find e-mail addresses, IPv4 addresses, card and telephone numbers; what they find stays. The random
-field adds what they miss (other separators, spelt-out addresses): within the neighbourhood of digits and at-signs, it
-scores every candidate segment of up to ``LONGEST`` tokens as a whole (its shape, digits, checksum, parts, the words
-before it), and a dynamic programme over boundaries chooses segments and types together. It is trained here, by
-stochastic gradient on the conditional likelihood of generated, labelled sentences.
+Base patterns find e-mail addresses, IPv4 addresses, card and telephone numbers; what they find stays. The random field
+adds what they miss: other separators, spelt-out addresses. A segmentation's score is the sum of its segments' scores,
+each of a whole span (its shape, digits, checksum, parts, the words before it) for its type, and of a weight for each
+type and the one that follows, or nothing. A dynamic programme over token borders and types chooses boundaries and types
+together. Entities are bounded: a segment has at most ``LONGEST`` tokens, and it holds ``DIGITS`` digits or more, or a
+spelt-out at with a domain of two parts behind it. The field is trained here, by stochastic gradient on the conditional
+likelihood of generated, labelled sentences.
+
+Where no such segment can be, all tokens are outside, so only the tokens within a segment's reach of digits and
+ats are worked on; the result is that of the whole text. The field works between base spans.
 
 Positions are code points, ends exclusive. Defined results: a null text counts as empty; texts without spans give zero
-counts and the digest of nothing; an added span never overlaps a base span; repeated rows are scanned alike.
+counts and the digest of nothing; an added span never overlaps a base span; repeated rows are scanned alike; columns
+other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
+from bisect import bisect
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +34,9 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import documents, through_python
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, CONTEXT = 32, 64
+LONGEST, DIGITS = 32, 4
+#: Words before a segment that its score looks at.
+CUE_TOKENS = 6
 #: An added span must be more likely than leaving it by this log-ratio.
 MARGIN = 1.0
 
@@ -36,7 +45,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+|\b(?:at|AT)\b|[(\[](?:at|AT)[)\]]")
+_TRIGGER = re.compile(r"[0-9]+")
+#: An at, as a sign or a word, with a host and one more part behind it. Each way begins with a plain character, which the
+#: engine looks for first.
+_TAIL = re.compile(r"(?:@|\(\s*[aA][tT]\s*[)\]]|\[\s*[aA][tT]\s*[)\]]|a(?<!\wa)[tT]\b|A(?<!\wA)[tT]\b)\s*[A-Za-z0-9-]+(?:\.|\s*[(\[]\s*[dD][oO][tT]\s*[)\]]\s*|\s+[dD][oO][tT]\s+)[A-Za-z0-9]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
 _AT = re.compile(r"@|\bat\b|[(\[]at[)\]]", re.IGNORECASE)
 _NAME = re.compile(r"[a-z0-9._%+-]+\s*(?:@|[(\[]\s*at\s*[)\]]|\s+at\s+)\s*[a-z0-9-]+(?:\s*(?:\.|[(\[]\s*dot\s*[)\]]|\s+dot\s+)\s*[a-z0-9-]+)+", re.IGNORECASE)
@@ -119,25 +131,35 @@ def segment_features(tokens: list[str], i: int, j: int, before: list[str]) -> np
     x[36] = neighbours[0] in ".-/:$#_" or (neighbours[-1] in "-/:%_")
     x[37] = bool(re.fullmatch(r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}).*", s))
     x[38] = any(len(g) > 5 for g in groups) and len(groups) > 1
-    x[39] = len(groups)> 5
+    x[39] = len(groups) > 5
     for k, cues in enumerate(_CUES):
         x[40 + k] = any(w in cues for w in before)
     return x
 
 
 def candidates(tokens: list[str]) -> list[tuple[int, int]]:
-    """Segments that hold a digit or an at-sign, of bounded length."""
-    marks = [bool(_TRIGGER.search(t)) for t in tokens]
+    """Segments of bounded length that hold enough digits or an at with a domain."""
+    n = len(tokens)
+    digits = np.cumsum([0, *(len(t) if t[0] in "0123456789" else 0 for t in tokens)]).tolist()
+    starts = np.cumsum([0, *map(len, tokens)]).tolist()
+    text = "".join(tokens)
+    # For each place, the least end of a segment from there that holds an at with its domain.
+    reach, ends = [n + 1] * (n + 1), []
+    for m in _TAIL.finditer(text):
+        ends.append((bisect(starts, m.start()) - 1, bisect(starts, m.end() - 1)))
+    for first, end in reversed(ends):
+        reach[first] = min(reach[first], end)
+    for i in range(n - 1, -1, -1):
+        reach[i] = min(reach[i], reach[i + 1])
     out = []
     for i, t in enumerate(tokens):
-        if t.isspace() or t in ".,;:)]\"'!?":
+        if t.isspace() or t in ".,;:)]\"'!?" or digits[min(n, i + LONGEST)] - digits[i] < DIGITS and reach[i] > i + LONGEST:
             continue
-        seen = False
-        for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-            seen = seen or marks[j - 1]
-            if "\n" in tokens[j - 1]:
+        for j in range(i + 1, min(n, i + LONGEST) + 1):
+            last = tokens[j - 1]
+            if "\n" in last:
                 break
-            if seen and not tokens[j - 1].isspace() and tokens[j - 1] not in ".,;:(+[\"'!?":
+            if (digits[j] - digits[i] >= DIGITS or reach[i] <= j) and not last.isspace() and last not in ".,;:(+[\"'!?":
                 out.append((i, j))
     return out
 
@@ -145,54 +167,98 @@ def candidates(tokens: list[str]) -> list[tuple[int, int]]:
 def lattice(tokens: list[str]) -> tuple[list[tuple[int, int]], np.ndarray]:
     segments = candidates(tokens)
     rows = []
+    before, at = [], -1
     for i, j in segments:
-        before = [t.lower() for t in tokens[max(0, i - 6) : i] if t.isalpha()]
+        if i != at:
+            before, at = [t.lower() for t in tokens[max(0, i - CUE_TOKENS) : i] if t.isalpha()], i
         rows.append(segment_features(tokens, i, j, before))
     return segments, np.array(rows).reshape(len(rows), N_FEATURES)
 
 
-def best(n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int, float]]:
+@dataclass
+class Field:
+    """segment: weights, features by kinds; follows: weights of a kind (rows) and the next (columns); the last column is
+    for an outside token or the end. What follows an outside token or the start weighs nothing."""
+
+    segment: np.ndarray
+    follows: np.ndarray
+
+
+OUTSIDE = len(KINDS)
+
+
+def best(n: int, segments: list[tuple[int, int]], scores: np.ndarray, follows: np.ndarray) -> list[tuple[int, int, int, float]]:
     """(kind, i, j, score) of the best segmentation; a token outside has score 0."""
-    into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-    if len(segments):
-        kind = scores.argmax(1)
-        top = scores[np.arange(len(segments)), kind]
-        for (i, j), k, s in zip(segments, kind.tolist(), top.tolist(), strict=True):
-            if s > 0:
-                into[j].append((i, k, s))
-    value, back = [0.0] * (n + 1), [None] * (n + 1)
+    into: dict[int, list[int]] = {}
+    for s, (_, j) in enumerate(segments):
+        into.setdefault(j, []).append(s)
+    tr, sc = follows.tolist(), scores.tolist()
+    none = float("-inf")
+    value = [[none] * OUTSIDE + [0.0]]
+    back: list[list] = [[None] * (OUTSIDE + 1)]
+    kinds = range(OUTSIDE)
     for j in range(1, n + 1):
-        value[j] = value[j - 1]
-        for i, k, s in into[j]:
-            if value[i] + s > value[j]:
-                value[j], back[j] = value[i] + s, (i, k, s)
+        before = value[j - 1]
+        top, source = before[OUTSIDE], OUTSIDE
+        for y in kinds:
+            if before[y] + tr[y][OUTSIDE] > top:
+                top, source = before[y] + tr[y][OUTSIDE], y
+        now, come = [none] * OUTSIDE + [top], [None] * OUTSIDE + [(j - 1, source, None)]
+        for s in into.get(j, ()):
+            i, here = segments[s][0], sc[s]
+            left = value[i]
+            for k in kinds:
+                entered, y0 = left[OUTSIDE], OUTSIDE
+                for y in kinds:
+                    if left[y] + tr[y][k] > entered:
+                        entered, y0 = left[y] + tr[y][k], y
+                if entered + here[k] > now[k]:
+                    now[k], come[k] = entered + here[k], (i, y0, s)
+        value.append(now)
+        back.append(come)
+    state, top = OUTSIDE, value[n][OUTSIDE]
+    for y in kinds:
+        if value[n][y] + tr[y][OUTSIDE] > top:
+            state, top = y, value[n][y] + tr[y][OUTSIDE]
     out, j = [], n
     while j:
-        if back[j] is None:
-            j -= 1
-        else:
-            i, k, s = back[j]
-            out.append((k, i, j, s))
-            j = i
+        i, before_state, s = back[j][state]
+        if s is not None:
+            out.append((state, i, j, sc[s][state]))
+        j, state = i, before_state
     return out[::-1]
 
 
-def _expected(n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> tuple[float, np.ndarray]:
-    """log of the partition sum, and each segment's and kind's probability."""
-    into: list[list[int]] = [[] for _ in range(n + 1)]
-    out_of: list[list[int]] = [[] for _ in range(n + 1)]
-    for s, (i, j) in enumerate(segments):
-        into[j].append(s)
-        out_of[i].append(s)
-    m = scores.max(1, initial=-1e9)
-    whole = m + np.log(np.exp(scores - m[:, None]).sum(1)) if len(segments) else np.zeros(0)
-    a, b = np.zeros(n + 1), np.zeros(n + 1)
-    for j in range(1, n + 1):
-        a[j] = np.logaddexp.reduce([a[j - 1], *(a[segments[s][0]] + whole[s] for s in into[j])])
-    for i in range(n - 1, -1, -1):
-        b[i] = np.logaddexp.reduce([b[i + 1], *(b[segments[s][1]] + whole[s] for s in out_of[i])])
-    p = np.array([np.exp(a[i] + scores[s] + b[j] - a[n]) for s, (i, j) in enumerate(segments)]).reshape(len(segments), len(KINDS))
-    return a[n], p
+def _expected(n: int, segments: list[tuple[int, int]], scores: np.ndarray, follows: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """log of the partition sum, each segment's and kind's probability, and how often each kind and next are expected."""
+    m, o = len(segments), OUTSIDE
+    i, j = (np.array(x, int) for x in zip(*segments, strict=True)) if m else (np.zeros(0, int),) * 2
+    by_end, by_start = np.argsort(j, kind="stable"), np.argsort(i, kind="stable")
+    end_at, start_at = np.searchsorted(j[by_end], np.arange(n + 2)), np.searchsorted(i[by_start], np.arange(n + 2))
+    lse = lambda x: np.logaddexp.reduce(x, axis=0)
+    a, enter = np.full((n + 1, o + 1), -np.inf), np.full((n + 1, o), -np.inf)
+    a[0, o] = 0.0
+    enter[0] = 0.0
+    for t in range(1, n + 1):
+        a[t, o] = lse(np.r_[a[t - 1, o], a[t - 1, :o] + follows[:, o]])
+        own = by_end[end_at[t] : end_at[t + 1]]
+        if len(own):
+            a[t, :o] = lse(scores[own] + enter[i[own]])
+        enter[t] = np.logaddexp(a[t, o], lse(a[t, :o, None] + follows[:, :o]))
+    total = lse(np.r_[a[n, o], a[n, :o] + follows[:, o]])
+    b = np.zeros((n + 2, o + 1))
+    b[n, :o] = follows[:, o]
+    for t in range(n - 1, -1, -1):
+        own = by_start[start_at[t] : start_at[t + 1]]
+        ahead = lse(scores[own] + b[j[own], :o]) if len(own) else np.full(o, -np.inf)
+        b[t, o] = np.logaddexp(b[t + 1, o], lse(ahead))
+        b[t, :o] = np.logaddexp(follows[:, o] + b[t + 1, o], lse((follows[:, :o] + ahead).T))
+    p = np.exp(enter[i] + scores + b[j, :o] - total) if m else np.zeros((0, o))
+    q = np.zeros_like(follows)
+    if m:
+        q[:, :o] = np.exp(a[i][:, :o, None] + follows[None, :, :o] + (scores + b[j, :o])[:, None, :] - total).sum(0)
+    q[:, o] = np.exp(a[: n + 1, :o] + follows[:, o] + np.r_[b[1 : n + 1, o], 0.0][:, None] - total).sum(0)
+    return float(total), p, q
 
 
 def training_sentences(n: int, seed: int = 3) -> list[list[tuple[str, int | None]]]:
@@ -243,8 +309,7 @@ def training_sentences(n: int, seed: int = 3) -> list[list[tuple[str, int | None
     return out
 
 
-def train(n: int = 700, epochs: int = 4, seed: int = 3) -> np.ndarray:
-    """Weights, features by kinds."""
+def train(n: int = 700, epochs: int = 4, seed: int = 3) -> Field:
     data = []
     for sentence in training_sentences(n, seed):
         tokens = _TOKEN.findall("".join(s for s, _ in sentence))
@@ -261,59 +326,88 @@ def train(n: int = 700, epochs: int = 4, seed: int = 3) -> np.ndarray:
             for s, ij in enumerate(segments):
                 if ij in gold:
                     y[s, gold[ij]] = 1
-            data.append((len(tokens), segments, x, y))
-    w, square = np.zeros((N_FEATURES, len(KINDS))), np.full((N_FEATURES, len(KINDS)), 1e-6)
-    w[0] = -2
+            follows = np.zeros((len(KINDS), len(KINDS) + 1))
+            begins = {i: k for (i, _), k in gold.items()}
+            for (_, j), k in gold.items():
+                follows[k, begins.get(j, OUTSIDE)] += 1
+            data.append((len(tokens), segments, x, y, follows))
+    field = Field(np.zeros((N_FEATURES, len(KINDS))), np.zeros((len(KINDS), len(KINDS) + 1)))
+    field.segment[0] = -2
+    squares = [np.full_like(w, 1e-6) for w in (field.segment, field.follows)]
     order = random.Random(seed)
     for _ in range(epochs):
         order.shuffle(data)
-        for size, segments, x, y in data:
-            _, p = _expected(size, segments, x @ w)
-            g = x.T @ (p - y) + 2e-4 * w
-            square += g * g
-            w -= 0.4 * g / np.sqrt(square)
-    return w
+        for size, segments, x, y, follows in data:
+            _, p, q = _expected(size, segments, x @ field.segment, field.follows)
+            for w, square, g in zip((field.segment, field.follows), squares, (x.T @ (p - y), q - follows), strict=True):
+                g = g + 2e-4 * w
+                square += g * g
+                w -= 0.4 * g / np.sqrt(square)
+    return field
 
 
 @lru_cache(1)
-def trained() -> np.ndarray:
+def trained() -> Field:
     return train()
 
 
+def _edge(text: str, at: int, stop: int, n: int, step: int) -> int:
+    """Where n tokens from ``at`` on end, or before it begin (step -1), but no further than stop."""
+    width = 128
+    while True:
+        far = min(stop, at + width) if step > 0 else max(stop, at - width)
+        tokens = _TOKEN.findall(text[at:far] if step > 0 else text[far:at])
+        if step < 0:
+            tokens.reverse()
+        if far == stop or len(tokens) > n:  # the last one may be cut off
+            return at + step * sum(map(len, tokens[:n])) if len(tokens) > n else far
+        width *= 2
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Neighbourhoods of digits and at-signs; where two overlap or touch they are one, so a border never lies within CONTEXT of a trigger."""
+    """Parts of the text that hold every segment with what its score looks at; there is nothing else to find elsewhere."""
+    runs = [m.span() for m in _TRIGGER.finditer(text)]
+    if sum(b - a for a, b in runs) < DIGITS:
+        runs = []
+    runs += [m.span() for m in _TAIL.finditer(text)]
     out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+    for a, b in sorted(runs):
+        if out and b <= out[-1][2]:
+            continue
+        lo = out[-1][0] if out and a <= out[-1][1] else _edge(text, a, out[-1][1] if out else 0, LONGEST + CUE_TOKENS, -1)
+        hi = _edge(text, b, len(text), LONGEST, 1)
         if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], hi)
+            out[-1] = (out[-1][0], hi, b)
         else:
-            out.append((lo, hi))
-    return out
+            out.append((lo, hi, b))
+    return [(lo, hi) for lo, hi, _ in out]
+
 
+def decoded(text: str, field: Field) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the best segmentation of a text, all of which is worked on at once."""
+    tokens = _TOKEN.findall(text)
+    segments, x = lattice(tokens)
+    if not segments:
+        return []
+    starts = np.cumsum([0, *map(len, tokens)]).tolist()
+    return [(k, starts[i], starts[j]) for k, i, j, _ in best(len(tokens), segments, x @ field.segment - MARGIN, field.follows)]
 
-def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) -> list[tuple[int, int, int]]:
+
+def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
     """What the random field finds apart from the base spans."""
-    taken = sorted((a, b) for _, a, b in base)
-    out = []
-    for lo, hi in regions(text):
-        inside = [(a, b) for a, b in taken if a < hi and b > lo] if taken else []
-        at = lo
-        for a, b in [*inside, (hi, hi)]:  # the field works between base spans
+    out, at = [], 0
+    for a, b in [*sorted((a, b) for _, a, b in base), (len(text), len(text))]:  # the field works between base spans
+        if a - at > DIGITS:
             part = text[at:a]
-            if len(part) > 4 and (part.count("@") or len(_digits(part)) >= 4 or _NAME.search(part)):
-                tokens = _TOKEN.findall(part)
-                segments, x = lattice(tokens)
-                if segments:
-                    starts = np.cumsum([0, *map(len, tokens)]).tolist()
-                    out += [(k, at + starts[i], at + starts[j]) for k, i, j, _ in best(len(tokens), segments, x @ w - MARGIN)]
-            at = max(at, b)
+            for lo, hi in regions(part):
+                out += [(k, at + lo + s, at + lo + e) for k, s, e in decoded(part[lo:hi], field)]
+        at = max(at, b)
     return out
 
 
-def scan(docs: DataFrame, w: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and added: arrays of (kind, start, end)."""
-    held = docs.sparkSession.sparkContext.broadcast(trained() if w is None else w)
+    held = docs.sparkSession.sparkContext.broadcast(trained() if field is None else field)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
