@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from spanforge.llm.common import documents, shared_checkpoints, table
+from spanforge.llm.common import documents, removed, shared_checkpoints, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's rows are removed once the next stage's are written."""
     shared_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            removed(spark, before)
+        before = path
     return docs
