@@ -48,6 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a number for each row, written once to the shared checkpoint folder, so that every later pass reads the same
     numbers, however a scan of df would be split by then."""

@@ -11,7 +11,9 @@ gives the repeats that can be extended neither way, with all their occurrences.
 An anchor with more than ``MOST_CONTEXTS`` different contexts is not gathered in one place: its windows are counted by
 their hashes instead, which shuffles and combines them like any other count, with the same result.
 
-Hashes are 64-bit; texts are written once, with their rows' numbers, and read anew by each pass. Defined results: a null text counts as empty; nothing
+Hashes are 64-bit; contexts are told apart by theirs among those of one anchor only, whose bytes have an equal hash
+already. Texts are written once, with their rows' numbers, and read anew by each pass. maximal_repeats() lists the repeats
+themselves, with all occurrences. Defined results: a null text counts as empty; nothing
 is removed from texts shorter than LENGTH; rows that repeat an id or a text are occurrences of their own; an empty
 table gives an empty result.
 """
@@ -267,36 +269,97 @@ def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(np.full(k, v)) for v in (n, row, at)), pa.array(first)], ["window", "n", "row", "at", "offset"])
 
 
-def repeated_parts(rows: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """(row, lo, hi): parts of texts that are covered by repeats; they may overlap. rows: row (a unique number), text."""
-    blocks = lambda n: bloom.n_blocks(n, BITS_PER_KEY, MAX_BITS)
-    spark = rows.sparkSession
-    spread = lambda df: df.withColumn("part", F.pmod("h", F.lit(8191)))  # noqa: E731  joined by one more column than grouped by: both sides are dealt anew, so a hot one can be split
+def _found(rows: DataFrame) -> DataFrame:
+    """(h, c, row, at, windows, differ) of all contexts whose anchor's hash occurs more than once."""
+    # Joined by one more column than grouped by: both sides are dealt anew, so a hot anchor can be split.
+    spread = lambda df: df.withColumn("part", F.pmod("h", F.lit(8191)))
     # Pass 1: anchors' hashes that occur more than once, and whether their contexts differ.
     repeated = cut(_scan(rows).groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("differ")).where("n > 1").select("h", "differ"))
-    bits = bloom.build_even(repeated, "h", blocks(repeated.count()))
+    bits = bloom.build_even(repeated, "h", bloom.n_blocks(repeated.count(), BITS_PER_KEY, MAX_BITS))
     # Pass 2: all their contexts.
-    found = cut(spread(_repeated_contexts(rows, bits)).join(spread(repeated), ["h", "part"]).drop("part"))
-    kinds = found.where("differ").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("one")).select("h", "n", "one.row", "one.at")
+    return cut(spread(_repeated_contexts(rows, bits)).join(spread(repeated), ["h", "part"]).drop("part"))
+
+
+def repeated_parts(rows: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+    """(row, lo, hi): parts of texts that are covered by repeats; they may overlap. rows: row (a unique number), text."""
+    spread = lambda df: df.withColumn("part", F.pmod("h", F.lit(8191)))  # noqa: E731  as in _found()
+    found = _found(rows)
+    kinds = _kinds(found)
     sizes = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"))
     kinds = cut(spread(kinds).join(spread(sizes), ["h", "part"]).drop("part"))
-    # Pass 3: the bytes of one context of each kind.
-    place = _place_column(spark, kinds)
-    bits = bloom.build_even(place, "place", blocks(place.count()))
-    whole = _context_bytes(rows, bits).join(kinds, ["row", "at"])
+    # Pass 3: the bytes of one context of each kind; kept if they are read twice.
+    whole = _bytes_of(rows, kinds)
+    hot = kinds.where(F.col("contexts") > most_contexts).limit(1).count() > 0
+    whole = cut(whole) if hot else whole
     few = whole.where(F.col("contexts") <= most_contexts).select("h", "n", "row", "at", "anchor", "bytes").repartition("h").sortWithinPartitions("h", "row", "at")
     partly = through_python(few, _covered, "row long, at long, lo long, hi long")
+    single = kinds.where("n = 1").select("row", "at")
+    # A context that occurs more than once repeats as a whole; one that occurs once, only as far as was found.
+    full = found.join(single, ["row", "at"], "left_anti").select("row", F.col("at").alias("lo"), (F.col("at") + F.col("windows") - 1 + LENGTH).alias("hi"))
+    if not hot:
+        return full.unionByName(partly.select("row", "lo", "hi"))
     many = whole.where(F.col("contexts") > most_contexts).select("n", "row", "at", "bytes")
     windows = through_python(many, _windows, "window long, n long, row long, at long, offset long")
     again = windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").withColumn("part", F.pmod("window", F.lit(8191)))
     counted = windows.where("n = 1").withColumn("part", F.pmod("window", F.lit(8191))).join(again, ["window", "part"]).groupBy("row", "at").agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
     partly = partly.unionByName(counted.select("row", "at", (F.col("at") + F.col("first")).alias("lo"), (F.col("at") + F.col("last") + LENGTH).alias("hi")))
-    # A context that occurs more than once repeats as a whole; one that occurs once, only as far as was found.
-    single = kinds.where("n = 1").select("row", "at")
-    full = found.join(single, ["row", "at"], "left_anti").select("row", F.col("at").alias("lo"), (F.col("at") + F.col("windows") - 1 + LENGTH).alias("hi"))
     return full.unionByName(partly.select("row", "lo", "hi"))
 
 
+def _kinds(found: DataFrame) -> DataFrame:
+    """(h, c, n, row, at): of each different context of an anchor, how often it occurs, and one place."""
+    return found.where("differ").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("one")).select("h", "c", "n", "one.row", "one.at")
+
+
+def _bytes_of(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    place = _place_column(rows.sparkSession, kinds)
+    bits = bloom.build_even(place, "place", bloom.n_blocks(place.count(), BITS_PER_KEY, MAX_BITS))
+    return _context_bytes(rows, bits).join(kinds, ["row", "at"])
+
+
+def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h: (h, c, anchor, bytes). (h, number, size, c, start): the maximal repeats of an anchor's different
+    contexts, numbered, with each context and where in it the repeat begins."""
+    held: list[tuple] = []
+
+    def told() -> pa.RecordBatch:
+        out = [(held[0][0], g, size, held[m][1], start) for g, (size, places) in enumerate(repeat_groups([(b, a) for _, _, a, b in held])) for m, start in places] if len(held) > 1 else []
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "number", "size", "c", "start"])
+
+    for batch in it:
+        for x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if held and held[-1][0] != x[0]:
+                yield told()
+                held = []
+            held.append(x)
+    yield told()
+
+
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(group_id, size, doc_id, row, start): strings of LENGTH bytes and more that occur more than once, with all their
+    occurrences in all texts (row tells rows of one id apart; start is a place among the text's bytes).
+
+    A repeat is maximal as far as one anchor's contexts reach: between their first and last window's ends it can be
+    extended neither way for all its occurrences. A longer passage has such a repeat for each of its anchors, which overlap;
+    a part of it that occurs more often has one of its own. All contexts of an anchor meet in one task here."""
+    keyed = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row")
+    rows = keyed.select("row", "text")
+    found = _found(rows)
+    kinds = cut(_kinds(found))
+    parts = _bytes_of(rows, kinds).select("h", "c", "anchor", "bytes").repartition("h").sortWithinPartitions("h", "c")
+    several = through_python(parts, _groups, "h long, number long, size long, c long, start long")
+    # Contexts that occur more than once are repeats as a whole, if they are not among those already.
+    size = F.col("windows") - 1 + LENGTH
+    alone = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("size")).where("n > 1").select("h", F.lit(-1).cast("long").alias("number"), "size", "c", F.lit(0).cast("long").alias("start"))
+    same = several.where("start = 0").groupBy("h", "c", "size").agg(F.count(F.lit(1)).alias("known"))
+    alone = alone.join(same, ["h", "c", "size"], "left_anti")
+    places = several.unionByName(alone).withColumn("group_id", F.when(F.col("number") < 0, F.xxhash64("h", "c", "size")).otherwise(F.xxhash64("h", "number", "size")))
+    spread = lambda df: df.withColumn("part", F.pmod("c", F.lit(8191)))
+    every = spread(found.select("h", "c", "row", "at")).join(spread(places), ["h", "c", "part"]).select("group_id", "size", "row", (F.col("at") + F.col("start")).alias("start"))
+    return every.join(keyed.select("row", "doc_id"), "row").select("group_id", "size", "doc_id", "row", "start")
+
+
 def _place_column(spark: SparkSession, kinds: DataFrame) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
