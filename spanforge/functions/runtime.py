@@ -26,3 +26,9 @@ def ship_package(spark: SparkSession) -> None:
                     archive.write(path, os.path.join("spanforge", os.path.relpath(path, package)))
     context.addPyFile(target)  # Spark serves it to every executor
     _SHIPPED[context.applicationId] = target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, wherever it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)

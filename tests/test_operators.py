@@ -307,6 +307,40 @@ def test_hierarchy_and_strategies(spark):
     assert {r.session_id: (r.text.strip(), r.confidence) for r in told(p).collect()} == {"s": ("ship it one", 0.95), "t": ("only one", 0.3)}
 
 
+def test_embeddings_are_computed_once(spark, tmp_path):
+    from spanforge.functions import embeddings
+
+    path, marks = str(tmp_path / "cache"), tmp_path / "marks"
+    marks.mkdir()
+    folder = str(marks)
+
+    def make():
+        import os
+        import uuid
+
+        import numpy as np
+
+        def encode(texts):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write("\n".join(texts))
+            return np.array([[len(t), t.count("a")] for t in texts], np.float32)
+
+        return encode
+
+    seen = lambda: sorted(t for p in marks.iterdir() for t in p.read_text().split("\n"))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["banana", "kiwi", "banana", "fig"])], "id long, text string")
+    assert embeddings.cache_stats(spark, path).first().entries == 0
+    got = {r.id: list(r.embedding) for r in embeddings.get_or_compute(rows, make, path, source="one", batch=1).collect()}
+    assert got == {0: [6, 3], 1: [4, 0], 2: [6, 3], 3: [3, 0]} and seen() == ["banana", "fig", "kiwi"]
+    more = rows.unionByName(spark.createDataFrame([(9, "papaya")], "id long, text string"))
+    assert embeddings.get_or_compute(more, make, path).count() == 5 and seen() == ["banana", "fig", "kiwi", "papaya"]
+    stats = embeddings.cache_stats(spark, path).first()
+    assert stats.entries == 4 and stats.bytes > 0 and 0 <= stats.oldest_hours < 1
+    embeddings.invalidate(spark, path, source="one")
+    assert embeddings.cached(spark, path).count() == 1 and embeddings.cached(spark, path, 0.0).count() == 0
+    assert embeddings.get_or_compute(rows, make, path).count() == 4 and seen().count("fig") == 2
+
+
 def test_block_rules(spark):
     def raw(content):
         import json
