@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.llm import exact_dedup, jaccard_join, mixing, mpeg_audio, packing, pii, quality, repeats, secrets, sum_of_squares, toxicity
+from spanforge.llm import exact_dedup, jaccard_join, keyed_upsert, mixing, mpeg_audio, packing, pii, quality, repeats, secrets, sum_of_squares, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_repeats": repeats.op10_repeats,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op11_best_fit_packing": sum_of_squares.op11_best_fit_packing,
+    "op13_keyed_upsert": keyed_upsert.op13_keyed_upsert,
 }
 ORACLES = {
     "op5_mix_sources": mixing.ORACLE,
