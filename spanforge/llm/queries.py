@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.llm import exact_dedup, jaccard_join, keyed_upsert, mixing, mpeg_audio, packing, pii, quality, repeats, secrets, sum_of_squares, toxicity
+from spanforge.llm import conversation_trie, exact_dedup, jaccard_join, keyed_upsert, mixing, mpeg_audio, packing, pii, quality, repeats, secrets, sum_of_squares, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -16,9 +16,11 @@ QUERIES = {
     "op10_repeats": repeats.op10_repeats,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op11_best_fit_packing": sum_of_squares.op11_best_fit_packing,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
     "op13_keyed_upsert": keyed_upsert.op13_keyed_upsert,
 }
 ORACLES = {
+    "op12_conversation_trie": conversation_trie.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
