@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def test_query_equals_sql(spark, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLES[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    rows = lambda df: sorted((tuple(None if v != v else v for v in r) for r in df[cols].astype(object).values.tolist()), key=repr)
+    rows = lambda df: sorted((tuple(None if pd.isna(v) else v for v in r) for r in df[cols].astype(object).values.tolist()), key=repr)
     assert rows(got) == rows(want)
 
 
