@@ -32,3 +32,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder, wherever it is."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def opened(path: str):  # noqa: ANN201
+    """pyarrow's file system for a file or folder and its path there; plain paths are local. For code that runs in tasks."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,18 @@ from pyspark.sql import functions as F
 from spanforge.functions.text import trigrams
 
 DIMENSIONS = 384
+#: Trigrams that a worker remembers before it starts anew.
+MOST_TRIGRAMS = 1 << 20
+
+
+class Buckets(dict):
+    """A trigram's bucket: its md5 modulo DIMENSIONS."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > MOST_TRIGRAMS:
+            self.clear()
+        self[gram] = out = int(hashlib.md5(gram.encode("utf-8", "surrogatepass")).hexdigest(), 16) % DIMENSIONS
+        return out
 
 
 def dot(a: Column, b: Column) -> Column:

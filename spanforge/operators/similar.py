@@ -7,7 +7,6 @@ but those that are asked for.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,20 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanforge.functions.runtime import ship_package
-from spanforge.functions.vectors import DIMENSIONS
+from spanforge.functions.vectors import DIMENSIONS, Buckets
 
-#: Trigrams that a worker remembers before it starts anew; rows that are compared at once.
-MOST_TRIGRAMS, BLOCK = 1 << 20, 256
-
-
-class Buckets(dict):
-    """A trigram's bucket: its md5 modulo DIMENSIONS."""
-
-    def __missing__(self, gram: str) -> int:
-        if len(self) > MOST_TRIGRAMS:
-            self.clear()
-        self[gram] = out = int(hashlib.md5(gram.encode("utf-8", "surrogatepass")).hexdigest(), 16) % DIMENSIONS
-        return out
+#: Rows that are compared at once.
+BLOCK = 256
 
 
 def vector(text: str, buckets: Buckets) -> np.ndarray:

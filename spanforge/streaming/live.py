@@ -1,27 +1,30 @@
 """Live efficiency: the running state of each session, in batch and as a stream.
 
-Lines arrive as files in a landing folder (an appended file is not read anew by a file stream; sources.transcripts can
-poll one); a line is session_id, msg_seq, request_id, role, block_type, text. User text extends the intent and forms no
-span; a user's tool results are ignored; an assistant block is aligned if its trigram vector is close enough to the
+Lines come from transcripts that grow (streaming.tail), a file being a session that is named by its path under the folder and
+a message's place the offset of its line, or as files in a landing folder, as session_id, msg_seq, request_id, role,
+block_type, text. User text extends the intent and forms no span; a user's tool results are ignored; an assistant block is aligned if its trigram vector is close enough to the
 intent's, or if there is no intent. A session's efficiency is the phases' aligned shares (1 without tokens), weighted; 0
 before the first token.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from spanforge.functions.runtime import ship_package
+from spanforge.functions.vectors import Buckets
 from spanforge.operators.spans import PHASE_WEIGHTS, PHASES
+from spanforge.streaming.tail import tail
 
 #: Drift is that of the last WINDOW values; a session's state keeps RING of them.
 THRESHOLD, DRIFT, WINDOW, RING = 0.4, 0.10, 5, 10
@@ -61,17 +64,61 @@ def rolling(blocks: DataFrame) -> DataFrame:
     return out
 
 
+_BUCKETS = Buckets()
+
+
 def counts_of(text: str) -> Counter:
+    """A text's trigrams by their buckets; each distinct trigram is hashed once in a worker."""
     low = text.lower()
-    grams = [low[i : i + 3] for i in range(len(low) - 2)]
-    return Counter(int(hashlib.md5(g.encode()).hexdigest(), 16) % 384 for g in grams) if grams else Counter({0: 1})
+    return Counter(_BUCKETS[low[i : i + 3]] for i in range(len(low) - 2)) if len(low) > 2 else Counter({0: 1})
 
 
-def similarity(a: dict, b: dict) -> float:
-    both = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
+def similarity(a: dict, b: dict, b_squared: float | None = None) -> float:
+    """Cosine; b_squared is the square of b's norm, where it is known."""
+    both = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()) if b_squared is None else b_squared)
     return sum(v * b.get(k, 0) for k, v in a.items()) / both if both else 0.0
 
 
+def blocks_of(line: str) -> list[tuple[str | None, str, str, str]]:
+    """(request_id, role, block_type, text) of a transcript's line; nothing of one that is malformed or no message. A call's
+    text is its name and its input as JSON with sorted keys."""
+    try:
+        entry = json.loads(line)
+    except ValueError:
+        return []
+    message = entry.get("message") if isinstance(entry, dict) else None
+    if not isinstance(message, dict) or message.get("role") not in ("user", "assistant"):
+        return []
+    content, out = message.get("content"), []
+    for block in [{"type": "text", "text": content}] if isinstance(content, str) else content if isinstance(content, list) else []:
+        if not isinstance(block, dict):
+            continue
+        kind = block.get("type", "text")
+        if kind == "tool_use":
+            text = f"{block.get('name', '')} {json.dumps(block.get('input', {}), sort_keys=True)}"
+        elif kind == "tool_result":
+            told = block.get("content", "")
+            text = told if isinstance(told, str) else json.dumps(told)
+        else:
+            text = block.get("text", "")
+        if isinstance(text, str) and text:
+            out.append((message.get("requestId") or message.get("request_id"), message["role"], str(kind), text))
+    return out
+
+
+def lines_of(raw: DataFrame) -> DataFrame:
+    """Transcripts' lines (session, offset, raw) as the rolling state takes them."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = [c.split()[0] for c in LINE.split(", ")], [pa.string(), pa.int64(), *[pa.string()] * 4]
+        for batch in it:
+            found = [(s, at, *b) for s, at, line in zip(*(c.to_pylist() for c in batch.columns), strict=True) for b in blocks_of(line)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found, strict=True)) or [[]] * len(names), kinds, strict=True)], names)
+
+    ship_package(raw.sparkSession)
+    return raw.select("session", "offset", "raw").mapInArrow(batches, LINE)
+
+
 def drift_of(values: list[float]) -> tuple[float, str]:
     """As drift() has it, of a session's latest values."""
     last = values[-WINDOW:]
@@ -101,6 +148,7 @@ class RollingState(StatefulProcessor):
         n, good = {p: held[2 * i] for i, p in enumerate(PHASES)}, {p: held[2 * i + 1] for i, p in enumerate(PHASES)}
         tail, recent = held[6], list(held[7])
         intent, changed = {k[0]: v[0] for k, v in self.intent.iterator()}, set()
+        squared = sum(v * v for v in intent.values())
         out = []
         for seq, message in got.groupby("msg_seq", sort=True):
             first = message.iloc[0]
@@ -116,14 +164,16 @@ class RollingState(StatefulProcessor):
                     if block.block_type == "text":
                         text = (tail + " " if intent else "") + block.text
                         for b, k in counts_of(text).items():
-                            intent[b] = intent.get(b, 0) + k
+                            had = intent.get(b, 0)
+                            intent[b] = had + k
+                            squared += k * (2 * had + k)
                             changed.add(b)
                         tail = block.text.lower()[-2:]
                     continue
                 k, phase = max(1, len(block.text) // 4), PHASE_OF.get(block.block_type, "generation")
                 tokens += k
                 n[phase] += k
-                if not intent or similarity(counts_of(block.text), intent) >= THRESHOLD:
+                if not intent or similarity(counts_of(block.text), intent, squared) >= THRESHOLD:
                     good[phase] += k
             if tokens:
                 total, aligned = sum(n.values()), sum(good.values())
@@ -146,9 +196,17 @@ def live(lines: DataFrame, remember_ms: int | None = None) -> DataFrame:
     return lines.groupBy("session_id").transformWithStateInPandas(statefulProcessor=RollingState(remember_ms), outputStructType=SIGNAL, outputMode="Append", timeMode="ProcessingTime" if remember_ms else "None")
 
 
-def watch(spark: SparkSession, landing: str, checkpoint: str, on_signal: Callable[[dict], None], interval: str | None = "2 seconds", form: str = "json", remember_ms: int | None = None) -> StreamingQuery:
-    """Call on_signal with each signal of a landing folder, in turn, with its warning: at every interval, or, with None, of
-    what there is now. Requests can only be forgotten where the stream goes on."""
+def signals_at(spark: SparkSession, path: str, form: str = "transcripts", remember_ms: int | None = None) -> DataFrame:
+    """A stream of the signals of growing transcripts, or of a landing folder of another form."""
+    lines = lines_of(tail(spark, path)) if form == "transcripts" else spark.readStream.schema(LINE).format(form).load(path)
+    return live(lines, remember_ms)
+
+
+def watch(spark: SparkSession, path: str, checkpoint: str, on_signal: Callable[[dict], None], interval: str | None = "2 seconds", form: str = "transcripts", remember_ms: int | None = None) -> StreamingQuery:
+    """Call on_signal with each signal of the transcripts at path (or of a landing folder of another form), in turn, with its
+    warning: at every interval, or, with None, of what there is now. A query with the same checkpoint goes on where the last
+    one was; a batch in which a callback failed is told again as a whole. Requests can only be forgotten where the stream
+    goes on."""
     if remember_ms and not interval:
         raise ValueError("remember_ms needs an interval")
 
@@ -156,7 +214,7 @@ def watch(spark: SparkSession, landing: str, checkpoint: str, on_signal: Callabl
         for row in warnings(batch).orderBy("session_id", "msg_seq").toLocalIterator():
             on_signal(row.asDict())
 
-    writer = live(spark.readStream.schema(LINE).format(form).load(landing), remember_ms).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = signals_at(spark, path, form, remember_ms).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
