@@ -25,9 +25,9 @@ def token_breakdown(blocks: DataFrame) -> DataFrame:
     return out.withColumn("user_ratio", F.round(F.when(all_ == 0, 0.0).otherwise(mine / F.when(all_ == 0, 1).otherwise(all_)), 4))
 
 
-def redundancy(prompts: DataFrame, pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Share of a session's prompts that are like another one. pairs: as similar.pairs() has them."""
-    like = pairs.where(F.col("similarity") >= threshold).select("session_id", F.explode(F.array("i", "j")).alias("prompt_index")).distinct().groupBy("session_id").agg(F.count(F.lit(1)).alias("like"))
+def redundancy(prompts: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Share of a session's prompts that are like another one."""
+    like = similar.alike(prompts, threshold).groupBy("session_id").agg(F.count(F.lit(1)).alias("like"))
     n = prompts.groupBy("session_id").agg(F.count(F.lit(1)).alias("prompts"))
     return n.join(like, "session_id", "left").select("session_id", "prompts", F.round(F.coalesce("like", F.lit(0)) / F.col("prompts"), 4).alias("redundancy"))
 

@@ -128,7 +128,9 @@ def abandoned(operations: DataFrame) -> DataFrame:
 
 def verbose_thinking(spans: DataFrame, least: int = 500, ratio: float = 10.0) -> DataFrame:
     """Long reasoning before a short action, or before none."""
-    action = F.first(F.when(F.col("phase") != "reasoning", F.struct("position", "token_count")), ignorenulls=True).over(_order().rowsBetween(1, W.unboundedFollowing))
+    # Read backwards, the next action is the last one seen: a running value, not a frame that is searched for every row.
+    backwards = W.partitionBy("session_id").orderBy(F.desc("position")).rowsBetween(W.unboundedPreceding, -1)
+    action = F.last(F.when(F.col("phase") != "reasoning", F.struct("position", "token_count")), ignorenulls=True).over(backwards)
     found = spans.withColumn("action", action).where(F.col("phase") == "reasoning").where(F.col("token_count") >= least)
     a = F.greatest(F.col("action.token_count"), F.lit(1))
     found = found.where(F.col("action").isNull() | (F.col("token_count") / a > ratio))

@@ -1,8 +1,12 @@
 """Similarity of texts within a session, from hashed character trigrams.
 
-Rows are dealt by session and sorted, and workers read them as a stream: for a window of spans they hold that window's
-vectors only, for comparisons with everything earlier the session's vectors so far. Nothing is joined, and no pair moves
-but those that are asked for.
+Windows of spans and whole matrices: rows are dealt by session and sorted, and workers read them as a stream. For a window
+they hold that window's vectors only, for a matrix the session's vectors so far.
+
+Only pairs from a threshold on: a session's distinct texts are cut into blocks of like length, and units of two blocks are
+dealt over all tasks. Blocks don't meet where their vectors have too few dimensions for each other: the product of two unit
+vectors is at most the root of the squared weights that the longer one has in as many of its largest dimensions as the
+other has in all. Every pair that may reach the threshold is computed, so results are exact.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from pyspark.sql import types as T
 from spanforge.functions.runtime import ship_package
 from spanforge.functions.vectors import DIMENSIONS, Buckets
 
-#: Rows that are compared at once.
-BLOCK = 256
+#: Rows that are compared at once; texts of a session that two sides of a unit have, and the most blocks of a session.
+BLOCK, UNIT, QUANTILES = 256, 2048, 1000
 
 
 def vector(text: str, buckets: Buckets) -> np.ndarray:
@@ -44,7 +48,7 @@ def _stream(df: DataFrame, work: Callable[[Iterator[tuple], Buckets], Iterator[l
                 kinds[:] = [batch.schema.field(0).type]
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        given = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}
+        given = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.BinaryType(): pa.binary()}
         for found in work(rows(), Buckets()):
             if found:
                 cols = list(zip(*found, strict=True))
@@ -145,14 +149,143 @@ def steps(prompts: DataFrame) -> DataFrame:
     return _with_earlier(prompts, "prompt_index", tell, _schema(prompts, ("prompt_index", T.LongType()), ("similarity", T.DoubleType())))
 
 
-def first_alike(spans: DataFrame, threshold: float) -> DataFrame:
-    """(session_id, position, prior): spans that are like an earlier one, and the first such."""
+def _energy_bound(counts: np.ndarray, least: float) -> int:
+    """How many dimensions another vector must have to be that similar: its product is at most the root of what as many of
+    this one's largest weights have of its square."""
+    squares = np.sort(counts.astype(float) ** 2)[::-1]
+    return 0 if least <= 0 else int(np.searchsorted(np.cumsum(squares), least * least * squares.sum() * (1 - 1e-12))) + 1
 
-    def tell(each: np.ndarray, n: int, places: list[int]) -> Iterator[tuple]:
-        near = np.flatnonzero(np.round(each[:n], 9) >= threshold)
-        return iter(((places[int(near[0])],),) if len(near) else ())
 
-    return _with_earlier(spans, "position", tell, _schema(spans, ("position", T.LongType()), ("prior", T.LongType())))
+def _vectors(texts: DataFrame, least: float) -> DataFrame:
+    """(session_id, first, size, buckets, counts, own, needed): sparse vectors, and what bounds their products."""
+
+    def work(it: Iterator[tuple], buckets: Buckets) -> Iterator[list[tuple]]:
+        out = []
+        for session, first, text in it:
+            n = len(text) - 2
+            found = np.bincount(np.fromiter((buckets[text[i : i + 3]] for i in range(n)), np.int64, n), minlength=DIMENSIONS) if n > 0 else np.eye(1, DIMENSIONS, dtype=np.int64)[0]
+            where = np.flatnonzero(found)
+            counts = found[where]
+            out.append((session, first, n, where.astype("<u2").tobytes(), counts.astype("<u4").tobytes(), len(where), _energy_bound(counts, least)))
+            if len(out) >= 1000:
+                yield out
+                out = []
+        yield out
+
+    return _stream(texts, work, _schema(texts, ("first", T.LongType()), ("size", T.LongType()), ("buckets", T.BinaryType()), ("counts", T.BinaryType()), ("own", T.LongType()), ("needed", T.LongType())))
+
+
+def _units(texts: DataFrame, least: float, block: int) -> DataFrame:
+    """Vectors as often as they are compared, by (session_id, a, b), two blocks of a session: at_b tells which of them a row is
+    in. A session's vectors are cut into blocks by their texts' lengths, and two blocks meet only where a vector of each has
+    enough dimensions for one of the other."""
+    vectors = _vectors(texts, least)
+    order = F.col("size") * (1 << 20) + F.pmod(F.xxhash64("first"), F.lit(1 << 20))
+    vectors = vectors.withColumn("order", order)
+    large = vectors.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("order", [i / QUANTILES for i in range(1, QUANTILES)], QUANTILES * 10).alias("q")).where(F.col("n") > block)
+    parts = F.least(F.ceil(F.col("n") / block), F.lit(QUANTILES))
+    cuts = large.select("session_id", F.array_distinct(F.transform(F.sequence(F.lit(1), (parts - 1).cast("int")), lambda i: F.element_at("q", F.floor(i * QUANTILES / parts).cast("int")))).alias("cuts"))
+    blocks = vectors.join(cuts, "session_id", "left").withColumn("block", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("order"))), F.lit(0)).cast("long")).drop("cuts", "order", "size")
+    bounds = blocks.groupBy("session_id", "block").agg(F.max("own").alias("own"), F.min("needed").alias("needed"))
+    other = bounds.select("session_id", F.col("block").alias("b"), F.col("own").alias("own_b"), F.col("needed").alias("needed_b"))
+    met = bounds.withColumnRenamed("block", "a").join(other, "session_id").where("a <= b AND own >= needed_b AND own_b >= needed").select("session_id", "a", "b")
+    sides = met.select("session_id", F.col("a").alias("block"), "a", "b", F.lit(0).cast("long").alias("at_b")).unionByName(met.where("a < b").select("session_id", F.col("b").alias("block"), "a", "b", F.lit(1).cast("long").alias("at_b")))
+    return blocks.join(sides, ["session_id", "block"]).select("session_id", "a", "b", "at_b", "first", "buckets", "counts")
+
+
+def _compared(units: DataFrame, least: float, digits: int, tell: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]], schema: T.StructType) -> DataFrame:
+    """What tell(rows' firsts, columns' firsts, similarities) gives of each two blocks, of the earlier text's rows; behind the
+    session. A similarity that isn't reached, or of a text and itself, is 0."""
+    rows = units.repartition("session_id", "a", "b").sortWithinPartitions("session_id", "a", "b", "at_b")
+
+    def matrix_of(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((len(held), DIMENSIONS))
+        for row, (_, buckets, counts) in zip(out, held, strict=True):
+            row[np.frombuffer(buckets, "<u2")] = np.frombuffer(counts, "<u4")
+        out /= np.sqrt((out * out).sum(1, keepdims=True))
+        return np.array([first for first, _, _ in held], np.int64), out
+
+    def work(it: Iterator[tuple], _: Buckets) -> Iterator[list[tuple]]:
+        unit, sides = None, ([], [])
+
+        def told() -> Iterator[list[tuple]]:
+            here, left = matrix_of(sides[0])
+            there, right = matrix_of(sides[1]) if sides[1] else (here, left)
+            for lo in range(0, len(here), BLOCK):
+                near = np.round(left[lo : lo + BLOCK] @ right.T, digits)
+                near[(near < least) | (here[lo : lo + BLOCK, None] == there)] = 0
+                if found := [(unit[0], *x) for x in tell(here[lo : lo + BLOCK], there, near)]:
+                    yield found
+
+        for session, a, b, at_b, first, buckets, counts in it:
+            if (session, a, b) != unit:
+                if unit and sides[0]:
+                    yield from told()
+                unit, sides = (session, a, b), ([], [])
+            sides[at_b].append((first, buckets, counts))
+        if unit and sides[0]:
+            yield from told()
+
+    return _stream(rows, work, schema)
+
+
+def _distinct(rows: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """Rows as (session_id, at, key), and a session's distinct texts as (session_id, first, text, key, copies)."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    own = rows.select("session_id", F.col(at).cast("long").alias("at"), low.alias("text"), F.md5(low.cast("binary")).alias("key"))
+    return own.drop("text"), own.groupBy("session_id", "key").agg(F.min("at").alias("first"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+
+
+def _nearest(texts: DataFrame, threshold: float, digits: int, block: int) -> DataFrame:
+    """(session_id, first, other): of each text with one that is alike, the first place of such another text."""
+
+    def tell(here: np.ndarray, there: np.ndarray, near: np.ndarray) -> Iterator[tuple]:
+        far = np.iinfo(np.int64).max
+        for firsts, others, hit in ((here, there, near > 0), (there, here, near.T > 0)):
+            best = np.where(hit, others, far).min(1, initial=far)
+            yield from ((int(firsts[i]), int(best[i])) for i in np.flatnonzero(best < far))
+
+    units = _units(texts.select("session_id", "first", "text"), threshold - 10.0**-digits, block)
+    found = _compared(units, threshold, digits, tell, _schema(texts, ("first", T.LongType()), ("other", T.LongType())))
+    return found.groupBy("session_id", "first").agg(F.min("other").alias("other"))
+
+
+def first_alike(spans: DataFrame, threshold: float, block: int = UNIT) -> DataFrame:
+    """(session_id, position, prior): spans that are like an earlier one, and the first such.
+
+    Distinct texts are compared, in units of two blocks each that are dealt over all tasks, so that no session is in one task;
+    each unit tells a text's first partner only."""
+    rows, texts = _distinct(spans, "position")
+    found = texts.join(_nearest(texts, threshold, 9, block), ["session_id", "first"], "left").select("session_id", "key", F.least("first", "other").alias("prior"))
+    return rows.join(found, ["session_id", "key"]).where("prior < at").select("session_id", F.col("at").alias("position"), "prior")
+
+
+def alike(prompts: DataFrame, threshold: float, block: int = UNIT) -> DataFrame:
+    """(session_id, prompt_index) of prompts that are like another one of their session."""
+    rows, texts = _distinct(prompts, "prompt_index")
+    near = texts.join(_nearest(texts, threshold, 4, block), ["session_id", "first"], "left").where("copies > 1 OR other IS NOT NULL").select("session_id", "key")
+    return rows.join(near, ["session_id", "key"]).select("session_id", F.col("at").alias("prompt_index"))
+
+
+def alike_pairs(prompts: DataFrame, threshold: float, block: int = UNIT) -> DataFrame:
+    """The rows of pairs() with at least that similarity, without making the others."""
+    rows, texts = _distinct(prompts, "prompt_index")
+
+    def tell(here: np.ndarray, there: np.ndarray, near: np.ndarray) -> Iterator[tuple]:
+        own = here is there or len(np.intersect1d(here, there)) > 0
+        for i, j in zip(*np.nonzero(near), strict=True):
+            if not own or here[i] < there[j]:
+                yield int(here[i]), int(there[j]), float(near[i, j])
+
+    units = _units(texts.select("session_id", "first", "text"), threshold - 1e-4, block)
+    found = _compared(units, threshold, 4, tell, _schema(texts, ("x", T.LongType()), ("y", T.LongType()), ("similarity", T.DoubleType())))
+    named = rows.join(texts.select("session_id", "key", "first"), ["session_id", "key"]).select("session_id", "first", "at")
+    x, y = (named.select("session_id", F.col("first").alias(n), F.col("at").alias(f"{n}_at")) for n in "xy")
+    both = found.join(x, ["session_id", "x"]).join(y, ["session_id", "y"])
+    same = texts.where("copies > 1").select("session_id", F.col("first").alias("x"), F.col("first").alias("y"), F.lit(1.0).alias("similarity")).where(F.lit(1.0 >= threshold))
+    copies = same.join(x, ["session_id", "x"]).join(y, ["session_id", "y"]).where("x_at < y_at")
+    out = both.unionByName(copies)
+    return out.select("session_id", F.least("x_at", "y_at").alias("i"), F.greatest("x_at", "y_at").alias("j"), "similarity")
 
 
 def between(df: DataFrame, a: Column, b: Column, name: str = "similarity") -> DataFrame:

@@ -105,7 +105,7 @@ def exchanges(a: Analysis) -> DataFrame:
 def input_analysis(a: Analysis, config: Config = Config()) -> dict[str, DataFrame]:
     pairs, steps, told = similar.pairs(a.prompts), inputs.drift_steps(a.prompts), exchanges(a)
     return {
-        "breakdown": inputs.token_breakdown(a.blocks), "pairs": pairs, "similar": pairs.where(F.col("similarity") >= config.prompt_similarity), "redundancy": inputs.redundancy(a.prompts, pairs, config.prompt_similarity),
+        "breakdown": inputs.token_breakdown(a.blocks), "pairs": pairs, "similar": similar.alike_pairs(a.prompts, config.prompt_similarity), "redundancy": inputs.redundancy(a.prompts, config.prompt_similarity),
         "drift": steps, "trajectory": inputs.trajectory(steps), "exchanges": told, "alignment": inputs.alignment(told),
     }
 

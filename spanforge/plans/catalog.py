@@ -243,7 +243,7 @@ def prompt_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query(_PAIRS + ", l AS (SELECT DISTINCT session_id, unnest([i, j]) AS x FROM pairs WHERE similarity >= 0.75), c AS (SELECT session_id, count(*) AS like_ FROM l GROUP BY 1) SELECT session_id, count(*) AS prompts, round(coalesce(any_value(like_), 0) / count(*)::DOUBLE, 4) AS redundancy FROM prompts LEFT JOIN c USING (session_id) GROUP BY session_id".replace(", l AS", ", l AS", 1))
 def prompt_redundancy(spark: SparkSession, sf: str) -> DataFrame:
     p = views.prompts(spark, sf)
-    return inputs.redundancy(p, similar.pairs(p))
+    return inputs.redundancy(p)
 
 
 @query(_PAIRS + "SELECT session_id, i, j, similarity FROM pairs UNION ALL SELECT session_id, j, i, similarity FROM pairs UNION ALL SELECT session_id, prompt_index, prompt_index, 1.0::DOUBLE FROM prompts")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import hashlib
 import random
 
 import pytest
@@ -141,7 +142,7 @@ def test_trigram_vectors(spark):
 
 def test_redundancy_of_four_prompts(spark):
     p = spark.createDataFrame([("s", i, t) for i, t in enumerate(("please fix the login bug", "please fix the login bug", "please fix the login bug", "zqx vww kjy"))], "session_id string, prompt_index long, text string")
-    assert inputs.redundancy(p, similar.pairs(p)).first().redundancy == 0.75
+    assert inputs.redundancy(p).first().redundancy == 0.75
 
 
 def test_pairing_skips_tool_results(spark):
@@ -249,12 +250,44 @@ def test_similarities_equal_brute_force(spark):
     assert steps == {(s, j): v for (s, i, j), v in pairs.items() if j == i + 1}
 
 
+@pytest.mark.parametrize("block", [3, 17, 2048])
+def test_thresholded_pairs_equal_all_pairs(spark, block):
+    r = random.Random(block)
+    words = ["parser", "token", "test", "Ünï", "a", "fix", "the", "span"]
+    rows = [(s, i, None if r.random() < 0.03 else " ".join(r.choices(words, k=r.choice([0, 1, 3, 9, 30])))) for s in ("x", "y", None) for i in range(60)]
+    rows += [("x", 60 + i, "hot copy of one text") for i in range(30)] + [("z", 0, "alone")]
+    prompts = spark.createDataFrame(rows, "session_id string, prompt_index long, text string").repartition(5)
+    named = prompts.where("session_id IS NOT NULL")
+    all_ = [(p.session_id, p.i, p.j, p.similarity) for p in similar.pairs(named).collect()]
+    for threshold in (0.75, 0.3, 1.0):
+        near = sorted(p for p in all_ if p[3] >= threshold)
+        assert sorted((p.session_id, p.i, p.j, p.similarity) for p in similar.alike_pairs(named, threshold, block).collect()) == near
+        assert sorted((p.session_id, p.prompt_index) for p in similar.alike(named, threshold, block).collect()) == sorted({(s, k) for s, i, j, _ in near for k in (i, j)})
+    first = {}
+    for s, i, j, v in sorted(all_):
+        if v >= 0.8 and (s, j) not in first:
+            first[s, j] = i
+    assert {(p.session_id, p.position): p.prior for p in similar.first_alike(named.withColumnRenamed("prompt_index", "position"), 0.8, block).collect()} == first
+
+
+def test_blocks_of_unlike_lengths_do_not_meet(spark):
+    short = [("s", i, f"{i:03d} {'abcdefghij'[i % 10] * 2}") for i in range(100)]
+    long = [("s", 100 + i, "".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(8))) for i in range(100)]
+    rows = spark.createDataFrame(short + long, "session_id string, first long, text string")
+    units = similar._units(rows, 0.85, 20)
+    met = units.select("a", "b").distinct().count()
+    assert 10 <= met < 45  # of 55
+
+
 def test_large_sessions_stream(spark):
     n = 20_000
     rows = spark.range(n).select(F.lit("s").alias("session_id"), F.col("id").alias("position"), F.lit("generation").alias("phase"), F.concat(F.lit("step "), F.md5(F.col("id").cast("string"))).alias("text"), F.lit(1).cast("long").alias("token_count"))
     out = similar.neighbours(rows, spark.createDataFrame([("s", "step")], "session_id string, text string"), 10)
     assert out.agg(F.count("*"), F.max("repetition")).first()[0] == n
-    assert patterns.restatements(rows.where("position < 3000")).count() == 0
+    assert patterns.restatements(rows).count() == 0
+    thoughts = rows.select("session_id", "position", F.when(F.col("position") % 1000 == 999, "generation").otherwise("reasoning").alias("phase"), F.lit(600).cast("long").alias("token_count"))
+    found = patterns.verbose_thinking(thoughts.withColumn("token_count", F.when(F.col("phase") == "generation", 1).otherwise(600).cast("long")))
+    assert found.count() == n - n // 1000
 
 
 def test_trigram_cosine(spark):
