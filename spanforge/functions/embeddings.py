@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions.runtime import exists, ship_package
@@ -23,18 +24,29 @@ TTL_HOURS, BATCH = 168, 64
 
 
 def embed(texts: DataFrame, make: Callable[[], Encoder], batch: int = BATCH) -> DataFrame:
-    """texts with an embedding of the column text."""
+    """texts with an embedding of the column text; a null text has none, and no encoder sees it."""
     ship_package(texts.sparkSession)
 
+    @F.pandas_udf("array<float>")
     def encoded(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = make()
         for part in it:
-            rows: list[np.ndarray] = []
-            for lo in range(0, len(part), batch):
-                rows.extend(np.asarray(encode(part.iloc[lo : lo + batch].tolist()), np.float32))
-            yield pd.Series(rows, index=part.index, dtype=object)
+            out = pd.Series([None] * len(part), index=part.index, dtype=object)
+            told = part[part.notna()]
+            for lo in range(0, len(told), batch):
+                some = told.iloc[lo : lo + batch]
+                for at, row in zip(some.index, np.asarray(encode(some.tolist()), np.float32), strict=True):
+                    out.at[at] = row
+            yield out
 
-    return texts.withColumn("embedding", F.pandas_udf(encoded, "array<float>", F.PandasUDFType.SCALAR_ITER)("text"))
+    return texts.withColumn("embedding", encoded("text"))
+
+
+def embed_once(texts: DataFrame, make: Callable[[], Encoder], batch: int = BATCH) -> DataFrame:
+    """embed(), but equal texts go through the encoder once."""
+    named = texts.withColumn("content_hash", content_hash(F.col("text")))
+    known = embed(named.where("text IS NOT NULL").select("content_hash", "text").dropDuplicates(["content_hash"]), make, batch)
+    return named.join(known.select("content_hash", "embedding"), "content_hash", "left").drop("content_hash")
 
 
 def cached(spark: SparkSession, path: str, ttl_hours: float = TTL_HOURS) -> DataFrame:
@@ -47,13 +59,30 @@ def cached(spark: SparkSession, path: str, ttl_hours: float = TTL_HOURS) -> Data
 
 
 def get_or_compute(texts: DataFrame, make: Callable[[], Encoder], path: str, ttl_hours: float = TTL_HOURS, source: str | None = None, batch: int = BATCH) -> DataFrame:
-    """texts with content_hash and embedding; what the cache lacks is computed, equal texts once, and added to it."""
+    """texts with content_hash and embedding; what the cache lacks is computed, equal texts once, and added to it. A null text
+    keeps its row, without an embedding."""
     spark = texts.sparkSession
     named = texts.withColumn("content_hash", content_hash(F.col("text")))
-    lacking = named.select("content_hash", "text").dropDuplicates(["content_hash"]).join(cached(spark, path, ttl_hours).select("content_hash"), "content_hash", "left_anti")
+    lacking = named.where("text IS NOT NULL").select("content_hash", "text").dropDuplicates(["content_hash"]).join(cached(spark, path, ttl_hours).select("content_hash"), "content_hash", "left_anti")
     fresh = embed(lacking, make, batch).select("content_hash", "embedding", F.lit(source).cast("string").alias("source"), F.current_timestamp().alias("at"))
     fresh.write.mode("append").parquet(path)
-    return named.join(cached(spark, path, ttl_hours), "content_hash")
+    return named.join(cached(spark, path, ttl_hours), "content_hash", "left")
+
+
+def embed_spans(spans: DataFrame, make: Callable[[], Encoder], cache: str | None = None, least: int = 0, merge: bool = False, batch: int = BATCH) -> DataFrame:
+    """Spans (session_id, position, phase, text, token_count, and more) with embeddings: of their own texts, or, with merge, of
+    runs of one phase as one text, whose vector each span of the run gets. Spans of fewer than ``least`` tokens have none, and
+    a run goes on over them. cache: a table of embeddings that outlives the run."""
+    own = spans.where(F.col("token_count") >= least)
+    order = W.partitionBy("session_id").orderBy("position")
+    before = F.lag("phase").over(order)
+    changes = F.when(before.isNull() | (before != F.col("phase")), 1).otherwise(0) if merge else F.lit(1)
+    runs = own.select("session_id", "position", "text", changes.alias("fresh")).select("session_id", "position", "text", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("run"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda t: t["text"])
+    units = runs.groupBy("session_id", "run").agg(F.concat_ws(" ", texts).alias("text")) if merge else runs.select("session_id", "run", "text")
+    vectors = (get_or_compute(units, make, cache, batch=batch) if cache else embed_once(units, make, batch)).select("session_id", "run", "embedding")
+    placed = runs.select("session_id", "position", "run").join(vectors, ["session_id", "run"]).drop("run")
+    return spans.join(placed, ["session_id", "position"], "left")
 
 
 def invalidate(spark: SparkSession, path: str, prefix: str | None = None, source: str | None = None) -> None:

@@ -64,25 +64,44 @@ def _schema(df: DataFrame, *columns: tuple[str, T.DataType]) -> T.StructType:
 def neighbours(spans: DataFrame, intents: DataFrame, window: int) -> DataFrame:
     """(session_id, position, similarity, repetition): to the session's intent, and the most to one of the same phase's
     previous spans; 0 where there is none. spans: session_id, position, phase, text; intents: session_id, text."""
-    low = F.lower("text").alias("text")
+    low = F.lower("text").alias("of")
+    return _windowed(spans, intents, low, window, lambda text, buckets: vector(text or "", buckets))
+
+
+def dense_neighbours(spans: DataFrame, intents: DataFrame, window: int) -> DataFrame:
+    """neighbours() by vectors that spans and intents bring as embedding; one that is null or zero is like none."""
+
+    def unit(values: list[float] | None, _: Buckets) -> np.ndarray | None:
+        v = np.array(values or (), float)
+        norm = float(np.sqrt(v @ v))
+        return v / norm if norm else None
+
+    return _windowed(spans, intents, F.col("embedding").alias("of"), window, unit)
+
+
+def _windowed(spans: DataFrame, intents: DataFrame, of: Column, window: int, vector_of: Callable[[object, Buckets], np.ndarray | None]) -> DataFrame:
     phases = spans.select("session_id", "phase").distinct()
-    goals = intents.select("session_id", low).join(phases, "session_id").select("session_id", "phase", F.lit(-1).cast("long").alias("position"), "text", F.lit(0).alias("own"))
-    rows = goals.unionByName(spans.select("session_id", "phase", F.col("position").cast("long").alias("position"), low, F.lit(1).alias("own")))
+    goals = intents.select("session_id", of).join(phases, "session_id").select("session_id", "phase", F.lit(-1).cast("long").alias("position"), "of", F.lit(0).alias("own"))
+    rows = goals.unionByName(spans.select("session_id", "phase", F.col("position").cast("long").alias("position"), of, F.lit(1).alias("own")))
     rows = rows.repartition("session_id", "phase").sortWithinPartitions("session_id", "phase", "own", "position")
 
     def work(it: Iterator[tuple], buckets: Buckets) -> Iterator[list[tuple]]:
-        key, goal, held, n, out = None, None, np.zeros((window, DIMENSIONS)), 0, []
-        for session, phase, position, text, own in it:
+        key, goal, held, n, out = None, None, None, 0, []
+        for session, phase, position, what, own in it:
             if (session, phase) != key:
                 key, goal, n = (session, phase), None, 0
-            v = vector(text or "", buckets)
+            v = vector_of(what, buckets)
             if not own:
                 goal = v
                 continue
-            similarity = float(goal @ v) if goal is not None else 0.0
-            repetition = float((held[: min(n, window)] @ v).max()) if n else 0.0
-            held[n % window] = v
-            n += 1
+            similarity = repetition = 0.0
+            if v is not None:
+                held = np.zeros((window, len(v))) if held is None or held.shape[1] != len(v) else held
+                similarity = float(goal @ v) if goal is not None else 0.0
+                repetition = max(float((held[: min(n, window)] @ v).max()), 0.0) if n else 0.0
+            if held is not None:
+                held[n % window] = 0 if v is None else v
+            n += held is not None
             out.append((session, position, round(similarity, 9), round(repetition, 9)))
             if len(out) >= 1000:
                 yield out

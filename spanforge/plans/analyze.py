@@ -5,11 +5,13 @@ All sessions are analysed at once; a session is a grouping key, and a parent wit
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.functions import embeddings
 from spanforge.functions import text as T
 from spanforge.operators import economics, inputs, intents, patterns, similar, spans
 from spanforge.plugins import REGISTRY, Config, Registry
@@ -43,9 +45,31 @@ def intents_of(prompts: DataFrame) -> DataFrame:
     return intents.whole(prompts).drop("part")
 
 
-def label(found: DataFrame, goals: DataFrame, config: Config = Config()) -> DataFrame:
+@dataclass(frozen=True)
+class Dense:
+    """How texts are embedded: a function that makes an encoder, a cache's folder, and, to embed less, whether runs of one
+    phase are merged and from how many tokens on a span is embedded."""
+
+    make: Callable[[], embeddings.Encoder]
+    cache: str | None = None
+    merge: bool = False
+    least: int = 0
+    batch: int = embeddings.BATCH
+
+
+def measured(found: DataFrame, goals: DataFrame, dense: Dense | None = None) -> DataFrame:
+    """(session_id, position, similarity, repetition) by hashed trigrams, or by a model's embeddings."""
+    if dense is None:
+        return similar.neighbours(found, goals, spans.REPETITION_WINDOW)
+    vectors = embeddings.embed_spans(found, dense.make, dense.cache, dense.least, dense.merge, dense.batch)
+    told = goals.where("text <> ''")
+    intent = embeddings.get_or_compute(told, dense.make, dense.cache, batch=dense.batch) if dense.cache else embeddings.embed_once(told, dense.make, dense.batch)
+    return similar.dense_neighbours(vectors, intent, spans.REPETITION_WINDOW)
+
+
+def label(found: DataFrame, goals: DataFrame, config: Config = Config(), dense: Dense | None = None) -> DataFrame:
     """Labelled spans."""
-    return spans.label(found, similar.neighbours(found, goals, spans.REPETITION_WINDOW), config.similarity, config.confidence)
+    return spans.label(found, measured(found, goals, dense), config.similarity, config.confidence)
 
 
 def operations(found: DataFrame) -> DataFrame:
@@ -77,14 +101,14 @@ def detect(found: DataFrame, labelled: DataFrame, blks: DataFrame, calls: DataFr
     )
 
 
-def transcripts_at(spark: SparkSession, path: str | list[str], config: Config = Config(), mode: str = "strict", registry: Registry = REGISTRY) -> Analysis:
+def transcripts_at(spark: SparkSession, path: str | list[str], config: Config = Config(), mode: str = "strict", registry: Registry = REGISTRY, dense: Dense | None = None) -> Analysis:
     msgs = transcripts.messages(transcripts.parse_entries(transcripts.read_lines(spark, path), mode))
     blks = transcripts.blocks(msgs)
     found = registry.before(transcripts.spans(blks))
     prompts = transcripts.prompts(blks)
     calls = transcripts.calls(blks)
     goals = intents_of(prompts)
-    labelled = label(found, goals, config)
+    labelled = label(found, goals, config, dense)
     results = registry.after(spans.ter(labelled, weights=dict(zip(spans.PHASES, config.weights, strict=True))))
     wasted = detect(found, labelled, blks, calls, config, registry)
     used = economics.usage(msgs, config.model)
