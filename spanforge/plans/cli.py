@@ -37,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
     live_.add_argument("--checkpoint", required=True)
     live_.add_argument("--interval", default="2 seconds")
     live_.add_argument("--once", action="store_true")
+    live_.add_argument("--dashboard", action="store_true", help="totals of all sessions after each batch")
+    live_.add_argument("--idle-minutes", type=float, help="with --dashboard: sessions that are silent so long don't count")
     for x in (one, rep, cmp_):
         x.add_argument("--config")
         x.add_argument("--similarity-threshold", type=float)
@@ -68,8 +70,13 @@ def _watch(spark: SparkSession, args: argparse.Namespace) -> None:
     from spanforge.streaming import live
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    interval = None if args.once else args.interval
+    if args.dashboard:
+        show = lambda t: print(f"{t['sessions']} sessions  mean TER {t['mean_ter']:.2f}  {t['total_tokens']:,} tokens  {t['waste_tokens']:,} waste", flush=True)
+        live.watch_dashboard(spark, args.path, args.checkpoint, show, interval, idle_ms=int(args.idle_minutes * 60_000) if args.idle_minutes else None).awaitTermination()
+        return
     tell = lambda s: print(f"{s['session_id']}  #{s['msg_seq']}  TER {s['ter']:.2f}  {s['direction']}  {s['warning']}", flush=True)
-    live.watch(spark, args.path, args.checkpoint, tell, None if args.once else args.interval).awaitTermination()
+    live.watch(spark, args.path, args.checkpoint, tell, interval).awaitTermination()
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +25,29 @@ def prompts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'user' AND text <> ''").select(F.col("conv_id").alias("session_id"), (F.row_number().over(order) - 1).cast("long").alias("prompt_index"), "text")
 
 
+def transcript_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as transcripts' lines, as sources.transcripts.read_lines() has them. An assistant's turn is a request with
+    two entries, a beginning and the whole: reasoning, a call, and the answer; the user's turn after it may bring the call's
+    result before its text."""
+    rows = table(spark, sf, "conversations").withColumn("session", F.col("conv_id").cast("string"))
+    called = F.lag("role").over(W.partitionBy("conv_id").orderBy("turn")) == "assistant"
+    rows = rows.withColumn("called", F.coalesce(called, F.lit(False)) & (F.col("turn") % 2 == 0))
+    n, at = F.length("text"), F.col("turn").cast("string")
+    block = lambda **x: F.struct(*(x.get(k, F.lit(None)).cast("string").alias(k) for k in ("type", "text", "content", "id", "tool_use_id", "name")), (x["input"] if "input" in x else F.lit(None).cast("struct<file_path: string>")).alias("input"))
+    text = block(type=F.lit("text"), text=F.col("text"))
+
+    def entry(content: Column, output: Column | None) -> Column:
+        usage = [] if output is None else [F.struct(n.alias("input_tokens"), output.alias("output_tokens"), (n % 7).alias("cache_read_input_tokens")).alias("usage")]
+        request = [] if output is None else [F.concat(F.lit("r"), at).alias("requestId")]
+        return F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("u"), at).alias("uuid"), F.col("session").alias("sessionId"), *request, F.struct("role", content.alias("content"), *usage).alias("message")))
+
+    whole = F.array(block(type=F.lit("thinking"), text=F.substring("text", 1, 40)), block(type=F.lit("tool_use"), id=F.concat(F.lit("t"), at), name=F.lit("Read"), input=F.struct(F.concat(F.lit("f"), (F.col("turn") % 3).cast("string"), F.lit(".py")).alias("file_path"))), text)
+    result = F.array(block(type=F.lit("tool_result"), tool_use_id=F.concat(F.lit("t"), (F.col("turn") - 1).cast("string")), content=F.substring("text", 1, 80)), text)
+    said = F.when(F.col("role") == "assistant", F.array(entry(F.array(block(type=F.lit("text"), text=F.lit("so far"))), F.lit(1)), entry(whole, n % 50 + 2))).when(F.col("called"), F.array(entry(result, None))).otherwise(F.array(entry(F.col("text"), None)))
+    out = rows.select(F.concat(F.lit("/"), "session", F.lit(".jsonl")).alias("file"), F.col("session").alias("stem"), F.lit(False).alias("blank"), "turn", F.posexplode(said).alias("k", "raw"))
+    return out.select("file", "stem", "blank", (F.col("turn") * 2 + F.col("k") + 1).alias("line_no"), "raw")
+
+
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a session's tool calls: the user is the session, the type the tool, the property the file or command."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
@@ -61,6 +84,12 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TURNS = "turns AS (SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, turn AS msg_seq, role AS source_role, role, 'generation' AS phase, text, greatest(1, length(text) // 4)::BIGINT AS token_count FROM conversations WHERE role <> 'system' AND text <> '')"
+SPOKEN = """spoken AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant' AND turn % 2 = 0 THEN 1 ELSE 0 END AS called FROM conversations),
+told AS (SELECT conv_id::VARCHAR AS session_id, turn, role, text, called, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS message FROM spoken WHERE role IN ('user', 'assistant')),
+said AS (SELECT session_id, turn, message, role, 0 AS k, 'thinking' AS block_type, substr(text, 1, 40) AS text FROM told WHERE role = 'assistant'
+  UNION ALL SELECT session_id, turn, message, role, 1, 'tool_use', 'Read {"file_path":"f' || (turn % 3)::VARCHAR || '.py"}' FROM told WHERE role = 'assistant'
+  UNION ALL SELECT session_id, turn, message, role, 1, 'tool_result', substr(text, 1, 80) FROM told WHERE role = 'user' AND called = 1
+  UNION ALL SELECT session_id, turn, message, role, 2, 'text', text FROM told)"""
 PROMPTS = "prompts AS (SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS prompt_index, text FROM conversations WHERE role = 'user' AND text <> '')"
 CALLS = """calls AS (SELECT *, CASE WHEN tool IN ('view', 'signup') THEN 'reasoning' WHEN tool = 'click' THEN 'generation' ELSE 'tool_use' END AS phase, tool <> 'error' AS aligned, 'f' || (k % 7)::VARCHAR AS file,
   CASE WHEN tool = 'error' THEN 'tool_result' ELSE 'tool_use' END AS block_type, CASE WHEN tool = 'error' AND k % 2 = 0 THEN 'Error: permission denied' WHEN tool = 'error' THEN 'command failed' ELSE 'ok' END AS text

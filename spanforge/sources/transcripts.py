@@ -1,40 +1,52 @@
 """Transcripts as tables: JSONL files to lines, entries, messages, blocks, spans, prompts and calls.
 
-A file is read as a whole, since the order of its lines is part of the data; files are small and many.
+The order of a file's lines is part of the data; files may be many and small, or large and read in splits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
+from spanforge.streaming.tail import tail
 
 MESSAGE = "role STRING, content STRING, stop_reason STRING, requestId STRING, usage STRUCT<input_tokens: BIGINT, output_tokens: BIGINT, cache_creation_input_tokens: BIGINT, cache_read_input_tokens: BIGINT>"
 ENTRY = f"type STRING, uuid STRING, parentUuid STRING, sessionId STRING, timestamp STRING, requestId STRING, message STRUCT<{MESSAGE.replace(' STRING', ': STRING').replace('usage STRUCT', 'usage: STRUCT')}>"
 BLOCK = "type STRING, text STRING, content STRING, thinking STRING, name STRING, input STRING, id STRING, tool_use_id STRING"
 
 
-def _checked(spark: SparkSession, path: str) -> None:
-    """A single file must be there and a .jsonl one."""
+def _checked(spark: SparkSession, path: str) -> bool:
+    """A single file must be there and a .jsonl one; whether it is without any byte."""
     if any(c in path for c in "*?[{"):
-        return
+        return False
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = there.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(there):
         raise FileNotFoundError(path)
-    if files.getFileStatus(there).isFile() and not path.endswith(".jsonl"):
+    status = files.getFileStatus(there)
+    if status.isFile() and not path.endswith(".jsonl"):
         raise ValueError(f"not a .jsonl file: {path}")
+    return status.isFile() and status.getLen() == 0
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, stem, blank, line_no, raw), line_no from 1; blank: whether the file has nothing but white space."""
-    for p in [path] if isinstance(path, str) else path:
-        _checked(spark, p)
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    named = whole.select(F.col("_metadata.file_path").alias("file"), "value").withColumn("stem", F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))
-    return named.select("file", "stem", (~F.col("value").rlike(r"\S")).alias("blank"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1)
+    """(file, stem, blank, line_no, raw), line_no from 1; blank: whether the file has nothing but white space.
+
+    A large file is read in several splits. Its lines' order is that of the splits' places in it and, within a split, that of
+    reading, so numbers are those of one reading from start to end. A file without any byte has a blank line where it is
+    named itself; in a folder it is passed over."""
+    empty = [p for p in ([path] if isinstance(path, str) else path) if _checked(spark, p)]
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n")
+    read = files.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
+    of = W.partitionBy("file")
+    lines = read.withColumn("line_no", F.row_number().over(of.orderBy("split", "place"))).withColumn("blank", ~F.max(F.col("raw").rlike(r"\S")).over(of)).select("file", "blank", "line_no", "raw")
+    for p in empty:
+        lines = lines.unionByName(spark.range(1).select(F.lit(p).alias("file"), F.lit(True).alias("blank"), F.lit(1).alias("line_no"), F.lit("").alias("raw")))
+    return lines.select("file", F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("stem"), "blank", "line_no", "raw")
 
 
 def parse_entries(lines: DataFrame, mode: str = "strict") -> DataFrame:
@@ -205,20 +217,24 @@ class Snapshots:
         self.path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         self.files = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _last(self) -> int:
+    def _last(self, upto: int | None = None) -> int:
         if not self.files.exists(self.path):
             return -1
         names = [s.getPath() for s in self.files.listStatus(self.path)]
         done = [int(p.getName()) for p in names if p.getName().isdigit() and self.files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=-1)
+        return max((n for n in done if upto is None or n <= upto), default=-1)
 
-    def read(self) -> DataFrame | None:
-        n = self._last()
+    def read(self, upto: int | None = None) -> DataFrame | None:
+        """The latest table, or the latest one with a number up to the given one."""
+        n = self._last(upto)
         return None if n < 0 else self.spark.read.parquet(f"{self.folder}/{n}")
 
-    def write(self, table: DataFrame) -> DataFrame:
-        n = self._last() + 1
+    def write(self, table: DataFrame, number: int | None = None) -> DataFrame:
+        """The table as the next one, or as the one with that number. The one before stays, those before that go."""
+        n = self._last() + 1 if number is None else number
         table.write.mode("overwrite").parquet(f"{self.folder}/{n}")
+        while (old := self._last(n - 2)) >= 0:
+            self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{old}"), True)
         return self.spark.read.parquet(f"{self.folder}/{n}")
 
 
@@ -230,18 +246,11 @@ def poll_changes(spark: SparkSession, folder: str, snapshots: str) -> DataFrame:
     return changes(now.limit(0) if before is None else before, now)
 
 
-def poll_lines(spark: SparkSession, folder: str, snapshots: str) -> DataFrame:
-    """Lines that transcripts have gained since the last call with the same snapshots, as read_lines() has them. A last line
-    without its line end waits for the next call."""
-    held = Snapshots(spark, snapshots)
-    before = held.read()
-    ends = W.partitionBy("file")
-    lines = read_lines(spark, folder).withColumn("ends", F.max("line_no").over(ends)).where("line_no < ends").drop("ends")
-    now = held.write(lines.groupBy("file").agg(F.max("line_no").alias("upto")))
-    lines = lines.join(now.withColumnRenamed("upto", "now_upto"), "file").where("line_no <= now_upto").drop("now_upto")
-    if before is None:
-        return lines
-    return lines.join(before, "file", "left").where("line_no > coalesce(upto, 0)").drop("upto")
+def poll_lines(spark: SparkSession, folder: str, checkpoint: str, each: Callable[[DataFrame], None]) -> None:
+    """Give each() the lines (file, session, offset, raw) that transcripts have gained since the last call with the same
+    checkpoint. Lines count as read once each() has returned; a last line without its line end waits for the next call."""
+    stream = tail(spark, folder).writeStream.foreachBatch(lambda batch, _: each(batch)).option("checkpointLocation", checkpoint)
+    stream.trigger(availableNow=True).start().awaitTermination()
 
 
 def append_history(results: DataFrame, path: str) -> None:

@@ -13,6 +13,7 @@ import json
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from spanforge.functions.runtime import ship_package
 from spanforge.functions.vectors import Buckets
 from spanforge.operators.spans import PHASE_WEIGHTS, PHASES
+from spanforge.sources.transcripts import Snapshots
 from spanforge.streaming.tail import tail
 
 #: Drift is that of the last WINDOW values; a session's state keeps RING of them.
@@ -218,6 +220,77 @@ def watch(spark: SparkSession, path: str, checkpoint: str, on_signal: Callable[[
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+class LatestState(StatefulProcessor):
+    """One session's latest signal. What it adds to the totals of all sessions is told as differences: the first signal, a
+    later one in place of it, and, once no signal has come for ``idle_ms``, its withdrawal."""
+
+    def __init__(self, idle_ms: int | None = None) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "msg_seq long, ter long, total long, aligned long, shown boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+        got = pd.concat(list(rows))
+        last = got.loc[got["msg_seq"].idxmax()]
+        held = self.latest.get() if self.latest.exists() else (-1, 0, 0, 0, False)
+        if self.idle_ms:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+        now = (int(last.msg_seq), round(last.ter * TER_UNITS), int(last.total_tokens), int(last.aligned_tokens), True)
+        now = now if now[0] > held[0] else (*held[:4], True)
+        self.latest.update(now)
+        was = held[1:4] if held[4] else (0, 0, 0)
+        yield pd.DataFrame([(key[0], int(not held[4]), *(a - b for a, b in zip(now[1:4], was, strict=True)))], columns=_names(DIFFERENCE))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
+        held = self.latest.get() if self.latest.exists() else None
+        out = []
+        if held and held[4]:
+            self.latest.update((*held[:4], False))
+            out.append((key[0], -1, *(-x for x in held[1:4])))
+        yield pd.DataFrame(out, columns=_names(DIFFERENCE))
+
+    def close(self) -> None:
+        pass
+
+
+#: Values are counted in ten-thousandths, so that sums of differences are exact.
+TER_UNITS = 10_000
+DIFFERENCE = "session_id string, sessions long, ter long, total_tokens long, aligned_tokens long"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def differences(signals: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """A stream of what each session's signals change of the dashboard's totals."""
+    ship_package(signals.sparkSession)
+    return signals.groupBy("session_id").transformWithStateInPandas(statefulProcessor=LatestState(idle_ms), outputStructType=DIFFERENCE, outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
+
+
+def watch_dashboard(spark: SparkSession, path: str, checkpoint: str, on_totals: Callable[[dict], None], interval: str | None = "2 seconds", form: str = "transcripts", idle_ms: int | None = None) -> StreamingQuery:
+    """Call on_totals with the dashboard of all sessions at path after each batch, as dashboard() has it; sessions without a
+    signal for idle_ms are no longer in it until they go on. Only a batch's differences are summed up: one row. Totals are kept
+    beside the checkpoint by batches' numbers, so a batch that is repeated counts once."""
+    totals = f"{checkpoint}-totals"
+
+    def each(batch: DataFrame, number: int) -> None:
+        before = Snapshots(spark, totals).read(upto=number - 1)
+        columns = _names(DIFFERENCE)[1:]
+        change = batch.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns))
+        held = change if before is None else change.unionByName(before).agg(*(F.sum(c).alias(c) for c in columns))
+        r = Snapshots(spark, totals).write(held, number).first()
+        mean = (Decimal(r.ter) / TER_UNITS / r.sessions).quantize(Decimal("0.0001"), ROUND_HALF_UP) if r.sessions else Decimal(0)
+        on_totals({"sessions": r.sessions, "mean_ter": float(mean), "total_tokens": r.total_tokens, "waste_tokens": r.total_tokens - r.aligned_tokens})
+
+    writer = differences(signals_at(spark, path, form), idle_ms).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
 def dashboard(signals: DataFrame) -> DataFrame:
     """The latest signal of every session, and what it says of them all."""
     latest = signals.groupBy("session_id").agg(F.max_by(F.struct("total_tokens", "aligned_tokens", "ter"), "msg_seq").alias("s"))

@@ -97,7 +97,7 @@ def test_window_of_dense_vectors(spark):
     r = np.random.default_rng(3)
     rows = [("s", i, ["a", "b"][i % 2], None if i % 7 == 3 else [float(x) for x in r.normal(size=5)]) for i in range(60)]
     spans = spark.createDataFrame(rows, "session_id string, position long, phase string, embedding array<float>")
-    goals = spark.createDataFrame([("s", [1.0, 0, 0, 0, 0])], "session_id string, embedding array<float>")
+    goals = spark.createDataFrame([("s", [1.0, 0.0, 0.0, 0.0, 0.0])], "session_id string, embedding array<float>")
     got = {x.position: (x.similarity, x.repetition) for x in similar.dense_neighbours(spans, goals, 4).collect()}
     for _, i, phase, v in rows:
         before = [x[3] for x in rows if x[2] == phase and x[1] < i][-4:]

@@ -159,3 +159,46 @@ def test_lines_begin_in_one_split(split, monkeypatch):
     found = [x for at in range(0, len(data), split) for x in tail.lines_in(io.BytesIO(data), at, min(len(data), at + split), at == 0)]
     assert [x for _, x in found] == lines
     assert tail.whole_lines_end(io.BytesIO(data + b"rest of a line"), len(data) + 14) == len(data)
+
+
+def batch_totals(spark, lines):
+    """The dashboard of whole files."""
+    rows = [(s, at, total, aligned, ter) for s, x in lines.items() for at, total, aligned, ter in fold(x)]
+    return live.dashboard(spark.createDataFrame(rows, "session_id string, msg_seq long, total_tokens long, aligned_tokens long, ter double")).first().asDict()
+
+
+def test_dashboard_follows_all_sessions(spark, tmp_path):
+    folder, lines, got = tmp_path / "project", {}, []
+    folder.mkdir()
+
+    def step(idle_ms=None, **more):
+        for s, x in more.items():
+            lines[s] = lines.get(s, []) + x
+            with (folder / f"{s}.jsonl").open("a") as f:
+                f.write("".join(line + "\n" for line in x))
+        assert live.watch_dashboard(spark, str(folder), str(tmp_path / "cp"), got.append, None, idle_ms=idle_ms).awaitTermination(180)
+
+    step(a=story(1, 20), b=story(2, 20))
+    assert got[-1] == batch_totals(spark, lines)
+    step(a=story(3, 20), c=story(4, 30))
+    assert got[-1] == batch_totals(spark, lines)
+    told = len(got)
+    step()
+    assert len(got) == told  # nothing new
+
+
+def test_idle_sessions_leave_the_dashboard(spark, tmp_path):
+    folder, got = tmp_path / "project", []
+    folder.mkdir()
+    first, second = story(1, 20), story(2, 20)
+
+    def step(name, lines):
+        with (folder / f"{name}.jsonl").open("a") as f:
+            f.write("".join(line + "\n" for line in lines))
+        assert live.watch_dashboard(spark, str(folder), str(tmp_path / "cp"), got.append, None, idle_ms=1).awaitTermination(180)
+
+    step("a", first)
+    step("b", second)
+    assert got[-1] == batch_totals(spark, {"b": second})
+    step("a", story(3, 20))
+    assert got[-1] == batch_totals(spark, {"a": first + story(3, 20)})

@@ -191,14 +191,38 @@ def test_polls(spark, tmp_path):
     folder, held = tmp_path / "t", str(tmp_path / "held")
     write(folder / "a.jsonl", SESSION[:2])
     assert [r.event for r in transcripts.poll_changes(spark, str(folder), held + "1").collect()] == ["new_session"]
-    assert transcripts.poll_lines(spark, str(folder), held + "2").count() == 2
+    got = []
+    gained = lambda batch: got.extend((r.session, json.loads(r.raw)) for r in batch.orderBy("session", "offset").collect())
+    transcripts.poll_lines(spark, str(folder), held + "2", gained)
+    assert got == [("a", x) for x in SESSION[:2]]
     assert transcripts.poll_changes(spark, str(folder), held + "1").count() == 0
     with open(folder / "a.jsonl", "a") as f:
         f.write(json.dumps(SESSION[2]) + "\n" + json.dumps(SESSION[3])[:20])
     os.utime(folder / "a.jsonl", (time.time() + 5, time.time() + 5))
     write(folder / "b.jsonl", SESSION[:1])
     assert {r.path.rsplit("/", 1)[-1]: r.event for r in transcripts.poll_changes(spark, str(folder), held + "1").collect()} == {"a.jsonl": "modified_session", "b.jsonl": "new_session"}
-    assert sorted((r.stem, r.line_no) for r in transcripts.poll_lines(spark, str(folder), held + "2").collect()) == [("a", 3), ("b", 1)]
+    got.clear()
+    transcripts.poll_lines(spark, str(folder), held + "2", gained)
+    assert got == [("a", SESSION[2]), ("b", SESSION[0])]
+
+
+def test_large_files_are_read_in_splits(spark, tmp_path):
+    lines = {s: [f"{s} {k} " + "x" * (k * 7 % 90) if k % 5 else "" for k in range(300)] for s in ("a", "b")}
+    for s, own in lines.items():
+        (tmp_path / "t").mkdir(exist_ok=True)
+        (tmp_path / "t" / f"{s}.jsonl").write_text("\n".join(own) + "\r\n" * (s == "b"))
+    (tmp_path / "t" / "c.jsonl").write_text("")
+    (tmp_path / "t" / "d.jsonl").write_text(" \n\n")
+    for size in ("200", "4096", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = transcripts.read_lines(spark, str(tmp_path / "t")).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        for s, own in lines.items():
+            assert [(r.line_no, r.raw.rstrip("\r")) for r in sorted(rows, key=lambda r: r.line_no) if r.stem == s] == list(enumerate(own, 1))
+        assert {r.stem for r in rows if r.blank} == {"d"}
+    assert [(r.stem, r.blank) for r in transcripts.read_lines(spark, str(tmp_path / "t" / "c.jsonl")).collect()] == [("c", True)]
 
 
 def test_plugins_take_part(spark, tmp_path, capsys):
