@@ -82,17 +82,27 @@ def strategy(name: str) -> Callable[[DataFrame], DataFrame]:
     return STRATEGIES[name]
 
 
+def _by_part(spans: DataFrame, parts: DataFrame) -> DataFrame:
+    """(session_id, position, part, similarity) of every span to every intent of its session."""
+    both = spans.select("session_id", "position", "text").join(parts.select("session_id", "part", F.col("text").alias("goal")), "session_id")
+    return similar.between(both, F.col("text"), F.col("goal"), keys=("position", "part")).withColumn("part", F.col("part").cast("int"))
+
+
 def scores(spans: DataFrame, prompts: DataFrame, weight: float = 0.7) -> DataFrame:
     """(session_id, position, score, part): spans by the hierarchy of the session's prompts. Sessions of one prompt have
     its similarity as score, and no part."""
-    parts = hierarchy(prompts)
-    both = spans.select("session_id", "position", "text").join(parts.select("session_id", "part", F.col("text").alias("goal")), "session_id")
-    # A row for each span and intent: the pair's key carries the span's place and the part.
-    keyed = both.withColumn("pair_index", F.col("position") * 1_000_000 + F.col("part"))
-    s = similar.between(keyed, F.col("text"), F.col("goal")).select("session_id", F.floor(F.col("pair_index") / 1_000_000).cast("long").alias("position"), (F.col("pair_index") % 1_000_000).cast("int").alias("part"), "similarity")
+    s = _by_part(spans, hierarchy(prompts))
     return blended(s.where("part = 0"), s.where("part > 0"), weight)
 
 
+def similarity_by(name: str, spans: DataFrame, prompts: DataFrame) -> DataFrame:
+    """(session_id, position, similarity) to a session's intents by a strategy: to the hierarchy of its prompts, or to the
+    nearest of several."""
+    if name == "hierarchical":
+        return scores(spans, prompts).select("session_id", "position", F.col("score").alias("similarity"))
+    return _by_part(spans, strategy(name)(prompts)).groupBy("session_id", "position").agg(F.max("similarity").alias("similarity"))
+
+
 def blended(high: DataFrame, subs: DataFrame, weight: float = 0.7) -> DataFrame:
     """Span scores from the high intent's similarity and the best part's. Both: session_id, position, similarity; subs: part."""
     # Of equally similar parts the first; the high intent (no part) where it is more similar than any.

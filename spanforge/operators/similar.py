@@ -307,17 +307,17 @@ def alike_pairs(prompts: DataFrame, threshold: float, block: int = UNIT) -> Data
     return out.select("session_id", F.least("x_at", "y_at").alias("i"), F.greatest("x_at", "y_at").alias("j"), "similarity")
 
 
-def between(df: DataFrame, a: Column, b: Column, name: str = "similarity") -> DataFrame:
-    """(session_id, pair_index, name): of two texts of each row, 0 where one is missing."""
-    texts = df.select("session_id", F.col("pair_index").cast("long").alias("pair_index"), F.lower(a).alias("a"), F.lower(b).alias("b"))
+def between(df: DataFrame, a: Column, b: Column, name: str = "similarity", keys: tuple[str, ...] = ("pair_index",)) -> DataFrame:
+    """(session_id, keys, name): of two texts of each row, 0 where one is missing. The keys are whole numbers."""
+    texts = df.select("session_id", *(F.col(k).cast("long").alias(k) for k in keys), F.lower(a).alias("a"), F.lower(b).alias("b"))
 
     def work(it: Iterator[tuple], buckets: Buckets) -> Iterator[list[tuple]]:
         out = []
-        for session, at, x, y in it:
-            out.append((session, at, round(float(vector(x, buckets) @ vector(y, buckets)), 4) if x is not None and y is not None else 0.0))
+        for *key, x, y in it:
+            out.append((*key, round(float(vector(x, buckets) @ vector(y, buckets)), 4) if x is not None and y is not None else 0.0))
             if len(out) >= 1000:
                 yield out
                 out = []
         yield out
 
-    return _stream(texts, work, _schema(df, ("pair_index", T.LongType()), (name, T.DoubleType())))
+    return _stream(texts, work, _schema(df, *((k, T.LongType()) for k in keys), (name, T.DoubleType())))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import embeddings
 from spanforge.functions import text as T
-from spanforge.operators import economics, inputs, intents, patterns, similar, spans
+from spanforge.operators import economics, inputs, intents, patterns, quality, reasoning, similar, spans
 from spanforge.plugins import REGISTRY, Config, Registry
 from spanforge.sources import transcripts
 
@@ -101,14 +101,36 @@ def detect(found: DataFrame, labelled: DataFrame, blks: DataFrame, calls: DataFr
     )
 
 
-def transcripts_at(spark: SparkSession, path: str | list[str], config: Config = Config(), mode: str = "strict", registry: Registry = REGISTRY, dense: Dense | None = None) -> Analysis:
+def label_by(name: str, found: DataFrame, prompts: DataFrame, config: Config = Config()) -> DataFrame:
+    """Labelled spans, by similarities to the intents of a strategy."""
+    own = measured(found, intents_of(prompts)).drop("similarity")
+    return spans.label(found, own.join(intents.similarity_by(name, found, prompts), ["session_id", "position"], "left"), config.similarity, config.confidence)
+
+
+def quick_at(spark: SparkSession, path: str | list[str], config: Config = Config()) -> DataFrame:
+    """Results by the quick reading and the prompts' most frequent words, without vectors."""
+    prompts, found = transcripts.quick(transcripts.parse_entries(transcripts.read_lines(spark, path), "skip"))
+    labelled = reasoning.quick_labels(found, reasoning.keywords(prompts, "session_id"), config.similarity)
+    return spans.ter(labelled, weights=dict(zip(spans.PHASES, config.weights, strict=True))).withColumn("method", F.lit("quick"))
+
+
+def faults_at(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(files, lines): every file's numbers of lines, errors and warnings, and the lines that have any."""
+    raw = transcripts.read_lines(spark, path).select(F.col("file").alias("session_id"), "line_no", "raw")
+    checked = quality.lines(raw)
+    return quality.files(checked), checked.where((F.size("errors") > 0) | (F.size("warnings") > 0))
+
+
+def transcripts_at(spark: SparkSession, path: str | list[str], config: Config = Config(), mode: str = "strict", registry: Registry = REGISTRY, dense: Dense | None = None, strategy: str = "whole") -> Analysis:
+    if dense and strategy != "whole":
+        raise ValueError("embeddings go with the whole intent")
     msgs = transcripts.messages(transcripts.parse_entries(transcripts.read_lines(spark, path), mode))
     blks = transcripts.blocks(msgs)
     found = registry.before(transcripts.spans(blks))
     prompts = transcripts.prompts(blks)
     calls = transcripts.calls(blks)
     goals = intents_of(prompts)
-    labelled = label(found, goals, config, dense)
+    labelled = label(found, goals, config, dense) if strategy == "whole" else label_by(strategy, found, prompts, config)
     results = registry.after(spans.ter(labelled, weights=dict(zip(spans.PHASES, config.weights, strict=True))))
     wasted = detect(found, labelled, blks, calls, config, registry)
     used = economics.usage(msgs, config.model)

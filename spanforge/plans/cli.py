@@ -1,4 +1,4 @@
-"""Command line: analyze, report, compare, list, watch."""
+"""Command line: analyze, report, compare, list, watch, validate."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from spanforge import __version__
+from spanforge.operators.intents import STRATEGIES
 from spanforge.plans import analyze, report
 from spanforge.plugins import REGISTRY, Config, parse_cost_model, parse_weights
 from spanforge.sources import transcripts
@@ -22,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     one = sub.add_parser("analyze")
     one.add_argument("path")
     one.add_argument("--group", action="store_true")
+    one.add_argument("--quick", action="store_true", help="by keywords, tolerant of broken lines")
     rep = sub.add_parser("report")
     rep.add_argument("path")
     rep.add_argument("-o", "--output")
@@ -32,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
     ls = sub.add_parser("list")
     ls.add_argument("path")
     ls.add_argument("--limit", type=int, default=20)
+    val = sub.add_parser("validate")
+    val.add_argument("path")
     live_ = sub.add_parser("watch")
     live_.add_argument("path")
     live_.add_argument("--checkpoint", required=True)
@@ -45,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--confidence-threshold", type=float)
         x.add_argument("--restatement-threshold", type=float)
         x.add_argument("--prompt-similarity-threshold", type=float)
+        x.add_argument("--intent-strategy", choices=sorted(STRATEGIES), default="whole")
         x.add_argument("--phase-weights")
         x.add_argument("--cost-model")
         x.add_argument("--no-input-analysis", action="store_true")
@@ -57,7 +62,7 @@ def configured(args: argparse.Namespace) -> Config:
     """The configuration file's values, over them the command line's; plug-ins are loaded, those of installed packages and those that the file names."""
     config = Config.load(args.config)
     REGISTRY.discover()
-    REGISTRY.load({k.rstrip("s"): v for k, v in config.plugins.items()})
+    REGISTRY.load({k.rstrip("s"): [v] if isinstance(v, str) else v for k, v in config.plugins.items()})
     if isinstance(config.model, str):
         config = config.merge(model=parse_cost_model(config.model))
     return config.merge(
@@ -90,9 +95,17 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "watch":
             _watch(spark, args)
             return 0
+        if args.command == "validate":
+            files, lines = analyze.faults_at(spark, args.path)
+            found = files.orderBy("session_id").collect()
+            for r in found:
+                print(f"{r.session_id}: {r.valid_lines} of {r.lines} lines valid, {r.errors} errors, {r.warnings} warnings")
+            for r in lines.orderBy("session_id", "line_no").toLocalIterator():
+                print(f"  {r.session_id}:{r.line_no}: {'; '.join([*r.errors, *r.warnings])}")
+            return int(any(r.errors for r in found))
         config = configured(args)
         if args.command == "compare":
-            a = analyze.transcripts_at(spark, args.paths, config).persist()
+            a = analyze.transcripts_at(spark, args.paths, config, strategy=args.intent_strategy).persist()
             results = report.compared(a, args.sort, config)
             if args.baseline:
                 if len(results) != 2:
@@ -101,7 +114,11 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 print(report.rendered(results, config.format, True, sys.stdout.isatty()))
             return 0
-        a = analyze.transcripts_at(spark, args.path, config).persist()
+        if args.command == "analyze" and args.quick:
+            for r in analyze.quick_at(spark, args.path, config).orderBy("session_id").toLocalIterator():
+                print(json.dumps(r.asDict()))
+            return 0
+        a = analyze.transcripts_at(spark, args.path, config, strategy=args.intent_strategy).persist()
         if args.command == "analyze" and args.group:
             print(report.grouped_json(a, config) if config.format == "json" else report.grouped_text(a, config, sys.stdout.isatty()))
             return 0
@@ -116,7 +133,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             print(report.rendered(results, config.format, False, sys.stdout.isatty()))
         return 0
-    except (ValueError, TypeError, IndexError, FileNotFoundError, ImportError, PySparkException) as error:
+    except (ValueError, TypeError, KeyError, AttributeError, IndexError, FileNotFoundError, ImportError, PySparkException) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
 

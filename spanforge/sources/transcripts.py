@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from spanforge.functions import text as T
 from spanforge.streaming.tail import tail
@@ -229,14 +230,29 @@ class Snapshots:
         n = self._last(upto)
         return None if n < 0 else self.spark.read.parquet(f"{self.folder}/{n}")
 
-    def write(self, table: DataFrame, number: int | None = None) -> DataFrame:
+    def write(self, table: DataFrame, number: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
         """The table as the next one, or as the one with that number. The one before stays, those before that go."""
         n = self._last() + 1 if number is None else number
-        table.write.mode("overwrite").parquet(f"{self.folder}/{n}")
+        table.write.mode("overwrite").partitionBy(*by).parquet(f"{self.folder}/{n}")
+        return self._kept(n)
+
+    def _kept(self, n: int) -> DataFrame:
         while (old := self._last(n - 2)) >= 0:
             self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{old}"), True)
         return self.spark.read.parquet(f"{self.folder}/{n}")
 
+    def staged(self, table: DataFrame) -> DataFrame:
+        """The table, stored, but not yet the latest one."""
+        table.write.mode("overwrite").parquet(f"{self.folder}/staged")
+        return self.spark.read.parquet(f"{self.folder}/staged")
+
+    def commit(self) -> DataFrame:
+        """Make what is staged the latest table."""
+        n = self._last() + 1
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        self.files.rename(path(f"{self.folder}/staged"), path(f"{self.folder}/{n}"))
+        return self._kept(n)
+
 
 def poll_changes(spark: SparkSession, folder: str, snapshots: str) -> DataFrame:
     """(path, event): transcripts that are new or modified since the last call with the same snapshots."""
@@ -246,17 +262,32 @@ def poll_changes(spark: SparkSession, folder: str, snapshots: str) -> DataFrame:
     return changes(now.limit(0) if before is None else before, now)
 
 
+def tell_changes(spark: SparkSession, folder: str, snapshots: str, on_change: Callable[[dict], None], settle_seconds: float = 0.0) -> None:
+    """Call on_change with path and event of each transcript that is new or modified since the last call with the same
+    snapshots; the first call takes what is there as known. A file that changed less than settle_seconds ago is still being
+    written and waits. Changes count as told once all callbacks have returned."""
+    held = Snapshots(spark, snapshots)
+    before, found = held.read(), listing(spark, folder)
+    young = F.lit(settle_seconds > 0) & (F.unix_micros(F.current_timestamp()) - F.unix_micros("modificationTime") < int(settle_seconds * 1e6))
+    if before is not None:
+        settled = found.where(~young)
+        found = settled.unionByName(before.join(found.where(young).select("path"), "path", "left_semi"))
+    now = held.staged(found)
+    if before is not None:
+        for row in changes(before, now).orderBy("path").toLocalIterator():
+            on_change(row.asDict())
+    held.commit()
+
+
+def watch_changes(spark: SparkSession, folder: str, snapshots: str, on_change: Callable[[dict], None], interval: str = "30 seconds", settle_seconds: float = 2.0) -> StreamingQuery:
+    """tell_changes() at every interval, until the query is stopped; another one with the same snapshots goes on."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", "1").load()
+    each = lambda _, __: tell_changes(spark, folder, f"{snapshots}/listings", on_change, settle_seconds)
+    return clock.writeStream.foreachBatch(each).option("checkpointLocation", f"{snapshots}/clock").trigger(processingTime=interval).start()
+
+
 def poll_lines(spark: SparkSession, folder: str, checkpoint: str, each: Callable[[DataFrame], None]) -> None:
     """Give each() the lines (file, session, offset, raw) that transcripts have gained since the last call with the same
     checkpoint. Lines count as read once each() has returned; a last line without its line end waits for the next call."""
     stream = tail(spark, folder).writeStream.foreachBatch(lambda batch, _: each(batch)).option("checkpointLocation", checkpoint)
     stream.trigger(availableNow=True).start().awaitTermination()
-
-
-def append_history(results: DataFrame, path: str) -> None:
-    results.write.mode("append").parquet(path)
-
-
-def history(spark: SparkSession, path: str) -> DataFrame:
-    """What append_history() has stored, columns that came later included."""
-    return spark.read.option("mergeSchema", "true").parquet(path)

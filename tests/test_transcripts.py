@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 import os
 import time
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.plans import analyze, cli, report
 from spanforge.plugins import Config, Registry, parse_cost_model
-from spanforge.sources import transcripts
+from spanforge.sources import history, transcripts
 
 
 def entry(kind, content, uuid="u", request=None, usage=None, stop=None, session="s1", ts="2026-01-01T00:00:00Z"):
@@ -311,7 +312,103 @@ def test_file_hash(spark, tmp_path):
     assert transcripts.hashes(spark, path).first().sha256 == hashlib.sha256(open(path, "rb").read()).hexdigest()
 
 
-def test_history_is_appended(spark, tmp_path):
-    for i in range(2):
-        transcripts.append_history(spark.range(1).select(F.lit(i).alias("i"), *([F.lit(1).alias("more")] if i else [])), str(tmp_path / "h"))
-    assert sorted((r.i, r.more) for r in transcripts.history(spark, str(tmp_path / "h")).fillna(0).collect()) == [(0, 0), (1, 1)]
+def test_history_keeps_the_latest_version(spark, tmp_path):
+    path, at = str(tmp_path / "h"), lambda d: datetime.datetime(2026, 3, d)
+    assert history.history(spark, path).count() == 0
+    results = lambda *rows: spark.createDataFrame(rows, "session_id string, ter double, ts timestamp")
+    day = lambda m: datetime.datetime(2026, m, 3)
+    first = results(("a", 0.5, day(1)), ("b", 0.6, day(2)), (None, 0.1, None))
+    history.append(first, path, "001", at(1))
+    history.append(first, path, "001", at(1))  # the same run twice
+    history.append(results(("a", 0.9, day(1))), path, "other", at(1))
+    history.append(results(("a", 0.7, day(1))).withColumn("more", F.lit(1)), path, "001", at(2))
+    rows = lambda **k: sorted(((r.project, r.session_id, r.ter, r.more) for r in history.history(spark, path, **k).collect()), key=repr)
+    want = sorted([("001", "a", 0.7, 1), ("001", "b", 0.6, None), ("001", None, 0.1, None), ("other", "a", 0.9, None)], key=repr)
+    assert rows() == want
+    assert rows(project="001", since="2026-02") == [x for x in want if x[0] == "001" and x[1] != "a"]
+    plan = history.history(spark, path, "001")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(in_project" in plan
+    history.compact(spark, path)
+    assert history._files(spark, path) == [] and rows() == want
+    history.append(results(("b", 0.8, day(2))), path, "001", at(3))
+    history.append(results(("b", 0.2, day(2))), path, "001", at(1))  # late, and older
+    want[want.index(("001", "b", 0.6, None))] = ("001", "b", 0.8, None)
+    assert rows() == want
+    history.compact(spark, path)
+    history.compact(spark, path)
+    assert rows() == want
+
+
+def test_changes_are_told_once(spark, tmp_path):
+    folder, held, got = tmp_path / "t", str(tmp_path / "held"), []
+    write(folder / "a.jsonl", SESSION[:1])
+    tell = lambda settle=0.0: transcripts.tell_changes(spark, str(folder), held, lambda c: got.append((c["path"].rsplit("/", 1)[-1], c["event"])), settle)
+    tell()
+    tell()
+    assert got == []
+    write(folder / "b.jsonl", SESSION[:1])
+    os.utime(folder / "a.jsonl", (time.time() + 5, time.time() + 5))
+    tell(600.0)  # both may still be written
+    assert got == []
+
+    def fails(change):
+        raise RuntimeError("no one listens")
+
+    with pytest.raises(RuntimeError):
+        transcripts.tell_changes(spark, str(folder), held, fails)
+    tell()
+    assert sorted(got) == [("a.jsonl", "modified_session"), ("b.jsonl", "new_session")]
+    tell()
+    assert len(got) == 2
+    assert sorted(os.listdir(held))[-1] != "staged" and len(os.listdir(held)) == 2  # older listings are gone
+
+
+def test_watching_changes(spark, tmp_path):
+    folder, got = tmp_path / "t", []
+    write(folder / "a.jsonl", SESSION[:1])
+    query = transcripts.watch_changes(spark, str(folder), str(tmp_path / "held"), got.append, "1 second", 0.0)
+    try:
+        until = time.time() + 90
+        while not os.path.isdir(tmp_path / "held" / "listings" / "0") and time.time() < until:
+            time.sleep(0.5)
+        write(folder / "b.jsonl", SESSION[:1])
+        while not got and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert [(c["path"].rsplit("/", 1)[-1], c["event"]) for c in got] == [("b.jsonl", "new_session")]
+
+
+def test_strategies_quick_and_validate(spark, tmp_path, capsys):
+    lines = [entry("user", "fix the parser", "m1"), entry("assistant", [{"type": "text", "text": "the parser is fixed"}], "m2", "r1"), entry("user", "write documentation for the reader", "m3"), entry("assistant", [{"type": "text", "text": "documentation for the reader"}], "m4", "r2")]
+    path = write(tmp_path / "s.jsonl", lines)
+    near = {}
+    for name in ("whole", "sliding", "hierarchical"):
+        a = analyze.transcripts_at(spark, path, strategy=name)
+        near[name] = {r.text: r.similarity for r in a.labelled.collect()}
+    s = lambda x, y: round(float(brute(x) @ brute(y)), 4)
+    said, first, second = "documentation for the reader", "fix the parser", "write documentation for the reader"
+    assert near["hierarchical"][said] == pytest.approx(0.7 * s(said, second) + 0.3 * s(said, first), abs=1e-4)
+    assert near["sliding"][said] == pytest.approx(max(s(said, first), s(said, second)), abs=1e-4)
+    assert near["sliding"][said] > near["whole"][said]
+    write(tmp_path / "q.jsonl", [*lines, "{broken"])
+    assert cli.main(["analyze", "--quick", str(tmp_path / "q.jsonl")]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told["method"] == "quick" and told["session_id"] == "s1" and told["total_tokens"] > 0
+    assert cli.main(["analyze", str(tmp_path / "q.jsonl")]) == 1
+    assert cli.main(["validate", path]) == 0 and "4 of 4 lines valid" in capsys.readouterr().out
+    assert cli.main(["validate", str(tmp_path / "q.jsonl")]) == 1
+    out = capsys.readouterr().out
+    assert "4 of 5 lines valid" in out and ":5: invalid JSON" in out
+
+
+def brute(text):
+    import hashlib
+
+    import numpy as np
+
+    out, low = np.zeros(384), text.lower()
+    for i in range(len(low) - 2):
+        out[int(hashlib.md5(low[i : i + 3].encode()).hexdigest(), 16) % 384] += 1
+    return out / np.sqrt(out @ out)
+
