@@ -176,35 +176,34 @@ def _energy_bound(counts: np.ndarray, least: float) -> int:
 
 
 def _vectors(texts: DataFrame, least: float) -> DataFrame:
-    """(session_id, first, size, buckets, counts, own, needed): sparse vectors, and what bounds their products."""
+    """(session_id, block, first, buckets, counts, own, needed): sparse vectors, and what bounds their products."""
 
     def work(it: Iterator[tuple], buckets: Buckets) -> Iterator[list[tuple]]:
         out = []
-        for session, first, text in it:
+        for session, block, first, text in it:
             n = len(text) - 2
             found = np.bincount(np.fromiter((buckets[text[i : i + 3]] for i in range(n)), np.int64, n), minlength=DIMENSIONS) if n > 0 else np.eye(1, DIMENSIONS, dtype=np.int64)[0]
             where = np.flatnonzero(found)
             counts = found[where]
-            out.append((session, first, n, where.astype("<u2").tobytes(), counts.astype("<u4").tobytes(), len(where), _energy_bound(counts, least)))
+            out.append((session, block, first, where.astype("<u2").tobytes(), counts.astype("<u4").tobytes(), len(where), _energy_bound(counts, least)))
             if len(out) >= 1000:
                 yield out
                 out = []
         yield out
 
-    return _stream(texts, work, _schema(texts, ("first", T.LongType()), ("size", T.LongType()), ("buckets", T.BinaryType()), ("counts", T.BinaryType()), ("own", T.LongType()), ("needed", T.LongType())))
+    return _stream(texts.select("session_id", "block", "first", "text"), work, _schema(texts, ("block", T.LongType()), ("first", T.LongType()), ("buckets", T.BinaryType()), ("counts", T.BinaryType()), ("own", T.LongType()), ("needed", T.LongType())))
 
 
 def _units(texts: DataFrame, least: float, block: int) -> DataFrame:
     """Vectors as often as they are compared, by (session_id, a, b), two blocks of a session: at_b tells which of them a row is
-    in. A session's vectors are cut into blocks by their texts' lengths, and two blocks meet only where a vector of each has
-    enough dimensions for one of the other."""
-    vectors = _vectors(texts, least)
-    order = F.col("size") * (1 << 20) + F.pmod(F.xxhash64("first"), F.lit(1 << 20))
-    vectors = vectors.withColumn("order", order)
-    large = vectors.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("order", [i / QUANTILES for i in range(1, QUANTILES)], QUANTILES * 10).alias("q")).where(F.col("n") > block)
+    in. A session's texts are cut into blocks by their lengths, and two blocks meet only where a vector of each has enough
+    dimensions for one of the other."""
+    texts = texts.withColumn("order", F.length("text") * F.lit(1 << 20) + F.pmod(F.xxhash64("first"), F.lit(1 << 20)))
+    large = texts.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("order", [i / QUANTILES for i in range(1, QUANTILES)], QUANTILES * 10).alias("q")).where(F.col("n") > block)
     parts = F.least(F.ceil(F.col("n") / block), F.lit(QUANTILES))
     cuts = large.select("session_id", F.array_distinct(F.transform(F.sequence(F.lit(1), (parts - 1).cast("int")), lambda i: F.element_at("q", F.floor(i * QUANTILES / parts).cast("int")))).alias("cuts"))
-    blocks = vectors.join(cuts, "session_id", "left").withColumn("block", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("order"))), F.lit(0)).cast("long")).drop("cuts", "order", "size")
+    placed = texts.join(cuts, "session_id", "left").withColumn("block", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("order"))), F.lit(0)).cast("long"))
+    blocks = _vectors(placed, least)
     bounds = blocks.groupBy("session_id", "block").agg(F.max("own").alias("own"), F.min("needed").alias("needed"))
     other = bounds.select("session_id", F.col("block").alias("b"), F.col("own").alias("own_b"), F.col("needed").alias("needed_b"))
     met = bounds.withColumnRenamed("block", "a").join(other, "session_id").where("a <= b AND own >= needed_b AND own_b >= needed").select("session_id", "a", "b")
