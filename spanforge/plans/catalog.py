@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import text as T
 from spanforge.functions import vectors as V
 from spanforge.operators import economics, history, inputs, intents, patterns, quality, reasoning, similar, spans
-from spanforge.plans import analyze, views
+from spanforge.plans import analyze, assemble, views
 from spanforge.sources import transcripts
 from spanforge.streaming import live
 
@@ -335,6 +335,15 @@ def waste_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return economics.waste_breakdown(views.labelled_calls(spark, sf), patterns.duplicate_calls(views.calls(spark, sf)))
 
 
+@query(f"""WITH w AS ({ORACLES["waste_breakdown"]}), t AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id) AS total FROM w)
+SELECT session_id, sum(tokens)::BIGINT AS total_tokens, round(sum(cost_usd), 6) AS total_cost_usd, string_agg(source || ':' || tokens::VARCHAR || ':' || n::VARCHAR || ':' || round(round_even(tokens * 100 / total::DOUBLE, 1) * 10)::BIGINT::VARCHAR, ',' ORDER BY cost_usd DESC, source) AS sources FROM t GROUP BY session_id""")
+def waste_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The waste table of every session's report as one row: source, tokens, number and tenths of a percent."""
+    table = assemble.waste_table(waste_breakdown(spark, sf)).select("session_id", "waste_breakdown.*")
+    told = F.transform("sources", lambda x: F.concat_ws(":", x["source"], x["tokens"], x["n"], F.round(x["percentage"] * 10).cast("long")))
+    return table.select("session_id", "total_tokens", "total_cost_usd", F.concat_ws(",", told).alias("sources"))
+
+
 @query(f"""WITH {views.CALLS}, a AS (SELECT session_id, 'repetitive_read' AS pattern_type, file AS detail, sum(token_count) - arg_min(token_count, position) AS t FROM calls WHERE tool = 'view' GROUP BY session_id, file HAVING count(*) >= 3),
 e AS (SELECT *, lag(file) OVER (PARTITION BY session_id ORDER BY position) AS b FROM calls WHERE tool IN ('click', 'purchase')), i AS (SELECT *, {_ISLAND.format(change="b IS NULL OR b <> file")} AS island FROM e),
 f AS (SELECT session_id, 'edit_fragmentation' AS pattern_type, any_value(file) AS detail, sum(token_count) - arg_min(token_count, position) AS t FROM i GROUP BY session_id, island HAVING count(*) >= 3), u AS (SELECT * FROM a UNION ALL SELECT * FROM f)

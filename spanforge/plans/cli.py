@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Iterable
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
@@ -23,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     one = sub.add_parser("analyze")
     one.add_argument("path")
     one.add_argument("--group", action="store_true")
+    one.add_argument("-o", "--output", help="a new folder for reports of all sessions, written by tasks; format json, text or markdown")
     one.add_argument("--quick", action="store_true", help="by keywords, tolerant of broken lines")
     rep = sub.add_parser("report")
     rep.add_argument("path")
@@ -71,6 +73,11 @@ def configured(args: argparse.Namespace) -> Config:
     )
 
 
+def _print(pieces: Iterable[str]) -> None:
+    for x in pieces:
+        print(x)
+
+
 def _watch(spark: SparkSession, args: argparse.Namespace) -> None:
     from spanforge.streaming import live
 
@@ -108,11 +115,12 @@ def main(argv: list[str] | None = None) -> int:
             a = analyze.transcripts_at(spark, args.paths, config, strategy=args.intent_strategy).persist()
             results = report.compared(a, args.sort, config)
             if args.baseline:
-                if len(results) != 2:
+                two = results.take(3)
+                if len(two) != 2:
                     raise ValueError("--baseline takes two sessions")
-                print(report.baseline_markdown(*sorted(results, key=lambda r: r["session_id"])))
+                print(report.baseline_markdown(*map(report.as_dict, sorted(two, key=lambda r: r.session_id))))
             else:
-                print(report.rendered(results, config.format, True, sys.stdout.isatty()))
+                _print(report.printed(a, results, config.format, True, sys.stdout.isatty()))
             return 0
         if args.command == "analyze" and args.quick:
             for r in analyze.quick_at(spark, args.path, config).orderBy("session_id").toLocalIterator():
@@ -120,18 +128,21 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         a = analyze.transcripts_at(spark, args.path, config, strategy=args.intent_strategy).persist()
         if args.command == "analyze" and args.group:
-            print(report.grouped_json(a, config) if config.format == "json" else report.grouped_text(a, config, sys.stdout.isatty()))
+            _print(report.json_lines(report.groups(a, config)) if config.format == "json" else report.grouped_lines(a, config, sys.stdout.isatty()))
+            return 0
+        if args.command == "analyze" and args.output:
+            report.write(a, args.output, config.format, config, not args.no_input_analysis)
             return 0
-        results = report.collect(a, config, not args.no_input_analysis)
+        results = report.told(a, config, not args.no_input_analysis).orderBy("session_id")
         if args.command == "report":
-            text = report.as_markdown(results[0])
+            text = report.as_markdown(report.as_dict(results.take(1)[0]))
             if args.output:
                 with open(args.output, "w") as f:
                     f.write(text)
             else:
                 print(text)
         else:
-            print(report.rendered(results, config.format, False, sys.stdout.isatty()))
+            _print(report.printed(a, results, config.format, False, sys.stdout.isatty()))
         return 0
     except (ValueError, TypeError, KeyError, AttributeError, IndexError, FileNotFoundError, ImportError, PySparkException) as error:
         print(f"error: {error}", file=sys.stderr)

@@ -1,77 +1,67 @@
-"""Rendering of collected results: JSON, text and Markdown. Inputs are rows of a few sessions, already aggregated."""
+"""Rendering of reports: JSON, text and Markdown. What is put together and summed up is Spark's (plans/assemble.py); here
+reports become text, by tasks where they are written, one after the other where they are printed."""
 
 from __future__ import annotations
 
 import json
-from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
-from spanforge.operators import history, patterns, spans
-from spanforge.plans.analyze import Analysis, groups, input_analysis, parents
+from spanforge.operators import history, spans
+from spanforge.plans import assemble
+from spanforge.plans.analyze import Analysis
 from spanforge.plugins import REGISTRY, Config, Registry
 
-#: Patterns that a report lists; pairs and exchanges whose texts are shown, and how much of them.
-MOST_PATTERNS, MOST_PAIRS, SHOWN = 6, 5, 40
+#: Patterns that a report in Markdown lists; pairs and exchanges that are shown.
+MOST_PATTERNS, MOST_PAIRS = assemble.MOST_PATTERNS, 5
 COLOURS = {"green": "\x1b[32m", "yellow": "\x1b[33m", "red": "\x1b[31m"}
 
 
-def _by_session(df: DataFrame) -> dict[Any, list[dict[str, Any]]]:
-    out: dict[Any, list[dict[str, Any]]] = defaultdict(list)
-    for r in df.collect():
-        out[r.session_id].append({k: v for k, v in r.asDict(recursive=True).items() if k != "session_id"})
-    return out
+def as_dict(report: dict[str, Any] | Row) -> dict[str, Any]:
+    """A report as a dict, without the parts that its session lacks."""
+    own = report.asDict(recursive=True) if isinstance(report, Row) else report
+    return {k: v for k, v in own.items() if v is not None or k not in assemble.PARTS}
 
 
-def collect(a: Analysis, config: Config = Config(), with_inputs: bool = True) -> list[dict[str, Any]]:
-    """One dict for each session, by session. What several parts read is computed once."""
+def told(a: Analysis, config: Config = Config(), with_inputs: bool = True, most: int | None = None) -> DataFrame:
+    """Reports; what several parts read is computed once."""
     if not a.labelled.is_cached:
         a.persist()
-    confidence = a.intents.select("session_id", F.col("confidence").alias("intent_confidence"))
-    rows = {r.session_id: r.asDict() for r in a.results.join(confidence, "session_id", "left").orderBy("session_id").collect()}
-    for r in rows.values():
-        r["phase_scores"] = {p: r[f"{p}_score"] for p in spans.PHASES}
-    for s, (own,) in _by_session(a.economics).items():
-        if s in rows:
-            rows[s]["economics"] = own
-    for s, found in _by_session(patterns.top(a.patterns, MOST_PATTERNS).orderBy("session_id", "rank")).items():
-        if s in rows:
-            rows[s]["waste_patterns"] = [{k: v for k, v in x.items() if k != "rank"} for x in found]
-    for s, (own,) in _by_session(patterns.explanations(a.labelled, a.patterns)).items():
-        if s in rows:
-            rows[s]["waste_summary"] = own | {"by_category": {}, "by_phase": {}}
-    for s, found in _by_session(patterns.waste_by(a.labelled)).items():
-        for x in found:
-            rows[s]["waste_summary"][f"by_{x['dimension']}"][x["name"]] = x["tokens"]
-    for s, found in _by_session(a.breakdown.orderBy("session_id", F.desc("cost_usd"), "source")).items():
-        if s in rows:
-            total = sum(x["tokens"] for x in found)
-            sources = [x | {"percentage": round(x["tokens"] * 100 / total, 1) if total else 0.0} for x in found]
-            rows[s]["waste_breakdown"] = {"sources": sources, "total_tokens": total, "total_cost_usd": round(sum(x["cost_usd"] for x in found), 6)}
+    return assemble.reports(a, config, with_inputs, most)
+
+
+def each(reports: DataFrame) -> Iterator[dict[str, Any]]:
+    """Reports in their order, a partition at a time."""
+    return map(as_dict, reports.toLocalIterator())
+
+
+def collect(a: Analysis, config: Config = Config(), with_inputs: bool = True) -> list[dict[str, Any]]:
+    """One dict for each session, by session; for a few sessions."""
+    return list(each(told(a, config, with_inputs).orderBy("session_id")))
+
+
+def write(a: Analysis, path: str, form: str = "json", config: Config = Config(), with_inputs: bool = True, registry: Registry = REGISTRY) -> None:
+    """Under path: sessions (a report each, in order of sessions, as JSON lines, or as text of a form), totals, and all
+    similar pairs, drift steps and exchanges, of which a report has the first ones. Nothing passes through the driver."""
+    if form not in ("json", "text", "markdown") and not registry.formatter(form):
+        raise ValueError(f"no output format {form!r}")
+    reports = told(a, config, with_inputs, MOST_PAIRS)
+    ordered = reports.orderBy("session_id")
+    if form == "json":
+        ordered.write.json(f"{path}/sessions")
+    else:
+        lines = lambda batches: (pd.DataFrame({"value": [rendered([as_dict(json.loads(x))], form, registry=registry) for x in b["x"]]}) for b in batches)
+        ordered.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("x")).mapInPandas(lines, "value string").write.text(f"{path}/sessions")
+    assemble.totals(assemble.brief(a)).write.json(f"{path}/totals")
     if with_inputs:
-        for s, own in _inputs(a, config).items():
-            if s in rows:
-                rows[s]["input_analysis"] = own
-    return list(rows.values())
-
-
-def _inputs(a: Analysis, config: Config) -> dict[Any, dict[str, Any]]:
-    found = input_analysis(a, config)
-    texts = a.prompts.select("session_id", "prompt_index", F.substring("text", 1, SHOWN).alias("text"))
-    near = found["similar"].join(texts.withColumnsRenamed({"prompt_index": "i", "text": "text_i"}), ["session_id", "i"]).join(texts.withColumnsRenamed({"prompt_index": "j", "text": "text_j"}), ["session_id", "j"])
-    out: dict[Any, dict[str, Any]] = defaultdict(dict)
-    for name, df in (("token_breakdown", found["breakdown"]), ("prompt_similarity", found["redundancy"]), ("intent_drift", found["trajectory"]), ("prompt_response_alignment", found["alignment"])):
-        for s, (own,) in _by_session(df).items():
-            out[s][name] = own
-    exchanges = found["exchanges"].select("session_id", "pair_index", F.substring("prompt", 1, SHOWN).alias("prompt"), "similarity")
-    lists = (("prompt_similarity", "similar_pairs", near.orderBy("session_id", F.desc("similarity"), "i", "j")), ("intent_drift", "drift_steps", found["drift"].orderBy("session_id", "prompt_index")), ("prompt_response_alignment", "exchanges", exchanges.orderBy("session_id", "pair_index")))
-    for name, key, df in lists:
-        for s, own in _by_session(df).items():
-            out[s].setdefault(name, {})[key] = own
-    return out
+        for name, (rows, order) in assemble.details(a, config).items():
+            rows.repartition("session_id", *(c for c in ("i", "prompt_index", "pair_index") if c in rows.columns)).sortWithinPartitions("session_id", *order).write.json(f"{path}/{name}")
 
 
 def waste_usd(r: dict) -> float:
@@ -123,7 +113,7 @@ def _input_lines(r: dict) -> list[str]:
         out += [f"    user tokens: {b['user_prompt'] + b['user_tool_result']:,} (prompts {b['user_prompt']:,}, tool results {b['user_tool_result']:,}), {b['user_ratio']:.1%} of all", f"    model tokens: reasoning {b['model_reasoning']:,}, tools {b['model_tool']:,}, text {b['model_generation']:,}"]
     if (p := i.get("prompt_similarity")) and p.get("prompts", 0) >= 2:
         near = p.get("similar_pairs", [])
-        out.append(f"    prompt redundancy: {p['redundancy']:.0%} of {p['prompts']} prompts, {len(near)} alike")
+        out.append(f"    prompt redundancy: {p['redundancy']:.0%} of {p['prompts']} prompts, {p.get('n_similar', len(near))} alike")
         out += [f"      #{x['i'] + 1} \"{x['text_i']}\" ~ #{x['j'] + 1} \"{x['text_j']}\" ({x['similarity']:.2f})" for x in near[:MOST_PAIRS]]
     if (d := i.get("intent_drift")) and d.get("steps"):
         out.append(f"    intent: {d['trajectory']}, average similarity {d['avg_similarity']:.2f}")
@@ -155,11 +145,15 @@ def as_text(results: list[dict], colour: bool = False) -> str:
             lines.append(f"  {s['explanation']}")
         lines += _input_lines(r)
     if len(results) > 1:
-        t = totals(results)
-        lines.append(f"Average TER {t['average_ter']:.2f}, waste {t['waste_tokens']:,} tokens, cost ${t['total_cost_usd']:.4f}, of it waste ${t['total_waste_cost_usd']:.4f}")
+        lines.append(_sums_line(totals(results)))
     return "\n".join(lines)
 
 
+def _sums_line(t: dict, comparison: bool = False) -> str:
+    waste = "" if comparison else f"waste {t['waste_tokens']:,} tokens, "
+    return f"Average TER {t['average_ter']:.2f}, {waste}cost ${t['total_cost_usd']:.4f}, of it waste ${t['total_waste_cost_usd']:.4f}"
+
+
 def _table(results: list[dict], roles: list[str], colour: bool) -> list[str]:
     out = [f"  {'':<10}{'session':<13}{'TER':>6}{'waste %':>9}{'tokens':>12}{'cost':>10}{'waste $':>10}{'patterns':>10}"]
     for role, r in zip(roles, results, strict=True):
@@ -170,8 +164,7 @@ def _table(results: list[dict], roles: list[str], colour: bool) -> list[str]:
 
 
 def comparison_text(results: list[dict], colour: bool = False) -> str:
-    t = totals(results)
-    return "\n".join([*_table(results, [str(i) for i in range(1, len(results) + 1)], colour), f"Average TER {t['average_ter']:.2f}, cost ${t['total_cost_usd']:.4f}, of it waste ${t['total_waste_cost_usd']:.4f}"])
+    return "\n".join([*_table(results, [str(i) for i in range(1, len(results) + 1)], colour), _sums_line(totals(results), True)])
 
 
 def as_markdown(r: dict) -> str:
@@ -206,41 +199,77 @@ def baseline_markdown(before: dict, after: dict) -> str:
     return "\n".join(out) + "\n"
 
 
+def groups(a: Analysis, config: Config = Config()) -> Iterator[dict[str, Any]]:
+    """Each group, one after the other: its measures, its parent and its agents."""
+    sums, members = assemble.grouped(a, told(a, config, with_inputs=False))
+    measures = F.struct(F.col("group_id").alias("parent_session_id"), *(c for c in sums.columns if c != "group_id"))
+    rows = members.join(sums.select("group_id", measures.alias("group")), "group_id").orderBy("group_id", F.desc("is_parent"), "session_id")
+    for _, own in groupby(each(rows), lambda r: r["group_id"]):
+        found = [(r.pop("group"), r.pop("is_parent"), {k: v for k, v in r.items() if k != "group_id"}) for r in own]
+        yield {"group": found[0][0], "parent": next((r for _, first, r in found if first), None), "subagents": [r for _, first, r in found if not first]}
+
+
 def grouped(a: Analysis, config: Config = Config()) -> list[dict[str, Any]]:
-    """Each group: its measures, its parent and its agents."""
-    every = {r["session_id"]: r for r in collect(a, config, with_inputs=False)}
-    members: dict[str, list[str]] = defaultdict(list)
-    for r in parents(a).orderBy("session_id").collect():
-        members[r.group_id].append(r.session_id)
-    out = []
-    for g in groups(a).orderBy("group_id").collect():
-        agents = [s for s in members[g.group_id] if s != g.group_id and s in every]
-        own = [every[s] for s in ([g.group_id] if g.group_id in every else []) + agents]
-        summed = totals(own)
-        group = {"parent_session_id": g.group_id, "subagent_count": len(agents), "weighted_ter": g.group_ter} | {k: v for k, v in summed.items() if k != "average_ter"}
-        out.append({"group": group, "parent": every.get(g.group_id), "subagents": [every[s] for s in agents]})
-    return out
+    return list(groups(a, config))
 
 
 def grouped_json(a: Analysis, config: Config = Config()) -> str:
-    out = grouped(a, config)
-    return json.dumps(out[0] if len(out) == 1 else out, indent=2, default=str)
+    return "\n".join(json_lines(groups(a, config)))
 
 
-def grouped_text(a: Analysis, config: Config = Config(), colour: bool = False) -> str:
-    lines = []
-    for g in grouped(a, config):
+def grouped_lines(a: Analysis, config: Config = Config(), colour: bool = False) -> Iterator[str]:
+    for g in groups(a, config):
         x = g["group"]
         own = ([g["parent"]] if g["parent"] else []) + g["subagents"]
-        lines += [f"Group {_short(x['parent_session_id'])}: TER {_ter(x['weighted_ter'], colour)}, waste {x['waste_percent']:.1f} %, cost ${x['total_cost_usd']:.4f}, of it waste ${x['total_waste_cost_usd']:.4f}, tokens {x['total_tokens']:,}, agents {x['subagent_count']}"]
-        lines += _table(own, (["parent"] if g["parent"] else []) + ["agent"] * len(g["subagents"]), colour)
-    return "\n".join(lines)
+        yield f"Group {_short(x['parent_session_id'])}: TER {_ter(x['weighted_ter'], colour)}, waste {x['waste_percent']:.1f} %, cost ${x['total_cost_usd']:.4f}, of it waste ${x['total_waste_cost_usd']:.4f}, tokens {x['total_tokens']:,}, agents {x['subagent_count']}"
+        yield from _table(own, (["parent"] if g["parent"] else []) + ["agent"] * len(g["subagents"]), colour)
+
+
+def grouped_text(a: Analysis, config: Config = Config(), colour: bool = False) -> str:
+    return "\n".join(grouped_lines(a, config, colour))
+
+
+def json_lines(items: Iterator[dict]) -> Iterator[str]:
+    """Pieces of one JSON text, the item itself if there is only one, else a list."""
+    pending, n = None, 0
+    for x in items:
+        if pending is not None:
+            yield ("[\n" if n == 1 else "") + pending + ","
+        pending, n = json.dumps(x, indent=2, default=str), n + 1
+    yield "[]" if pending is None else pending + ("\n]" if n > 1 else "")
+
+
+def printed(a: Analysis, reports: DataFrame, form: str, comparison: bool = False, colour: bool = False, registry: Registry = REGISTRY) -> Iterator[str]:
+    """What rendered() gives, in pieces: sessions come a partition at a time, sums from Spark."""
+    if registry.formatter(form):
+        yield rendered(list(each(reports)), form, comparison, colour, registry)
+        return
+    if form not in ("json", "text", "rich"):
+        raise ValueError(f"no output format {form!r}")
+    colour = colour or form == "rich"
+    if form == "json" and not comparison:
+        yield from json_lines(each(reports))
+        return
+    sums = lambda: assemble.totals(assemble.brief(a)).first().asDict()
+    n = 0
+    if form == "json":
+        yield '{"sessions": ['
+    for n, r in enumerate(each(reports), 1):
+        if form == "json":
+            yield ("," if n > 1 else "") + json.dumps(r, indent=2, default=str)
+        elif comparison:
+            yield from _table([r], [str(n)], colour)[n > 1 :]
+        else:
+            yield as_text([r], colour)
+    if form == "json":
+        yield "], " + json.dumps({k: v for k, v in sums().items() if k != "sessions"}, indent=2)[1:]
+    elif comparison or n > 1:
+        yield _sums_line(sums(), comparison)
 
 
-def compared(a: Analysis, by: str, config: Config = Config()) -> list[dict]:
-    order = [r.session_id for r in history.compare(a.results, by).select("session_id").collect()]
-    every = {r["session_id"]: r for r in collect(a, config, with_inputs=False)}
-    return [every[s] for s in order]
+def compared(a: Analysis, by: str, config: Config = Config()) -> DataFrame:
+    """Reports in the order of a comparison."""
+    return history.compare(told(a, config, with_inputs=False), by)
 
 
 def rendered(results: list[dict], form: str, comparison: bool = False, colour: bool = False, registry: Registry = REGISTRY) -> str:
@@ -249,6 +278,8 @@ def rendered(results: list[dict], form: str, comparison: bool = False, colour: b
         return own.format_comparison(results) if comparison else "\n".join(own.format_result(r) for r in results)
     if form == "json":
         return as_json(results, comparison)
+    if form == "markdown":
+        return "\n".join(map(as_markdown, results))
     if form not in ("text", "rich"):
         raise ValueError(f"no output format {form!r}")
     colour = colour or form == "rich"

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import glob
 import json
 import os
 import time
@@ -299,6 +300,28 @@ def test_reports_and_command_line(spark, tmp_path, capsys):
     assert "Input:" in text and "Phases:" in text and "Context grew" in text and report.as_text([one], True).count("\x1b[") > 3
 
 
+def test_reports_are_written_by_tasks(spark, tmp_path):
+    write(tmp_path / "in" / "s1.jsonl", SESSION)
+    write(tmp_path / "in" / "s2.jsonl", [entry("user", text, session="s2") for text in ["please mend the parser"] * 5] + [entry("assistant", "fine", "x", "y", {"output_tokens": 4}, session="s2")])
+    a = analyze.transcripts_at(spark, str(tmp_path / "in")).persist()
+    want = report.collect(a)
+    read = lambda form, name: [x for p in sorted(glob.glob(str(tmp_path / form / name / "part-*"))) for x in open(p).read().splitlines()]
+    for form in ("json", "text"):
+        report.write(a, str(tmp_path / form), form, with_inputs=form == "json")
+    got = [json.loads(x) for x in read("json", "sessions")]
+    assert [(x["session_id"], x["total_tokens"]) for x in got] == [(x["session_id"], x["total_tokens"]) for x in want]
+    whole, shown = want[1]["input_analysis"]["prompt_similarity"], got[1]["input_analysis"]["prompt_similarity"]
+    assert (whole["n_similar"], len(whole["similar_pairs"])) == (10, 10) and (shown["n_similar"], shown["similar_pairs"]) == (10, whole["similar_pairs"][: report.MOST_PAIRS])
+    pairs = [json.loads(x) for x in read("json", "similar_pairs")]
+    assert sorted((x["i"], x["j"]) for x in pairs if x["session_id"] == "s2") == [(i, j) for i in range(5) for j in range(i + 1, 5)]
+    (sums,) = [json.loads(x) for x in read("json", "totals")]
+    assert {k: sums[k] for k in report.totals(want)} == report.totals(want) and sums["sessions"] == 2
+    # The written text is that of the command line, but for the sums, which are of their own.
+    plain = [{k: v for k, v in x.items() if k != "input_analysis"} for x in want]
+    assert read("text", "sessions") == report.as_text(plain[:1]).splitlines() + report.as_text(plain[1:]).splitlines()
+    assert "\n".join(report.printed(a, report.told(a, with_inputs=False).orderBy("session_id"), "text")) == report.as_text(plain)
+
+
 def test_snapshot_changes(spark):
     t = lambda rows: spark.createDataFrame(rows, "path string, modificationTime long")
     got = {r.path: r.event for r in transcripts.changes(t([("a", 1), ("b", 1)]), t([("a", 2), ("b", 1), ("c", 1)])).collect()}
