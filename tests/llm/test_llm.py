@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import time
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -485,6 +486,53 @@ def test_markov_recall_and_ordinary_tokens(spark, stored):
     assert sum(found[j] > 0 for j, x in enumerate(rows) if x[1] == 0) == 0
 
 
+def test_secret_spans_equal_brute_force(spark, stored, empty):
+    """All spans, base and Markov, against a naive scan with the same model."""
+    r = random.Random(15)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    parts = ["password=", "secret: ", "ordinary_long_word_here", "translate-everything", "é😀", " ", "\n", "=", "AKIA" + "B" * 14, "0123456789abcdef" * 2, ", "]
+    rows = [(i, "".join(r.choice(parts) if r.random() < 0.6 else "".join(r.choices(letters, k=r.randint(5, 40))) for _ in range(r.choice((0, 3, 9, 400)))), "en", "a", 0) for i in range(120)] + AWKWARD
+    docs = stored(rows, DOCS)
+    table, bounds = secrets.train(secrets.labelled_strings(docs.limit(20), strings=500))
+    at = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+    want, some = Counter(), 0
+    for i, t, *_ in rows:
+        t = t or ""
+        base = [(m.start(), m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m[2]) >= 8] + [(m.start(), m.end()) for p in (secrets.ACCESS, secrets.HEX) for m in re.finditer(p, t)]
+        out = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", t):
+            mean = sum(table[at[a] * secrets.STATES + at[b]] for a, b in zip(m[0], m[0][1:], strict=False)) / (len(m[0]) - 1)
+            if mean > bounds[sum(len(m[0]) >= x for x in secrets.LENGTHS[1:])] and not any(a < m.end() and m.start() < b for a, b in base):
+                out.append((m.start(), m.end()))
+        want[i, tuple(out)] += 1
+        some += len(out)
+    assert some > 150
+    assert Counter((x.doc_id, tuple(map(tuple, x.markov))) for x in secrets.scan(docs, (table, bounds)).collect()) == want
+    assert secrets.scan(empty, (table, bounds)).count() == 0
+
+
+def test_secret_bounds_with_secrets_in_the_sample(spark, stored):
+    """Some random words in the ordinary documents don't move the bounds far."""
+    r = random.Random(16)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    clean = [(i, "an ordinary sentence with longer-than-usual words and understandable-remarks in it") for i in range(300)]
+    dirty = clean + [(1000 + i, "see " + "".join(r.choices("abcdefghijklmnopqrstuvwxyz" if i % 2 else letters, k=24))) for i in range(4)]
+    plain, mixed = (secrets.train(secrets.labelled_strings(stored(x, "doc_id long, text string", 1), strings=3000))[1] for x in (clean, dirty))
+    assert max(abs(a - b) for a, b in zip(plain, mixed, strict=True)) < 0.1
+
+
+def test_secrets_of_a_text_with_many_tokens(spark):
+    """100,000 long tokens in one text, a third of them assigned: time grows with their number, not its square."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(100000)), lambda i: F.concat(F.when(i % 3 == 0, "password=").otherwise(""), F.substring(F.sha2(i.cast("string"), 256), 1, 31)))
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    model = secrets.train(secrets.labelled_strings(docs.limit(0), strings=500))
+    start = time.monotonic()
+    got = secrets.scan(docs, model).select(F.size("assign").alias("a"), F.size("markov").alias("m"), F.element_at("assign", -1).alias("last")).first()
+    assert time.monotonic() - start < 60
+    assert got.a == 33333 and got.m > 60000
+    assert (got.last.start, got.last.end) == (99998 * 32 + 33332 * 9, 99998 * 32 + 33332 * 9 + 40)
+
+
 # 4 and 2
 
 
