@@ -11,10 +11,13 @@ SPACE = r"(?U)\s+"
 
 # Word lists, cues and patterns that define the measures.
 STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should shall may might can must need "
-    "and but or nor not no if then else for of in on at to from by with this that these those it its my your his her our their "
-    "what which who whom how when where why all each every any some such than too very just also only so up out about into over after before"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "could", "should", "shall", "may", "might", "can", "must", "need", "and", "but", "or", "nor", "not", "no", "if",
+    "then", "else", "for", "of", "in", "on", "at", "to", "from", "by", "with", "this", "that", "these", "those", "it", "its",
+    "my", "your", "his", "her", "our", "their", "what", "which", "who", "whom", "how", "when", "where", "why", "all", "each",
+    "every", "any", "some", "such", "than", "too", "very", "just", "also", "only", "so", "up", "out", "about", "into", "over",
+    "after", "before",
+)
 PERMISSION_WORDS = ("permission denied", "not allowed", "access denied", "eacces", "unauthorized")
 ERROR_WORDS = ("error", "failed", "exception", "traceback")
 ERROR_MARKERS = ("File does not exist", "command not found", "No such file or directory", "Permission denied", "File has not been read yet")

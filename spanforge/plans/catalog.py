@@ -424,6 +424,14 @@ def reasoning_phases(spark: SparkSession, sf: str) -> DataFrame:
     return views.turns(spark, sf).select("session_id", "position", T.reasoning_phase(F.col("text")).alias("reasoning_phase"), T.hits(F.col("text"), T.HIGH_VALUE).alias("high_value"))
 
 
+@query(_NOVEL + f""", x AS (SELECT t.session_id, t.position, coalesce(novelty, 0.0) AS novelty, least(1.0::DOUBLE, {_FILL} / greatest(1, len(regexp_extract_all(text, '[.!?]')))::DOUBLE) AS filler, {hits("text", T.HIGH_VALUE)} AS high_value FROM turns t LEFT JOIN n USING (session_id, position))
+SELECT session_id, position, round(filler, 6) AS filler_ratio, round(novelty * (1 + 0.2::DOUBLE * high_value) * (1 - 0.5::DOUBLE * filler), 6) AS marginal_value, round(sum(novelty) OVER (PARTITION BY session_id ORDER BY position ROWS UNBOUNDED PRECEDING), 6) AS cumulative_novelty FROM x""")
+def marginal_values(spark: SparkSession, sf: str) -> DataFrame:
+    """What each span adds: new trigrams, more for valuable words and less for filler; and the sum of novelty so far."""
+    parts = reasoning.segments(views.turns(spark, sf))
+    return parts.select("session_id", "position", F.round("filler", 6).alias("filler_ratio"), *(F.round(c, 6).alias(c) for c in ("marginal_value", "cumulative_novelty")))
+
+
 _ROUND4 = lambda x: f"round(round({x}, 9)::DECIMAL(18, 9), 4)::DOUBLE"
 
 
