@@ -146,6 +146,19 @@ def runs_of_three(parts: Column, between: str = "") -> Column:
     return F.zip_with(F.zip_with(F.slice(parts, 1, n), F.slice(parts, 2, n), join), F.slice(parts, 3, n), join)
 
 
+def code_points(text: Column) -> Column:
+    """A text's code points, in time that grows with its length."""
+    return F.when(text != "", F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))).otherwise(F.expr("cast(array() AS array<bigint>)"))
+
+
+def trigram_codes(codes: Column) -> Column:
+    """The trigrams of code points, a number each, of 21 bits a code point, so that equal numbers are equal trigrams."""
+    n = F.size(codes) - 2
+    join = lambda a, b: a * (1 << 21) + b
+    three = F.zip_with(F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), join), F.slice(codes, 3, n), join)
+    return F.when(n > 0, three).otherwise(F.expr("cast(array() AS array<bigint>)"))
+
+
 def trigrams(text: Column) -> Column:
     return F.when(F.length(text) >= 3, runs_of_three(F.split(text, ""))).otherwise(F.array().cast("array<string>"))
 

@@ -13,12 +13,13 @@ WINDOW, NOVELTY, LEAST_SPANS = 5, 0.15, 3
 
 def novelty(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """Share of a span's distinct trigrams that its previous non-empty spans don't have; texts under three characters have none."""
-    grams = texts.withColumn("grams", F.array_distinct(T.trigrams(F.lower(F.col("text")))))
-    full = grams.where(F.size("grams") > 0)
-    before = W.partitionBy("session_id").orderBy("position").rowsBetween(-window, -1)
-    seen = full.withColumn("seen", F.flatten(F.collect_list("grams").over(before)))
-    scored = seen.select("session_id", "position", (F.size(F.array_except("grams", "seen")) / F.size("grams")).alias("novelty"))
-    return texts.join(scored, ["session_id", "position"], "left").withColumn("novelty", F.coalesce("novelty", F.lit(0.0)))
+    coded = texts.withColumn("codes", T.code_points(F.lower(F.col("text"))))
+    grams = coded.withColumn("grams", F.array_distinct(T.trigram_codes(F.col("codes")))).drop("codes")
+    # Spans without trigrams are no one's previous spans.
+    before = W.partitionBy("session_id", F.size("grams") > 0).orderBy("position").rowsBetween(-window, -1)
+    seen = grams.withColumn("seen", F.flatten(F.collect_list("grams").over(before)))
+    share = F.size(F.array_except("grams", "seen")) / F.size("grams")
+    return seen.withColumn("novelty", F.when(F.size("grams") > 0, share).otherwise(0.0)).drop("grams", "seen")
 
 
 def segments(texts: DataFrame, window: int = WINDOW) -> DataFrame:

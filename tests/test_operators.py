@@ -166,6 +166,21 @@ def test_sliding_segments_restart(spark):
     assert got == want
 
 
+def test_novelty_equals_brute_force(spark):
+    """Emoji, accents, short, empty and null texts; empty spans are skipped as previous ones."""
+    texts = ["the quick brown fox", "the quick red fox 😀😀😀", "", "ab", None, "ÜNÏCÖDÉ über alles", "the quick brown fox", "über 😀😀😀 fox", "zz", "something else", "THE QUICK BROWN FOX", "more of it"]
+    rows = [(s, i, t) for s in (1, 2) for i, t in enumerate(texts[::s])]
+    got = {(r.session_id, r.position): r.novelty for r in reasoning.novelty(spark.createDataFrame(rows, "session_id long, position long, text string")).collect()}
+    for s in (1, 2):
+        before = []
+        for _, i, t in (r for r in rows if r[0] == s):
+            low = (t or "").lower()
+            own = {low[k : k + 3] for k in range(len(low) - 2)}
+            want = len(own - set().union(*before[-5:])) / len(own) if own else 0.0
+            assert abs(got[s, i] - want) < 1e-12, (s, i)
+            before += [own] if own else []
+
+
 def test_overthinking(spark):
     texts = ["a completely new thought about parsing", "another idea on tokens and trees", "another idea on tokens and trees", "another idea on tokens and trees", "another idea on tokens and trees"]
     df = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "session_id string, position long, text string")
