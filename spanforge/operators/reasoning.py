@@ -62,7 +62,7 @@ def density(docs: DataFrame, key: str) -> DataFrame:
 def keywords(prompts: DataFrame, key: str, most: int = 30) -> DataFrame:
     """Each key's most frequent words of three letters or more, without stop words; ties by the word."""
     plain = F.regexp_replace(F.lower(F.col("text")), "[-_]", " ")
-    words = prompts.select(key, F.explode(T.words(plain)).alias("word")).where((F.length("word") >= 3) & ~F.col("word").isin(T.STOP_WORDS))
+    words = prompts.select(key, F.explode(T.words(plain)).alias("word")).where((F.length("word") >= 3) & ~F.col("word").isin(*T.STOP_WORDS))
     counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "word"))).where(F.col("rank") <= most)
 

@@ -451,3 +451,12 @@ def test_drift_of_values_equals_the_window(spark):
     rows = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "session_id string, msg_seq long, ter double")
     got = [(x.drift, x.direction) for x in live.drift(rows).orderBy("msg_seq").collect()]
     assert got == [(pytest.approx(live.drift_of(values[: i + 1])[0], abs=2e-6), live.drift_of(values[: i + 1])[1]) for i in range(14)]
+
+
+def test_keywords_without_stop_words(spark):
+    prompts = spark.createDataFrame([("s", 0, "The parser and the re-parser"), ("s", 1, "fix the parser for it"), ("t", 0, "to the")], "session_id string, prompt_index long, text string")
+    found = reasoning.keywords(prompts, "session_id")
+    assert {(r.session_id, r.word, r.n, r["rank"]) for r in found.collect()} == {("s", "parser", 3, 1), ("s", "fix", 1, 2)}
+    spoken = spark.createDataFrame([("s", 0, "the parser works"), ("s", 1, "something else"), ("t", 0, "anything")], "session_id string, position long, text string")
+    told = reasoning.quick_labels(spoken, found, threshold=0.5).collect()
+    assert {(r.session_id, r.position): r.aligned for r in told} == {("s", 0): True, ("s", 1): False, ("t", 0): True}
