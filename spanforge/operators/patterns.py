@@ -155,7 +155,8 @@ def explanations(labelled: DataFrame, found: DataFrame) -> DataFrame:
     category = waste_by(labelled).where("dimension = 'category'").groupBy("session_id").agg(F.min(F.struct((-F.col("tokens")).alias("t"), "name")).alias("c")).select("session_id", F.col("c.name").alias("category"), (-F.col("c.t")).alias("category_tokens"))
     dearest = top(found, 1).select("session_id", F.col("pattern_type").alias("pattern"), F.col("tokens_wasted").alias("pattern_tokens"))
     out = totals.join(category, "session_id", "left").join(dearest, "session_id", "left")
-    share = F.format_number(F.col("waste_tokens") * 100 / F.greatest(F.col("total_tokens"), F.lit(1)), 1)
+    # format_number() rounds what a double is exactly, so 32.45 by its error in binary; as decimals halves go to even.
+    share = F.format_number(F.bround(F.col("waste_tokens") * 100 / F.greatest(F.col("total_tokens"), F.lit(1)), 1), 1)
     n = lambda c: F.format_number(F.col(c), 0)
     text = F.concat_ws(" ", F.concat(n("waste_tokens"), F.lit(" of "), n("total_tokens"), F.lit(" tokens ("), share, F.lit(" %) are waste.")), F.concat(F.lit("Most of it is "), F.translate("category", "_", " "), F.lit(" ("), n("category_tokens"), F.lit(").")), F.concat(F.lit("The dearest pattern is "), F.translate("pattern", "_", " "), F.lit(" ("), n("pattern_tokens"), F.lit(").")))
     text = F.when(F.col("total_tokens") == 0, "There are no tokens.").when(F.col("waste_tokens") == 0, "No token is waste.").otherwise(text)

@@ -460,3 +460,12 @@ def test_keywords_without_stop_words(spark):
     spoken = spark.createDataFrame([("s", 0, "the parser works"), ("s", 1, "something else"), ("t", 0, "anything")], "session_id string, position long, text string")
     told = reasoning.quick_labels(spoken, found, threshold=0.5).collect()
     assert {(r.session_id, r.position): r.aligned for r in told} == {("s", 0): True, ("s", 1): False, ("t", 0): True}
+
+
+def test_explained_shares_round_half_to_even(spark):
+    wasted = {"a": (1298, 4000, "32.4"), "b": (1302, 4000, "32.6"), "c": (161, 2000, "8.0"), "d": (163, 2000, "8.2"), "e": (1, 3, "33.3")}
+    rows = [(s, i, n, i == 1, "over_explanation", "generation") for s, (w, of, _) in wasted.items() for i, n in enumerate((w, of - w))]
+    spans_ = spark.createDataFrame(rows, "session_id string, position long, token_count long, aligned boolean, label string, phase string")
+    none = spark.createDataFrame([], "session_id string, pattern_type string, start_position long, detail string, tokens_wasted long")
+    told = {r.session_id: r.explanation for r in patterns.explanations(spans_, none).collect()}
+    assert {s: told[s].split("(")[1].split(" %")[0] for s in wasted} == {s: share for s, (_, _, share) in wasted.items()}
