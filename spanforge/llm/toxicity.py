@@ -14,10 +14,10 @@ of its passages of ``PASSAGES`` words and over the whole; the highest ratio of e
 passage, evidence for either class counts in full. A logistic curve, fitted on labelled documents that the models have
 not seen, makes a score of it.
 
-The models are fitted on at most ``sample_rows`` labelled documents of either class with at most ``sample_chars``
-characters (equal texts once), whole texts, and on no held-out row; n-grams are counted by Spark, and only what exceeds
-the least discount reaches the driver. Scoring reads every word of every text. Words and n-grams are named by 64-bit
-hashes. Defined results: null and empty texts and texts without letters get the curve's value at zero evidence; repeated
+The models are fitted on all labelled documents, whole texts, but on no held-out row: ``FITTED_SHARE`` of the texts are
+counted, and discount and curve are chosen on the others (equal texts are on one side). N-grams are counted by Spark, and
+only what exceeds the least discount reaches the driver; the curve's Newton steps add up sums that tasks make. Scoring
+reads every word of every text. Words and n-grams are named by 64-bit hashes. Defined results: null and empty texts and texts without letters get the curve's value at zero evidence; repeated
 rows and ties get equal scores; with labels of one class only, every score is that class's share; without labels every
 score is 0; columns of any name pass through; an empty table gives an empty result.
 """
@@ -25,7 +25,8 @@ score is 0; columns of any name pass through; an empty table gives an empty resu
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,11 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import documents, held_out, table, through_python
+from spanforge.llm.common import cut, documents, held_out, removed, shared_checkpoints, table, through_python
 from spanforge.llm.hashing import U, Table, mix
-from spanforge.llm.labelled import sample, with_texts
+from spanforge.llm.labelled import labelled_texts
 
-SAMPLE_ROWS, SAMPLE_CHARS, FITTED_SHARE, ORDER, THRESHOLD = 6000, 1 << 26, 0.75, 2, 0.5
+FITTED_SHARE, ORDER, THRESHOLD = 0.75, 2, 0.5
 #: Discounts to choose from; the first one bounds what is collected.
 DISCOUNTS = (2.0, 4.0, 8.0, 16.0)
 #: Words of a passage; whole documents are compared too.
@@ -190,36 +191,64 @@ def evidence(texts: list[str], models: Models) -> np.ndarray:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (the last one is the constant) on standardised columns, with their means and scales; classes weigh alike."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    each = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    w = np.zeros(z.shape[1])
-    for _ in range(rounds):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (each * (p - y)) + ridge * w
-        hessian = (z * (each * p * (1 - p))[:, None]).T @ z + (ridge + 1e-9) * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w, mean, scale
-
+def _summed(rows: DataFrame, sums: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """What sums gives for all rows' labels and evidence, as it is for none: an array for each partition reaches the driver."""
 
-def curve_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the evidence, with the constant last, and the mean loss, classes weighing alike."""
-    w, mean, scale = logistic(x, y)
-    slopes = w[:-1] / scale
-    weights = np.r_[slopes, w[-1] - slopes @ mean]
-    p = 1 / (1 + np.exp(-np.clip(x @ slopes + weights[-1], -30, 30)))
-    return weights, float(-(np.log(np.maximum(p[y == 1], 1e-12)).mean() + np.log(np.maximum(1 - p[y == 0], 1e-12)).mean()))
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in it:
+            if batch.num_rows:
+                y = batch.column(0).to_numpy().astype(float)
+                total += sums(y, batch.column(1).flatten().to_numpy().reshape(len(y), -1))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    parts = [np.frombuffer(r.sums) for r in through_python(rows.select("label", "evidence"), batches, "sums binary").collect()]
+    return np.sum(parts, axis=0) if parts else np.zeros(size)
+
+
+def curves_of(rows: DataFrame, models: int, ridge: float = 1e-2, rounds: int = 60) -> tuple[list[tuple[np.ndarray, float]], tuple[float, float]]:
+    """For each of the models a logistic curve: weights of its evidence, with the constant last, and the mean loss, classes
+    weighing alike; and how many rows either label has. rows: label, evidence (of all models, one after the other). Without
+    both labels there are no curves."""
+    k = len(PASSAGES) + 1
+    width = models * k
+    first = _summed(rows, lambda y, x: np.r_[(y == 0).sum(), (y == 1).sum(), x.sum(0)], 2 + width)
+    sizes = first[:2]
+    if not sizes.all():
+        return [], (sizes[0], sizes[1])
+    mean = first[2:] / sizes.sum()
+    scale = np.sqrt(_summed(rows, lambda y, x: ((x - mean) ** 2).sum(0), width) / sizes.sum()) + 1e-9
+    each = 0.5 * sizes.sum() / sizes
+    weights = np.zeros((models, k + 1))
+    part = (k + 1) + (k + 1) ** 2 + 1
+
+    def sums(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        z = ((x - mean) / scale).reshape(len(y), models, k)
+        out = []
+        for m, w in enumerate(weights):
+            zm = np.c_[z[:, m], np.ones(len(y))]
+            p = 1 / (1 + np.exp(-np.clip(zm @ w, -30, 30)))
+            by = np.where(y == 1, each[1], each[0])
+            loss = -np.log(np.maximum(np.where(y == 1, p, 1 - p), 1e-12)) / np.where(y == 1, sizes[1], sizes[0])
+            out += [zm.T @ (by * (p - y)), ((zm * (by * p * (1 - p))[:, None]).T @ zm).ravel(), [loss.sum()]]
+        return np.concatenate(out)
+
+    for _ in range(rounds):  # Newton steps, of all models at once
+        found = _summed(rows, sums, models * part).reshape(models, part)
+        losses = found[:, -1]
+        steps = [np.linalg.solve(f[k + 1 : -1].reshape(k + 1, k + 1) + (ridge + 1e-9) * np.eye(k + 1), f[: k + 1] + ridge * w) for f, w in zip(found, weights, strict=True)]
+        if np.abs(steps).max() < 1e-6:
+            break
+        weights = weights - steps
+    slopes = weights[:, :-1] / scale.reshape(models, k)
+    constants = weights[:, -1] - (slopes * mean.reshape(models, k)).sum(1)
+    return [(np.r_[s_, c], float(loss)) for s_, c, loss in zip(slopes, constants, losses, strict=True)], (sizes[0], sizes[1])
 
 
 def _columns(df: DataFrame) -> dict[str, np.ndarray]:
     """A bounded table's columns of numbers; hashes (w1, w2, ...) as unsigned ones."""
-    rows = df.collect()
-    return {c: np.array([r[i] for r in rows], np.int64).view(U if c[0] == "w" else np.int64) for i, c in enumerate(df.columns)}
+    rows = df.toArrow()
+    return {c: rows.column(c).to_numpy().astype(np.int64).view(U if c[0] == "w" else np.int64) for c in df.columns}
 
 
 def count(texts: DataFrame, order: int = ORDER, least: float = DISCOUNTS[0]) -> Counts:
@@ -236,6 +265,8 @@ def count(texts: DataFrame, order: int = ORDER, least: float = DISCOUNTS[0]) ->
             toxic = np.repeat(batch.column(1).to_numpy(zero_copy_only=False) == 1, np.diff(of))
             _, first, which = np.unique(gram_of(back), return_index=True, return_inverse=True)
             seen = [np.bincount(which, x, len(first)) > 0 for x in (toxic, ~toxic)]
+            near = np.lexsort([x[first] for x in back[::-1]])  # rows of equal last words lie together and take less room
+            first, seen = first[near], [x[near] for x in seen]
             yield pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in back), *map(pa.array, seen)], [*names, "toxic", "ordinary"])
 
     rows = through_python(texts.select("text", "label"), batches, ", ".join([*(f"{n} long" for n in names), "toxic boolean, ordinary boolean"]))
@@ -294,33 +325,25 @@ def _score(weights: np.ndarray) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def _bounded(texts: DataFrame, most: int) -> DataFrame:
-    """Rows in the order of u, of either label, until their characters exceed most; their sizes are a bounded table."""
-    upto, ends = {0: 0, 1: 0}, {0: 2.0, 1: 2.0}
-    for label, u, size in sorted(tuple(r) for r in texts.select("label", "u", F.length("text")).collect()):
-        upto[label] += size
-        if upto[label] > most:
-            ends[label] = min(ends[label], u)
-    return texts.where(F.col("u") < F.when(F.col("label") == 1, ends[1]).otherwise(ends[0]))
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, seed: int = 11) -> tuple[Models, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 11) -> tuple[Models, np.ndarray]:
     """The models, and the curve's weights with its constant last. docs: doc_id, text."""
-    drawn = with_texts(docs, sample(labels, label, sample_rows, seed)).persist()
+    spark = docs.sparkSession
+    shared_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/labelled-{uuid.uuid4().hex}"
+    # Texts are written once, so that both passes have the same ones.
+    labelled_texts(docs, labels, label, seed).write.option("compression", "zstd").parquet(path)
     try:
-        texts = _bounded(drawn, sample_chars)
+        texts = spark.read.parquet(path)
         counts = count(texts.where(F.col("u") < FITTED_SHARE))
         several = [fit(counts, d) for d in DISCOUNTS]
-        seen = _evidence(texts.where(F.col("u") >= FITTED_SHARE).select("text", "label"), several).collect()
-        shares = texts.agg(F.avg("label")).first()[0]
+        del counts
+        seen = cut(_evidence(texts.where(F.col("u") >= FITTED_SHARE).select("text", "label"), several))
+        curves, (ordinary, toxic) = curves_of(seen, len(several))
+        if not curves:
+            share = (1.0 if toxic else 0.0) if ordinary or toxic else texts.agg(F.avg("label")).first()[0] or 0.0
+            return several[0], np.r_[np.zeros(len(PASSAGES) + 1), 30.0 * (2 * share - 1)]
     finally:
-        drawn.unpersist()
-    y, k = np.array([r.label for r in seen], float), len(PASSAGES) + 1
-    if not len(y) or y.min() == y.max():
-        share = float(y[0]) if len(y) else shares or 0.0
-        return several[0], np.r_[np.zeros(k), 30.0 * (2 * share - 1)]
-    x = np.array([r.evidence for r in seen], float).reshape(len(y), len(several), k)
-    curves = [curve_of(x[:, i], y) for i in range(len(several))]
+        removed(spark, path)
     best = min(range(len(several)), key=lambda i: curves[i][1])
     return several[best], curves[best][0]
 

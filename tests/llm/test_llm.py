@@ -949,3 +949,16 @@ def test_pipeline_leaves_its_last_rows_only(spark):
     assert got.count() > 0
     left = glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/corpus-pipeline-*/*")
     assert [p.rsplit("/", 1)[-1] for p in left] == ["4-retrieval_packing"]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, stored, monkeypatch):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {'plain' if i % 9 else 'vile'} text") for i in range(9500)]
+    docs = stored(rows, "doc_id long, text string")
+    labels = stored([(i, 0 if i % 9 else 1) for i, _ in rows], "doc_id long, toxic int")
+    used, count, evidence = [], toxicity.count, toxicity._evidence
+    monkeypatch.setattr(toxicity, "count", lambda texts, *more: used.append(texts.count()) or count(texts, *more))
+    monkeypatch.setattr(toxicity, "_evidence", lambda rows, *more: used.append(rows.count()) or evidence(rows, *more))
+    models, curve = toxicity.train(docs, labels)
+    assert len(used) == 2 and sum(used) == sum(not held(i) for i, _ in rows)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, models, curve).collect()}
+    assert all((got[i] >= 0.5) == (i % 9 == 0) for i, _ in rows)
