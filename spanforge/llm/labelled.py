@@ -13,14 +13,14 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _known(labels: DataFrame, column: str, id_col: str) -> DataFrame:
+def known_labels(labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, label) of all ids that are not held out."""
     return labels.where(F.col(id_col).isNotNull() & F.col(column).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(column).alias("label"))
 
 
 def sample(labels: DataFrame, column: str, most: int, seed: int, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, label, u): about ``most`` rows of either label at most, none of them held out; u orders them at random."""
-    known = _known(labels, column, id_col)
+    known = known_labels(labels, column, id_col)
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().where("label IN (0, 1)").collect()}
     drawn = known.withColumn("u", draw(F.col("doc_id"), seed))
     share = F.when(F.col("label") == 1, F.lit(most / max(counts.get(1, 0), 1))).otherwise(F.lit(most / max(counts.get(0, 0), 1)))
@@ -34,9 +34,7 @@ def with_texts(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_
     return rows.groupBy(F.sha2("text", 256)).agg(F.min(F.struct("__id", "label", "u", "text")).alias("row")).select("row.text", "row.label", "row.u")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, seed: int) -> DataFrame:
-    """(text, label, u) of all rows of docs (doc_id, text) with a label 0 or 1 that are not held out; u, from 0 to 1, is fixed
-    for each text."""
-    known = _known(labels, column, "doc_id").where("label IN (0, 1)")
+def labelled_texts(docs: DataFrame, known: DataFrame, seed: int) -> DataFrame:
+    """(text, label, u) of all rows of docs (doc_id, text) that have a label in known; u, from 0 to 1, is fixed for each text."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
     return rows.select("text", "label", draw(F.col("text"), seed).alias("u"))

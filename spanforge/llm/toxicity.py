@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from spanforge.llm.common import cut, documents, held_out, removed, shared_checkpoints, table, through_python
 from spanforge.llm.hashing import U, Table, mix
-from spanforge.llm.labelled import labelled_texts
+from spanforge.llm.labelled import known_labels, labelled_texts
 
 FITTED_SHARE, ORDER, THRESHOLD = 0.75, 2, 0.5
 #: Discounts to choose from; the first one bounds what is collected.
@@ -47,6 +47,10 @@ DISCOUNTS = (2.0, 4.0, 8.0, 16.0)
 PASSAGES = (1, 4, 16)
 #: Characters that are worked on at once, if no single text is longer.
 BLOCK = 1 << 19
+#: The same where grams are counted: equal ones of a block move once.
+COUNTED = 1 << 22
+#: Tables up to so many rows of two numbers are broadcast.
+SMALL_ROWS = 1 << 20
 _BEGIN = U(0x2545F4914F6CDD1D)
 
 
@@ -90,13 +94,13 @@ def grams(word: np.ndarray, of: np.ndarray, order: int) -> tuple[list[np.ndarray
     return found, contexts
 
 
-def _blocks(it: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of batches with their texts, about BLOCK characters each."""
+def _blocks(it: Iterator[pa.RecordBatch], text_at: int, most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of batches with their texts, about most characters each."""
     for batch in it:
         texts = [t or "" for t in batch.column(text_at).to_pylist()]
         begin = size = 0
         for i, t in enumerate(texts):
-            if i > begin and size + len(t) > BLOCK:
+            if i > begin and size + len(t) > most:
                 yield batch.slice(begin, i - begin), texts[begin:i]
                 begin, size = i, 0
             size += len(t)
@@ -256,12 +260,13 @@ def count(texts: DataFrame, order: int = ORDER, least: float = DISCOUNTS[0]) ->
     names = [f"w{i}" for i in range(1, order + 2)]  # a gram's words, from the last one
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, part in _blocks(it, 0):
+        for batch, part in _blocks(it, 0, COUNTED):
             word, of = words(part)
             nth = np.arange(len(word)) - np.repeat(of[:-1], np.diff(of))
             back = [word]
             for n in range(1, order + 1):
                 back.append(np.where(nth < n, _BEGIN, np.roll(back[-1], 1)))
+            back[-1] = back[-1] & U(0xFFFFFFFF)  # these are only told apart, gram by gram
             toxic = np.repeat(batch.column(1).to_numpy(zero_copy_only=False) == 1, np.diff(of))
             _, first, which = np.unique(gram_of(back), return_index=True, return_inverse=True)
             seen = [np.bincount(which, x, len(first)) > 0 for x in (toxic, ~toxic)]
@@ -270,10 +275,11 @@ def count(texts: DataFrame, order: int = ORDER, least: float = DISCOUNTS[0]) ->
             yield pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in back), *map(pa.array, seen)], [*names, "toxic", "ordinary"])
 
     rows = through_python(texts.select("text", "label"), batches, ", ".join([*(f"{n} long" for n in names), "toxic boolean, ordinary boolean"]))
-    # Rows move once: a partition has all grams that end in the same words.
-    kinds = rows.repartition(*(F.col(n) for n in names[:order])).groupBy(*names).agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
+    # Rows move once: a partition has all grams that end in the same words, and many that end in the same word.
+    rows = rows.withColumn("part", F.pmod(names[order - 1], F.lit(8)).cast("int"))
+    kinds = rows.repartition("w1", "part").groupBy(*names, "part").agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
     numbers = [F.sum(F.col(c).cast("long")).alias(c) for c in ("toxic", "ordinary")]
-    levels = [kinds.groupBy(*names[:order]).agg(*numbers).persist()]
+    levels = [kinds.groupBy(*names[:order], "part").agg(*numbers).drop("part").persist()]
     for n in range(order - 1, 0, -1):
         levels.insert(0, levels[0].groupBy(*names[:n]).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary"))).persist())
     try:
@@ -327,13 +333,16 @@ def _score(weights: np.ndarray) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 11) -> tuple[Models, np.ndarray]:
     """The models, and the curve's weights with its constant last. docs: doc_id, text."""
-    spark = docs.sparkSession
-    shared_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/labelled-{uuid.uuid4().hex}"
-    # Texts are written once, so that both passes have the same ones.
-    labelled_texts(docs, labels, label, seed).write.option("compression", "zstd").parquet(path)
-    try:
+    spark, path = docs.sparkSession, None
+    known = cut(known_labels(labels, label).where("label IN (0, 1)"))
+    if known.count() <= SMALL_ROWS:
+        texts = labelled_texts(docs, F.broadcast(known), seed)
+    else:  # texts move to their labels, once for both passes
+        shared_checkpoints(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/labelled-{uuid.uuid4().hex}"
+        labelled_texts(docs, known, seed).write.option("compression", "zstd").parquet(path)
         texts = spark.read.parquet(path)
+    try:
         counts = count(texts.where(F.col("u") < FITTED_SHARE))
         several = [fit(counts, d) for d in DISCOUNTS]
         del counts
@@ -343,7 +352,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
             share = (1.0 if toxic else 0.0) if ordinary or toxic else texts.agg(F.avg("label")).first()[0] or 0.0
             return several[0], np.r_[np.zeros(len(PASSAGES) + 1), 30.0 * (2 * share - 1)]
     finally:
-        removed(spark, path)
+        if path is not None:
+            removed(spark, path)
     best = min(range(len(several)), key=lambda i: curves[i][1])
     return several[best], curves[best][0]
 
