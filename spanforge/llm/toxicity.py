@@ -255,6 +255,58 @@ def _columns(df: DataFrame) -> dict[str, np.ndarray]:
     return {c: rows.column(c).to_numpy().astype(np.int64).view(U if c[0] == "w" else np.int64) for c in df.columns}
 
 
+def _distinct(back: list[np.ndarray], toxic: np.ndarray, ordinary: np.ndarray) -> list[np.ndarray]:
+    """Different grams, by their last words, and whether each label has them."""
+    by = np.lexsort(back[::-1])
+    back = [x[by] for x in back]
+    first = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in back], axis=0)])
+    return [*(x[first] for x in back), *(np.logical_or.reduceat(x[by], first) for x in (toxic, ordinary))]
+
+
+def _pieces(found: list[np.ndarray], order: int, buckets: int) -> pa.RecordBatch:
+    """(bucket, piece): of each column of words but the last one, where a value begins and the values; 32 bits of the last
+    one; the labels as bits."""
+    bucket = (mix(found[0] + (found[order - 1] & U(7))) % U(buckets)).astype(np.int32)
+    by = np.argsort(bucket, kind="stable")
+    found, bucket = [x[by] for x in found], bucket[by]
+    bounds = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
+    pieces = []
+    for a, b in zip(bounds, [*bounds[1:], len(bucket)], strict=True):
+        out = [np.array([b - a], np.int32)]
+        for x in found[:order]:
+            new = np.r_[True, x[a + 1 : b] != x[a : b - 1]]
+            out += [np.packbits(new), x[a:b][new]]
+        out += [found[order][a:b].astype(np.uint32), *(np.packbits(x[a:b]) for x in found[order + 1 :])]
+        pieces.append(b"".join(x.tobytes() for x in out))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[bounds]), pa.array(pieces, pa.binary())], ["bucket", "piece"])
+
+
+def _unpacked(piece: bytes, order: int) -> list[np.ndarray]:
+    """The columns of a piece."""
+    n, at, out = int(np.frombuffer(piece, np.int32, 1)[0]), 4, []
+
+    def take(kind: type, count: int) -> np.ndarray:
+        nonlocal at
+        x = np.frombuffer(piece, kind, count, at)
+        at += x.nbytes
+        return x
+
+    bits = lambda: np.unpackbits(take(np.uint8, (n + 7) // 8), count=n).astype(bool)
+    for _ in range(order):
+        new = bits()
+        out.append(take(U, int(new.sum()))[np.cumsum(new) - 1])
+    return [*out, take(np.uint32, n).astype(U), bits(), bits()]
+
+
+def _kinds(held: list[list[np.ndarray]], order: int) -> pa.RecordBatch:
+    """A bucket's grams without the first word: words from the last one, and how many words each label has before them."""
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+    found = _distinct(columns[: order + 1], *columns[order + 1 :])
+    first = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in found[:order]], axis=0)])
+    counts = [np.add.reduceat(x.astype(np.int64), first) for x in found[order + 1 :]]
+    return pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in found[:order]), *map(pa.array, counts)], [*(f"w{i}" for i in range(1, order + 1)), "toxic", "ordinary"])
+
+
 def count(texts: DataFrame, order: int = ORDER, least: float = DISCOUNTS[0]) -> Counts:
     """texts: (text, label)."""
     names = [f"w{i}" for i in range(1, order + 2)]  # a gram's words, from the last one
@@ -268,18 +320,26 @@ def count(texts: DataFrame, order: int = ORDER, least: float = DISCOUNTS[0]) ->
                 back.append(np.where(nth < n, _BEGIN, np.roll(back[-1], 1)))
             back[-1] = back[-1] & U(0xFFFFFFFF)  # these are only told apart, gram by gram
             toxic = np.repeat(batch.column(1).to_numpy(zero_copy_only=False) == 1, np.diff(of))
-            _, first, which = np.unique(gram_of(back), return_index=True, return_inverse=True)
-            seen = [np.bincount(which, x, len(first)) > 0 for x in (toxic, ~toxic)]
-            near = np.lexsort([x[first] for x in back[::-1]])  # rows of equal last words lie together and take less room
-            first, seen = first[near], [x[near] for x in seen]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in back), *map(pa.array, seen)], [*names, "toxic", "ordinary"])
-
-    rows = through_python(texts.select("text", "label"), batches, ", ".join([*(f"{n} long" for n in names), "toxic boolean, ordinary boolean"]))
-    # Rows move once: a partition has all grams that end in the same words, and many that end in the same word.
-    rows = rows.withColumn("part", F.pmod(names[order - 1], F.lit(8)).cast("int"))
-    kinds = rows.repartition("w1", "part").groupBy(*names, "part").agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
-    numbers = [F.sum(F.col(c).cast("long")).alias(c) for c in ("toxic", "ordinary")]
-    levels = [kinds.groupBy(*names[:order], "part").agg(*numbers).drop("part").persist()]
+            if len(word):
+                yield _pieces(_distinct(back, toxic, ~toxic), order, buckets)
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in it:
+            for bucket, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and bucket != now:
+                    yield _kinds(held, order)
+                    held = []
+                now = bucket
+                held.append(_unpacked(piece.as_py(), order))
+        if held:
+            yield _kinds(held, order)
+
+    buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Grams move once, packed: a bucket has all that end in the same words, and no more of one word than it must.
+    rows = through_python(texts.select("text", "label"), batches, "bucket int, piece binary").repartition("bucket").sortWithinPartitions("bucket")
+    kinds = through_python(rows, counted, ", ".join(f"{n} long" for n in (*names[:order], "toxic", "ordinary")))
+    levels = [kinds.persist()]
     for n in range(order - 1, 0, -1):
         levels.insert(0, levels[0].groupBy(*names[:n]).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary"))).persist())
     try:
