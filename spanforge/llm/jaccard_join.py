@@ -9,7 +9,9 @@ it shares as many as the smaller m of the two asks.
 
 First each kind is compared with one leader, the most promising of the least members of its shingles' groups. That ties
 families together with as many pairs as members, and it gives each kind's delta: the shingles that it adds to its
-leader's or lacks. Deltas are then counted from the family's centre, the shingles that most of its members have. Members
+leader's or lacks. Where a leader has one itself, the two deltas make that of the higher one, so that a family has one
+leader, whichever its members chose. Deltas are then counted from the family's centre, the shingles that most of its
+members have; a kind that is far from it is a family of its own, not one that is only far from an odd leader. Members
 with small deltas are similar whatever these are, so their links are counted by weights, without naming pairs; others must
 share deltas, and among the rarer ones at that, so only those pairs are candidates, and their deltas decide. Between
 families, all pairs that share enough prefix shingles are. No link is lost by this, and a family of near copies is never
@@ -46,8 +48,9 @@ from spanforge.llm.hashing import BASE, U, mix
 
 SHINGLE, SIMILARITY = 5, (80, 100)
 MOST_MATCHES, VERIFY_COST = 4, 20
-#: A kind follows its leader if it differs from it by at most this share of the leader's shingles.
-FOLLOWS = 0.6
+#: A kind is gathered under a leader if it differs from it by at most this share of the leader's shingles, and then follows
+#: the family if it differs from its centre by at most that share of the centre's.
+GATHERED, FOLLOWS = 1.0, 0.6
 #: The sketch's counters; it has this size whatever the input. Parts of it travel together.
 SKETCH_BITS, CHUNK = 22, 1 << 16
 MAX_BITS, BITS_PER_KEY = 1 << 29, 16
@@ -395,17 +398,58 @@ def verified(rows: DataFrame, pairs: DataFrame, k: int, salt: int, similarity: t
 
 
 def deltas(rows: DataFrame, star: DataFrame, k: int, salt: int, similarity: tuple[int, int]) -> DataFrame:
-    """Of kinds (a) and their leaders (b): (a, b, linked, follows, n, delta). n: the leader's shingles; delta: what the kind
+    """Of kinds (a) and their leaders (b): (a, b, linked, gathered, n, delta). n: the leader's shingles; delta: what the kind
     adds to them (even numbers) and lacks of them (odd ones)."""
 
     def compare(x: np.ndarray, y: np.ndarray) -> tuple | None:
         added, lacked = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
-        follows = len(added) + len(lacked) <= FOLLOWS * len(y)
-        delta = np.concatenate([added & ~U(1), lacked | U(1)]) if follows else added[:0]
+        near = len(added) + len(lacked) <= GATHERED * len(y)
+        delta = np.concatenate([added & ~U(1), lacked | U(1)]) if near else added[:0]
         common = len(x) - len(added)
-        return similarity[1] * common >= similarity[0] * (len(x) + len(y) - common), follows, len(y), delta.tobytes()
+        return similarity[1] * common >= similarity[0] * (len(x) + len(y) - common), near, len(y), delta.tobytes()
 
-    return compared(rows, star, k, salt, compare, "linked boolean, follows boolean, n long, delta binary")
+    return compared(rows, star, k, salt, compare, "linked boolean, gathered boolean, n long, delta binary")
+
+
+def _composed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The delta from the higher leader, of one from a leader and that leader's own: what both name is neither's."""
+    both = np.concatenate([x, y])
+    order = np.argsort(both | U(1))
+    both = both[order]
+    same = (both[1:] | U(1)) == (both[:-1] | U(1))
+    return both[~(np.r_[same, False] | np.r_[False, same])[: len(both)]]
+
+
+def gathered(near: DataFrame) -> DataFrame:
+    """(kind, leader, n, delta) of deltas()' rows: kinds under the highest leader that they are near enough to. A leader
+    that has none is there as well, with no delta."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "leader", "n", "delta", "moved"]
+        for batch in it:
+            out = []
+            for kind, leader, n, delta, higher, above, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if higher is not None:
+                    sum_ = _composed(np.frombuffer(delta, U), np.frombuffer(more, U))
+                    if len(sum_) <= GATHERED * above:
+                        out.append((kind, higher, above, sum_.tobytes(), True))
+                        continue
+                out.append((kind, leader, n, delta, False))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], names)
+
+    under = near.where("gathered").select(F.col("a").alias("kind"), F.col("b").alias("leader"), "n", "delta")
+    while True:  # a chain is half as long each time
+        above = under.join(under.select(F.col("leader").alias("kind")).distinct(), "kind", "left_semi")
+        above = above.select(F.col("kind").alias("leader"), F.col("leader").alias("higher"), F.col("n").alias("above"), F.col("delta").alias("more"))
+        met = _dealt(under, "leader").join(_dealt(above, "leader"), ["leader", "part"], "left").select("kind", "leader", "n", "delta", "higher", "above", "more")
+        under = cut(through_python(met, batches, "kind long, leader long, n long, delta binary, moved boolean"))
+        if not under.where("moved").limit(1).count():
+            break
+        under = under.drop("moved")
+    under = under.drop("moved")
+    first = under.groupBy(F.col("leader").alias("kind")).agg(F.first("n").alias("n")).join(under.select("kind"), "kind", "left_anti")
+    return under.unionByName(first.select("kind", F.col("kind").alias("leader"), "n", F.unhex(F.lit("")).alias("delta")))
 
 
 def _exploded(members: DataFrame, *columns: str) -> DataFrame:
@@ -424,7 +468,8 @@ def _exploded(members: DataFrame, *columns: str) -> DataFrame:
 
 
 def centred(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(kind, leader, weight, bound, delta): families' deltas from their centre, the shingles that most members have.
+    """(kind, leader, weight, bound, delta): families' deltas from their centre, the shingles that most members have, but for
+    those of members that are too far from it.
 
     members: kind, leader, n, delta (from the leader). Two members are similar if and only if the deltas that they share,
     times the similarity's sum, reach their weights' sum less the bound; in particular if that isn't above 0."""
@@ -437,7 +482,7 @@ def centred(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out = []
+            out, follows = [], []
             for n, raw, flipped in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 own = np.frombuffer(raw, np.int64)
                 flip = flipped.values.to_numpy() if flipped.is_valid else own[:0]
@@ -446,9 +491,12 @@ def centred(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
                 lacked = int((kept & 1).sum()) + int((back & 1 ^ 1).sum())
                 added = len(kept) + len(back) - lacked
                 size = n + int((flip & 1 ^ 1).sum()) - int((flip & 1).sum())
-                out.append((den * lacked + num * added, (den - num) * size, np.concatenate([kept, back]).tobytes()))
+                follows.append(len(kept) + len(back) <= FOLLOWS * size)
+                if follows[-1]:
+                    out.append((den * lacked + num * added, (den - num) * size, np.concatenate([kept, back]).tobytes()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True))], ["kind", "leader", "weight", "bound", "delta"])
+            kinds = [batch.column(i).filter(pa.array(follows, pa.bool_())) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*kinds, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True))], ["kind", "leader", "weight", "bound", "delta"])
 
     return cut(through_python(joined, batches, "kind long, leader long, weight long, bound long, delta binary"))
 
@@ -512,11 +560,12 @@ def links(rows: DataFrame, kinds: DataFrame, tokens: int, k: int, salt: int, sim
     star = star.where("shared >= least").groupBy("kind").agg(F.max(F.struct("shared", (-F.col("leader")).alias("x"))).alias("top"))
     star = cut(star.select(F.col("kind").alias("a"), (-F.col("top.x")).alias("b")))
     near = cut(deltas(rows, star, k, salt, similarity))
-    followers = centred(near.where("follows").select(F.col("a").alias("kind"), F.col("b").alias("leader"), "n", "delta"), similarity)
+    followers = centred(gathered(near), similarity)
     lightest = _dealt(followers.groupBy("leader").agg(F.min(F.struct("weight", "kind")).alias("top")), "leader")
     followers = _dealt(followers, "leader").join(lightest, ["leader", "part"]).withColumn("lightest", F.col("top.weight")).withColumn("top", F.col("top.kind"))
     within = _family_links(followers, similarity)
-    groups = cut(_apart(tokens_of, followers.select("kind", F.col("leader").alias("family"))).select("token", "kind", "n", "at", "matches", "family", "main"))
+    families = followers.select("kind", F.col("top").alias("family"))  # by a member's name, which a leader need not be
+    groups = cut(_apart(tokens_of, families).select("token", "kind", "n", "at", "matches", "family", "main"))
     side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "n", "at", "matches", "family", "main")))
     # Of two members of different families at least one is apart from the group's main family; that side is the small one.
     pairs = side(groups.where("NOT main"), "x").join(side(groups, "y"), "token")
@@ -530,7 +579,11 @@ def links(rows: DataFrame, kinds: DataFrame, tokens: int, k: int, salt: int, sim
     pairs = pairs.select(F.greatest("kind_x", "kind_y").alias("a"), F.least("kind_x", "kind_y").alias("b"), asked.alias("asked"), (common - after).alias("asked_here"))
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("asked", "asked_here")).alias("asked")).where("shared >= asked")
     between = verified(rows, cut(pairs.select("a", "b").join(star, ["a", "b"], "left_anti")), k, salt, similarity)
-    found = cut(near.where("linked").select("a", "b").unionByName(within).unionByName(between))
+    direct = near.where("linked").select("a", "b")
+    for s in "ab":
+        direct = direct.join(families.select(F.col("kind").alias(s), F.col("family").alias(f"family_{s}")), s, "left")
+    direct = direct.where("NOT family_a <=> family_b OR family_a IS NULL").select("a", "b")  # _family_links() and weights tell the others
+    found = cut(direct.unionByName(within).unionByName(between))
     return found, followers.select("kind", "leader", "weight", "bound", "top", "lightest")
 
 

@@ -854,6 +854,30 @@ def test_links_of_large_families(spark, stored, monkeypatch, seed, words, edits,
     assert Counter(map(tuple, got)) == brute_classes(rows, 3, *similarity)
 
 
+def test_family_keeps_together_whatever_its_leaders(spark, stored, monkeypatch):
+    """Members whose edits lie far apart choose different leaders, some of them odd ones; few pairs of them may be left to
+    the join between families."""
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [r.choice(vocabulary) for _ in range(200)]
+    rows = []
+    for i in range(150):
+        c = list(base)
+        for at in r.sample(range(200), r.randint(1, 8)):
+            c[at] = r.choice(vocabulary)
+        rows.append((i, " ".join(c), "en", "a", 0))
+    sizes, apart = [], jaccard_join._apart
+
+    def spied(tokens, families):
+        sizes.append(sorted((x["count"] for x in families.groupBy("family").count().collect()), reverse=True))
+        return apart(tokens, families)
+
+    monkeypatch.setattr(jaccard_join, "_apart", spied)
+    got = jaccard_join.classes(stored(rows, DOCS, 3), k=5, similarity=(80, 100)).collect()
+    assert Counter(map(tuple, got)) == brute_classes(rows, 5, 80, 100)
+    assert sizes[0][0] >= 135
+
+
 def test_components(spark):
     r = random.Random(8)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
