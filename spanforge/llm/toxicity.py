@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from spanforge.llm.common import cut, documents, held_out, removed, shared_checkpoints, table, through_python
 from spanforge.llm.hashing import U, Table, mix
@@ -339,9 +340,10 @@ def count(texts: DataFrame, order: int = ORDER, least: float = DISCOUNTS[0]) ->
     # Grams move once, packed: a bucket has all that end in the same words, and no more of one word than it must.
     rows = through_python(texts.select("text", "label"), batches, "bucket int, piece binary").repartition("bucket").sortWithinPartitions("bucket")
     kinds = through_python(rows, counted, ", ".join(f"{n} long" for n in (*names[:order], "toxic", "ordinary")))
-    levels = [kinds.persist()]
+    # What finds no room in memory is counted again of the moved grams, which lie on disk already, not written once more.
+    levels = [kinds.persist(StorageLevel.MEMORY_ONLY)]
     for n in range(order - 1, 0, -1):
-        levels.insert(0, levels[0].groupBy(*names[:n]).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary"))).persist())
+        levels.insert(0, levels[0].groupBy(*names[:n]).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary"))).persist(StorageLevel.MEMORY_ONLY))
     try:
         grams_, contexts_, asked = [], [], None
         for n in range(order, 0, -1):

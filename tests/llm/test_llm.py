@@ -854,6 +854,18 @@ def test_links_of_large_families(spark, stored, monkeypatch, seed, words, edits,
     assert Counter(map(tuple, got)) == brute_classes(rows, 3, *similarity)
 
 
+def test_counts_of_grams_take_no_disk_besides_the_shuffle(spark, monkeypatch):
+    kept, kind = [], type(spark.range(1))
+    persist = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda self, *level: kept.append(persist(self, *level)) or kept[-1])
+    levels = []
+    monkeypatch.setattr(kind, "unpersist", lambda self, *a, f=kind.unpersist: levels.append(self.storageLevel) or f(self, *a))
+    texts = [("one two three", 0), ("one two four", 1)] * 3 + [("five two three", 0)]
+    counts = toxicity.count(spark.createDataFrame(texts, "text string, label int"))
+    assert counts.kinds == 5
+    assert len(levels) == len(kept) == 2 and not any(x.useDisk for x in levels)
+
+
 def test_family_keeps_together_whatever_its_leaders(spark, stored, monkeypatch):
     """Members whose edits lie far apart choose different leaders, some of them odd ones; few pairs of them may be left to
     the join between families."""
