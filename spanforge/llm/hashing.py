@@ -17,7 +17,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Values by distinct, evenly spread 64-bit keys, looked up many at a time: open addressing at half load at most."""
+    """Values by distinct, evenly spread 64-bit keys, looked up many at a time: open addressing at half load at most.
+    Pickled, it is its keys and values; slots are made again where it is read."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.values = values
@@ -34,6 +35,12 @@ class Table:
         full = self.slots >= 0
         self.keys[full] = keys[self.slots[full]]
 
+    def __reduce__(self) -> tuple:
+        full = self.slots >= 0
+        keys = np.zeros(len(self.values), U)
+        keys[self.slots[full]] = self.keys[full]
+        return Table, (keys, self.values)
+
     def __len__(self) -> int:
         return len(self.values)
 

@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -369,9 +370,8 @@ def count(texts: DataFrame, order: int = ORDER, least: float = DISCOUNTS[0]) ->
             x.unpersist()
 
 
-def _evidence(rows: DataFrame, several: list[Models]) -> DataFrame:
+def _evidence(rows: DataFrame, held: Broadcast[list[Models]]) -> DataFrame:
     """text is replaced by its evidence by each of the models, an array; other columns stay."""
-    held = rows.sparkSession.sparkContext.broadcast(several)
     others = [f for f in rows.schema.fields if f.name != "text"]
     at = rows.columns.index("text")
     rest = [i for i, c in enumerate(rows.columns) if c != "text"]
@@ -408,7 +408,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
         counts = count(texts.where(F.col("u") < FITTED_SHARE))
         several = [fit(counts, d) for d in DISCOUNTS]
         del counts
-        seen = cut(_evidence(texts.where(F.col("u") >= FITTED_SHARE).select("text", "label"), several))
+        held = spark.sparkContext.broadcast(several)
+        try:
+            seen = cut(_evidence(texts.where(F.col("u") >= FITTED_SHARE).select("text", "label"), held))
+        finally:
+            held.destroy()  # or the driver and every executor keep a file of it
         curves, (ordinary, toxic) = curves_of(seen, len(several))
         if not curves:
             share = (1.0 if toxic else 0.0) if ordinary or toxic else texts.agg(F.avg("label")).first()[0] or 0.0
@@ -422,7 +426,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
 
 def score(docs: DataFrame, models: Models, curve: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score, 0 to 1, of every row of docs."""
-    seen = _evidence(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), [models])
+    seen = _evidence(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), docs.sparkSession.sparkContext.broadcast([models]))
     return seen.select("doc_id", _score(curve).alias("score"))
 
 
@@ -430,7 +434,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_
     """docs without the rows whose score reaches the threshold."""
     models, curve = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    return _evidence(rows, [models]).where(_score(curve) < threshold).select("row.*")
+    return _evidence(rows, docs.sparkSession.sparkContext.broadcast([models])).where(_score(curve) < threshold).select("row.*")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import inspect
 import math
 import os
+import pickle
 import random
 import re
 import time
@@ -866,6 +867,23 @@ def test_counts_of_grams_take_no_disk_besides_the_shuffle(spark, monkeypatch):
     assert len(levels) == len(kept) == 2 and not any(x.useDisk for x in levels)
 
 
+def test_models_take_disk_for_keys_and_values_only(spark, corpus):
+    r = np.random.default_rng(2)
+    keys = np.unique(r.integers(1, 1 << 63, 5000, np.int64).astype(np.uint64) * np.uint64(3))
+    r.shuffle(keys)
+    for n in (0, 1, len(keys)):
+        t = hashing.Table(keys[:n], r.random((n, 1)))
+        dumped = pickle.dumps(t, pickle.HIGHEST_PROTOCOL)
+        assert len(dumped) < 16 * n + 1000
+        back = pickle.loads(dumped)
+        assert len(back) == n and (back.get(keys, -1.0) == t.get(keys, -1.0)).all() and (back.slots == t.slots).all()
+    docs, labels, _ = corpus
+    folder = spark.sparkContext._temp_dir
+    before = set(os.listdir(folder))
+    toxicity.train(docs.select("doc_id", "text"), labels)
+    assert set(os.listdir(folder)) <= before  # where broadcasts of Python values lie
+
+
 def test_family_keeps_together_whatever_its_leaders(spark, stored, monkeypatch):
     """Members whose edits lie far apart choose different leaders, some of them odd ones; few pairs of them may be left to
     the join between families."""
