@@ -42,6 +42,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared checkpoint folder."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder."""
     shared_checkpoints(df.sparkSession)

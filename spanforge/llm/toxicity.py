@@ -15,8 +15,9 @@ passage, evidence for either class counts in full. A logistic curve, fitted on l
 not seen, makes a score of it.
 
 The models are fitted on all labelled documents, whole texts, but on no held-out row: ``FITTED_SHARE`` of the texts are
-counted, and discount and curve are chosen on the others (equal texts are on one side). N-grams are counted by Spark, and
-only what exceeds the least discount reaches the driver; the curve's Newton steps add up sums that tasks make. Scoring
+counted, and discount and curve are chosen on the others (equal texts are on one side). N-grams are counted by Spark,
+models are made by joins of what exceeds the least discount and written by tasks to the shared checkpoint folder, from
+which workers map them; the driver sees none of it. The curve's Newton steps add up sums that tasks make. Scoring
 reads every word of every text. Words and n-grams are named by 64-bit hashes. Defined results: null and empty texts and texts without letters get the curve's value at zero evidence; repeated
 rows and ties get equal scores; with labels of one class only, every score is that class's share; without labels every
 score is 0; columns of any name pass through; an empty table gives an empty result.
@@ -25,25 +26,24 @@ score is 0; columns of any name pass through; an empty table gives an empty resu
 from __future__ import annotations
 
 import sys
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from spanforge.llm.common import cut, documents, held_out, removed, shared_checkpoints, table, through_python
-from spanforge.llm.hashing import U, Table, mix
+from spanforge.llm.common import cut, documents, held_out, removed, shared_folder, table, through_python
+from spanforge.llm.hashing import U, mix
 from spanforge.llm.labelled import known_labels, labelled_texts
+from spanforge.llm.stored_table import StoredTable, stored
 
 FITTED_SHARE, ORDER, THRESHOLD = 0.75, 2, 0.5
-#: Discounts to choose from; the first one bounds what is collected.
+#: Discounts to choose from; the first one bounds what the models hold.
 DISCOUNTS = (2.0, 4.0, 8.0, 16.0)
 #: Words of a passage; whole documents are compared too.
 PASSAGES = (1, 4, 16)
@@ -112,77 +112,135 @@ def _blocks(it: Iterator[pa.RecordBatch], text_at: int, most: int = BLOCK) -> It
 
 @dataclass
 class Counts:
-    """What the models are made of. grams, by order from 1: gram, context, shorter (the gram without its first word),
-    toxic and ordinary (counts). Every gram with a count above some least one is there, with all shorter ones that its
-    probability needs. contexts, by order: context, totals toxic and ordinary, and toxic_rest and ordinary_rest, the part
-    that grams which are not there have."""
-
-    grams: list[dict[str, np.ndarray]]
-    contexts: list[dict[str, np.ndarray]]
+    """What the models are made of, in the shared folder. grams, by order from 1: words from the last one (w1, w2, ...), toxic
+    and ordinary (counts). Every gram with a count above some least one is there, with all shorter ones that its probability
+    needs. contexts, by order from 2: the words, totals toxic and ordinary, and toxic_rest and ordinary_rest, the part that
+    grams which are not there have. single has the same of single words."""
+
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    single: dict[str, int]
     kinds: int  # different words of all texts
+    folder: str
 
 
 @dataclass
 class Models:
     """Log-likelihood ratios, toxic to ordinary, in back-off form: a gram that is there has its own, another one its
-    context's back-off plus that of the shorter gram, at last ``unseen``."""
+    context's back-off plus that of the shorter gram, at last ``unseen``. The tables have a column for each discount."""
 
-    ratios: list[Table]
-    backoffs: list[Table]  # of contexts, for grams of two words and more
+    ratios: list[StoredTable]
+    backoffs: list[StoredTable]  # of contexts, for grams of two words and more
     unseen: float
+    column: int = 0
 
     def of_words(self, word: np.ndarray, of: np.ndarray) -> np.ndarray:
         found, contexts = grams(word, of, len(self.ratios))
-        out = self.ratios[0].get(found[0], self.unseen)
+        out = self.ratios[0].get(found[0], self.unseen, self.column)
         for n in range(1, len(self.ratios)):
-            if len(self.backoffs[n - 1]):
-                out = out + self.backoffs[n - 1].get(contexts[n], 0.0)
-            if len(self.ratios[n]):
-                out = self.ratios[n].get(found[n], out)
+            out = out + self.backoffs[n - 1].get(contexts[n], 0.0, self.column)
+            out = self.ratios[n].get(found[n], out, self.column)
         return out
 
 
-def probabilities(counts: Counts, d: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """By order: of each gram, its probability after its context, toxic and ordinary; of each context, the mass that it
-    leaves to the order below. One discount for all orders and both classes."""
-    out, left = [], []
-    for n, (g, c) in enumerate(zip(counts.grams, counts.contexts, strict=True)):
-        seen = np.stack([g["toxic"], g["ordinary"]]).astype(float)
-        totals = np.stack([c["toxic"], c["ordinary"]]).astype(float)
-        rest = np.stack([c["toxic_rest"], c["ordinary_rest"]]).astype(float)
-        at = Table(c["context"], np.zeros((len(c["context"]), 0))).find(g["context"])
-        taken = rest + np.stack([np.bincount(at, np.minimum(x, d), len(c["context"])) for x in seen])
-        left.append(np.where(totals > 0, taken / np.maximum(totals, 1), 1.0))
-        if n:
-            lower = out[-1][:, Table(counts.grams[n - 1]["gram"], np.zeros((len(counts.grams[n - 1]["gram"]), 0))).find(g["shorter"])]
-        else:  # both classes' words; one count of each goes to all words evenly, an unknown one among them
-            total = max(totals.sum(), 1)
-            lower = np.broadcast_to(np.maximum(seen.sum(0) - 1, 0) / total + counts.kinds / total / (counts.kinds + 1), seen.shape)
-        out.append(np.where(totals[:, at] > 0, np.maximum(seen - d, 0) / np.maximum(totals[:, at], 1), 0.0) + left[-1][:, at] * lower)
-    return out, left
+def _left(totals: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """The mass that a context leaves to the order below."""
+    return np.where(totals > 0, taken / np.maximum(totals, 1), 1.0)
 
 
-def fit(counts: Counts, d: float) -> Models:
-    p, left = probabilities(counts, d)
+def _backoff(left: np.ndarray) -> np.ndarray:
     # A class that leaves nothing to the order below gives a new gram no more than this.
-    ratio = lambda x: np.log(np.maximum(x[0], 1e-9)) - np.log(np.maximum(x[1], 1e-9))
-    ratios, backoffs = [], []
-    for n, (g, c) in enumerate(zip(counts.grams, counts.contexts, strict=True)):
-        there = (g["toxic"] > d) | (g["ordinary"] > d)
-        ratios.append(Table(g["gram"][there], (np.log(p[n][0]) - np.log(p[n][1]))[there, None]))
-        value = ratio(left[n])
-        if n:
-            backoffs.append(Table(c["context"][value != 0], value[value != 0, None]))
-        else:
-            unseen = float(value[0]) if len(value) else 0.0
-    return Models(ratios, backoffs, unseen)
-
-
-def evidence(texts: list[str], models: Models) -> np.ndarray:
-    """For each text, the highest length-normalised log-likelihood ratio of its passages of each length, and the whole's."""
+    return np.log(np.maximum(left[0], 1e-9)) - np.log(np.maximum(left[1], 1e-9))
+
+
+def fits(counts: Counts, discounts: Sequence[float]) -> list[Models]:
+    """A model for each discount, one for all orders and both classes. Counts meet those of their contexts and of shorter
+    grams by joins, and tasks write the ratios to the shared folder: nothing that grows with the texts reaches the driver."""
+    k, kinds, single = len(discounts), counts.kinds, counts.single
+    classes = ("toxic", "ordinary")
+    taken_of = lambda n: [f"{c}_taken{n}_{i}" for i in range(k) for c in classes]
+    taken_sums = [F.sum(F.least(F.col(c), F.lit(d))) for d in discounts for c in classes]
+    first = np.array(counts.grams[0].agg(*(F.coalesce(x, F.lit(0.0)) for x in taken_sums)).first(), float).reshape(k, 2, 1)
+    totals1 = np.array([[single[c]] for c in classes], float)
+    left1 = [_left(totals1, np.array([[single[f"{c}_rest"]] for c in classes], float) + t) for t in first]
+    both = max(totals1.sum(), 1)
+
+    def ratios(n: int, seen: list[np.ndarray], totals: list[np.ndarray], taken: list[np.ndarray]) -> list[np.ndarray]:
+        """By discount, of grams of n words; of shorter ones likewise, by order: counts, and from order 2 totals and taken."""
+        out = []
+        for i, d in enumerate(discounts):
+            # Both classes' words; one count of each goes to all words evenly, an unknown one among them.
+            p = np.maximum(seen[0].sum(0) - 1, 0) / both + kinds / both / (kinds + 1)
+            p = np.where(totals1 > 0, np.maximum(seen[0] - d, 0) / np.maximum(totals1, 1), 0.0) + left1[i] * p
+            for m in range(1, n):
+                p = np.where(totals[m] > 0, np.maximum(seen[m] - d, 0) / np.maximum(totals[m], 1), 0.0) + _left(totals[m], taken[m][i]) * p
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out.append(np.where((seen[-1] > d).any(0), np.log(p[0]) - np.log(p[1]), np.nan))
+        return out
+
+    def made(table: int, key: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        some = ~np.isnan(values).all(0)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), table)), pa.array(key[some].view(np.int64)), *(pa.array(v[some]) for v in values)], ["table", "key", *(f"v{i}" for i in range(k))])
+
+    def of_grams(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                column = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+                seen = [np.stack([column[f"{c}{m}"] for c in classes]).astype(float) for m in range(1, n + 1)]
+                totals = [totals1, *(np.stack([column[f"{c}_total{m}"] for c in classes]).astype(float) for m in range(2, n + 1))]
+                taken = [first, *(np.stack([column[c] for c in taken_of(m)]).reshape(k, 2, -1) for m in range(2, n + 1))]
+                yield made(n - 1, gram_of([column[f"w{i}"].view(U) for i in range(1, n + 1)]), ratios(n, seen, totals, taken))
+
+        return batches
+
+    def of_contexts(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                column = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+                totals = np.stack([column[f"{c}_total{n}"] for c in classes]).astype(float)
+                taken = np.stack([column[c] for c in taken_of(n)]).reshape(k, 2, -1)
+                yield made(order + n - 2, gram_of([column[f"w{i}"].view(U) for i in range(2, n + 1)]), [_backoff(_left(totals, t)) for t in taken])
+
+        return batches
+
+    schema = "table long, key long, " + ", ".join(f"v{i} double" for i in range(k))
+    order, shorter, of_n, of_c = len(counts.grams), None, [], []
+    for n, g in enumerate(counts.grams, 1):
+        own = [f"w{i}" for i in range(1, n + 1)]
+        rows = g.select(*own, *(F.col(c).alias(f"{c}{n}") for c in classes))
+        if shorter is not None:
+            taken = g.groupBy(*own[1:]).agg(*(x.alias(c) for x, c in zip(taken_sums, taken_of(n), strict=True)))
+            held = counts.contexts[n - 2].join(taken, own[1:]).select(
+                *own[1:],
+                *(F.col(c).alias(f"{c}_total{n}") for c in classes),
+                *((F.col(t) + F.col(f"{t.partition('_')[0]}_rest")).alias(t) for t in taken_of(n)),
+            )
+            of_c.append(through_python(held, of_contexts(n), schema))
+            rows = rows.join(shorter, own[:-1]).join(held, own[1:])
+        of_n.append(through_python(rows, of_grams(n), schema))
+        shorter = rows
+    every = [*of_n, *of_c]
+    sizes = [x.count() for x in (*counts.grams, *counts.contexts)]
+    folder = shared_folder(counts.grams[0].sparkSession, "toxicity-models")
+    tables = stored(reduce(DataFrame.unionByName, every), sizes, k, folder)
+    unseen = [float(_backoff(x)[0]) if totals1.any() else 0.0 for x in left1]
+    return [Models(tables[:order], tables[order:], u, i) for i, u in enumerate(unseen)]
+
+
+def fit(counts: Counts, d: float) -> Models:
+    return fits(counts, (d,))[0]
+
+
+def evidence(texts: list[str], *models: Models) -> np.ndarray:
+    """For each text, the highest length-normalised log-likelihood ratio of its passages of each length, and the whole's; by
+    each of the models, one after the other."""
     word, of = words(texts)
-    sums = np.r_[0.0, np.cumsum(models.of_words(word, of))]
-    sizes, out = np.diff(of), np.zeros((len(texts), len(PASSAGES) + 1))
+    return np.concatenate([_evidence_of(m.of_words(word, of), of) for m in models], 1)
+
+
+def _evidence_of(ratios: np.ndarray, of: np.ndarray) -> np.ndarray:
+    sums = np.r_[0.0, np.cumsum(ratios)]
+    sizes, out = np.diff(of), np.zeros((len(of) - 1, len(PASSAGES) + 1))
     some = np.flatnonzero(sizes)
     whole = (sums[of[1:]] - sums[of[:-1]])[some] / sizes[some]
     out[some, -1] = whole
@@ -251,12 +309,6 @@ def curves_of(rows: DataFrame, models: int, ridge: float = 1e-2, rounds: int = 6
     return [(np.r_[s_, c], float(loss)) for s_, c, loss in zip(slopes, constants, losses, strict=True)], (sizes[0], sizes[1])
 
 
-def _columns(df: DataFrame) -> dict[str, np.ndarray]:
-    """A bounded table's columns of numbers; hashes (w1, w2, ...) as unsigned ones."""
-    rows = df.toArrow()
-    return {c: rows.column(c).to_numpy().astype(np.int64).view(U if c[0] == "w" else np.int64) for c in df.columns}
-
-
 def _distinct(back: list[np.ndarray], toxic: np.ndarray, ordinary: np.ndarray) -> list[np.ndarray]:
     """Different grams, by their last words, and whether each label has them."""
     by = np.lexsort(back[::-1])
@@ -345,6 +397,12 @@ def count(texts: DataFrame, order: int = ORDER, least: float = DISCOUNTS[0]) ->
     levels = [kinds.persist(StorageLevel.MEMORY_ONLY)]
     for n in range(order - 1, 0, -1):
         levels.insert(0, levels[0].groupBy(*names[:n]).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary"))).persist(StorageLevel.MEMORY_ONLY))
+    folder = shared_folder(texts.sparkSession, "toxicity-counts")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     try:
         grams_, contexts_, asked = [], [], None
         for n in range(order, 0, -1):
@@ -354,23 +412,22 @@ def count(texts: DataFrame, order: int = ORDER, least: float = DISCOUNTS[0]) ->
                 level = level.join(asked, own, "left")
                 wanted = wanted | F.col("asked").isNotNull()
             level = level.withColumn("there", wanted)
-            there = level.where("there").select(*own, "toxic", "ordinary")
+            there = kept(level.where("there").select(*own, "toxic", "ordinary"), f"grams-{n}")
             rest = [F.sum(F.when(F.col("there"), 0).otherwise(F.col(c))).alias(f"{c}_rest") for c in ("toxic", "ordinary")]
             totals = level.groupBy(*own[1:]).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), *rest, F.max("there").alias("there"))
-            g, c = _columns(there), _columns((totals.where("there") if n > 1 else totals.where("toxic IS NOT NULL")).drop("there"))
-            back = [g[w] for w in own]
-            none = np.zeros(len(g["toxic"]), U)
-            grams_.insert(0, {"gram": gram_of(back), "context": gram_of(back[1:]) if n > 1 else none, "shorter": gram_of(back[:-1]) if n > 1 else none, "toxic": g["toxic"], "ordinary": g["ordinary"]})
-            before = gram_of([c[w] for w in own[1:]]) if n > 1 else np.zeros(len(c["toxic"]), U)
-            contexts_.insert(0, {"context": before} | {k: c[k] for k in ("toxic", "ordinary", "toxic_rest", "ordinary_rest")})
-            asked = there.select(*own[:-1]).distinct().withColumn("asked", F.lit(True)) if n > 1 else None
-        return Counts(grams_, contexts_, levels[0].count())
+            if n > 1:
+                contexts_.insert(0, kept(totals.where("there").drop("there"), f"contexts-{n}"))
+                asked = there.select(*own[:-1]).distinct().withColumn("asked", F.lit(True))
+            else:
+                single = {c: x or 0 for c, x in totals.drop("there").first().asDict().items()}
+            grams_.insert(0, there)
+        return Counts(grams_, contexts_, single, levels[0].count(), folder)
     finally:
         for x in levels:
             x.unpersist()
 
 
-def _evidence(rows: DataFrame, held: Broadcast[list[Models]]) -> DataFrame:
+def _evidence(rows: DataFrame, models: list[Models]) -> DataFrame:
     """text is replaced by its evidence by each of the models, an array; other columns stay."""
     others = [f for f in rows.schema.fields if f.name != "text"]
     at = rows.columns.index("text")
@@ -379,7 +436,7 @@ def _evidence(rows: DataFrame, held: Broadcast[list[Models]]) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _blocks(it, at):
-            found = np.concatenate([evidence(texts, m) for m in held.value], 1)
+            found = evidence(texts, *models)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), flat], names)
 
@@ -400,19 +457,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
     if known.count() <= SMALL_ROWS:
         texts = labelled_texts(docs, F.broadcast(known), seed)
     else:  # texts move to their labels, once for both passes
-        shared_checkpoints(spark)
-        path = f"{spark.sparkContext.getCheckpointDir()}/labelled-{uuid.uuid4().hex}"
+        path = shared_folder(spark, "labelled")
         labelled_texts(docs, known, seed).write.option("compression", "zstd").parquet(path)
         texts = spark.read.parquet(path)
     try:
         counts = count(texts.where(F.col("u") < FITTED_SHARE))
-        several = [fit(counts, d) for d in DISCOUNTS]
-        del counts
-        held = spark.sparkContext.broadcast(several)
-        try:
-            seen = cut(_evidence(texts.where(F.col("u") >= FITTED_SHARE).select("text", "label"), held))
-        finally:
-            held.destroy()  # or the driver and every executor keep a file of it
+        several = fits(counts, DISCOUNTS)
+        removed(spark, counts.folder)
+        seen = cut(_evidence(texts.where(F.col("u") >= FITTED_SHARE).select("text", "label"), several))
         curves, (ordinary, toxic) = curves_of(seen, len(several))
         if not curves:
             share = (1.0 if toxic else 0.0) if ordinary or toxic else texts.agg(F.avg("label")).first()[0] or 0.0
@@ -426,7 +478,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
 
 def score(docs: DataFrame, models: Models, curve: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score, 0 to 1, of every row of docs."""
-    seen = _evidence(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), docs.sparkSession.sparkContext.broadcast([models]))
+    seen = _evidence(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), [models])
     return seen.select("doc_id", _score(curve).alias("score"))
 
 
@@ -434,7 +486,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_
     """docs without the rows whose score reaches the threshold."""
     models, curve = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    return _evidence(rows, docs.sparkSession.sparkContext.broadcast([models])).where(_score(curve) < threshold).select("row.*")
+    return _evidence(rows, [models]).where(_score(curve) < threshold).select("row.*")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
