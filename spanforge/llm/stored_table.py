@@ -19,13 +19,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanforge.functions.runtime import opened
 from spanforge.llm.common import through_python
 from spanforge.llm.hashing import U
 
 #: Keys of a file, about; it is put together in memory.
-PART_KEYS = 1 << 20
+PART_KEYS = 1 << 18
 
 
 def _local(path: str) -> str:
@@ -98,14 +99,6 @@ def stored(rows: DataFrame, sizes: list[int], width: int, folder: str) -> list[S
     bits = [min(16, max(0, -(-n // PART_KEYS) - 1).bit_length()) for n in sizes]
     values = [f"v{i}" for i in range(width)]
 
-    def dealt(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shifts = np.array(bits)
-        for batch in it:
-            table = batch.column(0).to_numpy().astype(np.int64)
-            own = shifts[table]
-            first = np.where(own > 0, batch.column(1).to_numpy().view(U) >> (64 - np.maximum(own, 1)).astype(U), U(0)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(table << 32 | first), *batch.columns[1:]], ["file", "key", *values])
-
     def put(file: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         keys = np.concatenate([b.column(1).to_numpy().view(U) for b in held])
         by = np.argsort(keys)
@@ -136,8 +129,12 @@ def stored(rows: DataFrame, sizes: list[int], width: int, folder: str) -> list[S
 
     store, at = opened(folder)
     store.create_dir(at, recursive=True)
-    columns = ", ".join(f"{v} double" for v in values)
-    moved = through_python(rows.select("table", "key", *values), dealt, f"file long, key long, {columns}").repartition("file").sortWithinPartitions("file")
+    # By a Column, as a second worker in the same task would double the memory that workers take.
+    first = F.lit(0).cast("long")
+    for table, b in enumerate(bits):
+        if b:
+            first = F.when(F.col("table") == table, F.shiftrightunsigned("key", 64 - b)).otherwise(first)
+    moved = rows.select((F.shiftleft("table", 32) + first).alias("file"), "key", *values).repartition("file").sortWithinPartitions("file")
     found: list[dict[int, tuple[str, int]]] = [{} for _ in sizes]
     for r in through_python(moved, written, "file long, path string, n long").collect():
         found[r.file >> 32][r.file & 0xFFFFFFFF] = (r.path, r.n)
